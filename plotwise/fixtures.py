@@ -42,6 +42,7 @@ QUERY_NUMBERS = {"metres": (100, 60, 100), "mill": (1, 900, 100), "rooms": (1, 1
 QUERY_WORDS = {"kind": (KIND_WORDS, 7), "poi": (POI_WORDS, 11), "place": (PLACE_WORDS, 13), "chat": (CHAT_WORDS, 17)}
 
 LON0, LAT0 = -74.20, 4.45
+KINDS = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 SCORES = ["access", "security", "dwelling", "services", "zoning"]
 
 
@@ -167,6 +168,14 @@ class Views:
             lay("buildability", BUILD_RANGES, 0).where("poly_id % 6 <> 5")).unionByName(
             lay("activity", ACTIVITY_CODES, 0).where("poly_id % 9 <> 4"))
 
+    @cached_property
+    def study(self) -> DataFrame:
+        """Points to study that are not listings."""
+        k = F.col("c_custkey")
+        lon, lat = grid_point(k, 7919, 30011)
+        return self.table("customer").select(k.alias("study_id"), lon.alias("lon"), lat.alias("lat"), pick(KINDS, k % 5).alias("kind"),
+                                             (k % 180 + 20).cast("double").alias("area"), (k % 7 + 1).alias("rooms"))
+
     @cached_property
     def crime(self) -> DataFrame:
         e = self.table("events").withColumn("zone_id", F.col("user_id") % 25)
@@ -300,6 +309,8 @@ SQL_VIEWS = {
         _layer("treatment", TREATMENTS, 0, "true"), _layer("treatment", TREATMENTS, 1, "n_nationkey IN (3,7)"),
         _layer("buildability", BUILD_RANGES, 0, "n_nationkey%6<>5"),
         _layer("activity", ACTIVITY_CODES, 0, "n_nationkey%9<>4")]),
+    "study": f"""SELECT c_custkey AS study_id, {_pt('c_custkey', 7919, 30011)[0]} AS lon, {_pt('c_custkey', 7919, 30011)[1]} AS lat, {_case(KINDS, 'c_custkey%5')} AS kind,
+  (c_custkey%180+20)::DOUBLE AS area, c_custkey%7+1 AS rooms FROM customer""",
     "crime": "SELECT user_id%25 AS zone_id, " + ", ".join(
         f"count(*) FILTER (event_type='{o}') AS {o}" for o in OFFENCES)
         + ", 0.04e0*0.08e0*12364.3e0 AS area_km2 FROM events GROUP BY 1",

@@ -50,32 +50,41 @@ def locations(points: DataFrame, lon: str = "lon", lat: str = "lat") -> DataFram
         F.col(lon).alias("lon"), F.col(lat).alias("lat")).distinct()
 
 
-def radius_pairs(left: DataFrame, right: DataFrame, radius, max_lat: float = MAX_LAT) -> DataFrame:
+def radius_classes(df: DataFrame, col: str, most: int = 64) -> list[float]:
+    """The distinct radii of a layer table; a few by nature, and checked."""
+    radii = sorted(float(r[0]) for r in df.select(F.col(col).cast("double")).distinct().limit(most + 1).collect())
+    if len(radii) > most:
+        raise ValueError(f"more than {most} distinct radii; round them to classes first")
+    return radii or [1.0]
+
+
+def radius_pairs(left: DataFrame, right: DataFrame, radius, max_lat: float = MAX_LAT, planar: bool = False) -> DataFrame:
     """All (left, right) rows within `radius` metres, with `dist`.
 
     `left` needs lon/lat; `right` needs flon/flat and other names of its own.
     `radius` is metres, or a column of `right` holding a few distinct radii:
     each radius then gets its own grid, so short radii do not pay for long ones.
+    `planar` measures in the local metre frame and adds the Manhattan distance.
     """
     if isinstance(radius, str):
-        radii = sorted(float(r[0]) for r in right.select(F.col(radius).cast("double")).distinct().limit(65).collect())
-        if len(radii) > 64:
-            raise ValueError("more than 64 distinct radii; round them to classes first")
-        if not radii:
-            radii = [1.0]
+        radii = radius_classes(right, radius)
         right = right.withColumn("_r", F.col(radius).cast("double"))
     else:
         radii = [float(radius)]
         right = right.withColumn("_r", F.lit(float(radius)))
-    if len(radii) == 1:
-        left = left.withColumn("_r", F.lit(radii[0]))
-    else:
-        left = left.withColumn("_r", F.explode(F.lit(radii)))
-    lx, ly = cell_xy("lon", "lat", F.col("_r"), max_lat)
-    rx, ry = cell_xy("flon", "flat", F.col("_r"), max_lat)
+    left = left.withColumn("_r", F.lit(radii[0]) if len(radii) == 1 else F.explode(F.lit(radii)))
+    # The planar frame may differ from the sphere by a few per mille.
+    size = F.col("_r") * (1.05 if planar else 1.0)
+    lx, ly = cell_xy("lon", "lat", size, max_lat)
+    rx, ry = cell_xy("flon", "flat", size, max_lat)
     a = left.where("lon is not null and lat is not null").withColumns({"_x": lx, "_y": ly})
     b = spread(right.where("flon is not null and flat is not null").withColumns({"_x": rx, "_y": ry}), ["_x", "_y"])
-    pairs = a.join(b, ["_r", "_x", "_y"]).withColumn("dist", sp.haversine("lon", "lat", "flon", "flat"))
+    pairs = a.join(b, ["_r", "_x", "_y"])
+    if planar:
+        (px, py), (fx, fy) = sp.local_xy("lon", "lat"), sp.local_xy("flon", "flat")
+        pairs = pairs.withColumns({"dist": F.sqrt(F.pow(px - fx, 2) + F.pow(py - fy, 2)), "manhattan": F.abs(px - fx) + F.abs(py - fy)})
+    else:
+        pairs = pairs.withColumn("dist", sp.haversine("lon", "lat", "flon", "flat"))
     return pairs.where(F.col("dist") <= F.col("_r")).drop("_r", "_x", "_y")
 
 
@@ -96,21 +105,33 @@ def per_location(points: DataFrame, fn, fill: dict | None = None) -> DataFrame:
 
 
 def radius_aggregate(points: DataFrame, features: DataFrame, radius, aggs: dict[str, Column], keys: list[str] = (),
-                     fill: dict | None = None) -> DataFrame:
+                     fill: dict | None = None, planar: bool = False) -> DataFrame:
     """Aggregates over the features around every point.
 
-    `aggs` may use `dist`, `mult` (features at that spot) and the `keys` columns.
+    `aggs` may use `dist`, `mult` (features at that spot), the `keys` columns and,
+    with `planar`, `manhattan`. Sums happen on the map side: pairs are not kept.
     """
     extra = [radius] if isinstance(radius, str) else []
-    feats = stack_features(features, list(keys) + extra)
+    feats = stack_features(features, [*keys, *extra])
 
     def fn(locs):
-        pairs = radius_pairs(locs, feats, radius)
+        pairs = radius_pairs(locs, feats, radius, planar=planar)
         return pairs.groupBy("lon", "lat").agg(*[c.alias(n) for n, c in aggs.items()])
 
     return per_location(points, fn, fill)
 
 
+def neighbour_average(points: DataFrame, features: DataFrame, col: str, radius: float, out: str, default: float | None = None) -> DataFrame:
+    """Mean of a feature column within the radius; values at one spot are added up first."""
+    f = as_features(features.where(F.col(col).isNotNull())).groupBy("flon", "flat").agg(
+        F.sum(col).alias("_s"), F.count(col).alias("_k"))
+
+    def fn(locs):
+        return radius_pairs(locs, f, radius).groupBy("lon", "lat").agg((F.sum("_s") / F.sum("_k")).alias(out))
+
+    return per_location(points, fn, {out: default} if default is not None else None)
+
+
 # ------------------------------------------------------------------ nearest
 
 
@@ -187,10 +208,11 @@ def nearest(points: DataFrame, features: DataFrame, k: int = 1, *, fid: str, by:
     spare = k + (1 if exclude_self else 0)
     spot = Window.partitionBy(*by, "flon", "flat").orderBy(fid)
     feats = feats.withColumn("_rn", F.row_number().over(spot)).where(F.col("_rn") <= spare).drop("_rn")
-    level_for = lambda d: F.ceil(F.log2(F.greatest(d, F.lit(1e-9)) / finest_m))
+    # Distances are told apart to the millimetre; closer ties go to the smaller id.
+    level_for = lambda d: F.ceil(F.log2((d + 0.001) / finest_m))
     return grid_nearest(
         pts, feats, k, pcell=list(cell_xy("lon", "lat", finest_m, max_lat)),
-        fcell=list(cell_xy("flon", "flat", finest_m, max_lat)), dist=sp.haversine("lon", "lat", "flon", "flat"),
+        fcell=list(cell_xy("flon", "flat", finest_m, max_lat)), dist=F.round(sp.haversine("lon", "lat", "flon", "flat"), 3),
         levels=levels, level_for=level_for, ident=ident, order=["dist", fid], by=by,
         where=(F.col(exclude_self) != F.col(fid)) if exclude_self else None, within=within)
 
@@ -198,13 +220,24 @@ def nearest(points: DataFrame, features: DataFrame, k: int = 1, *, fid: str, by:
 # ----------------------------------------------------------------- polygons
 
 
-def polygon_cells(polys: DataFrame, size: float) -> DataFrame:
-    """One row per grid cell touched by the bounding box of `rings`."""
+def polygon_cells(polys: DataFrame, size: float, pad: float = 0.0) -> DataFrame:
+    """One row per grid cell touched by the bounding box of `rings`, grown by `pad` degrees."""
     b = polys.withColumn("_box", sp.bbox(F.col("rings")))
-    cells = lambda a, z: F.explode(F.sequence(F.floor(F.col(f"_box.{a}") / size), F.floor(F.col(f"_box.{z}") / size)))
+    cells = lambda a, z: F.explode(F.sequence(F.floor((F.col(f"_box.{a}") - pad) / size), F.floor((F.col(f"_box.{z}") + pad) / size)))
     return b.withColumn("_gx", cells("x0", "x1")).withColumn("_gy", cells("y0", "y1")).drop("_box")
 
 
+def polygons_within(locs: DataFrame, polys: DataFrame, radius_m: float, size: float = 0.01, max_lat: float = MAX_LAT) -> DataFrame:
+    """(location, polygon) pairs no farther apart than `radius_m`; `dist` is zero inside."""
+    import math
+
+    pad = radius_m * 1.02 / (sp.METRES_PER_DEGREE * math.cos(math.radians(max_lat)))
+    a = locs.withColumns({"_gx": F.floor(F.col("lon") / size), "_gy": F.floor(F.col("lat") / size)})
+    j = a.join(polygon_cells(polys, size, pad), ["_gx", "_gy"])
+    d = F.when(sp.inside(F.col("rings"), "lon", "lat"), 0.0).otherwise(sp.edge_distance(F.col("rings"), "lon", "lat"))
+    return j.withColumn("dist", d).where(F.col("dist") <= radius_m).drop("_gx", "_gy", "rings")
+
+
 def point_in_polygon(points: DataFrame, polys: DataFrame, *, size: float = 0.01, closed: bool = False) -> DataFrame:
     """(location, polygon) pairs with the point inside; `closed` counts the border as inside.
 
@@ -241,7 +274,7 @@ def nearest_polygon(locs: DataFrame, polys: DataFrame, *, poly_id: str, step_m:
     span = lambda c: F.explode(F.sequence(F.floor((F.col(c) - reach) / size), F.floor((F.col(c) + reach) / size)))
     probe = up.withColumn("_gx", span("lon")).withColumn("_gy", span("lat"))
     cand = probe.join(polygon_cells(polys, size), ["_gx", "_gy"]).dropDuplicates(["lon", "lat", poly_id])
-    cand = cand.withColumn("dist", sp.edge_distance(F.col("rings"), "lon", "lat"))
+    cand = cand.withColumn("dist", F.round(sp.edge_distance(F.col("rings"), "lon", "lat"), 3))
     return cand.groupBy("lon", "lat").agg(F.min_by(F.struct(poly_id, "dist"), F.struct("dist", poly_id)).alias("_p")).select(
         "lon", "lat", F.col(f"_p.{poly_id}").alias(poly_id), F.col("_p.dist").alias("dist"))
 
@@ -259,3 +292,26 @@ def grid_counts(features: DataFrame, keys: dict[str, Column], step: float, x0: f
 
 def union_all(parts: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def assign_zones(points: DataFrame, polys: DataFrame, poly_id: str, carry: list[str] = ()) -> DataFrame:
+    """Containing polygon, else the nearest one; `path` tells which, null for points without location."""
+    keep = [poly_id, *carry]
+    inside = point_in_polygon(points, polys).groupBy("lon", "lat").agg(F.min(poly_id).alias(poly_id))
+    locs = locations(points)
+    left = locs.join(inside.select("lon", "lat"), ["lon", "lat"], "left_anti")
+    near = nearest_polygon(left, polys, poly_id=poly_id).select("lon", "lat", poly_id)
+    both = inside.withColumn("path", F.lit("inside")).unionByName(near.withColumn("path", F.lit("nearest")))
+    out = join_on(points.drop(*[k for k in keep if k in points.columns]), both, ["lon", "lat"], "left")
+    return out.join(polys.select(*keep).distinct(), poly_id, "left") if carry else out
+
+
+def zone_parents(inner: DataFrame, outer: DataFrame, inner_id: str, keep: list[str], pick: str) -> DataFrame:
+    """Outer polygon holding an interior point of each inner polygon."""
+    x, y = sp.interior_point(F.col("rings"))
+    pts = inner.select(inner_id, x.alias("lon"), y.alias("lat"))
+    return one_polygon(pts, outer, pick, keep).drop("lon", "lat")
+
+
+def thin_rings(polys: DataFrame, tol: float) -> DataFrame:
+    return polys.withColumn("rings", F.transform(F.col("rings"), lambda r: sp.thin(r, tol)))

@@ -16,11 +16,12 @@ from pyspark.sql import functions as F
 BUCKETS = 256
 
 
-def split_points(df: DataFrame, col: str, buckets: int = BUCKETS) -> list[float]:
-    """At most `buckets - 1` increasing cut values; one small row to the driver."""
+def split_points(df: DataFrame, cols: list[str], buckets: int = BUCKETS) -> list[list[float]]:
+    """At most `buckets - 1` increasing cut values per column; one small row to the driver."""
     probs = [i / buckets for i in range(1, buckets)]
-    row = df.agg(F.percentile_approx(F.col(col).cast("double"), probs, 20 * buckets)).first()
-    return sorted({float(x) for x in (row[0] or [])})
+    value = lambda c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))
+    row = df.agg(*[F.percentile_approx(value(c), probs, 20 * buckets).alias(f"s{i}") for i, c in enumerate(cols)]).first()
+    return [sorted({float(x) for x in (r or [])}) for r in row]
 
 
 def bucket_of(col: str, splits: list[float]) -> Column:
@@ -49,7 +50,7 @@ def join_on(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner") ->
 
 
 def value_positions(df: DataFrame, col: str, by: list[str] = (), weight: str | None = None,
-                    extra: list[Column] = ()) -> DataFrame:
+                    extra: list[Column] = (), splits: list[float] | None = None) -> DataFrame:
     """One row per (by, value): `cnt` rows hold it, `before` rows are smaller, `total` in the group.
 
     Null and NaN values are left out. `extra` aggregates ride along per value.
@@ -57,7 +58,7 @@ def value_positions(df: DataFrame, col: str, by: list[str] = (), weight: str | N
     by = list(by)
     seen = df.where(F.col(col).isNotNull() & ~F.isnan(F.col(col).cast("double")))
     v = seen.groupBy(*by, col).agg((F.sum(weight) if weight else F.count("*")).alias("cnt"), *extra)
-    v = v.withColumn("_b", bucket_of(col, split_points(df, col)))
+    v = v.withColumn("_b", bucket_of(col, split_points(df, [col])[0] if splits is None else splits))
     within = Window.partitionBy(*by, "_b").orderBy(col).rowsBetween(Window.unboundedPreceding, -1)
     local = v.withColumn("_in", F.coalesce(F.sum("cnt").over(within), F.lit(0)))
     # At most BUCKETS + 1 rows per group from here on.
@@ -69,21 +70,41 @@ def value_positions(df: DataFrame, col: str, by: list[str] = (), weight: str | N
             .withColumn("before", F.col("_in") + F.col("_off")).drop("_in", "_off", "_b"))
 
 
-def with_rank(df: DataFrame, col: str, by: list[str] = (), *, descending: bool = False, prefix: str = "") -> DataFrame:
-    """Add `{prefix}rank` (ties share the lowest), `{prefix}avg_rank`, `{prefix}pct_rank`, `{prefix}n`.
+def with_ranks(df: DataFrame, specs: dict[str, tuple]) -> DataFrame:
+    """Several rankings at once: `specs` maps a prefix to (column, by, descending).
 
-    Rows with a null value keep null ranks.
+    Adds `{prefix}rank` (ties share the lowest), `{prefix}avg_rank`, `{prefix}pct_rank`
+    and `{prefix}n`; rows with a null value keep null ranks. Every rank table is made
+    from `df` itself, so the plan grows with the number of rankings only. Stage a
+    costly `df` first.
     """
-    by = list(by)
-    p = value_positions(df, col, by)
-    before = (F.col("total") - F.col("before") - F.col("cnt")) if descending else F.col("before")
-    ranks = p.select(
-        *by, F.col(col).alias("_v"),
-        (before + 1).alias(f"{prefix}rank"),
-        (before + (F.col("cnt") + 1) / 2).alias(f"{prefix}avg_rank"),
-        F.when(F.col("total") > 1, before / (F.col("total") - 1)).otherwise(F.lit(0.0)).alias(f"{prefix}pct_rank"),
-        F.col("total").alias(f"{prefix}n"))
-    return join_on(df.withColumn("_v", F.col(col)), ranks, by + ["_v"], "left").drop("_v")
+    cols = list(dict.fromkeys(col for col, _, _ in specs.values()))
+    cuts = dict(zip(cols, split_points(df, cols)))
+    out = df
+    for prefix, (col, by, descending) in specs.items():
+        by = list(by)
+        p = value_positions(df, col, by, splits=cuts[col])
+        before = (F.col("total") - F.col("before") - F.col("cnt")) if descending else F.col("before")
+        ranks = p.select(
+            *by, F.col(col).alias("_v"),
+            (before + 1).alias(f"{prefix}rank"),
+            (before + (F.col("cnt") + 1) / 2).alias(f"{prefix}avg_rank"),
+            F.when(F.col("total") > 1, before / F.nullif(F.col("total") - 1, F.lit(0))).otherwise(F.lit(0.0)).alias(f"{prefix}pct_rank"),
+            F.col("total").alias(f"{prefix}n"))
+        out = join_on(out.withColumn("_v", F.col(col)), ranks, by + ["_v"], "left").drop("_v")
+    return out
+
+
+def with_rank(df: DataFrame, col: str, by: list[str] = (), *, descending: bool = False, prefix: str = "") -> DataFrame:
+    """One ranking, see `with_ranks`."""
+    return with_ranks(df, {prefix: (col, by, descending)})
+
+
+def average_ranks(df: DataFrame, cols: list[str], by: list[str] = ()) -> DataFrame:
+    """`df` with the columns replaced by their average ranks."""
+    d = with_ranks(df, {f"_{c}__": (c, by, False) for c in cols})
+    keep = [c for c in df.columns if c not in cols]
+    return d.select(*keep, *[F.col(f"_{c}__avg_rank").alias(c) for c in cols])
 
 
 def row_numbers(df: DataFrame, by: list[str], order: list, name: str = "rn", limit: int | None = None) -> DataFrame:

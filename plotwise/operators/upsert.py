@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -55,8 +55,9 @@ def insert_missing(existing: DataFrame, rows: DataFrame, keys: list[str]) -> Dat
 
 def change_history(df: DataFrame, key: str, ts: str, order: list[str], fields: list[str]) -> DataFrame:
     """Old and new value per changed field, one row each; the first sighting gives no row."""
-    w = Window.partitionBy(key).orderBy(*order)
-    d = df.withColumns({f"_p_{f}": F.lag(F.col(f)).over(w) for f in fields}).withColumn("_k", F.row_number().over(w)).where("_k > 1")
-    entries = F.array(*[F.when(~F.col(f).eqNullSafe(F.col(f"_p_{f}")), F.struct(
-        F.lit(f).alias("field"), F.col(f"_p_{f}").cast("string").alias("old"), F.col(f).cast("string").alias("new"))) for f in fields])
+    from plotwise.operators.relational import lag_by_time
+
+    d = lag_by_time(df, key, ts, order, fields).where(~F.col("is_first"))
+    entries = F.array(*[F.when(~F.col(f).eqNullSafe(F.col(f"prev_{f}")), F.struct(
+        F.lit(f).alias("field"), F.col(f"prev_{f}").cast("string").alias("old"), F.col(f).cast("string").alias("new"))) for f in fields])
     return d.select(key, ts, F.explode(F.array_compact(entries)).alias("e")).select(key, ts, "e.field", "e.old", "e.new")

@@ -87,12 +87,17 @@ def main():
     for key in q:
         if pats and not any(p in key for p in pats):
             continue
+        import threading
+        stop = threading.Timer(float(os.environ.get("LIMIT", "90")), lambda k=key: (print(f"TIME  {k}", flush=True), spark.sparkContext.cancelAllJobs()))
+        hard = threading.Timer(2 * float(os.environ.get("LIMIT", "90")), lambda k=key: (print(f"HANG  {k}", flush=True), os._exit(3)))
+        stop.start(), hard.start()
         try:
             st, info, _ = compare(spark, con, key, q[key], o.get(key), sf_dir)
         except Exception as ex:
             st, info = "ERR", "".join(traceback.format_exception_only(ex))[:700]
             if os.environ.get("TB"):
                 traceback.print_exc()
+        stop.cancel(), hard.cancel()
         tally[st] = tally.get(st, 0) + 1
         print(f"{st:5} {key}: {info}", flush=True)
     print(tally)
