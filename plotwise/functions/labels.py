@@ -100,6 +100,11 @@ def clip(x: Column, lo: float = 0.0, hi: float = 5.0) -> Column:
     return F.when(x.isNotNull(), F.least(F.lit(float(hi)), F.greatest(F.lit(float(lo)), x)))
 
 
+def half_up(x: Column, digits: int = 2) -> Column:
+    """Round halves away from zero on the decimal value, as numeric columns do."""
+    return F.round(x.cast("decimal(28,10)"), digits).cast("double")
+
+
 def inverted(x: Column, top: float = 5.0) -> Column:
     return F.lit(top) - x
 
@@ -139,4 +144,4 @@ def condition_factor(comp_state: Column, subj_state: Column, comp_area: Column,
     factor = lookup(CONDITION_FACTORS, diff, 1.0)
     ratio = F.when((comp_area != 0) & (subj_area > 0), comp_area / subj_area)
     tweak = F.when(ratio > 1.15, 0.95).when(ratio < 0.85, 1.05).otherwise(1.0)
-    return F.round(factor * tweak, 2)
+    return half_up(factor * tweak, 2)

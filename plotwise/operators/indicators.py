@@ -76,7 +76,7 @@ def weighted_final(df: DataFrame, weights: dict[str, float], by: str, out: str)
 def station_access(points: DataFrame, stations: DataFrame, fid: str, out: str = "access") -> DataFrame:
     """clip(5 - metres to the nearest station / 500), two decimals."""
     near = geo.nearest(points, geo.as_features(stations.select(fid, "lon", "lat")), 1, fid=fid)
-    score = F.round(lb.clip(5 - F.col("dist") / 500.0), 2)
+    score = lb.half_up(lb.clip(5 - F.col("dist") / 500.0))
     return join_on(points, near.select("lon", "lat", score.alias(out)), ["lon", "lat"], "left")
 
 
@@ -127,7 +127,7 @@ def security_three_dims(micro: DataFrame, zone_scores: DataFrame, key: str, prof
 
 def zone_security(mass: Column) -> Column:
     """5 (1 - crime mass), half where the zone has none; two decimals."""
-    return F.round(lb.clip(5 * (1 - F.coalesce(mass, F.lit(0.5)))), 2)
+    return lb.half_up(lb.clip(5 * (1 - F.coalesce(mass, F.lit(0.5)))))
 
 
 # ------------------------------------------------------------------ services
@@ -173,7 +173,7 @@ def class_counts(points: DataFrame, pois: DataFrame, groups: dict = CLASS_GROUPS
 
 def profile_services(counts: DataFrame, profiles: dict[str, dict[str, float]] = PROFILES) -> DataFrame:
     """One row per point and weight profile: weighted mean of min(5, count)."""
-    score = lambda w: F.round(_add([F.least(F.lit(5.0), F.col(f"n_{g}").cast("double")) * x for g, x in w.items()]) / sum(w.values()), 2)
+    score = lambda w: lb.half_up(_add([F.least(F.lit(5.0), F.col(f"n_{g}").cast("double")) * x for g, x in w.items()]) / sum(w.values()))
     rows = F.array(*[F.struct(F.lit(p).alias("profile"), score(w).alias("score")) for p, w in profiles.items()])
     return counts.withColumn("_e", F.explode(rows)).select("*", "_e.profile", "_e.score").drop("_e")
 
@@ -254,23 +254,23 @@ def composite(mode: str = "five", weights: dict[str, float] | None = None, least
     below `least` of them. neutral: table weights, missing = 2.5, three decimals.
     """
     if mode == "five":
-        return F.round(_add([F.coalesce(F.col(c), F.lit(0.0)) * 0.20 for c in FIVE]), 2)
+        return lb.half_up(_add([F.coalesce(F.col(c), F.lit(0.0)) for c in FIVE]) * 0.20)
     if mode == "skip":
         w = weights or COMPOSITE_FOUR
         n = _add([F.when(F.col(c).isNotNull(), 1).otherwise(0) for c in w])
         num = _add([F.coalesce(F.col(c) * x, F.lit(0.0)) for c, x in w.items()])
         den = _add([F.when(F.col(c).isNotNull(), F.lit(x)).otherwise(0.0) for c, x in w.items()])
-        return F.when((n >= least) & (den > 0), lb.clip(F.round(num / F.nullif(den, F.lit(0.0)), 2)))
+        return F.when((n >= least) & (den > 0), lb.clip(lb.half_up(num / F.nullif(den, F.lit(0.0)))))
     if mode in ("neutral", "unit"):
         w = weights or {c: 1.0 for c in FIVE}
         miss = 2.5 if mode == "neutral" else 0.0
-        return F.round(_add([F.coalesce(F.col(c), F.lit(miss)) * x for c, x in w.items()]) / sum(w.values()), 3)
+        return lb.half_up(_add([F.coalesce(F.col(c), F.lit(miss)) * x for c, x in w.items()]) / sum(w.values()), 3)
     raise ValueError(mode)
 
 
 def price_per_point(price: str = "price", index: str = "composite") -> Column:
     ok = (F.col(index) > 0) & (F.col(price) > 0)
-    return F.when(ok, F.round(F.col(price) / F.nullif(F.col(index), F.lit(0.0)), 2))
+    return F.when(ok, lb.half_up(F.col(price) / F.nullif(F.col(index), F.lit(0.0))))
 
 
 def opportunity_class(index: Column, pct: Column) -> Column:
@@ -284,8 +284,8 @@ def opportunity_table(df: DataFrame, by: str = "kind") -> DataFrame:
     d = df.withColumn("ratio", price_per_point()).where(F.col("ratio").isNotNull())
     d = with_ranks(d, {"a_": ("ratio", [], False), "k_": ("ratio", [by], False)})
     return d.withColumns({
-        "pct_ratio": F.round(F.col("a_pct_rank") * 100, 1), "pct_ratio_kind": F.round(F.col("k_pct_rank") * 100, 1),
-        "price_m2": F.round(F.try_divide(F.col("price").cast("double"), F.nullif(F.col("area"), F.lit(0.0)))),
+        "pct_ratio": lb.half_up(F.col("a_pct_rank") * 100, 1), "pct_ratio_kind": lb.half_up(F.col("k_pct_rank") * 100, 1),
+        "price_m2": lb.half_up(F.try_divide(F.col("price").cast("double"), F.nullif(F.col("area"), F.lit(0.0))), 0),
         "class": opportunity_class(F.col("composite"), F.col("a_pct_rank")),
     }).drop(*[f"{p}_{x}" for p in "ak" for x in ("rank", "avg_rank", "pct_rank", "n")])
 
@@ -302,12 +302,12 @@ def propagate_zone_scores(points: DataFrame, barrios: DataFrame, zones: DataFram
 def point_study(points: DataFrame, stations: DataFrame, listings: DataFrame, layers: DataFrame) -> DataFrame:
     """Indices at arbitrary coordinates: stop gravity, neighbour means, zoning, composite."""
     g = gravity_scores(points, stations, "layer", {"sitp": 800, "transmilenio": 1500})
-    g = g.withColumn("access", F.round(F.col("g_sitp") + F.col("g_transmilenio"), 2)).drop("g_sitp", "g_transmilenio", "n_sitp", "n_transmilenio")
+    g = g.withColumn("access", lb.half_up(F.col("g_sitp") + F.col("g_transmilenio"))).drop("g_sitp", "g_transmilenio", "n_sitp", "n_transmilenio")
     g = geo.neighbour_average(g, listings, "security", 1000.0, "security", 3.0)
     g = geo.neighbour_average(g, listings, "dwelling", 500.0, "dwelling", 3.0)
-    g = zoning_potential(g.withColumns({"security": F.round("security", 2), "dwelling": F.round("dwelling", 2)}), layers)
+    g = zoning_potential(g.withColumns({"security": lb.half_up(F.col("security")), "dwelling": lb.half_up(F.col("dwelling"))}), layers)
     known = F.col("z_treatment").isNotNull() & F.col("z_buildability").isNotNull() & F.col("z_activity").isNotNull()
-    g = g.withColumn("zoning", F.when(known, F.round("zoning", 2))).drop("z_treatment", "z_buildability", "z_activity")
+    g = g.withColumn("zoning", F.when(known, lb.half_up(F.col("zoning")))).drop("z_treatment", "z_buildability", "z_activity")
     return g.withColumn("composite", composite("skip", COMPOSITE_FOUR, 1))
 
 
@@ -331,9 +331,9 @@ def study_valuation(studies: DataFrame, listings: DataFrame, most: int = 50) ->
     j = s.join(l, ["kind", "rooms", "_b"]).where(F.col("_a").between(F.col("area") * 0.8, F.col("area") * 1.2))
     w = Window.partitionBy("kind", "rooms", "area").orderBy("id")
     j = j.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= most)
-    est = j.groupBy("kind", "rooms", "area").agg(F.avg(F.col("price") / F.col("_a")).alias("price_m2"), F.count("*").alias("similar"))
+    est = j.groupBy("kind", "rooms", "area").agg(F.avg(F.col("price") / F.col("_a")).alias("price_m2"), F.count("*").alias("n_similar"))
     out = studies.join(est, ["kind", "rooms", "area"], "left")
-    return out.withColumn("estimate", F.round(F.col("price_m2") * F.col("area")).cast("bigint")).fillna(0, ["similar"])
+    return out.withColumn("estimate", lb.half_up(F.col("price_m2") * F.col("area"), 0).cast("bigint")).fillna(0, ["n_similar"])
 
 
 def market_comparison(studies: DataFrame, table: DataFrame, half_width: float = 0.5) -> DataFrame:

@@ -49,25 +49,27 @@ def join_on(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner") ->
     return a.join(r, cond, how).drop(*[f"__{k}" for k in keys])
 
 
-def value_positions(df: DataFrame, col: str, by: list[str] = (), weight: str | None = None,
-                    extra: list[Column] = (), splits: list[float] | None = None) -> DataFrame:
+def value_positions(df: DataFrame, col: str, by: list[str] = (), counts: dict[str, Column] | None = None,
+                    splits: list[float] | None = None) -> DataFrame:
     """One row per (by, value): `cnt` rows hold it, `before` rows are smaller, `total` in the group.
 
-    Null and NaN values are left out. `extra` aggregates ride along per value.
+    Null and NaN values are left out. `counts` names further counters to cumulate
+    side by side: {"a": agg} gives cnta, beforea, totala.
     """
-    by = list(by)
+    by, counts = list(by), counts or {"": F.count("*")}
     seen = df.where(F.col(col).isNotNull() & ~F.isnan(F.col(col).cast("double")))
-    v = seen.groupBy(*by, col).agg((F.sum(weight) if weight else F.count("*")).alias("cnt"), *extra)
+    v = seen.groupBy(*by, col).agg(*[e.alias(f"cnt{k}") for k, e in counts.items()])
     v = v.withColumn("_b", bucket_of(col, split_points(df, [col])[0] if splits is None else splits))
     within = Window.partitionBy(*by, "_b").orderBy(col).rowsBetween(Window.unboundedPreceding, -1)
-    local = v.withColumn("_in", F.coalesce(F.sum("cnt").over(within), F.lit(0)))
-    # At most BUCKETS + 1 rows per group from here on.
-    cells = v.groupBy(*by, "_b").agg(F.sum("cnt").alias("_c"))
+    local = v.withColumns({f"_in{k}": F.coalesce(F.sum(f"cnt{k}").over(within), F.lit(0)) for k in counts})
+    # At most BUCKETS rows per group from here on.
+    cells = v.groupBy(*by, "_b").agg(*[F.sum(f"cnt{k}").alias(f"_c{k}") for k in counts])
     across = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.select(*by, "_b", F.coalesce(F.sum("_c").over(across), F.lit(0)).alias("_off"),
-                         F.sum("_c").over(Window.partitionBy(*by)).alias("total"))
-    return (join_on(local, cells, by + ["_b"])
-            .withColumn("before", F.col("_in") + F.col("_off")).drop("_in", "_off", "_b"))
+    cells = cells.select(*by, "_b", *[e for k in counts for e in (
+        F.coalesce(F.sum(f"_c{k}").over(across), F.lit(0)).alias(f"_off{k}"), F.sum(f"_c{k}").over(Window.partitionBy(*by)).alias(f"total{k}"))])
+    out = join_on(local, cells, by + ["_b"])
+    return out.withColumns({f"before{k}": F.col(f"_in{k}") + F.col(f"_off{k}") for k in counts}).drop(
+        "_b", *[f"{x}{k}" for k in counts for x in ("_in", "_off")])
 
 
 def with_ranks(df: DataFrame, specs: dict[str, tuple]) -> DataFrame:

@@ -339,7 +339,7 @@ def _(v):
     return latest_per_key(v.table("events").select("user_id", "event_id", "event_type", "ts"), ["user_id"], F.struct("ts", "event_id")).drop("ts")
 
 
-@query("win_8_price_history", """SELECT key, epoch(ts)::BIGINT AS at, price, prev, round((price-prev)*100.0/prev, 6) AS change_pct FROM (SELECT key, ts, price, lag(price) OVER (PARTITION BY key ORDER BY ts, s1, s2, s3, s4, s5) AS prev FROM scrape)""")
+@query("win_8_price_history", """SELECT key, CAST(floor(epoch(ts)) AS BIGINT) AS at, price, prev, round((price-prev)*100.0/prev, 6) AS change_pct FROM (SELECT key, ts, price, lag(price) OVER (PARTITION BY key ORDER BY ts, s1, s2, s3, s4, s5) AS prev FROM scrape)""")
 def _(v):
     d = rel.lag_by_time(v.scrape, "key", "ts", ["seq"], ["price"])
     return d.select("key", F.unix_seconds("ts").alias("at"), "price", c("prev_price").alias("prev"),
@@ -428,9 +428,9 @@ def _(v):
     return rel.weighted_best(d, {"access": 0.5, "security": 0.3, "services": 0.2}, c("zone_id") == 7, 15).select("id", r6("weighted"))
 
 
-@query("top_7_activity_feed", """SELECT type, epoch(at)::BIGINT AS at, detail FROM (SELECT 'event' AS type, ts AS at, concat('{"event_id":', event_id, ',"event_type":"', event_type, '"}') AS detail FROM events
+@query("top_7_activity_feed", """SELECT type, CAST(floor(epoch("at")) AS BIGINT) AS "at", detail FROM (SELECT 'event' AS type, ts AS "at", concat('{"event_id":', event_id, ',"event_type":"', event_type, '"}') AS detail FROM events
   UNION ALL SELECT 'listing', listed, concat('{"id":', id, ',"kind":"', kind, '"}') FROM listing UNION ALL SELECT 'scrape', ts, concat('{"key":"', key, '","price":', price, '}') FROM scrape
-  UNION ALL SELECT 'turn', ts, concat('{"conv_id":', conv_id, ',"turn":', turn, '}') FROM turns) t ORDER BY t.at DESC, type, detail LIMIT 50""")
+  UNION ALL SELECT 'turn', ts, concat('{"conv_id":', conv_id, ',"turn":', turn, '}') FROM turns) t ORDER BY t."at" DESC, type, detail LIMIT 50""")
 def _(v):
     return rel.activity_feed({"event": (v.table("events"), "ts", ["event_id", "event_type"]), "listing": (v.listing, "listed", ["id", "kind"]),
                               "scrape": (v.scrape, "ts", ["key", "price"]), "turn": (v.turns, "ts", ["conv_id", "turn"])}).withColumn("at", F.unix_seconds("at"))

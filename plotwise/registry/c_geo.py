@@ -126,13 +126,13 @@ def _(v):
     return row_numbers(p, ["study_id", "category"], ["dist", "poi_id"], limit=10).select("study_id", "category", "poi_id", "dist")
 
 
-@query("rng_5_neighbour_average", f"""SELECT a.study_id, round(coalesce(avg(s.security), 3.0), 6) AS security, round(any_value(coalesce(h.d, 3.0)), 6) AS dwelling FROM study a LEFT JOIN scored s ON
+@query("rng_5_neighbour_average", f"""SELECT a.study_id, round(coalesce(avg(s.security), 3.0), 9) AS security, round(any_value(coalesce(h.d, 3.0)), 9) AS dwelling FROM study a LEFT JOIN scored s ON
   s.lat BETWEEN a.lat-0.0095 AND a.lat+0.0095 AND s.lon BETWEEN a.lon-0.0095 AND a.lon+0.0095 AND {sql_haversine('a', 's')} <= 1000 AND s.security IS NOT NULL
   LEFT JOIN (SELECT a.study_id, avg(b.dwelling) AS d FROM study a JOIN scored b ON {BOX(500)} WHERE {HAV} <= 500 GROUP BY 1) h ON h.study_id=a.study_id GROUP BY a.study_id""")
 def _(v):
     d = geo.neighbour_average(v.study.select("study_id", "lon", "lat"), v.scored, "security", 1000.0, "security", 3.0)
     d = geo.neighbour_average(d, v.scored, "dwelling", 500.0, "dwelling", 3.0)
-    return d.select("study_id", F.round("security", 6).alias("security"), F.round("dwelling", 6).alias("dwelling"))
+    return d.select("study_id", F.round("security", 9).alias("security"), F.round("dwelling", 9).alias("dwelling"))
 
 
 @query("knn_1_nearest_station", f"SELECT a.id, b.station_id, round({HAV}, 3) AS dist FROM listing a JOIN station b ON true WHERE a.lon IS NOT NULL QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY round({HAV},3), station_id)=1")

@@ -15,6 +15,8 @@ from plotwise.registry.core import query
 c = F.col
 R = lambda n, d=6: F.round(c(n), d).alias(n)
 _r = lambda x, d=6: f"round({x}, {d})"
+# Through text, so the engine rounds the shortest decimal form as Spark does.
+dec2s = lambda x: f"CAST(round(CAST(CAST({x} AS VARCHAR) AS DECIMAL(28,10)), 2) AS DOUBLE)"
 dec2 = lambda x: f"CAST(round(CAST({x} AS DECIMAL(24,10)), 2) AS DOUBLE)"
 
 
@@ -56,7 +58,7 @@ def _(v):
 
 
 _NEAR = f"SELECT a.id, min(round({HAV},3)) AS d FROM listing a JOIN station b ON b.layer='transmilenio' WHERE a.lon IS NOT NULL GROUP BY 1"
-ACCESS_SQL = dec2("least(5.0e0, greatest(0.0e0, 5-d/500))")
+ACCESS_SQL = dec2("CASE WHEN d IS NOT NULL THEN least(5.0e0, greatest(0.0e0, 5-d/500)) END")
 
 
 @query("ind_4_station_access", f"SELECT id, {ACCESS_SQL} AS access FROM listing LEFT JOIN ({_NEAR}) USING (id)")
@@ -251,15 +253,14 @@ def skip_sql(w):
 _unit = lambda m: "CAST(round(CAST((" + "+".join(f"coalesce({k}, {m}e0)" for k in ind.FIVE) + ")/5.0e0 AS DECIMAL(24,10)), 3) AS DOUBLE)"
 
 
-@query("ind_22_composite_variants", f"""SELECT id, composite AS five, {skip_sql(ind.COMPOSITE_FOUR)} AS skip, {_unit(2.5)} AS neutral, {_unit(0.0)} AS unit,
+@query("ind_22_composite_variants", f"""SELECT id, {dec2('('+"+".join(f"coalesce({k},0)" for k in ind.FIVE)+')*0.20e0')} AS five, {skip_sql(ind.COMPOSITE_FOUR)} AS skip, {_unit(2.5)} AS neutral, {_unit(0.0)} AS unit,
   {', '.join(f'{skip_sql(w)} AS {p}' for p, w in ind.COMPOSITE_PRESETS.items())} FROM scored""")
 def _(v):
-    # The sums are rounded at the tenth decimal first, so halves round the same way everywhere.
     return v.scored.select("id", ind.composite().alias("five"), ind.composite("skip").alias("skip"), ind.composite("neutral").alias("neutral"),
                            ind.composite("unit").alias("unit"), *[ind.composite("skip", w).alias(p) for p, w in ind.COMPOSITE_PRESETS.items()])
 
 
-@query("ind_23_price_per_point", f"SELECT id, CASE WHEN composite > 0 AND price > 0 THEN {dec2('price/composite')} END AS ratio, round(composite/(price/1000000), 6) AS index_per_million FROM scored")
+@query("ind_23_price_per_point", f"SELECT id, CASE WHEN composite > 0 AND price > 0 THEN {dec2s('price/composite')} END AS ratio, round(composite/(price/1000000), 6) AS index_per_million FROM scored")
 def _(v):
     return v.scored.select("id", ind.price_per_point().alias("ratio"), F.round(c("composite") / (c("price") / 1_000_000), 6).alias("index_per_million"))
 
@@ -278,7 +279,7 @@ def chain(v):
     return recompute_indices(v.listing, stations=v.station.where("layer = 'transmilenio'"), pois=v.poi, zones=zone_mass(v), layers=v.pot)
 
 
-@query("ind_24_opportunity_table", f"""{chain_sql()}, r AS (SELECT *, {dec2('price/composite')} AS ratio FROM cx WHERE composite > 0), p AS (SELECT *, percent_rank() OVER (ORDER BY ratio) AS p, percent_rank() OVER (PARTITION BY kind ORDER BY ratio) AS pk FROM r)
+@query("ind_24_opportunity_table", f"""{chain_sql()}, r AS (SELECT *, {dec2s('price/composite')} AS ratio FROM cx WHERE composite > 0), p AS (SELECT *, percent_rank() OVER (ORDER BY ratio) AS p, percent_rank() OVER (PARTITION BY kind ORDER BY ratio) AS pk FROM r)
   SELECT id, kind, composite, ratio, CAST(round(CAST(p*100 AS DECIMAL(18,9)), 1) AS DOUBLE) AS pct_ratio, CAST(round(CAST(pk*100 AS DECIMAL(18,9)), 1) AS DOUBLE) AS pct_ratio_kind, CAST(round(CAST(price/nullif(area,0) AS DECIMAL(24,9)), 0) AS DOUBLE) AS price_m2, {OPP_SQL} AS class FROM p""")
 def _(v):
     from plotwise.session import stage
@@ -318,14 +319,14 @@ def _(v):
 
 @query("ind_27_study_valuation", f"""su AS (SELECT study_id, kind, area, rooms, (study_id%500)/100.0e0 AS composite FROM study),
   si AS (SELECT a.study_id, b.price/b.area AS x, row_number() OVER (PARTITION BY a.study_id ORDER BY b.id) AS rn, a.area FROM su a JOIN scored b ON a.kind=b.kind AND a.rooms=b.rooms AND b.area BETWEEN a.area*0.8e0 AND a.area*1.2e0),
-  es AS (SELECT study_id, avg(x)*any_value(area) AS e, count(*) AS similar FROM si WHERE rn <= 50 GROUP BY 1),
+  es AS (SELECT study_id, avg(x)*any_value(area) AS e, count(*) AS n_similar FROM si WHERE rn <= 50 GROUP BY 1),
   mk AS (SELECT a.study_id, count(*) AS n_market, round(avg(b.price), 2) AS market_price FROM su a JOIN scored b ON a.kind=b.kind AND b.composite BETWEEN a.composite-0.5e0 AND a.composite+0.5e0 AND b.composite > 0 GROUP BY 1)
-  SELECT study_id, coalesce(similar, 0) AS similar, CAST(round(CAST(e AS DECIMAL(24,6))) AS BIGINT) AS estimate, coalesce(n_market, 0) AS n_market, market_price FROM su LEFT JOIN es USING (study_id) LEFT JOIN mk USING (study_id)""")
+  SELECT study_id, coalesce(n_similar, 0) AS n_similar, CAST(round(CAST(e AS DECIMAL(24,6))) AS BIGINT) AS estimate, coalesce(n_market, 0) AS n_market, market_price FROM su LEFT JOIN es USING (study_id) LEFT JOIN mk USING (study_id)""")
 def _(v):
     s = v.study.withColumn("composite", (c("study_id") % 500) / 100.0)
     s = ind.study_valuation(s, v.scored)
     t = v.scored.where("composite > 0").withColumn("ratio", ind.price_per_point())
-    return ind.market_comparison(s, t).select("study_id", "similar", "estimate", "n_market", F.round("market_price", 2).alias("market_price"))
+    return ind.market_comparison(s, t).select("study_id", "n_similar", "estimate", "n_market", F.round("market_price", 2).alias("market_price"))
 
 
 _LAY = ["parque", "colegio", "ips", "supermercado", "teatro"]
