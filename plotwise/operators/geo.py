@@ -135,37 +135,45 @@ def neighbour_average(points: DataFrame, features: DataFrame, col: str, radius:
 # ------------------------------------------------------------------ nearest
 
 
-def _blocks(cells: DataFrame, names: list[str], levels: int, by: list[str]) -> DataFrame:
+def _coarse(name: str, levels: int, base: int) -> Column:
+    """Cell at level `_lv`; the top level is one cell that holds everything."""
+    return F.when(F.col("_lv") >= levels - 1, F.lit(0)).otherwise(F.floor(F.col(name) / F.pow(F.lit(base), F.col("_lv")))).cast("long")
+
+
+def _blocks(cells: DataFrame, names: list[str], levels: int, by: list[str], base: int) -> DataFrame:
     """Number of features in the 3-wide block around each cell, for every level."""
     lv = cells.withColumn("_lv", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))))
-    lv = lv.select(*by, "_lv", *[F.floor(F.col(n) / F.pow(F.lit(2), "_lv")).alias(n) for n in names], "_n")
+    lv = lv.select(*by, "_lv", *[_coarse(n, levels, base).alias(n) for n in names], "_n")
     lv = lv.groupBy(*by, "_lv", *names).agg(F.sum("_n").alias("_n"))
     return spread(lv, names).groupBy(*by, "_lv", *names).agg(F.sum("_n").alias("_n"))
 
 
 def grid_nearest(points: DataFrame, features: DataFrame, k: int, *, pcell: list[Column], fcell: list[Column],
                  dist: Column, levels: int, level_for, ident: list[str], order: list, by: list[str] = (),
-                 where: Column | None = None, within: float | None = None) -> DataFrame:
+                 where: Column | None = None, within: float | None = None, spare: int | None = None, base: int = 2) -> DataFrame:
     """Exact k nearest features per point with a pyramid of grids.
 
-    `pcell`/`fcell` are finest-level integer cells. Level `l` has cells 2**l as
-    wide; `level_for(dist)` names the first level whose 3-wide block surely holds
+    `pcell`/`fcell` are finest-level integer cells. Level `l` has cells base**l as
+    wide and the top level is a single cell, so nothing is out of reach;
+    `level_for(dist)` names the first level whose 3-wide block surely holds
     everything within `dist`. Each point first looks in the smallest block with
     at least k features, which bounds its k-th distance, and then in the block
     that bound asks for. `ident` identifies a point; `order` ranks candidates;
-    `where` drops pairs (such as a point with itself); `within` caps the search
-    distance, and the top level must cover it.
+    `where` drops pairs (such as a point with itself); `within` caps the distance
+    of an answer. With a selective `where`, a larger
+    `spare` (candidates wanted in the first block) makes the first look succeed
+    more often; points it fails for search the whole of the top level.
     """
     by = list(by)
     names = [f"_c{i}" for i in range(len(pcell))]
     p = points.withColumns(dict(zip(names, pcell)))
     f = features.withColumns({n: c for n, c in zip(names, fcell)})
-    spare = k + (1 if where is not None else 0)
+    spare = spare or k + (1 if where is not None else 0)
     counts = f.groupBy(*by, *names).agg(F.count("*").alias("_n"))
-    blocks = _blocks(counts, names, levels, by)
+    blocks = _blocks(counts, names, levels, by, base)
     # Level per occupied finest cell, not per point.
     pc = p.select(*by, *names).distinct().withColumn("_lv", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))))
-    up = lambda n: F.floor(F.col(n) / F.pow(F.lit(2), F.col("_lv")))
+    up = lambda n: _coarse(n, levels, base)
     look = pc.select(*by, "_lv", *[F.col(n).alias(f"{n}f") for n in names], *[up(n).alias(n) for n in names])
     start = (look.join(blocks, by + ["_lv"] + names).where(F.col("_n") >= spare)
              .groupBy(*by, *[f"{n}f" for n in names]).agg(F.min("_lv").alias("_lv"))
@@ -193,7 +201,7 @@ def grid_nearest(points: DataFrame, features: DataFrame, k: int, *, pcell: list[
 
 
 def nearest(points: DataFrame, features: DataFrame, k: int = 1, *, fid: str, by: list[str] = (), finest_m: float = 50.0,
-            levels: int = 20, max_lat: float = MAX_LAT, exclude_self: str | None = None, within: float | None = None) -> DataFrame:
+            levels: int = 13, max_lat: float = MAX_LAT, exclude_self: str | None = None, within: float | None = None) -> DataFrame:
     """k nearest features (great-circle) for each distinct location of `points`, ties by `fid`.
 
     `points` needs lon/lat, `features` flon/flat and `fid`. With `exclude_self`

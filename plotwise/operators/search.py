@@ -40,3 +40,191 @@ def merge_previous(turns: DataFrame, session: list[str], order: str, text: str)
     refine = tx.is_refinement(q)
     merged = F.when(refine & (F.size(bits) > 0), F.concat(q, F.lit(" (filtros previos: "), F.array_join(bits, "; "), F.lit(")"))).otherwise(q)
     return d.withColumns({"refine": refine, "merged": merged}).drop("_k", "_c", "_hi", "_lo", "_ix", "_kp", "_cp", "_hip", "_lop", "_ixp")
+
+
+# ------------------------------------------------------------ ranked search
+
+# Score weights, walking-hit wording.
+SCORE_WEIGHTS = {"index": 0.45, "proximity": 0.40, "anchor": 0.15}
+INTENT = ("intent string, text string, kinds array<string>, categories array<string>, max_m int, price_min bigint, price_max bigint, area_min double, area_max double, "
+          "rooms_min int, baths_min int, locality string, composite_min double, access_min double, security_min double, dwelling_min double, services_min double, "
+          "zoning_min double, amenities array<string>, anchor_lon double, anchor_lat double, anchor_m int")
+FLOORS = ["composite", "access", "security", "dwelling", "services", "zoning"]
+
+
+def intents_of(log: DataFrame, qid: str, text: str, default_m: int = 600) -> DataFrame:
+    """Parsed queries in the shape the ranked search reads."""
+    p = parse_queries(log, qid, text).join(log.select(qid, F.trim(F.col(text)).alias("text")), qid)
+    p = p.withColumns({"intent": F.col(qid).cast("string"), "max_m": F.coalesce("max_m", F.lit(default_m)), "anchor_lon": F.lit(None).cast("double"),
+                       "anchor_lat": F.lit(None).cast("double"), "anchor_m": F.coalesce("max_m", F.lit(500))})
+    return p.select(*[c.split(" ")[0] for c in INTENT.replace(", ", "\n").split("\n")])
+
+
+def poi_distances(points: DataFrame, features: DataFrame, wanted: list[str]) -> DataFrame:
+    """Map of the nearest distance (whole metres) per requested category.
+
+    `features` has fid, category, lon, lat; a category is served by its members.
+    """
+    from plotwise.operators.indicators import nearest_layer_distances
+
+    parts = None
+    for cat in wanted:
+        one = features.where(F.col("category").isin(tx.CATEGORY_MEMBERS.get(cat, [cat]))).withColumn("_cat", F.lit(cat))
+        parts = one if parts is None else parts.unionByName(one)
+    d = nearest_layer_distances(points, parts, "_cat", wanted, "fid")
+    flat = [x for c in wanted for x in (F.lit(c), F.bround(F.col(f"d_{c}")).cast("int"))]
+    return d.withColumn("near", F.create_map(*flat)).drop(*[f"d_{c}" for c in wanted])
+
+
+def ranked_search(listings: DataFrame, features: DataFrame, intents: DataFrame, k: int = 20, most: int = 500) -> DataFrame:
+    """Best k listings per intent by index, closeness to the requested categories and to an anchor.
+
+    Intents are request parameters: their number is checked and they travel as
+    literals, so every listing is scored where it lies and only k rows per intent
+    and task are shuffled. Hard matches (every requested category within reach)
+    are preferred; an intent without any is answered with soft ones (`relaxed`).
+    `listings` needs kind, locality, amenities (array) and the scores.
+    """
+    rows = intents.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} intents; search them in portions")
+    wanted = sorted({c for r in rows for c in (r["categories"] or [])})
+    base = listings.where("lon is not null and lat is not null and composite is not null")
+    base = base.where(~(F.col("kind").isin("Casa", "Apartamento", "Apartaestudio") & (F.col("price") < 30_000_000)))
+    base = poi_distances(base, features, wanted) if wanted else base.withColumn("near", F.lit(None).cast("map<string,int>"))
+    lit = F.from_json(F.lit(_json([r.asDict() for r in rows])), f"array<struct<{', '.join(c.replace(' ', ':', 1) for c in INTENT.split(', '))}>>")
+    d = base.withColumn("q", F.explode(lit))
+    q = lambda n: F.col(f"q.{n}")
+    ok = (F.coalesce(F.size(q("kinds")), F.lit(0)) <= 0) | F.array_contains(q("kinds"), F.col("kind"))
+    for lo, col in (("price_min", "price"), ("area_min", "area"), ("rooms_min", "rooms"), ("baths_min", "baths"), *[(f"{f}_min", f) for f in FLOORS]):
+        ok = ok & (q(lo).isNull() | F.coalesce(F.col(col) >= q(lo), F.lit(False)))
+    for hi, col in (("price_max", "price"), ("area_max", "area")):
+        ok = ok & (q(hi).isNull() | F.coalesce(F.col(col) <= q(hi), F.lit(False)))
+    ok = ok & (q("locality").isNull() | (F.upper("locality") == q("locality")))
+    if "amenities" in listings.columns:
+        ok = ok & ((F.coalesce(F.size(q("amenities")), F.lit(0)) <= 0) | (F.size(F.array_except(q("amenities"), F.col("amenities"))) == 0))
+    from plotwise.functions.spatial import haversine
+
+    d = d.withColumn("d_anchor", F.when(q("anchor_lat").isNotNull(), F.bround(haversine("lon", "lat", q("anchor_lon"), q("anchor_lat"))).cast("int")))
+    d = d.where(ok & (q("anchor_lat").isNull() | (F.col("d_anchor") <= q("anchor_m"))))
+    reach = F.transform(q("categories"), lambda c: F.when(F.try_element_at(F.col("near"), c) <= q("max_m"), F.try_element_at(F.col("near"), c)))
+    d = d.withColumn("dists", reach).withColumn("n_req", F.coalesce(F.size(q("categories")), F.lit(0)))
+    close = F.aggregate("dists", F.lit(0.0), lambda a, x: a + F.coalesce(F.greatest(F.lit(0.0), 1 - x / q("max_m")), F.lit(0.0)))
+    score = F.col("composite") / 5.0 * SCORE_WEIGHTS["index"]
+    score = score + F.when(F.col("n_req") > 0, close / F.col("n_req") * SCORE_WEIGHTS["proximity"]).otherwise(0.0)
+    score = score + F.when(q("anchor_lat").isNotNull(), F.greatest(F.lit(0.0), 1 - F.col("d_anchor") / q("anchor_m")) * SCORE_WEIGHTS["anchor"]).otherwise(0.0)
+    hard = (F.col("n_req") == 0) | (F.size(F.array_compact("dists")) == F.col("n_req"))
+    d = d.withColumns({"intent": q("intent"), "score": F.round(score, 9), "hard": hard})
+    w = Window.partitionBy("intent").orderBy(F.desc("hard"), F.desc("score"), "id")
+    top = d.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k)
+    any_hard = F.max("hard").over(Window.partitionBy("intent"))
+    return top.withColumn("_any", any_hard).where(F.col("hard") | ~F.col("_any")).withColumn("relaxed", ~F.col("_any")).drop("_any", "near")
+
+
+def _json(rows):
+    import json
+
+    return json.dumps(rows, default=str)
+
+
+def explain_hits(hits: DataFrame) -> DataFrame:
+    """Human wording of why a listing matched, one string per hit."""
+    from plotwise.functions.labels import lookup, walking_minutes
+
+    q = lambda n: F.col(f"q.{n}")
+    filt = F.when((F.coalesce(F.size(q("kinds")), F.lit(0)) > 0) | q("area_min").isNotNull() | q("rooms_min").isNotNull(),
+                  F.concat_ws(" · ", F.col("kind"), F.concat(F.col("area").cast("int").cast("string"), F.lit(" m²")), F.concat(F.col("rooms").cast("string"), F.lit(" habs"))))
+    near = F.transform(F.arrays_zip(q("categories").alias("c"), F.col("dists").alias("d")), lambda e: F.when(e["d"].isNotNull(), F.concat(
+        F.lit("a "), e["d"].cast("string"), F.lit(" m del "), lookup(tx.CATEGORY_LABELS, e["c"]), F.lit(" más cercano · ~"), walking_minutes(e["d"]).cast("string"), F.lit(" min a pie"))))
+    index = F.concat(F.lit("IUG "), F.format_number("composite", 2), F.lit("/5"), F.when(q("security_min").isNotNull() & F.col("security").isNotNull(), F.concat(
+        F.lit(" · Seguridad "), F.format_number("security", 2))).otherwise(""))
+    return hits.withColumn("explanation", F.concat_ws(" | ", filt, F.array_join(F.array_compact(F.coalesce(near, F.array().cast("array<string>"))), " | "), index, F.col("locality")))
+
+
+def suggestions(intents: DataFrame, hits: DataFrame) -> DataFrame:
+    """Up to four ways to refine every intent, from its filters and its number of hits."""
+    n = hits.groupBy("intent").agg(F.count("*").alias("n"), F.min_by("locality", F.col("rn")).alias("top_locality"))
+    d = intents.join(n, "intent", "left").fillna(0, ["n"])
+    first = F.get("categories", 0)
+    low_kind = F.lower(F.get("kinds", 0))
+    alt = F.when(F.get("kinds", 0) == "Apartamento", "casa").otherwise("apartamento")
+    opts = F.array_compact(F.array(
+        F.when((F.col("n") < 3) & first.isNotNull(), F.concat(F.lit("Ampliar radio a "), F.least(F.col("max_m") + 500, F.lit(2500)).cast("string"), F.lit(" m"))),
+        F.when((F.col("n") >= 5) & F.col("composite_min").isNull(), F.lit("Solo zonas con buen IUG (≥ 3.5)")),
+        F.when(F.col("price_max").isNull() & F.col("price_min").isNull(), F.lit("Limitar presupuesto a 500M")),
+        F.when(F.col("locality").isNull() & F.col("top_locality").isNotNull(), F.concat(F.lit("Sólo en "), F.initcap("top_locality"))),
+        F.when(F.size("kinds") == 1, F.concat(F.lit("Comparar con "), alt, F.lit("s"))),
+        F.when(F.col("security_min").isNull() & ~F.lower("text").contains("seguridad"), F.lit("Priorizar zonas muy seguras"))))
+    opts = F.when(F.size(opts) == 0, F.array(F.lit("Ver más resultados similares"))).otherwise(F.slice(opts, 1, 4))
+    return d.select("intent", "n", F.array_join(opts, "|").alias("suggestions"))
+
+
+def near_any(listings: DataFrame, pois: DataFrame, categories: list[str], radius: float) -> DataFrame:
+    """Listings with a POI of one of the categories within the radius."""
+    from plotwise.operators import geo
+
+    f = geo.as_features(pois.where(F.col("category").isin(categories)).select("lon", "lat")).distinct()
+    hit = geo.radius_pairs(geo.locations(listings), f, radius).select("lon", "lat").distinct()
+    return listings.join(hit, ["lon", "lat"], "left_semi")
+
+
+# ------------------------------------------------------------------ vectors
+
+
+def cosine_topk(corpus: DataFrame, queries: DataFrame, vid: str, vec: str, k: int = 10, threshold: float = -1.0, chunk: int = 20_000) -> DataFrame:
+    """k most similar vectors of every query by cosine, above a threshold; a vector is not its own answer.
+
+    The corpus stays in place: every task keeps k rows per query of its batches,
+    and only those are merged. Queries travel to the tasks in portions of a
+    checked size, so a large query table takes more passes, not more memory.
+    """
+    import numpy as np
+    import pandas as pd
+
+    spark = corpus.sparkSession
+    total = queries.count()
+    parts = max(1, -(-total // chunk))
+    vt = dict(corpus.dtypes)[vid]
+    schema = f"qid {vt}, {vid} {vt}, similarity double"
+    out = None
+    for p in range(parts):
+        part = queries.where(F.pmod(F.xxhash64(vid), F.lit(parts)) == p) if parts > 1 else queries
+        rows = part.select(F.col(vid).alias("i"), F.col(vec).alias("v")).toPandas()
+        if rows.empty:
+            continue
+        Q = np.array(rows["v"].tolist(), dtype=float)
+        shared = spark.sparkContext.broadcast((rows["i"].to_numpy(), Q / np.maximum(np.linalg.norm(Q, axis=1, keepdims=True), 1e-300)))
+
+        def best(batches, shared=shared):
+            ids, Qn = shared.value
+            for pdf in batches:
+                if pdf.empty:
+                    continue
+                V = np.array(pdf[vec].tolist(), dtype=float)
+                V = V / np.maximum(np.linalg.norm(V, axis=1, keepdims=True), 1e-300)
+                own = pdf[vid].to_numpy()
+                S = np.round(Qn @ V.T, 9)
+                S[ids[:, None] == own[None, :]] = -2.0
+                m = min(k, len(own))
+                order = np.lexsort((np.broadcast_to(own, S.shape), -S), axis=1)[:, :m]
+                sim = np.take_along_axis(S, order, 1)
+                keep = sim >= max(threshold, -1.0)
+                r, c = np.nonzero(keep)
+                yield pd.DataFrame({"qid": ids[r], vid: own[order[r, c]], "similarity": sim[r, c]})
+
+        got = corpus.select(vid, vec).mapInPandas(best, schema)
+        out = got if out is None else out.unionByName(got)
+    w = Window.partitionBy("qid").orderBy(F.desc("similarity"), vid)
+    return out.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k)
+
+
+def centroids(vectors: DataFrame, label: str, vec: str) -> DataFrame:
+    """Mean vector per label."""
+    long = vectors.select(label, F.posexplode(vec).alias("pos", "x")).groupBy(label, "pos").agg(F.avg(F.col("x").cast("double")).alias("x"))
+    return long.groupBy(label).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda e: e["x"]).alias("centroid"))
+
+
+def cache_upkeep(uses: DataFrame, key: list[str], ts: str, now: Column, days: int = 7) -> DataFrame:
+    """Hits and last use per entry, and whether it stays."""
+    a = uses.groupBy(*key).agg(F.count("*").alias("hits"), F.max(ts).alias("last_used"))
+    return a.withColumn("keep", F.col("last_used") >= now - F.make_interval(days=F.lit(days)))

@@ -144,7 +144,7 @@ def _(v):
 @query("knn_2_k_nearest_in_radius", f"SELECT a.id, b.poi_id, round({HAV}, 3) AS dist, row_number() OVER (PARTITION BY a.id ORDER BY round({HAV},3), poi_id) AS rn FROM listing a JOIN poi b ON {BOX(1500)} WHERE {HAV} <= 1500 QUALIFY rn <= 10")
 def _(v):
     f = geo.as_features(v.poi.select("poi_id", "lon", "lat"))
-    near = geo.nearest(v.listing, f, 10, fid="poi_id", within=1500.0, levels=6).select("lon", "lat", "poi_id", "dist", c("rn").cast("long").alias("rn"))
+    near = geo.nearest(v.listing, f, 10, fid="poi_id", within=1500.0, levels=7).select("lon", "lat", "poi_id", "dist", c("rn").cast("long").alias("rn"))
     return v.listing.select("id", "lon", "lat").join(near, ["lon", "lat"]).select("id", "poi_id", "dist", "rn")
 
 

@@ -262,12 +262,12 @@ _RK = lambda x, src, where="true": f"(SELECT *, rank() OVER (ORDER BY {x}) + (co
 
 
 @query("sta_8_mispricing", f"""{_MIS}, i1 AS (SELECT id, rank() OVER (ORDER BY composite) + (count(*) OVER (PARTITION BY composite)-1)/2.0e0 AS ra, rank() OVER (ORDER BY res) AS rb FROM k),
-  u AS {_RK('res', 'k', 'qt IN (1,4)')} SELECT 'rho' AS item, round((SELECT corr(ra, rb) FROM i1), 5) AS value UNION ALL SELECT 'q' || qt || '_n', count(*) FROM k GROUP BY qt UNION ALL SELECT 'q' || qt || '_index', round(avg(composite), 6) FROM k GROUP BY qt
+  u AS {_RK('res', 'k', 'qt IN (1,4)')} SELECT 'rho' AS item, round((SELECT corr(ra, rb) FROM i1), 3) AS value UNION ALL SELECT 'q' || qt || '_n', count(*) FROM k GROUP BY qt UNION ALL SELECT 'q' || qt || '_index', round(avg(composite), 6) FROM k GROUP BY qt
   UNION ALL SELECT 'median_gap', round((SELECT quantile_cont(res, 0.5) FROM k WHERE qt=4) - (SELECT quantile_cont(res, 0.5) FROM k WHERE qt=1), 6)""")
 def _(v):
     d = stage(analysis(v))
     t = va.to_report(d, va.mispricing(d, gm.gram(d, [Y, *CONTROLS]), Y, INDEX, CONTROLS))
-    return pick(t, "mispricing", ["rho", "median_gap", *[f"q{i}_{x}" for i in range(1, 5) for x in ("n", "index")]]).withColumn("value", F.when(c("item") == "rho", F.round("value", 5)).otherwise(c("value")))
+    return pick(t, "mispricing", ["rho", "median_gap", *[f"q{i}_{x}" for i in range(1, 5) for x in ("n", "index")]]).withColumn("value", F.when(c("item") == "rho", F.round("value", 3)).otherwise(c("value")))
 
 
 @query("sta_9_spearman", f"{A_SQL}, k AS (SELECT rank() OVER (ORDER BY composite) + (count(*) OVER (PARTITION BY composite)-1)/2.0e0 AS a, rank() OVER (ORDER BY price_m2) + (count(*) OVER (PARTITION BY price_m2)-1)/2.0e0 AS b FROM an) SELECT round(corr(a,b),6) AS rho, count(*) AS n FROM k")
