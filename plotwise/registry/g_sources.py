@@ -43,14 +43,14 @@ def raw_documents(v):
     doc = None
     for i, x in enumerate(shapes):
         doc = F.when(c("id") % 7 == i, x) if doc is None else doc.when(c("id") % 7 == i, x)
-    return l.select("id", doc.alias("doc"), pick(ls.FORMATS, c("id") % 7).alias("fmt"), c("listed").alias("at"))
+    return stage(l.select("id", doc.alias("doc"), pick(ls.FORMATS, c("id") % 7).alias("fmt"), c("listed").alias("at")), "documents")
 
 
 _SITE = "(['finca_raiz','finca_raiz','habi','properati','bancolombia_reo','sae','ciencuadras'])[CAST(id%7 AS INT)+1]"
 _KN = "(['Apartamento','Casa','Lote','Oficina','Local'])[CAST(substr(kind,1,1) AS INT)]"
 
 
-@query("cln_1_listing_normalizer", f"""SELECT code, {_SITE} AS site, CASE id%7 WHEN 3 THEN price//4200*4200 ELSE price END AS price, area, CASE WHEN id%7=1 AND rooms=0 THEN NULL ELSE rooms END AS rooms, baths, CASE WHEN id%7 IN (0,4,6) THEN garages END AS garages, CASE WHEN id%7 NOT IN (3,5) THEN stratum END AS stratum,
+@query("cln_1_listing_normalizer", f"""SELECT code, {_SITE} AS site, CASE id%7 WHEN 3 THEN price//4200*4200 ELSE price END AS price, area, CASE WHEN id%7=1 AND rooms=0 THEN NULL ELSE rooms END AS rooms, baths, CASE id%7 WHEN 0 THEN nullif(garages, 0) WHEN 4 THEN garages WHEN 6 THEN garages END AS garages, CASE WHEN id%7 NOT IN (3,5) THEN stratum END AS stratum,
   CASE id%7 WHEN 2 THEN 'Apartamento' WHEN 3 THEN 'Casa' ELSE {_KN} END AS kind, (['Venta','Venta','Venta','Venta','REO','Subasta','Arriendo'])[CAST(id%7 AS INT)+1] AS operation, CASE id%7 WHEN 4 THEN concat(city, ', centro') ELSE place END AS place,
   lat, lon, CASE id%7 WHEN 0 THEN 'Piscina,Gas' WHEN 2 THEN 'Ascensor' ELSE '' END AS amenities FROM listing""")
 def _(v):
@@ -241,13 +241,13 @@ _AUD = "w AS (SELECT key, ts, price, state, area, lag(price) OVER o AS pp, lag(s
 
 @query("str_1_change_audit_stream", f"{_AUD} " + " UNION ALL ".join(f"SELECT key, CAST(floor(epoch(ts)) AS BIGINT) AS \"at\", '{f}' AS field, CAST({o} AS VARCHAR) AS old, CAST({f} AS VARCHAR) AS new FROM w WHERE rn > 1 AND {f} IS DISTINCT FROM {o}" for f, o in (("price", "pp"), ("state", "ps"), ("area", "pa"))))
 def _(v):
-    d = st.drain(st.change_audit(scrape_stream(v), "key", ["price", "state", "area"], _ORD), "audit")
+    d = st.change_audit(scrape_stream(v), "key", ["price", "state", "area"], _ORD)
     return d.where("action = 'updated'").select("key", F.unix_seconds("ts").alias("at"), "field", "old", "new")
 
 
 @query("str_2_created_updated_events", f"{_AUD} SELECT 'created' AS action, '' AS field, count(*) AS n FROM w WHERE rn=1 UNION ALL SELECT 'updated', 'price', count(*) FROM w WHERE rn>1 AND price<>pp UNION ALL SELECT 'updated', 'state', count(*) FROM w WHERE rn>1 AND state<>ps UNION ALL SELECT 'updated', 'area', count(*) FROM w WHERE rn>1 AND area<>pa")
 def _(v):
-    d = st.drain(st.change_audit(scrape_stream(v), "key", ["price", "state", "area"], _ORD), "changes")
+    d = st.change_audit(scrape_stream(v), "key", ["price", "state", "area"], _ORD, "changes")
     return d.groupBy("action", F.coalesce("field", F.lit("")).alias("field")).agg(F.count("*").alias("n"))
 
 
@@ -294,12 +294,12 @@ def _(v):
 _SES = """g AS (SELECT conv_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY conv_id ORDER BY ts) < INTERVAL 24 HOUR THEN 0 ELSE 1 END AS b FROM turns), s AS (SELECT *, sum(b) OVER (PARTITION BY conv_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS sid FROM g)"""
 
 
-@query("str_8_sessions", f"{_SES} SELECT conv_id, CAST(floor(epoch(min(ts))) AS BIGINT) AS start_at, count(*) AS turns FROM s GROUP BY conv_id, sid HAVING max(ts) + INTERVAL 24 HOUR <= (SELECT max(ts) FROM turns) - INTERVAL 1 DAY")
+@query("str_8_sessions", f"{_SES} SELECT conv_id, CAST(floor(epoch(min(ts))) AS BIGINT) AS start_at, count(*) AS turns FROM s GROUP BY conv_id, sid HAVING max(ts) + INTERVAL 24 HOUR <= (SELECT max(ts) FROM turns) - INTERVAL 1 HOUR")
 def _(v):
     t = st.table_stream(v.spark, v.dir, "conversations.parquet")
     secs = c("turn") * 600 + F.floor(c("turn") / 5) * 25 * 3600
     t = t.select("conv_id", "turn", F.timestamp_seconds(F.lit(1704067200) + secs).alias("ts"))
-    return st.drain(st.sessions(t, "conv_id", "ts"), "sessions").select("conv_id", F.unix_seconds("start").alias("start_at"), "turns")
+    return st.drain(st.sessions(t, "conv_id", "ts", late="1 hour"), "sessions").select("conv_id", F.unix_seconds("start").alias("start_at"), "turns")
 
 
 @query("str_8_sessions_batch", f"{_SES} SELECT conv_id, CAST(floor(epoch(min(ts))) AS BIGINT) AS start_at, count(*) AS turns FROM s GROUP BY conv_id, sid")

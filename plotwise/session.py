@@ -15,6 +15,9 @@ def configure(spark: SparkSession) -> SparkSession:
     # Hot join keys (a dense grid cell, one dominant city) are split at run time.
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
     spark.conf.set("spark.sql.ansi.enabled", "true")
+    if spark.sparkContext.master.startswith("local") and spark.conf.get("spark.sql.shuffle.partitions") == "200":
+        # The default suits no single machine; a cluster keeps its own value.
+        spark.conf.set("spark.sql.shuffle.partitions", str(max(2, spark.sparkContext.defaultParallelism)))
     return spark
 
 

@@ -24,15 +24,19 @@ def table_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return d
 
 
+def _run(writer, label: str, timeout: int = 600) -> None:
+    q = writer.trigger(availableNow=True).start()
+    if not q.awaitTermination(timeout):
+        q.stop()
+        raise TimeoutError(label)
+
+
 def drain(df: DataFrame, label: str, mode: str = "append", timeout: int = 600) -> DataFrame:
     """Run a stream over what is there, into a table of the shared folder, and read that."""
     spark = df.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     path = fresh_path(spark, label)
-    q = (df.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", path + "-progress").trigger(availableNow=True).start(path))
-    if not q.awaitTermination(timeout):
-        q.stop()
-        raise TimeoutError(label)
+    _run(df.writeStream.format("parquet").outputMode(mode).option("path", path).option("checkpointLocation", path + "-progress"), label, timeout)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -44,54 +48,47 @@ def drain_batches(df: DataFrame, label: str, fn: Callable[[DataFrame, int], Data
     def write(batch, i):
         fn(batch, i).write.mode("overwrite").parquet(f"{path}/batch={i}")
 
-    q = df.writeStream.foreachBatch(write).option("checkpointLocation", path + "-progress").trigger(availableNow=True).start()
-    if not q.awaitTermination(timeout):
-        q.stop()
-        raise TimeoutError(label)
-    return spark.read.schema(schema).parquet(path)
+    _run(df.writeStream.foreachBatch(write).option("checkpointLocation", path + "-progress"), label, timeout)
+    return spark.read.schema(schema).parquet(path).drop("batch")
 
 
 # ------------------------------------------------------------- change audit
 
 
-class ChangeAudit(StatefulProcessor):
-    """Keeps the last row per key and emits what changed.
+def change_audit(stream: DataFrame, key: str, fields: list[str], order: list[str], label: str = "audit") -> DataFrame:
+    """Created and updated rows per changed field, from a stream of sightings with `ts`.
 
-    A key's rows of one micro-batch are put in order first; the trigger bounds
-    how many there are.
+    Each micro-batch is compared inside Spark with the newest snapshot (one row per
+    key) and leaves the next snapshot under its own batch id, so a replayed batch
+    starts from the same state and overwrites only its own output. Columns: key,
+    ts, action, field, old, new; fields are given as text.
     """
+    from plotwise.operators.relational import lag_by_time
+    from plotwise.operators.upsert import latest_per_key
 
-    def __init__(self, fields: list[str], order: list[str]):
-        self.fields, self.order = fields, order
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", ", ".join(f"{f} string" for f in self.fields))
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-        d = pd.concat(list(rows)).sort_values(self.order, kind="stable")
-        old = self.last.get() if self.last.exists() else None
-        out = []
-        for r in d[["ts", *self.fields]].itertuples(index=False):
-            new = tuple(None if pd.isna(x) else str(x) for x in r[1:])
-            if old is None:
-                out.append((key[0], r[0], "created", None, None, None))
-            else:
-                out += [(key[0], r[0], "updated", f, a, b) for f, a, b in zip(self.fields, old, new) if a != b]
-            old = new
-        if old is not None:
-            self.last.update(old)
-        yield pd.DataFrame(out, columns=["key", "ts", "action", "field", "old", "new"])
-
-    def close(self) -> None:
-        pass
+    spark = stream.sparkSession
+    path = fresh_path(spark, label)
+    d = stream.select(F.col(key).alias("key"), "ts", *[F.col(f).cast("string").alias(f) for f in fields], F.struct(*order).alias("seq"))
+    schema = d.schema
 
+    def snapshot(i):
+        return spark.read.schema(schema).parquet(f"{path}/snapshot/v={i}")
 
-def change_audit(stream: DataFrame, key: str, fields: list[str], order: list[str]) -> DataFrame:
-    """Created and updated rows per changed field from a stream with `ts`; fields are compared as text."""
-    d = stream.select(F.col(key).alias("key"), "ts", *[F.col(f).cast("string").alias(f) for f in fields], *order)
-    return d.groupBy("key").transformWithStateInPandas(
-        statefulProcessor=ChangeAudit(fields, order), outputStructType="key string, ts timestamp, action string, field string, old string, new string",
-        outputMode="Append", timeMode="None")
+    def write(batch, i):
+        batch = batch.withColumn("_new", F.lit(True))
+        rows = batch if i == 0 else batch.unionByName(snapshot(i - 1).withColumn("_new", F.lit(False)))
+        w = lag_by_time(rows, "key", "ts", ["_new", "seq"], fields).where("_new")
+        cells = F.array_compact(F.array(*[F.when(~F.col(f).eqNullSafe(F.col(f"prev_{f}")), F.struct(
+            F.lit("updated").alias("action"), F.lit(f).alias("field"), F.col(f"prev_{f}").alias("old"), F.col(f).alias("new"))) for f in fields]))
+        born = F.array(F.struct(F.lit("created").alias("action"), *[F.lit(None).cast("string").alias(n) for n in ("field", "old", "new")]))
+        events = w.select("key", "ts", F.explode(F.when(F.col("is_first"), born).otherwise(cells)).alias("e")).select("key", "ts", "e.*")
+        events.write.mode("overwrite").parquet(f"{path}/changes/batch={i}")
+        newest = latest_per_key(rows, ["key"], F.struct("_new", "seq")).select(*schema.names)
+        newest.write.mode("overwrite").parquet(f"{path}/snapshot/v={i}")
+
+    _run(d.writeStream.foreachBatch(write).option("checkpointLocation", path + "-progress"), label)
+    out = "key string, ts timestamp, action string, field string, old string, new string"
+    return spark.read.schema(out).parquet(f"{path}/changes").select("key", "ts", "action", "field", "old", "new")
 
 
 class RunTrigger(StatefulProcessor):
