@@ -126,41 +126,60 @@ def solve(A: np.ndarray, c: np.ndarray) -> np.ndarray:
     return (V[:, keep] @ ((V[:, keep].T @ (c / d)) / w[keep])) / d
 
 
-def grams(df: DataFrame, names: list[str], by: list[str] = (), weight: Column | None = None) -> dict[tuple, Gram]:
-    """Cross-product statistics per group in one aggregate over complete rows.
+def grams(df: DataFrame, names: list[str], by: list[str] = ()) -> dict[tuple, Gram]:
+    """Cross-product statistics per group over complete rows.
 
-    Columns are shifted by their overall means first, which keeps the sums small.
-    The result is one short row per group; the number of groups is checked.
+    Every task multiplies its Arrow batches into one matrix per group and emits a
+    single row for each; Spark adds those up. Columns are shifted by their overall
+    means first, which keeps the sums small. Rows without a group are left out;
+    the number of groups is checked.
     """
-    by = list(by)
-    d = df.select(*by, *[F.col(x).cast("double").alias(x) for x in names], *([weight.alias("_w")] if weight is not None else []))
-    d = d.dropna(subset=names)
-    row = d.agg(*[F.avg(x).alias(x) for x in names]).first()
-    shift = np.array([row[x] if row[x] is not None else 0.0 for x in names])
-    z = [F.col(x) - F.lit(float(m)) for x, m in zip(names, shift)]
-    w = F.col("_w") if weight is not None else None
-    wt = (lambda e: e * w) if w is not None else (lambda e: e)
-    p = len(names)
-    aggs = [(F.sum(w) if w is not None else F.count("*")).cast("double").alias("n")]
-    aggs += [F.sum(wt(z[i])).alias(f"s{i}") for i in range(p)]
-    aggs += [F.sum(wt(z[i] * z[j])).alias(f"S{i}_{j}") for i in range(p) for j in range(i, p)]
-    rows = d.groupBy(*by).agg(*aggs).limit(MAX_GROUPS + 1).collect()
-    if len(rows) > MAX_GROUPS:
+    by, p = list(by), len(names)
+    d = df.select(*by, *[F.col(x).cast("double").alias(f"x{i}") for i, x in enumerate(names)]).dropna()
+    row = d.agg(*[F.avg(f"x{i}").alias(f"x{i}") for i in range(p)]).first()
+    shift = np.array([m if m is not None else 0.0 for m in row])
+    cols, upper = [f"x{i}" for i in range(p)], np.triu_indices(p)
+
+    def partial(batches):
+        import pandas as pd
+
+        acc: dict[tuple, np.ndarray] = {}
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            Z = pdf[cols].to_numpy(dtype=float) - shift
+            groups = pdf.groupby(by, sort=False).indices.items() if by else [((), slice(None))]
+            for k, at in groups:
+                z = Z[at]
+                v = np.concatenate([[len(z)], z.sum(0), (z.T @ z)[upper]])
+                k = k if isinstance(k, tuple) else (k,)
+                acc[k] = acc[k] + v if k in acc else v
+        if acc:
+            out = pd.DataFrame(list(acc), columns=by) if by else pd.DataFrame(index=range(1))
+            out["v"] = list(acc.values())
+            yield out
+
+    types = dict(d.dtypes)
+    schema = ", ".join([f"`{b}` {types[b]}" for b in by] + ["v array<double>"])
+    parts = d.mapInPandas(partial, schema).select(*by, F.posexplode("v").alias("_i", "_x"))
+    width = 1 + p + len(upper[0])
+    rows = parts.groupBy(*by, "_i").agg(F.sum("_x").alias("_x")).limit(MAX_GROUPS * width + 1).collect()
+    if len(rows) > MAX_GROUPS * width:
         raise ValueError(f"more than {MAX_GROUPS} groups; these statistics are for a bounded number of groups")
-    out = {}
+    flat: dict[tuple, np.ndarray] = {}
     for r in rows:
-        if not r["n"]:
-            continue
+        flat.setdefault(tuple(r[b] for b in by), np.zeros(width))[r["_i"]] = r["_x"]
+    out = {}
+    for key, v in flat.items():
         S = np.zeros((p, p))
-        for i in range(p):
-            for j in range(i, p):
-                S[i, j] = S[j, i] = r[f"S{i}_{j}"]
-        out[tuple(r[b] for b in by)] = Gram(list(names), shift, r["n"], np.array([r[f"s{i}"] for i in range(p)]), S)
+        S[upper] = v[1 + p:]
+        S = S + S.T - np.diag(np.diag(S))
+        out[key] = Gram(list(names), shift, float(v[0]), v[1:1 + p], S)
     return out
 
 
-def gram(df: DataFrame, names: list[str], weight: Column | None = None) -> Gram:
-    return grams(df, names, (), weight)[()]
+def gram(df: DataFrame, names: list[str]) -> Gram:
+    return grams(df, names)[()]
 
 
 def total(parts) -> Gram:
