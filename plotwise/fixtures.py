@@ -24,7 +24,7 @@ OFFENCES = ["click", "error", "purchase", "signup", "view"]
 KIND_WORDS = ["apartamento", "casa", "lote", "oficina", "local comercial", "apto"]
 POI_WORDS = ["hospital", "colegio", "parque", "transmilenio", "supermercado", "cai", "biblioteca", "farmacia", "teatro"]
 PLACE_WORDS = ["Suba", "Usme", "Chapinero", "Kennedy", "Bosa"]
-CHAT_WORDS = ["¿Qué es el iug?", "promedio de precios por localidad", "comparar suba vs usme", "Gracias!"]
+CHAT_WORDS = ["¿Qué es el índice?", "promedio de precios por localidad", "comparar suba vs usme", "Gracias!"]
 # Query templates; {n} parts are filled from the row key.
 QUERY_TEMPLATES = [
     "Busco {kind} cerca de {poi} a {metres} m",

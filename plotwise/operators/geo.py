@@ -179,6 +179,8 @@ def grid_nearest(points: DataFrame, features: DataFrame, k: int, *, pcell: list[
              .groupBy(*by, *[f"{n}f" for n in names]).agg(F.min("_lv").alias("_lv"))
              .withColumnsRenamed({f"{n}f": n for n in names}))
     p = p.join(start, by + names, "left").withColumn("_lv", F.coalesce("_lv", F.lit(levels - 1)))
+    if within is not None:
+        p = p.withColumn("_lv", F.least("_lv", F.greatest(F.lit(0), level_for(F.lit(float(within)))).cast("int")))
     fl = f.withColumn("_lv", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))))
     fl = fl.withColumns({n: up(n) for n in names})
 
@@ -193,9 +195,10 @@ def grid_nearest(points: DataFrame, features: DataFrame, k: int, *, pcell: list[
     w = Window.partitionBy(*ident).orderBy(*order)
     first = candidates(p).withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k)
     bound = first.groupBy(*ident).agg(F.max("_rn").alias("_got"), F.max("dist").alias("_kth"))
-    top = F.lit(levels - 1)
+    # Points with fewer than k answers so far look as far as an answer may lie.
+    far = F.lit(levels - 1) if within is None else F.least(F.lit(levels - 1), F.greatest(F.lit(0), level_for(F.lit(float(within)))))
     q = join_on(p, bound, ident, "left").withColumn("_lv", F.when(
-        F.col("_got") >= k, F.least(top, F.greatest(F.lit(0), level_for(F.col("_kth"))))).otherwise(top).cast("int"))
+        F.col("_got") >= k, F.least(far, F.greatest(F.lit(0), level_for(F.col("_kth"))))).otherwise(far).cast("int"))
     best = candidates(q.drop("_got", "_kth")).withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k)
     return best.drop("_lv", *names)
 

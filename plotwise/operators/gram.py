@@ -135,7 +135,7 @@ def grams(df: DataFrame, names: list[str], by: list[str] = ()) -> dict[tuple, Gr
     the number of groups is checked.
     """
     by, p = list(by), len(names)
-    d = df.select(*by, *[F.col(x).cast("double").alias(f"x{i}") for i, x in enumerate(names)]).dropna()
+    d = df.select(*by, *[F.col(x).cast("double").alias(f"x{i}") for i, x in enumerate(names)])
     row = d.agg(*[F.avg(f"x{i}").alias(f"x{i}") for i in range(p)]).first()
     shift = np.array([m if m is not None else 0.0 for m in row])
     cols, upper = [f"x{i}" for i in range(p)], np.triu_indices(p)
@@ -145,6 +145,8 @@ def grams(df: DataFrame, names: list[str], by: list[str] = ()) -> dict[tuple, Gr
 
         acc: dict[tuple, np.ndarray] = {}
         for pdf in batches:
+            # Incomplete rows are dropped here: null filters on many derived columns are slow to plan.
+            pdf = pdf.dropna()
             if not len(pdf):
                 continue
             Z = pdf[cols].to_numpy(dtype=float) - shift

@@ -177,7 +177,7 @@ def specifications(df: DataFrame, y: str, subs: list[str], controls: list[str],
     fits = {n: g.fit(y, base + xs) for n, xs in specs.items()}
     rows, ok = [], {}
     for n, f in fits.items():
-        _, p = _reset(d.dropna(subset=[y, *f.xs]), f, y, f.xs)
+        _, p = _reset(d, f, y, f.xs)
         ok[n] = p > 0.05
         rows += [(n, "r2", f.r2), (n, "r2_adj", f.r2_adj), (n, "aic", f.aic), (n, "bic", f.bic), (n, "reset_p", p),
                  (n, "delta_r2", f.r2 - fits["M1_base"].r2), (n, "delta_aic", f.aic - fits["M1_base"].aic)]
