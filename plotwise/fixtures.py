@@ -30,7 +30,7 @@ QUERY_TEMPLATES = [
     "Busco {kind} cerca de {poi} a {metres} m",
     "{kind} menos de {mill} millones con {rooms} habitaciones y {baths} baños",
     "entre 200 y {mill}M en {place}, zona muy seguro",
-    "a {mins} minutos caminando de {poi}, IUG > {idx}.5",
+    "a {mins} minutos caminando de {poi}, índice > {idx}.5",
     "{kind} más de {area} m2 con gimnasio y piscina, bien conectado",
     "Calle {street} # {mins}-{area} {kind} a {idx},5 km",
     "{chat}",

@@ -36,7 +36,7 @@ def merge_previous(turns: DataFrame, session: list[str], order: str, text: str)
         F.array_compact(F.array(
             F.when(F.col("_hip") > 0, F.concat(F.lit("menos de "), F.floor(F.col("_hip") / 1_000_000).cast("string"), F.lit("M"))),
             F.when(F.col("_lop") > 0, F.concat(F.lit("más de "), F.floor(F.col("_lop") / 1_000_000).cast("string"), F.lit("M"))),
-            F.when(F.col("_ixp") > 0, F.concat(F.lit("IUG > "), F.col("_ixp").cast("string"))))))
+            F.when(F.col("_ixp") > 0, F.concat(F.lit("índice > "), F.col("_ixp").cast("string"))))))
     refine = tx.is_refinement(q)
     merged = F.when(refine & (F.size(bits) > 0), F.concat(q, F.lit(" (filtros previos: "), F.array_join(bits, "; "), F.lit(")"))).otherwise(q)
     return d.withColumns({"refine": refine, "merged": merged}).drop("_k", "_c", "_hi", "_lo", "_ix", "_kp", "_cp", "_hip", "_lop", "_ixp")
@@ -136,7 +136,7 @@ def explain_hits(hits: DataFrame) -> DataFrame:
                   F.concat_ws(" · ", F.col("kind"), F.concat(F.col("area").cast("int").cast("string"), F.lit(" m²")), F.concat(F.col("rooms").cast("string"), F.lit(" habs"))))
     near = F.transform(F.arrays_zip(q("categories").alias("c"), F.col("dists").alias("d")), lambda e: F.when(e["d"].isNotNull(), F.concat(
         F.lit("a "), e["d"].cast("string"), F.lit(" m del "), lookup(tx.CATEGORY_LABELS, e["c"]), F.lit(" más cercano · ~"), walking_minutes(e["d"]).cast("string"), F.lit(" min a pie"))))
-    index = F.concat(F.lit("IUG "), F.format_number("composite", 2), F.lit("/5"), F.when(q("security_min").isNotNull() & F.col("security").isNotNull(), F.concat(
+    index = F.concat(F.lit("Índice "), F.format_number("composite", 2), F.lit("/5"), F.when(q("security_min").isNotNull() & F.col("security").isNotNull(), F.concat(
         F.lit(" · Seguridad "), F.format_number("security", 2))).otherwise(""))
     return hits.withColumn("explanation", F.concat_ws(" | ", filt, F.array_join(F.array_compact(F.coalesce(near, F.array().cast("array<string>"))), " | "), index, F.col("locality")))
 
@@ -150,7 +150,7 @@ def suggestions(intents: DataFrame, hits: DataFrame) -> DataFrame:
     alt = F.when(F.get("kinds", 0) == "Apartamento", "casa").otherwise("apartamento")
     opts = F.array_compact(F.array(
         F.when((F.col("n") < 3) & first.isNotNull(), F.concat(F.lit("Ampliar radio a "), F.least(F.col("max_m") + 500, F.lit(2500)).cast("string"), F.lit(" m"))),
-        F.when((F.col("n") >= 5) & F.col("composite_min").isNull(), F.lit("Solo zonas con buen IUG (≥ 3.5)")),
+        F.when((F.col("n") >= 5) & F.col("composite_min").isNull(), F.lit("Solo zonas con buen índice (≥ 3.5)")),
         F.when(F.col("price_max").isNull() & F.col("price_min").isNull(), F.lit("Limitar presupuesto a 500M")),
         F.when(F.col("locality").isNull() & F.col("top_locality").isNotNull(), F.concat(F.lit("Sólo en "), F.initcap("top_locality"))),
         F.when(F.size("kinds") == 1, F.concat(F.lit("Comparar con "), alt, F.lit("s"))),

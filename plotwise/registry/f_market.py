@@ -196,7 +196,7 @@ def search_features(v):
 
 # Request parameters, not data: the texts a user types.
 REQUESTS = [("a", "apartamento cerca de parque a 800 m"), ("b", "casa menos de 400 millones con 3 habitaciones"), ("c", "apartamento o casa cerca a colegio y farmacia"),
-            ("d", "lote muy seguro en chapinero"), ("e", "oficina a 10 minutos de biblioteca con gimnasio"), ("f", "casa con piscina pegado a parque, IUG > 3"),
+            ("d", "lote muy seguro en chapinero"), ("e", "oficina a 10 minutos de biblioteca con gimnasio"), ("f", "casa con piscina pegado a parque, índice > 3"),
             ("g", "local cerca de transmilenio a 60 m"), ("h", "apartamento más de 50 m2 bien conectado")]
 
 
