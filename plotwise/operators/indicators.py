@@ -110,8 +110,8 @@ def security_final(raw: DataFrame, bounds: DataFrame, by: str = "kind", w: dict[
     span = F.col("crime_max") - F.col("crime_min")
     crime = 5 * F.when(span > 0, (F.col("crime") - F.col("crime_min")) / F.nullif(span, F.lit(0.0))).otherwise(0.5)
     sector = 5 * F.col("sector")
-    # A term that cannot be formed is left out of the clipped sum, as null sums were.
-    score = lb.clip(w["posts"] * posts + w["crime"] * (5 - crime) + w["sector"] * (5 - sector))
+    # A kind without any post in reach has no post scale; its score is zero, as in the stored view.
+    score = F.coalesce(lb.clip(w["posts"] * posts + w["crime"] * (5 - crime) + w["sector"] * (5 - sector)), F.lit(0.0))
     return d.withColumns({"posts_norm": posts, "crime_norm": crime, "sector_norm": sector, "security_micro": score}).drop(
         "posts_min", "posts_max", "crime_min", "crime_max", "samples")
 

@@ -101,7 +101,7 @@ BOUND_SQL = "b AS (SELECT kind, min(posts) AS pmin, least(max(posts), 2.0e0) AS
 MICRO = "least(5.0e0, greatest(0.0e0, 0.35e0*5*least(posts, pmax)/nullif(pmax,0) + 0.45e0*(5-5*CASE WHEN cmax>cmin THEN (crime-cmin)/(cmax-cmin) ELSE 0.5e0 END) + 0.20e0*(5-5*sector)))"
 
 
-@query("ind_6_security_final", f"{SEC_RAW_SQL}, {BOUND_SQL} SELECT id, round(CASE WHEN pmax > 0 THEN {MICRO} END, 6) AS security_micro FROM raw JOIN b USING (kind)")
+@query("ind_6_security_final", f"{SEC_RAW_SQL}, {BOUND_SQL} SELECT id, round({MICRO}, 6) AS security_micro FROM raw JOIN b USING (kind)")
 def _(v):
     raw = raw_security(v)
     return ind.security_final(raw, ind.security_bounds(raw)).select("id", R("security_micro"))
@@ -112,7 +112,7 @@ def _(v):
     return ind.security_bounds(raw_security(v)).withColumns({"posts_min": R("posts_min"), "posts_max": R("posts_max")})
 
 
-@query("ind_8_security_three_dims", f"""{SEC_RAW_SQL}, {BOUND_SQL}, k AS (SELECT id, zone_id, CASE WHEN pmax > 0 THEN {MICRO} END AS micro FROM raw JOIN b USING (kind)),
+@query("ind_8_security_three_dims", f"""{SEC_RAW_SQL}, {BOUND_SQL}, k AS (SELECT id, zone_id, {MICRO} AS micro FROM raw JOIN b USING (kind)),
   z AS (SELECT zone_id, click*5.0e0/max(click) OVER () AS objective, error*5.0e0/max(error) OVER () AS subjective FROM crime),
   f AS (SELECT k.id, micro, coalesce(5-objective, micro) AS o, coalesce(5-subjective, micro) AS s FROM k LEFT JOIN z USING (zone_id))
   SELECT id, round(o,6) AS objective, round(s,6) AS subjective, round(least(5.0e0, greatest(0.0e0, 0.40e0*micro+0.30e0*o+0.30e0*s)), 6) AS security FROM f""")
