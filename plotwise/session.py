@@ -24,16 +24,33 @@ def configure(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """Folder all executors can reach, as named by the cluster.
 
-    A temporary folder is made only where the session names none, which is
-    the single-machine test case.
+    A temporary folder is made only on a single machine whose session names
+    none; a cluster must name one that driver and executors share.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="plotwise-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
+#: Paths of this session's staged tables, until `release`.
+STAGED: list[str] = []
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the staged tables; call it once their results are written. Returns how many went."""
+    jvm, gone = spark.sparkContext._jvm, 0
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    while STAGED:
+        path = jvm.org.apache.hadoop.fs.Path(STAGED.pop())
+        gone += bool(path.getFileSystem(conf).delete(path, True))
+    return gone
+
+
 def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
@@ -45,6 +62,7 @@ def stage(df: DataFrame, label: str = "stage", partition_by: list[str] | None =
     loss of executors because nothing stays in executor-local storage.
     """
     path = fresh_path(df.sparkSession, label)
+    STAGED.append(path)
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(*partition_by)
