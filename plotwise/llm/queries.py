@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plotwise.llm import fertility, language, mixing, quality, secrets
+from plotwise.llm import embeddings, fertility, html, language, mixing, quality, secrets
 from plotwise.llm.common import table
 
 QUERIES: dict = {}
@@ -33,11 +33,21 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
 
 
+@query
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 @query
 def op7_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility.rules(table(spark, sf_dir, "documents"))
 
 
+@query
+def op8_vector_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 @query
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
