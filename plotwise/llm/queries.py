@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plotwise.llm import embeddings, fertility, html, language, mixing, pieces, quality, secrets
+from plotwise.llm import embeddings, fertility, html, jaccard, language, mixing, pieces, quality, secrets
 from plotwise.llm.common import table
 
 QUERIES: dict = {}
@@ -18,6 +18,11 @@ def query(fn, sql: str | None = None):
     return fn
 
 
+@query
+def op1_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.classes(table(spark, sf_dir, "documents"))
+
+
 @query
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
