@@ -7,7 +7,7 @@ import re
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plotwise.session import configure, stage
+from plotwise.session import STAGED, configure, stage
 
 WORD = re.compile(r"[^ \t-\r]+")
 WORD_SQL = r"[^\x20\x09-\x0D]+"
@@ -52,6 +52,18 @@ def batches(df: DataFrame, fn, schema: str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def settle(spark: SparkSession, *staged: DataFrame) -> None:
+    """Give back the disk of finished steps: staged tables that nobody reads any more, and shuffle files of dropped plans."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for df in staged:
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            if any(folder.endswith(p.rpartition("/")[2]) for p in STAGED):
+                path = jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(conf).delete(path, True)
+    jvm.System.gc()  # the context cleaner drops shuffles whose plans are gone
+
+
 def mixed(a: np.ndarray, seed: int) -> np.ndarray:
     """64-bit finalizer of a well-known integer hash, seeded."""
     z = a.astype(np.uint64) + np.uint64((seed * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) & (2**64 - 1))

@@ -30,7 +30,7 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from plotwise.llm.common import WORD, WORD_SQL, batches, components, forest, mixed
 from plotwise.session import stage
@@ -212,11 +212,11 @@ def candidates(docs: DataFrame, runs: int = RUNS, small: int = SMALL) -> DataFra
     return components(edges.distinct())
 
 
-def classes(docs: DataFrame, runs: int = RUNS, small: int = SMALL, block: int = BLOCK) -> DataFrame:
-    """doc_id, class_id, n_links, kept, n_copies for every row."""
-    wordy = F.regexp_like("text", F.lit(WORD_SQL))
-    rows = docs.select("doc_id", "text").withColumn("cls", F.when(F.coalesce(wordy, F.lit(False)), F.xxhash64("text")))
-    ids = stage(rows.select("doc_id", "cls"), "text-classes")
+def assigned(docs: DataFrame, runs: int = RUNS, small: int = SMALL, block: int = BLOCK) -> DataFrame:
+    """row (a hash of all columns), doc_id, root (null without a set), class_id, n_links, n_copies for every row."""
+    wordy = F.coalesce(F.regexp_like("text", F.lit(WORD_SQL)), F.lit(False))
+    rows = docs.select("doc_id", "text", F.xxhash64(*docs.columns).alias("row")).withColumn("cls", F.when(wordy, F.xxhash64("text")))
+    ids = stage(rows.select("row", "doc_id", "cls"), "text-classes")
     copies = stage(ids.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("low"), F.count("*").alias("n_copies")), "text-copies")
     found = stage(candidates(rows.where("cls IS NOT NULL"), runs, small), "candidates")
     size = found.groupBy("root").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
@@ -228,18 +228,22 @@ def classes(docs: DataFrame, runs: int = RUNS, small: int = SMALL, block: int =
     comp = components(linked.select("a", "b")).withColumnRenamed("id", "cls")
     per = stage(copies.join(n, "cls", "left").join(comp, "cls", "left").withColumn("root", F.coalesce("root", "cls")), "class-rows")
     low = per.groupBy("root").agg(F.min("low").alias("class_id"))
-    per = stage(per.join(low, "root").select("cls", "class_id", "n_links", "n_copies"), "classes")
-    out = ids.join(per, "cls", "left")
-    class_id = F.coalesce("class_id", "doc_id")
-    return out.select("doc_id", class_id.alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce(F.col("doc_id") == class_id, F.lit(False)).alias("kept"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"))
+    per = stage(per.join(low, "root").select("cls", "root", "class_id", "n_links", "n_copies"), "classes")
+    return ids.join(per, "cls", "left").select("row", "doc_id", "root", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"))
+
+
+def classes(docs: DataFrame, **how) -> DataFrame:
+    """doc_id, class_id, n_links (other texts linked), kept, n_copies (rows of this text) for every row."""
+    done = assigned(docs.select("doc_id", "text"), **how)
+    return done.select("doc_id", "class_id", "n_links", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(False)).alias("kept"), "n_copies")
 
 
 def representatives(docs: DataFrame, **how) -> DataFrame:
-    """docs with one row of each class, that of the smallest id; texts without a word all stay.
-
-    Rows of one id in one class are told apart by a hash of the whole row, and
-    one of them stays.
-    """
-    kept = classes(docs, **how).where("kept OR class_id IS NULL").select(F.col("doc_id").alias("_id")).distinct()
-    mine = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    return mine.dropDuplicates(["doc_id", "text"])
+    """docs with one row of each class, that of the smallest id; rows without a word all stay."""
+    done = stage(assigned(docs, **how), "assigned")
+    best = done.where("root IS NOT NULL").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")).alias("w"))
+    kept = stage(best.select(F.col("w.row").alias("_row"), F.lit(True).alias("_one")).union(done.where("root IS NULL").select("row", F.lit(False)).distinct()), "kept-rows")
+    joined = docs.withColumn("_row", F.xxhash64(*docs.columns)).join(kept, "_row")
+    # Of equal rows the first stays; the join has sorted them already.
+    nth = F.row_number().over(Window.partitionBy("_row").orderBy("_row"))
+    return joined.withColumn("_nth", nth).where("_nth = 1 OR NOT _one").select(*docs.columns)

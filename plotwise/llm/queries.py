@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plotwise.llm import embeddings, fertility, html, jaccard, language, mixing, pieces, quality, secrets
+from plotwise.llm import embeddings, fertility, html, jaccard, language, mixing, pieces, quality, secrets, suffixes
 from plotwise.llm.common import table
 
 QUERIES: dict = {}
@@ -43,6 +43,12 @@ def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
 
+@query
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = suffixes.dedup(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query
 def op7_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility.rules(table(spark, sf_dir, "documents"))
