@@ -35,7 +35,7 @@ from plotwise.llm.common import batches
 from plotwise.session import stage
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-UNIT, PIECE_COST, BYTE_COST, HOT, PER_TASK = 48, 10.0, 60.0, 600_000, 100_000
+UNIT, PIECE_COST, BYTE_COST, HOT, PER_TASK = 48, 10.0, 60.0, 200_000, 100_000
 UNITS = rf" ?[^ \t-\r]{{1,{UNIT}}}|[ \t-\r]"
 UNITS_PY = re.compile(UNITS)
 
@@ -64,6 +64,10 @@ class Model:
             self.bytes[i] = bytes([b])
         self.longest = max((len(p) for p, _, _ in self.rows), default=1)
 
+    def spelling(self) -> tuple[np.ndarray, np.ndarray]:
+        """All pieces' bytes in one array, and the length of each."""
+        return np.frombuffer(b"".join(self.bytes), np.uint8), np.array([len(b) for b in self.bytes], np.int64)
+
     def table(self, spark: SparkSession) -> DataFrame:
         return stage(spark.createDataFrame(self.rows or [("", 0, 0.0)], "piece string, id int, score double"), "pieces")
 
@@ -117,11 +121,11 @@ def heavy_units(docs: DataFrame, most: int = HOT, per_task: int = PER_TASK) -> D
         yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], names=["unit", "n"])
 
     counts = stage(docs.select("text").mapInArrow(count, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n")), "unit-counts")
-    least, total = 1 << 62, 0
+    least, room = 1 << 62, most
     for r in sorted(counts.groupBy("n").count().collect(), reverse=True):
-        if total + r["count"] > most:
+        if r["count"] > room:
             break
-        least, total = r["n"], total + r["count"]
+        least, room = r["n"], room - r["count"]
     return stage(counts.where(F.col("n") >= least).select("unit"), "hot-units")
 
 
@@ -149,7 +153,8 @@ def encode(docs: DataFrame, path: str = MODEL, hot: int = HOT, parts: int | None
     hot_units = heavy_units(docs, hot)
     solved = lattice(hot_units, table, model).toArrow()  # at most `hot` units of UNIT code points
     held = spark.sparkContext.broadcast(Solutions(solved))
-    # Small partitions: the edges of one are sorted in memory.
+    # Small partitions: the units of one are grouped in memory, so no edge is sorted.
+    spark.conf.set("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "200000")
     parts = parts or 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     # Both uses of the texts read one and the same exchange: a whole row is one value, of which no column is pruned.
     dealt = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("_row"), F.array(F.struct(*docs.columns)).alias("_doc")).repartition(parts, "_row")
@@ -162,49 +167,61 @@ def encode(docs: DataFrame, path: str = MODEL, hot: int = HOT, parts: int | None
 
     def assemble(b):
         s = held.value.open()
+        cold = b["_cold"]
+        # Cold units of all rows as one flat list; a row's own are a slice of it.
+        ends, flat = cold.offsets.to_numpy(), cold.values
+        names_, ids = flat.field("unit").to_pylist(), flat.field("ids")
+        more, more_ends = ids.values.to_numpy(), ids.offsets.to_numpy()
+        valid = cold.is_valid().to_pylist()
         out = []
-        for text, cold in zip(b["text"].to_pylist(), b["_cold"].to_pylist()):
-            if text is None:
-                out.append(np.zeros(0, np.int32))
-                continue
-            own = {c["unit"]: len(s.index) + i for i, c in enumerate(cold or ())}
-            more = [c["ids"] for c in cold or ()]
-            out.append(gather(s, own, more, UNITS_PY.findall(" " + text)))
-        return {**{c: b[c] for c in names}, "ids": out}
+        for i, text in enumerate(b["text"].to_pylist()):
+            own = {names_[k]: k for k in range(ends[i], ends[i + 1])} if valid[i] else {}
+            out.append(np.zeros(0, np.int32) if text is None else gather(s, own, more, more_ends, UNITS_PY.findall(" " + text)))
+        return {**{c: b[c] for c in names}, "ids": listed(out)}
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     return batches(joined, assemble, f"{schema}, ids array<int>")
 
 
-def gather(s: Solutions, own: dict[str, int], more: list[list[int]], units: list[str]) -> np.ndarray:
-    """Ids of a text's units in order: hot ones from the flat array, the rest from the text's own list."""
+def listed(arrays: list[np.ndarray]):
+    """Arrow list array of integer arrays."""
+    import pyarrow as pa
+
+    ends = np.concatenate([[0], np.cumsum([len(a) for a in arrays])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int32), *arrays])))
+
+
+def spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Positions start[i] .. start[i] + size[i] - 1, one range after the other."""
+    return np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(start, size)
+
+
+def gather(s: Solutions, own: dict[str, int], more: np.ndarray, more_ends: np.ndarray, units: list[str]) -> np.ndarray:
+    """Ids of a text's units in order: hot ones from the flat array, the rest from the cold list."""
     index, base = s.index, len(s.index)
-    at = np.fromiter((own[u] if u in own else index[u] for u in units), np.int64, len(units))
-    if more:
-        size = np.fromiter(map(len, more), np.int64, len(more))
-        mine, start = np.fromiter(chain.from_iterable(more), np.int32, int(size.sum())), np.cumsum(size) - size
+    at = np.fromiter((index[u] if u in index else base + own[u] for u in units), np.int64, len(units))
     hot = at < base
-    n, begin = np.empty(len(at), np.int64), np.empty(len(at), np.int64)
-    n[hot], begin[hot] = (s.ends[1:] - s.ends[:-1])[at[hot]], s.ends[:-1][at[hot]]
-    if more:
-        n[~hot], begin[~hot] = size[at[~hot] - base], start[at[~hot] - base]
-    place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin, n)
-    from_hot = np.repeat(hot, n)
+    size, begin = np.empty(len(at), np.int64), np.empty(len(at), np.int64)
+    h, c = at[hot], at[~hot] - base
+    size[hot], begin[hot] = s.ends[h + 1] - s.ends[h], s.ends[h]
+    size[~hot], begin[~hot] = more_ends[c + 1] - more_ends[c], more_ends[c]
+    place, from_hot = spread(begin, size), np.repeat(hot, size)
     out = np.empty(len(place), np.int32)
     out[from_hot] = s.flat[place[from_hot]]
-    if more:
-        out[~from_hot] = mine[place[~from_hot]]
+    out[~from_hot] = more[place[~from_hot]]
     return out
 
 
 def decode(coded: DataFrame, path: str = MODEL, into: str = "decoded") -> DataFrame:
     """coded with the text that its ids spell; broken byte runs become replacement characters."""
-    held = coded.sparkSession.sparkContext.broadcast(Model(path).bytes)
+    held = coded.sparkSession.sparkContext.broadcast(Model(path).spelling())
     names = coded.columns
 
     def run(b):
-        table = held.value
-        texts = [b"".join([table[i] for i in ids or ()]).decode("utf-8", "replace") for ids in b["ids"].to_pylist()]
+        table, size = held.value
+        ends, ids = b["ids"].offsets.to_numpy(), b["ids"].values.to_numpy()
+        first = np.cumsum(size) - size
+        texts = [table[spread(first[x], size[x])].tobytes().decode("utf-8", "replace") for x in (ids[i:j] for i, j in zip(ends, ends[1:]))]
         return {**{c: b[c] for c in names}, into: [t[1:] if t.startswith(" ") else t for t in texts]}
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in coded.schema)
