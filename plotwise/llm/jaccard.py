@@ -39,7 +39,7 @@ WORDS, TENTHS, DEPTH, SMALL, BLOCK, BITS = 5, 8, 3, 2048, 512, 256
 RECALL = 0.9995
 #: A pair just at the threshold shares a path with probability 1 - 1/e a level; two levels are the usual depth.
 RUNS = math.ceil(math.log(1 - RECALL) / math.log(math.exp(-(1 - math.exp(-1)))))
-SLACK = 46  # differing bits of BITS that a candidate may have; a pair at 0.8 has 25.6 on average, deviation 4.8
+SLACK = 50  # differing bits of BITS that a candidate may have; a pair at 0.8 has 25.6 on average, deviation 4.8
 SEED = 17
 
 
@@ -70,71 +70,70 @@ _B = _RNG.integers(0, 1 << 63, BITS, dtype=np.uint64)
 
 def sketch(s: np.ndarray) -> bytes:
     """One bit of each of BITS minima; large sets use one permutation in BITS bins."""
-    if len(s) < 2 * BITS:
-        low = np.full(BITS, np.iinfo(np.uint64).max)
-        for i in range(0, len(s), 64):
-            np.minimum(low, (s[i : i + 64, None] * _A + _B).min(0), out=low)
+    if len(s) < BITS:
+        low = (s[:, None] * _A + _B).min(0)
     else:
         bins = (s >> np.uint64(56)).astype(np.int64)
         low = np.full(BITS, np.iinfo(np.uint64).max)
         np.minimum.at(low, bins, mixed(s, 99))
-        empty = np.flatnonzero(low == np.iinfo(np.uint64).max)
         full = np.flatnonzero(low != np.iinfo(np.uint64).max)
+        empty = np.flatnonzero(low == np.iinfo(np.uint64).max)
         if len(empty):  # an empty bin takes after the next full one
             low[empty] = mixed(low[full[np.searchsorted(full, empty) % len(full)]] + empty.astype(np.uint64), 7)
     return np.packbits((mixed(low, 3) & np.uint64(1)).astype(np.uint8)).tobytes()
 
 
-def steps(s: np.ndarray, paths: np.ndarray) -> list[np.ndarray]:
-    """For each path, the paths that the set goes on with."""
+def steps(s: np.ndarray, paths: np.ndarray) -> np.ndarray:
+    """The paths that a set goes on with from any of `paths`."""
     limit = np.uint64(min(2**64 - 1, int(2**64 * 10 / (TENTHS * len(s)))))
-    out = []
-    for p in paths:
-        u = mixed(s ^ p, 1)
-        out.append(mixed(u[u < limit] + p, 2))
-    return out
+    u = (s ^ paths[:, None]) * np.uint64(0x9E3779B97F4A7C15)
+    u ^= u >> np.uint64(29)
+    u *= np.uint64(0xBF58476D1CE4E5B9)
+    at, token = np.nonzero(u < limit)
+    return mixed(u[at, token] + paths[at], 2)
 
 
-def walk(s: np.ndarray, runs: int, depth: int = DEPTH) -> list:
-    """The set's tree of paths, as (path, children) levels."""
-    level = steps(s, mixed(np.arange(runs, dtype=np.uint64), SEED))
+def roots(runs: int) -> np.ndarray:
+    return mixed(np.arange(runs, dtype=np.uint64), SEED)
 
-    def tree(paths: np.ndarray, left: int) -> list:
-        signed = paths.view(np.int64).tolist()
-        if not left:
-            return signed
-        return [{"p": p, "kids": tree(k, left - 1)} for p, k in zip(signed, steps(s, paths))]
 
-    return tree(np.concatenate(level), depth - 1)
+def sets(docs: DataFrame, runs: int) -> DataFrame:
+    """cls, size, sketch and first paths of every text with a word; copies appear as often as they come."""
 
+    def run(b):
+        sh = shingles([WORD.findall(t) for t in b["text"].to_pylist()])
+        start = roots(runs)
+        return {"cls": b["cls"], "n": [len(s) for s in sh], "sketch": [sketch(s) for s in sh], "paths": [steps(s, start).view(np.int64) for s in sh]}
+
+    return batches(docs.select("cls", "text"), run, "cls long, n int, sketch binary, paths array<long>")
 
-def sets(docs: DataFrame, runs: int) -> DataFrame:
-    """cls, sketch and path tree of every text with a word; copies appear as often as they come."""
+
+def deeper(docs: DataFrame, large: DataFrame) -> DataFrame:
+    """(p, cls): the next paths of the sets in large buckets (p, cls), from their texts."""
+    per = large.groupBy("cls").agg(F.collect_list("p").alias("paths"))
 
     def run(b):
         sh = shingles([WORD.findall(t) for t in b["text"].to_pylist()])
-        return {"cls": b["cls"], "n": [len(s) for s in sh], "sketch": [sketch(s) for s in sh], "tree": [walk(s, runs) for s in sh]}
+        return {"cls": b["cls"], "paths": [steps(s, np.array(p, np.int64).view(np.uint64)).view(np.int64) for s, p in zip(sh, b["paths"].to_pylist())]}
 
-    leaf = "array<long>"
-    for _ in range(DEPTH - 1):
-        leaf = f"array<struct<p:long,kids:{leaf}>>"
-    return batches(docs.select("cls", "text"), run, f"cls long, n int, sketch binary, tree {leaf}")
+    return batches(docs.select("cls", "text").join(per, "cls"), run, "cls long, paths array<long>").select(F.explode("paths").alias("p"), "cls").distinct()
 
 
-def buckets(tree: DataFrame, small: int = SMALL) -> DataFrame:
-    """(path, cls, blocks): buckets of two sets or more, at the level where they are small, or at the last one."""
-    rows, out = tree.select("cls", F.inline("tree")), None
+def buckets(docs: DataFrame, first: DataFrame, small: int = SMALL) -> DataFrame:
+    """(p, cls, blocks): buckets of two sets or more, at the level where they are small, or at the last one."""
+    rows, out = first, None
     for level in range(DEPTH):
-        last = level == DEPTH - 1
         rows = stage(rows, "paths")
         size = stage(rows.groupBy("p").agg(F.count("*").alias("size")).where("size > 1"), "path-sizes")
         met = rows.join(size, "p")
+        large = size.where(F.col("size") > small)
+        last = level == DEPTH - 1 or large.isEmpty()
         here = met if last else met.where(F.col("size") <= small)
         here = here.select("p", "cls", F.ceil(F.col("size") / small).cast("int").alias("blocks"))
         out = here if out is None else out.unionByName(here)
-        if not last:
-            large = met.where(F.col("size") > small)
-            rows = large.select("cls", F.inline("kids")) if level < DEPTH - 2 else large.select("cls", F.explode("kids").alias("p"))
+        if last:
+            break
+        rows = deeper(docs, stage(rows.join(large.select("p"), "p", "left_semi"), "large-buckets"))
     return out
 
 
@@ -145,28 +144,48 @@ def in_blocks(rows: DataFrame, key: str) -> DataFrame:
             .withColumn("i", F.least("at", "other")).withColumn("j", F.greatest("at", "other")).drop("other", "blocks"))
 
 
-def near_sketches(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    """Forest of the pairs of a block pair whose sketches and sizes are near."""
-    pdf = pdf.drop_duplicates("cls")
-    i, j = int(key[1]), int(key[2])
+FEW = 64
+
+
+def near(bits: np.ndarray, n: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which pairs (a, b) are near by sketch and size; a and b broadcast."""
+    apart = np.zeros(np.broadcast_shapes(a.shape, b.shape), np.uint16)
+    for w in range(bits.shape[1]):
+        apart += np.bitwise_count(bits[a, w] ^ bits[b, w])
+    return (apart <= SLACK) & (np.minimum(n[a], n[b]) * 10 >= np.maximum(n[a], n[b]) * TENTHS)
+
+
+def near_sketches(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Forest of the near pairs of the buckets' block pairs that were dealt here together."""
+    pdf = pdf.drop_duplicates(["p", "i", "j", "cls"]).sort_values(["p", "i", "j"], kind="stable").reset_index(drop=True)
     bits = np.frombuffer(b"".join(pdf["sketch"]), np.uint64).reshape(len(pdf), BITS // 64)
-    n, at, ids = pdf["n"].to_numpy(np.int64), pdf["at"].to_numpy(), pdf["cls"].to_numpy()
-    left, right = np.flatnonzero(at == i), np.flatnonzero(at == j)
+    n, at, crossed = pdf["n"].to_numpy(np.int64), pdf["at"].to_numpy(), (pdf["i"] != pdf["j"]).to_numpy()
+    ids, node = np.unique(pdf["cls"].to_numpy(), return_inverse=True)
+    bucket = pdf.groupby(["p", "i", "j"], sort=False).ngroup().to_numpy()
+    begin, size = np.unique(bucket, return_index=True, return_counts=True)[1:]
     a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for k in range(0, len(left), 256):
-        x = left[k : k + 256]
-        apart = np.zeros((len(x), len(right)), np.uint16)
-        for w in range(bits.shape[1]):
-            apart += np.bitwise_count(bits[x, w][:, None] ^ bits[right, w][None, :])
-        near = apart <= SLACK
-        near &= (np.minimum(n[x][:, None], n[right]) * 10 >= np.maximum(n[x][:, None], n[right]) * TENTHS)
-        p, q = np.nonzero(near)
-        root = forest(len(pdf), x[p], right[q])  # of this stripe
-        child = np.flatnonzero(root != np.arange(len(pdf)))
-        a.append(child)
-        b.append(root[child])
-    root = forest(len(pdf), np.concatenate(a), np.concatenate(b))
-    child = np.flatnonzero(root != np.arange(len(pdf)))
+    # Small buckets all at once: rows d places apart, as long as they share a bucket.
+    some = np.flatnonzero(size[bucket] <= FEW)
+    for d in range(1, min(FEW, int(size[size <= FEW].max(initial=1)))):
+        x, y = some[:-d], some[d:]
+        both = (bucket[x] == bucket[y]) & (~crossed[x] | (at[x] != at[y]))
+        x, y = x[both], y[both]
+        ok = near(bits, n, x, y)
+        a.append(node[x[ok]])
+        b.append(node[y[ok]])
+    for k in np.flatnonzero(size > FEW):
+        rows = np.arange(begin[k], begin[k] + size[k])
+        i, j = pdf["i"][begin[k]], pdf["j"][begin[k]]
+        left, right = rows[at[rows] == i], rows[at[rows] == j]
+        for c in range(0, len(left), 256):
+            x = left[c : c + 256]
+            p, q = np.nonzero(near(bits, n, x[:, None], right[None, :]))
+            here, inv = np.unique(np.concatenate([node[x[p]], node[right[q]]]), return_inverse=True)
+            root = forest(len(here), inv[: len(p)], inv[len(p) :])  # of this stripe
+            a.append(here)
+            b.append(here[root])
+    root = forest(len(ids), np.concatenate(a), np.concatenate(b))
+    child = np.flatnonzero(root != np.arange(len(ids)))
     return pd.DataFrame({"a": ids[child], "b": ids[root[child]]})
 
 
@@ -206,10 +225,13 @@ def exact(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
 
 def candidates(docs: DataFrame, runs: int = RUNS, small: int = SMALL) -> DataFrame:
     """Components (id, root) of the sets whose sketches are near in some bucket."""
-    tree = stage(sets(docs, runs).dropDuplicates(["cls"]), "sets")
-    member = buckets(tree, small).join(tree.select("cls", "n", "sketch"), "cls")
-    edges = in_blocks(member, "p").groupBy("p", "i", "j").applyInPandas(near_sketches, "a long, b long")
-    return components(edges.distinct())
+    spark = docs.sparkSession
+    known = stage(sets(docs, runs).dropDuplicates(["cls"]), "sets")
+    member = buckets(docs, known.select(F.explode("paths").alias("p"), "cls"), small).join(known.select("cls", "n", "sketch"), "cls")
+    # Block pairs are dealt out together, a task's worth at a time: most are tiny.
+    deals = 16 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = in_blocks(member, "p").withColumn("deal", F.pmod(F.xxhash64("p", "i", "j"), F.lit(deals)))
+    return components(dealt.groupBy("deal").applyInPandas(near_sketches, "a long, b long").distinct())
 
 
 def assigned(docs: DataFrame, runs: int = RUNS, small: int = SMALL, block: int = BLOCK) -> DataFrame:

@@ -243,8 +243,8 @@ def repeats(docs: DataFrame, wide: int = WIDE, parts: int | None = None) -> Data
     full = unit.where("lone").join(kind.where("n > 1").select("core", "unit"), ["core", "unit"]).select("key", (F.col("c") - F.col("most")).alias("lo"), (F.col("c") - F.col("least")).alias("hi"))
     cores = kind.groupBy("core").agg(F.count("*").alias("kinds")).where("kinds > 1")
     border = stage(kind.join(cores, "core"), "border-units")
-    deal = F.pmod(F.xxhash64("core"), F.lit(parts)).alias("deal")
-    sorted_out = border.where(F.col("kinds") <= wide).groupBy(deal).applyInPandas(block, "key long, lo long, hi long")
+    deal = F.pmod(F.xxhash64("core"), F.lit(parts))
+    sorted_out = border.where(F.col("kinds") <= wide).withColumn("deal", deal).repartition(parts, "deal").groupBy("deal").applyInPandas(block, "key long, lo long, hi long")
     # A core with very many units: its windows one by one; equal ones are counted together.
     single = border.where(F.col("kinds") > wide).withColumn("d", F.explode(F.sequence("least", "most")))
     single = single.withColumn("text", F.concat(F.expr("substring(left, length(left) - d + 1, d)"), F.expr(f"substring(right, 1, {STEP - 1} - d)"))).select("core", "d", "text", "key", "c")
