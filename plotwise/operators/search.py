@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,18 +81,23 @@ def poi_distances(points: DataFrame, features: DataFrame, wanted: list[str]) ->
 def ranked_search(listings: DataFrame, features: DataFrame, intents: DataFrame, k: int = 20, most: int = 500) -> DataFrame:
     """Best k listings per intent by index, closeness to the requested categories and to an anchor.
 
-    Intents are request parameters: their number is checked and they travel as
-    literals, so every listing is scored where it lies and only k rows per intent
-    and task are shuffled. Hard matches (every requested category within reach)
+    Intents are request parameters and travel as literals, `most` of them in a
+    pass over the listings, so every listing is scored where it lies and only k
+    rows per intent and task are shuffled. Hard matches (every requested category within reach)
     are preferred; an intent without any is answered with soft ones (`relaxed`).
     `listings` needs kind, locality, amenities (array) and the scores.
     """
-    rows = intents.limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} intents; search them in portions")
+    rows = intents.collect()
+    passes = [_ranked_pass(listings, features, rows[i : i + most], k) for i in range(0, max(1, len(rows)), most)]
+    return reduce(DataFrame.unionByName, passes)
+
+
+def _ranked_pass(listings: DataFrame, features: DataFrame, rows: list, k: int) -> DataFrame:
+    """Best k listings of each of a few intents."""
     wanted = sorted({c for r in rows for c in (r["categories"] or [])})
     base = listings.where("lon is not null and lat is not null and composite is not null")
-    base = base.where(~(F.col("kind").isin("Casa", "Apartamento", "Apartaestudio") & (F.col("price") < 30_000_000)))
+    # A missing price is no placeholder: the row stays.
+    base = base.where(~F.coalesce(F.col("kind").isin("Casa", "Apartamento", "Apartaestudio") & (F.col("price") < 30_000_000), F.lit(False)))
     base = poi_distances(base, features, wanted) if wanted else base.withColumn("near", F.lit(None).cast("map<string,int>"))
     lit = F.from_json(F.lit(_json([r.asDict() for r in rows])), f"array<struct<{', '.join(c.replace(' ', ':', 1) for c in INTENT.split(', '))}>>")
     d = base.withColumn("q", F.explode(lit))

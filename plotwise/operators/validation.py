@@ -255,7 +255,7 @@ def convergent(df: DataFrame, index: str, stratum: str, price_m2: str) -> list[t
     d = complete_cases(df.select(index, stratum, price_m2), [index, stratum, price_m2])
     rho1, p1, n = spearman(d, index, stratum)
     rho2, p2, _ = spearman(d, index, price_m2)
-    groups = d.groupBy(stratum).agg(F.count("*").alias("n"), F.avg(index).alias("m"), F.var_pop(index).alias("v")).orderBy(stratum).limit(1001).collect()
+    groups = d.groupBy(stratum).agg(F.count("*").alias("n"), F.avg(index).alias("m"), F.var_pop(index).alias("v")).orderBy(stratum).collect()
     groups = [r for r in groups if r["n"] >= 5]
     N = sum(r["n"] for r in groups)
     mean = sum(r["n"] * r["m"] for r in groups) / N

@@ -210,8 +210,8 @@ _M = {"a": ("parque", 800), "b": None, "c": None}
 
 
 @query("sea_1_ranked_search", f"""b0 AS (SELECT *, ({case_sql(KIND_NAMES, "(CAST(substr(kind,1,1) AS INT)-1)")}) AS kn FROM scored WHERE lon IS NOT NULL),
-  n AS (SELECT a.id, min({HAV}) AS d FROM b0 a JOIN poi b ON b.category='parque' WHERE a.kn='Apartamento' GROUP BY 1), s AS (SELECT b0.id, CAST(round_even(d, 0) AS INT) AS d, composite FROM b0 JOIN n USING (id) WHERE NOT (price < 30000000)),
-  t AS (SELECT 'a' AS intent, id, round(composite/5.0e0*0.45e0 + greatest(0.0e0, 1-d/800.0e0)*0.40e0, 9) AS score FROM s WHERE d <= 800 UNION ALL SELECT 'b', id, round(composite/5.0e0*0.45e0, 9) FROM b0 WHERE kn='Casa' AND price <= 400000000 AND rooms >= 3 AND NOT (price < 30000000))
+  n AS (SELECT a.id, min({HAV}) AS d FROM b0 a JOIN poi b ON b.category='parque' WHERE a.kn='Apartamento' GROUP BY 1), s AS (SELECT b0.id, CAST(round_even(d, 0) AS INT) AS d, composite FROM b0 JOIN n USING (id) WHERE (price IS NULL OR price >= 30000000)),
+  t AS (SELECT 'a' AS intent, id, round(composite/5.0e0*0.45e0 + greatest(0.0e0, 1-d/800.0e0)*0.40e0, 9) AS score FROM s WHERE d <= 800 UNION ALL SELECT 'b', id, round(composite/5.0e0*0.45e0, 9) FROM b0 WHERE kn='Casa' AND price <= 400000000 AND rooms >= 3 AND (price IS NULL OR price >= 30000000))
   SELECT intent, id, score, row_number() OVER (PARTITION BY intent ORDER BY score DESC, id) AS rn FROM t QUALIFY rn <= 20""")
 def _(v):
     return search_hits(v)[1].where(c("intent").isin("a", "b")).select("intent", "id", "score", c("rn").cast("long").alias("rn"))

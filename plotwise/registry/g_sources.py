@@ -50,13 +50,12 @@ _SITE = "(['finca_raiz','finca_raiz','habi','properati','bancolombia_reo','sae',
 _KN = "(['Apartamento','Casa','Lote','Oficina','Local'])[CAST(substr(kind,1,1) AS INT)]"
 
 
-@query("cln_1_listing_normalizer", f"""SELECT code, {_SITE} AS site, CASE id%7 WHEN 3 THEN price//4200*4200 ELSE price END AS price, area, CASE WHEN id%7=1 AND rooms=0 THEN NULL ELSE rooms END AS rooms, baths, CASE id%7 WHEN 0 THEN nullif(garages, 0) WHEN 4 THEN garages WHEN 6 THEN garages END AS garages, CASE WHEN id%7 NOT IN (3,5) THEN stratum END AS stratum,
+@query("cln_1_listing_normalizer", f"""SELECT code, {_SITE} AS site, CASE id%7 WHEN 3 THEN price//4200*4200 ELSE price END AS price, area, rooms, baths, CASE id%7 WHEN 0 THEN nullif(garages, 0) WHEN 4 THEN garages WHEN 6 THEN garages END AS garages, CASE WHEN id%7 NOT IN (3,5) THEN stratum END AS stratum,
   CASE id%7 WHEN 2 THEN 'Apartamento' WHEN 3 THEN 'Casa' ELSE {_KN} END AS kind, (['Venta','Venta','Venta','Venta','REO','Subasta','Arriendo'])[CAST(id%7 AS INT)+1] AS operation, CASE id%7 WHEN 4 THEN concat(city, ', centro') ELSE place END AS place,
   lat, lon, CASE id%7 WHEN 0 THEN 'Piscina,Gas' WHEN 2 THEN 'Ascensor' ELSE '' END AS amenities FROM listing""")
 def _(v):
     d = ls.normalize_all(raw_documents(v))
-    rooms = F.when((c("site") == "finca_raiz") & (c("code").cast("long") % 7 == 1) & (c("rooms") == 0), None).otherwise(c("rooms"))
-    return d.select("code", "site", "price", "area", rooms.alias("rooms"), "baths", "garages", "stratum", "kind", "operation", "place", "lat", "lon", F.array_join("amenities", ",").alias("amenities"))
+    return d.select("code", "site", "price", "area", "rooms", "baths", "garages", "stratum", "kind", "operation", "place", "lat", "lon", F.array_join("amenities", ",").alias("amenities"))
 
 
 _COLL = ["apartamentos_venta", "casas_arriendo", "habi_newera", "properati_raw", "reo_raw", "sae_raw", "bogota_locales_venta"]

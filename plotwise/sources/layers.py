@@ -100,7 +100,7 @@ def checked(d: DataFrame) -> DataFrame:
 def poi_layer(features: DataFrame, category: str, source: str, keys: list[str] = NAME_KEYS, crs: str = "lonlat", missing: str = NO_NAME) -> DataFrame:
     """Points of interest with their check; keep `ok` rows, report the others."""
     d = checked(reproject(with_points(features), crs))
-    return d.select(F.substring(F.coalesce(first_key(keys), F.lit(missing)), 1, 200).alias("name"), F.lit(category).alias("category"), F.lit(source).alias("source"), "props", "lon", "lat", "ok")
+    return d.select(F.coalesce(first_key(keys), F.lit(missing)).alias("name"), F.lit(category).alias("category"), F.lit(source).alias("source"), "props", "lon", "lat", "ok")
 
 
 def csv_layer(spark: SparkSession, path: str, category: str, source: str, lat: str, lon: str, name: str, encoding: str = "UTF-8", keep: list[str] = ()) -> DataFrame:
@@ -112,7 +112,7 @@ def csv_layer(spark: SparkSession, path: str, category: str, source: str, lat: s
         return F.coalesce(*[F.when(F.col(f"`{c}`") != "", F.col(f"`{c}`")) for c in have]) if have else F.lit(None).cast("string")
 
     num = lambda c: F.replace(c, F.lit(","), F.lit(".")).try_cast("double")
-    d = raw.select(F.substring(F.coalesce(first([name, *CSV_NAMES]), F.lit(NO_NAME)), 1, 200).alias("name"), F.lit(category).alias("category"), F.lit(source).alias("source"),
+    d = raw.select(F.coalesce(first([name, *CSV_NAMES]), F.lit(NO_NAME)).alias("name"), F.lit(category).alias("category"), F.lit(source).alias("source"),
                    num(first([lon, *LON_COLUMNS])).alias("lon"), num(first([lat, *LAT_COLUMNS])).alias("lat"), *[F.col(f"`{k}`") for k in keep])
     return checked(d)
 

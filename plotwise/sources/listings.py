@@ -155,6 +155,7 @@ def freshness(docs: DataFrame, by: list[str], ts: str) -> DataFrame:
     return per.withColumn("latest_overall", top.select("t").scalar())
 
 
-def newest(df: DataFrame, where: Column, ts: str, ident: str, most: int = 10_000) -> DataFrame:
-    """Filtered rows, newest first, capped as the warehouse query is; the filter reaches the scan."""
-    return df.where(where).orderBy(F.desc(ts), ident).limit(most)
+def newest(df: DataFrame, where: Column, ts: str, ident: str, most: int | None = None) -> DataFrame:
+    """Filtered rows, newest first, only `most` of them if the caller says so; the filter reaches the scan."""
+    rows = df.where(where).orderBy(F.desc(ts), ident)
+    return rows if most is None else rows.limit(most)

@@ -24,23 +24,21 @@ def table_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return d
 
 
-def _run(writer, label: str, timeout: int = 600) -> None:
-    q = writer.trigger(availableNow=True).start()
-    if not q.awaitTermination(timeout):
-        q.stop()
-        raise TimeoutError(label)
+def _run(writer) -> None:
+    """Run until all that is there has been read, however long that takes."""
+    writer.trigger(availableNow=True).start().awaitTermination()
 
 
-def drain(df: DataFrame, label: str, mode: str = "append", timeout: int = 600) -> DataFrame:
+def drain(df: DataFrame, label: str, mode: str = "append") -> DataFrame:
     """Run a stream over what is there, into a table of the shared folder, and read that."""
     spark = df.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     path = fresh_path(spark, label)
-    _run(df.writeStream.format("parquet").outputMode(mode).option("path", path).option("checkpointLocation", path + "-progress"), label, timeout)
+    _run(df.writeStream.format("parquet").outputMode(mode).option("path", path).option("checkpointLocation", path + "-progress"))
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drain_batches(df: DataFrame, label: str, fn: Callable[[DataFrame, int], DataFrame], schema, timeout: int = 600) -> DataFrame:
+def drain_batches(df: DataFrame, label: str, fn: Callable[[DataFrame, int], DataFrame], schema) -> DataFrame:
     """Run `fn` on every micro-batch and keep its result, once per batch id however often a batch is replayed."""
     spark = df.sparkSession
     path = fresh_path(spark, label)
@@ -48,7 +46,7 @@ def drain_batches(df: DataFrame, label: str, fn: Callable[[DataFrame, int], Data
     def write(batch, i):
         fn(batch, i).write.mode("overwrite").parquet(f"{path}/batch={i}")
 
-    _run(df.writeStream.foreachBatch(write).option("checkpointLocation", path + "-progress"), label, timeout)
+    _run(df.writeStream.foreachBatch(write).option("checkpointLocation", path + "-progress"))
     return spark.read.schema(schema).parquet(path).drop("batch")
 
 
@@ -86,7 +84,7 @@ def change_audit(stream: DataFrame, key: str, fields: list[str], order: list[str
         newest = latest_per_key(rows, ["key"], F.struct("_new", "seq")).select(*schema.names)
         newest.write.mode("overwrite").parquet(f"{path}/snapshot/v={i}")
 
-    _run(d.writeStream.foreachBatch(write).option("checkpointLocation", path + "-progress"), label)
+    _run(d.writeStream.foreachBatch(write).option("checkpointLocation", path + "-progress"))
     out = "key string, ts timestamp, action string, field string, old string, new string"
     return spark.read.schema(out).parquet(f"{path}/changes").select("key", "ts", "action", "field", "old", "new")
 
