@@ -31,8 +31,9 @@ BUDGET, CEILING = 1.5, 2.0
 BUCKET, FAN = 2_000, 256
 
 
-def sizes(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("size", F.coalesce(F.regexp_count("text", F.lit(WORD_SQL)), F.lit(0)).cast("long"))
+def words():
+    """Number of words of a text."""
+    return F.coalesce(F.regexp_count("text", F.lit(WORD_SQL)), F.lit(0)).cast("long").alias("size")
 
 
 def ordered(sources: DataFrame) -> DataFrame:
@@ -145,14 +146,14 @@ def decide(sized: DataFrame, **how) -> DataFrame:
 
 def mix(docs: DataFrame, **how) -> DataFrame:
     """doc_id, size, source_size, target, taken, source, copies for every row."""
-    sized = stage(sizes(docs.select("doc_id", "text", "source")).select(F.col("doc_id").alias("id"), "source", "size"), "mix-sizes")
+    sized = stage(docs.select(F.col("doc_id").alias("id"), "source", words()), "mix-sizes")
     return decide(sized, **how).select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "copies")
 
 
 def mixture(docs: DataFrame, **how) -> DataFrame:
     """The mixed corpus itself: every row as often as the mix takes it, with its own columns."""
     row = F.xxhash64(*docs.columns)
-    sized = stage(sizes(docs).select(row.alias("id"), "source", "size"), "mix-sizes")
+    sized = stage(docs.select(row.alias("id"), "source", words()), "mix-sizes")
     per = stage(decide(sized, **how).groupBy(F.col("id").alias("_row")).agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows")).where("_copies > 0"), "mix-copies")
     joined = docs.withColumn("_row", row).join(per, "_row")
     # Equal rows share their copies, the first ones one more; the join has sorted them already.

@@ -147,7 +147,8 @@ class Solutions:
 
 
 def encode(docs: DataFrame, path: str = MODEL, hot: int = HOT, parts: int | None = None) -> DataFrame:
-    """docs with `ids`, an array of piece ids."""
+    """docs with `ids`, an array of piece ids, in place of a column of that name."""
+    docs = docs.drop("ids")
     spark, model = docs.sparkSession, Model(path)
     table = model.table(spark)
     hot_units = heavy_units(docs, hot)
@@ -215,7 +216,7 @@ def gather(s: Solutions, own: dict[str, int], more: np.ndarray, more_ends: np.nd
 def decode(coded: DataFrame, path: str = MODEL, into: str = "decoded") -> DataFrame:
     """coded with the text that its ids spell; broken byte runs become replacement characters."""
     held = coded.sparkSession.sparkContext.broadcast(Model(path).spelling())
-    names = coded.columns
+    names = [c for c in coded.columns if c != into]
 
     def run(b):
         table, size = held.value
@@ -224,7 +225,7 @@ def decode(coded: DataFrame, path: str = MODEL, into: str = "decoded") -> DataFr
         texts = [table[spread(first[x], size[x])].tobytes().decode("utf-8", "replace") for x in (ids[i:j] for i, j in zip(ends, ends[1:]))]
         return {**{c: b[c] for c in names}, into: [t[1:] if t.startswith(" ") else t for t in texts]}
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in coded.schema)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in coded.schema if f.name != into)
     return batches(coded, run, f"{schema}, {into} string")
 
 

@@ -116,8 +116,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine | N
     return Machine().fit([(np.array(r.idx, np.int64), np.array(r.val, np.float64)) for r in got], [r.quality for r in got])
 
 
-def score(docs: DataFrame, model: Machine | None) -> DataFrame:
-    """All columns of docs plus held_out, score and predicted."""
+def score(docs: DataFrame, model: Machine | None, into: str = "score") -> DataFrame:
+    """docs with the score of each row."""
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast(model)  # fixed size: 2**BITS slots
 
@@ -134,16 +134,16 @@ def score(docs: DataFrame, model: Machine | None) -> DataFrame:
     import pandas as pd
 
     run.__annotations__ = {"it": Iterator[tuple[pd.Series, pd.Series]], "return": Iterator[pd.Series]}
-    scored = docs.withColumn("score", pandas_udf(run, DoubleType())("text", F.col("n_chars").cast("double")))
-    return scored.withColumn("held_out", fold_of("doc_id", 3) == 1).withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0).cast("int"))
+    return docs.withColumn(into, pandas_udf(run, DoubleType())("text", F.col("n_chars").cast("double")))
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     clean = docs.select("doc_id", "text", "n_chars")
-    return score(clean, fit(clean, labels)).select("doc_id", "held_out", "score", "predicted")
+    scored = score(clean, fit(clean, labels))
+    return scored.select("doc_id", (fold_of("doc_id", 3) == 1).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).cast("int").alias("predicted"))
 
 
 def accepted(docs: DataFrame, labels: DataFrame, source: DataFrame | None = None) -> DataFrame:
     """The documents that the classifier does not reject, with their own columns."""
     model = fit(source if source is not None else docs, labels)
-    return score(docs, model).where("predicted = 1").select(*docs.columns)
+    return score(docs, model, "_quality").where("_quality >= 0.5").select(*docs.columns)

@@ -165,9 +165,9 @@ def scan_pattern(rule: Rule) -> Rule:
 
 
 def scan(docs: DataFrame, rules=RULES, key: str = "doc_id") -> DataFrame:
-    """docs with `found`: array of (start, rank, kind, end) by start, then rule order."""
+    """docs with `_found`: array of (start, rank, kind, end) by start, then rule order."""
     with_query = [r for r in rules if trigram_query(r.pattern)]
-    cand = candidates(docs, with_query, key).withColumnRenamed(key, "_key")
+    cand = candidates(docs, with_query, key).select(F.col(key).alias("_key"), F.col("kinds").alias("_kinds"))
     joined = docs.join(cand, docs[key].eqNullSafe(cand["_key"]), "left").drop("_key")
     text = F.coalesce(F.col("text"), F.lit(""))
     none = F.array().cast("array<struct<start:int,rank:int,kind:string,end:int>>")
@@ -175,11 +175,11 @@ def scan(docs: DataFrame, rules=RULES, key: str = "doc_id") -> DataFrame:
     def found(rank: int, rule: Rule) -> Column:
         got = F.transform(spans(scan_pattern(rule), text), lambda s: F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"), s["end"].alias("end")))
         # Rules without a query scan every text; positions are worked out only where something is found.
-        hit = F.array_contains("kinds", rule.kind) if rule in with_query else F.lit(True)
+        hit = F.array_contains("_kinds", rule.kind) if rule in with_query else F.lit(True)
         return F.when(hit & F.regexp_like(text, F.lit(scan_pattern(rule).pattern)), got).otherwise(none)
 
     parts = [found(*x) for x in enumerate(rules)]
-    return joined.withColumn("found", F.array_sort(F.concat(*parts))).drop("kinds")
+    return joined.withColumn("_found", F.array_sort(F.concat(*parts))).drop("_kinds")
 
 
 def text_of(found: Column) -> Column:
@@ -190,25 +190,25 @@ def report(docs: DataFrame, rules=RULES) -> DataFrame:
     """Per row: counts of the base kinds, digest of the base spans, all spans."""
     names = [r.kind for r in BASE]
     f = scan(docs.select("doc_id", "text"), rules)
-    base = F.filter("found", lambda s: s["kind"].isin(*names))
+    base = F.filter("_found", lambda s: s["kind"].isin(*names))
 
     def count(kind: str) -> Column:
-        return F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+        return F.size(F.filter("_found", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
     n = [count(k) for k in names]
-    return f.select("doc_id", *n, F.sha2(text_of(base), 256).alias("base_sha256"), text_of(F.col("found")).alias("spans"))
+    return f.select("doc_id", *n, F.sha2(text_of(base), 256).alias("base_sha256"), text_of(F.col("_found")).alias("spans"))
 
 
 def redact(docs: DataFrame, rules=RULES, mask: str = "[{}]") -> DataFrame:
     """docs with every span replaced by its kind; overlapping spans become the mask of the first one."""
     f = scan(docs, rules)
     out = F.aggregate(
-        "found",
+        "_found",
         F.struct(F.lit(0).alias("at"), F.lit("").alias("text")),
         lambda a, s: F.when(s["end"] <= a["at"], a).otherwise(F.struct(
             s["end"].alias("at"),
             F.concat(a["text"], F.when(s["start"] >= a["at"], F.concat(F.substring(F.col("text"), a["at"] + 1, s["start"] - a["at"]), F.format_string(mask.replace("{}", "%s"), s["kind"]))).otherwise(F.lit(""))).alias("text"))),
         lambda a: F.concat(a["text"], F.substring(F.col("text"), a["at"] + 1, F.length("text"))),
     )
-    changed = F.when(F.size("found") > 0, out).otherwise(F.col("text"))
+    changed = F.when(F.size("_found") > 0, out).otherwise(F.col("text"))
     return f.withColumn("text", changed).select(*docs.columns)

@@ -45,7 +45,9 @@ def test_quality_separates_held_out_rows(spark, docs, empty):
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in got.values()) and len(got) == len(rows)
     assert quality.classify(empty, lab).collect() == []
     assert {r.score for r in quality.classify(docs, lab.limit(0)).collect()} == {0.5}
-    assert quality.accepted(d, lab).columns == d.columns
+    clash = d.withColumns({"score": d.doc_id * 2, "predicted": d.doc_id, "_n": d.doc_id})
+    kept = quality.accepted(clash, lab)
+    assert kept.columns == clash.columns and all(r.score == r.doc_id * 2 for r in kept.collect() if r.doc_id is not None)
 
 
 @pytest.mark.parametrize("sample,block", [(20_000, 1024), (10, 7)])

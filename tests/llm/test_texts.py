@@ -136,6 +136,8 @@ def test_mixture_meets_targets(docs, empty):
         assert sum(r.size for r in v) == v[0].source_size and v[0].target <= 2 * v[0].source_size + 1e-9
         assert abs(sum(r.taken for r in v) - v[0].target) <= max(r.size for r in v)
     assert rows(mixing.mix(empty)) == [] and rows(mixing.mixture(empty)) == []
+    clash = rows(mixing.mixture(docs.withColumn("size", docs.doc_id)))
+    assert clash and all(r.size == r.doc_id for r in clash)
     mixed = rows(mixing.mixture(docs))
     assert sum(len(WORD.findall(r.text or "")) for r in mixed) > total
 
@@ -196,7 +198,7 @@ def best_segmentation(unit, model):
 
 @pytest.mark.parametrize("hot", [200_000, 3])
 def test_pieces_are_best_paths_and_decode_exactly(docs, hot):
-    d = docs.select("doc_id", "text").where("length(text) < 3000 OR text IS NULL")
+    d = docs.select("doc_id", "text", "ids").where("length(text) < 3000 OR text IS NULL")
     got = rows(pieces.decode(pieces.encode(d, hot=hot, parts=3)))
     assert len(got) == d.count()
     model = pieces.Model()
