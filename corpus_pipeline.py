@@ -34,8 +34,7 @@ def source_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def piece_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The columns of documents, the text as its ids decode, and the ids."""
-    coded = pieces.encode(docs)
-    return pieces.decode(coded.drop("text"), into="text").select(*docs.columns, "ids")
+    return pieces.encode(docs, decoded="text").select(*docs.columns, "ids")
 
 
 STAGES = [

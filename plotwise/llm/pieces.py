@@ -1,8 +1,10 @@
 """SentencePiece encoding and decoding through a relational lattice.
 
-A text, opened by one blank, is cut into units: a word with the blank before
-it, or a single white-space character; words beyond UNIT code points are cut
-there. All substrings of a unit up to the longest piece are exploded and equi-
+A text, opened by one blank, is cut into units: a run of marks (punctuation and
+digits, as listed in MARKS) or of other characters, each with the blank before
+it, or a single white-space character; runs beyond UNIT code points are cut
+there. The public vocabulary has no piece that joins a mark to another
+printing character, so the cut between the two costs no path. All substrings of a unit up to the longest piece are exploded and equi-
 joined to the piece table; the matches are the edges of the unit's lattice.
 Edges are grouped by unit and a higher-order aggregate folds them in order of
 their ends, keeping the best path to each position (Viterbi). A character that
@@ -35,8 +37,10 @@ from plotwise.llm.common import batches
 from plotwise.session import stage
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-UNIT, PIECE_COST, BYTE_COST, HOT, PER_TASK = 48, 10.0, 60.0, 200_000, 100_000
-UNITS = rf" ?[^ \t-\r]{{1,{UNIT}}}|[ \t-\r]"
+UNIT, PIECE_COST, BYTE_COST, HOT, PER_TASK = 48, 10.0, 60.0, 400_000, 100_000
+# Code points, not character classes, whose content differs between Java and Python.
+MARKS = r"!-@\[-`{-~\u00a1-\u00a9\u00ab-\u00b4\u00b6-\u00b9\u00bb-\u00bf\u2010-\u206f\u3001-\u303f"
+UNITS = rf" ?[^ \t-\r{MARKS}]{{1,{UNIT}}}| ?[{MARKS}]{{1,{UNIT}}}|[ \t-\r]"
 UNITS_PY = re.compile(UNITS)
 
 
@@ -74,16 +78,15 @@ class Model:
 
 def best_path(edges: Column) -> Column:
     """Ids of the best path through edges (end, start, score, ids); on ties the longer last piece."""
-    node = "struct<score:double,ids:array<int>>"
-    begin = F.array(F.struct(F.lit(0.0).alias("score"), F.array().cast("array<int>").alias("ids")).cast(node))
+    begin = F.array(F.struct(F.lit(0.0).alias("score"), F.array().cast("array<int>").alias("ids"))).cast("array<struct<score:double,ids:array<int>>>")
 
     def step(best: Column, e: Column) -> Column:
-        back = F.element_at(best, e["start"] + 1)
+        back, last = F.get(best, e["start"]), F.get(best, e["end"])
         score = back["score"] + e["score"]
-        here = F.array(F.struct(score.alias("score"), F.concat(back["ids"], e["ids"]).alias("ids")).cast(node))
-        return F.when(F.size(best) <= e["end"], F.concat(best, here)).when(score > F.element_at(best, -1)["score"], F.concat(F.slice(best, F.lit(1), e["end"]), here)).otherwise(best)
+        here = F.array(F.struct(score.alias("score"), F.concat(back["ids"], e["ids"]).alias("ids")))
+        return F.when(last.isNull(), F.concat(best, here)).when(score > last["score"], F.concat(F.slice(best, F.lit(1), e["end"]), here)).otherwise(best)
 
-    return F.aggregate(F.array_sort(edges), begin, step, lambda best: F.element_at(best, -1)["ids"])
+    return F.aggregate(F.sort_array(edges), begin, step, lambda best: F.element_at(best, -1)["ids"])
 
 
 def lattice(units: DataFrame, table: DataFrame, model: Model, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -115,8 +118,9 @@ def heavy_units(docs: DataFrame, most: int = HOT, per_task: int = PER_TASK) -> D
             for t in b["text"].to_pylist():
                 if t is not None:
                     seen.update(UNITS_PY.findall(" " + t))
-            if len(seen) > 10 * per_task:  # bounded memory: light units make room
-                seen = Counter(dict(seen.most_common(5 * per_task)))
+                if len(seen) > 4 * per_task:  # bounded memory: light units make room
+                    least = np.partition(np.fromiter(seen.values(), np.int64, len(seen)), -2 * per_task)[-2 * per_task]
+                    seen = Counter({u: n for u, n in seen.items() if n > least})
         top = seen.most_common(per_task)
         yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], names=["unit", "n"])
 
@@ -140,20 +144,22 @@ class Solutions:
             ids = self.table["ids"].combine_chunks()
             self.flat, self.ends = ids.flatten().to_numpy(), ids.offsets.to_numpy()
             self.index = {u: i for i, u in enumerate(self.table["unit"].to_pylist())}
+            self.table = None  # a worker's copy; the driver never opens its own
         return self
 
     def __getstate__(self):
         return {"table": self.table, "index": None}
 
 
-def encode(docs: DataFrame, path: str = MODEL, hot: int = HOT, parts: int | None = None) -> DataFrame:
-    """docs with `ids`, an array of piece ids, in place of a column of that name."""
-    docs = docs.drop("ids")
+def encode(docs: DataFrame, path: str = MODEL, hot: int = HOT, parts: int | None = None, decoded: str | None = None) -> DataFrame:
+    """docs with `ids`, an array of piece ids, and on request the text these spell, in place of columns of those names."""
+    docs = docs.drop("ids", *([decoded] if decoded not in (None, "text") else []))
     spark, model = docs.sparkSession, Model(path)
     table = model.table(spark)
     hot_units = heavy_units(docs, hot)
     solved = lattice(hot_units, table, model).toArrow()  # at most `hot` units of UNIT code points
     held = spark.sparkContext.broadcast(Solutions(solved))
+    letters = spark.sparkContext.broadcast(model.spelling())
     # Small partitions: the units of one are grouped in memory, so no edge is sorted.
     spark.conf.set("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "200000")
     parts = parts or 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -178,10 +184,18 @@ def encode(docs: DataFrame, path: str = MODEL, hot: int = HOT, parts: int | None
         for i, text in enumerate(b["text"].to_pylist()):
             own = {names_[k]: k for k in range(ends[i], ends[i + 1])} if valid[i] else {}
             out.append(np.zeros(0, np.int32) if text is None else gather(s, own, more, more_ends, UNITS_PY.findall(" " + text)))
-        return {**{c: b[c] for c in names}, "ids": listed(out)}
+        spelt = {} if decoded is None else {decoded: spell(*letters.value, out)}
+        return {**{c: b[c] for c in names}, "ids": listed(out), **spelt}
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return batches(joined, assemble, f"{schema}, ids array<int>")
+    return batches(joined, assemble, f"{schema}, ids array<int>" + (f", {decoded} string" if decoded not in (None, "text") else ""))
+
+
+def spell(table: np.ndarray, size: np.ndarray, arrays: list[np.ndarray]) -> list[str]:
+    """The text of each array of ids, without the blank that opened it."""
+    first = np.cumsum(size) - size
+    texts = (table[spread(first[x], size[x])].tobytes().decode("utf-8", "replace") for x in arrays)
+    return [t[1:] if t.startswith(" ") else t for t in texts]
 
 
 def listed(arrays: list[np.ndarray]):
@@ -219,11 +233,8 @@ def decode(coded: DataFrame, path: str = MODEL, into: str = "decoded") -> DataFr
     names = [c for c in coded.columns if c != into]
 
     def run(b):
-        table, size = held.value
         ends, ids = b["ids"].offsets.to_numpy(), b["ids"].values.to_numpy()
-        first = np.cumsum(size) - size
-        texts = [table[spread(first[x], size[x])].tobytes().decode("utf-8", "replace") for x in (ids[i:j] for i, j in zip(ends, ends[1:]))]
-        return {**{c: b[c] for c in names}, into: [t[1:] if t.startswith(" ") else t for t in texts]}
+        return {**{c: b[c] for c in names}, into: spell(*held.value, [ids[i:j] for i, j in zip(ends, ends[1:])])}
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in coded.schema if f.name != into)
     return batches(coded, run, f"{schema}, {into} string")
@@ -231,5 +242,5 @@ def decode(coded: DataFrame, path: str = MODEL, into: str = "decoded") -> DataFr
 
 def round_trip(docs: DataFrame, path: str = MODEL) -> DataFrame:
     """doc_id, n_tokens, a hash of the ids, and whether they decode to the text."""
-    done = decode(encode(docs.select("doc_id", "text"), path), path)
+    done = encode(docs.select("doc_id", "text"), path, decoded="decoded")
     return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.xxhash64("ids").alias("ids_hash"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
