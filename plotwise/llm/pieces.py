@@ -19,8 +19,8 @@ most HOT units, whose solutions are small enough to broadcast. All other units
 of a text get their own lattice in the text's partition; texts are dealt out
 once, by row hash, and every later grouping and join reuses that.
 
-A null text has no ids and decodes to the empty text. Repeated rows share a
-hash and a solution and are all returned; other columns are passed through.
+A null text has no ids and decodes to the empty text. Rows equal in
+all columns share a hash and a solution and are all returned; other columns are passed through.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from itertools import chain
+from itertools import repeat
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -37,7 +37,7 @@ from plotwise.llm.common import batches
 from plotwise.session import stage
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-UNIT, PIECE_COST, BYTE_COST, HOT, PER_TASK = 48, 10.0, 60.0, 400_000, 100_000
+UNIT, PIECE_COST, BYTE_COST, HOT, PER_TASK, HELD = 48, 10.0, 60.0, 400_000, 100_000, 1 << 24
 # Code points, not character classes, whose content differs between Java and Python.
 MARKS = r"!-@\[-`{-~\u00a1-\u00a9\u00ab-\u00b4\u00b6-\u00b9\u00bb-\u00bf\u2010-\u206f\u3001-\u303f"
 UNITS = rf" ?[^ \t-\r{MARKS}]{{1,{UNIT}}}| ?[{MARKS}]{{1,{UNIT}}}|[ \t-\r]"
@@ -110,18 +110,33 @@ def lattice(units: DataFrame, table: DataFrame, model: Model, keys: tuple[str, .
 def heavy_units(docs: DataFrame, most: int = HOT, per_task: int = PER_TASK) -> DataFrame:
     """At most `most` frequent units. Every task counts all its texts and reports its heaviest."""
 
+    def lighter(units: Counter) -> Counter:
+        """Bounded memory: light units make room."""
+        if len(units) <= 4 * per_task:
+            return units
+        least = np.partition(np.fromiter(units.values(), np.int64, len(units)), -2 * per_task)[-2 * per_task]
+        return Counter({u: n for u, n in units.items() if n > least})
+
+    def cut(words: Counter, units: Counter) -> Counter:
+        """Adds the units of blank-separated words; no unit reaches over a blank, so each word is cut once."""
+        for w, n in words.items():
+            for u in UNITS_PY.findall(" " + w):
+                units[u] += n
+        words.clear()
+        return lighter(units)
+
     def count(it):
         import pyarrow as pa
 
-        seen: Counter = Counter()
+        words, units, held = Counter(), Counter(), 0
         for b in it:
             for t in b["text"].to_pylist():
                 if t is not None:
-                    seen.update(UNITS_PY.findall(" " + t))
-                if len(seen) > 4 * per_task:  # bounded memory: light units make room
-                    least = np.partition(np.fromiter(seen.values(), np.int64, len(seen)), -2 * per_task)[-2 * per_task]
-                    seen = Counter({u: n for u, n in seen.items() if n > least})
-        top = seen.most_common(per_task)
+                    words.update(t.split(" "))
+                    held += len(t)
+                    if held > HELD:
+                        units, held = cut(words, units), 0
+        top = cut(words, units).most_common(per_task)
         yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], names=["unit", "n"])
 
     counts = stage(docs.select("text").mapInArrow(count, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n")), "unit-counts")
@@ -163,8 +178,10 @@ def encode(docs: DataFrame, path: str = MODEL, hot: int = HOT, parts: int | None
     # Small partitions: the units of one are grouped in memory, so no edge is sorted.
     spark.conf.set("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "200000")
     parts = parts or 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Dealt by whole rows, not by texts: the copies of a text are spread. Maps have no hash.
+    hashed = [f.name for f in docs.schema if not any(k in f.dataType.simpleString() for k in ("map<", "variant"))]
     # Both uses of the texts read one and the same exchange: a whole row is one value, of which no column is pruned.
-    dealt = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("_row"), F.array(F.struct(*docs.columns)).alias("_doc")).repartition(parts, "_row")
+    dealt = docs.select(F.xxhash64(*hashed).alias("_row"), F.array(F.struct(*docs.columns)).alias("_doc")).repartition(parts, "_row")
     column = lambda c: F.element_at("_doc", 1)[c]
     units = F.array_distinct(F.regexp_extract_all(F.concat(F.lit(" "), column("text")), F.lit(UNITS), F.lit(0)))
     cold = dealt.select("_row", F.explode(units).alias("unit")).join(F.broadcast(hot_units), "unit", "left_anti").distinct()
@@ -214,8 +231,9 @@ def spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
 def gather(s: Solutions, own: dict[str, int], more: np.ndarray, more_ends: np.ndarray, units: list[str]) -> np.ndarray:
     """Ids of a text's units in order: hot ones from the flat array, the rest from the cold list."""
     index, base = s.index, len(s.index)
-    at = np.fromiter((index[u] if u in index else base + own[u] for u in units), np.int64, len(units))
-    hot = at < base
+    at = np.fromiter(map(index.get, units, repeat(-1)), np.int64, len(units))
+    hot = at >= 0
+    at[~hot] = [base + own[units[k]] for k in np.flatnonzero(~hot).tolist()]
     size, begin = np.empty(len(at), np.int64), np.empty(len(at), np.int64)
     h, c = at[hot], at[~hot] - base
     size[hot], begin[hot] = s.ends[h + 1] - s.ends[h], s.ends[h]
