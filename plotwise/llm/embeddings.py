@@ -5,12 +5,19 @@ of residuals are fitted on a documented sample; every class is filed in the
 inverted list of its nearest centroid with its codes and its own quantisation
 error.
 
-A query probes every list that can hold a neighbour: a vector within r of q
-that is filed under c rather than q's own c* lies beyond their bisector, so
-(|q-c|^2 - |q-c*|^2) / (2 |c-c*|) <= r. Inside a list, the table-lookup distance
-differs from the true one by no more than the stored error, so what exceeds
-r + error is no neighbour; the rest is reranked by exact cosine in double
-precision. Neither step loses a pair: recall is 1 up to rounding.
+A vector within r of q that is filed under c rather than q's own c* lies beyond
+their bisector, which is (|q-c|^2 - |q-c*|^2) / (2 |c-c*|) away from q. A difference
+of length r that favours no direction has a deviation of r / sqrt(k) along any
+one, k being the effective dimension of the residuals. A query therefore probes
+the lists whose bisector is within DEVIATIONS such deviations: at three, one
+direction misses at most 0.13 % of the pairs at the very limit and fewer of the
+closer ones. A pair counts for both its vectors if either one probes the other's
+list. With `deviations=None` the margin is r itself, which loses no pair but
+probes a fixed share of all lists.
+
+Inside a list, the table-lookup distance differs from the true one by no more
+than the stored error, so what exceeds r + error is no neighbour; the rest is
+reranked by exact cosine in double precision. This step loses no pair.
 
 Lists and their queries are cut into blocks, so a hot list is many groups of
 bounded size. A group gives back sums of links and a spanning forest, never
@@ -24,6 +31,8 @@ ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from functools import cached_property
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -31,7 +40,7 @@ from pyspark.sql import DataFrame, functions as F
 from plotwise.llm.common import batches, components, forest, thin
 from plotwise.session import stage
 
-COSINE, SAMPLE, SUBSPACES, CODES, BLOCK, MOST_LISTS, STEPS, SEED = 0.95, 20_000, 8, 256, 1024, 4096, 8, 3
+COSINE, SAMPLE, SUBSPACES, CODES, BLOCK, MOST_LISTS, STEPS, SEED, DEVIATIONS = 0.95, 20_000, 8, 256, 1024, 4096, 8, 3, 3.0
 
 
 def kmeans(x: np.ndarray, k: int, steps: int = STEPS, seed: int = SEED) -> np.ndarray:
@@ -62,23 +71,36 @@ def nearest(x: np.ndarray, c: np.ndarray, size: int = 2048) -> tuple[np.ndarray,
 class Quantiser:
     """Coarse centroids and residual codebooks over unit vectors of one length."""
 
-    def __init__(self, x: np.ndarray, lists: int, subspaces: int = SUBSPACES):
+    def __init__(self, x: np.ndarray, lists: int, subspaces: int = SUBSPACES, deviations: float | None = DEVIATIONS):
         self.coarse = kmeans(x, lists)
         self.cut = np.array_split(np.arange(x.shape[1]), min(subspaces, x.shape[1]))
         rest = x - self.coarse[nearest(x, self.coarse)[0]]
         self.books = [kmeans(np.ascontiguousarray(rest[:, s]), CODES) for s in self.cut]
+        self.margin = reach()
+        if deviations is not None:
+            c = rest.T.astype(np.float64) @ rest
+            k = max(1.0, np.trace(c) ** 2 / max((c * c).sum(), 1e-300))
+            self.margin = min(self.margin, deviations * self.margin / k**0.5)
+
+    @cached_property
+    def apart(self) -> np.ndarray:
+        """Distances between centroids, computed once per worker."""
+        return np.sqrt(squares(self.coarse, self.coarse))
 
     def encode(self, x: np.ndarray):
         """List, codes and error of each vector, and the lists it has to probe."""
-        d = squares(x, self.coarse)
-        at = d.argmin(1)
+        at, probes = np.zeros(len(x), np.int64), []
+        for i in range(0, len(x), 1024):
+            d = squares(x[i : i + 1024], self.coarse)
+            own = d.argmin(1)
+            at[i : i + 1024] = own
+            bound = d - d[np.arange(len(d)), own][:, None] <= 2 * self.apart[own] * (self.margin + 1e-4) + 1e-5
+            probes += [np.flatnonzero(b) for b in bound]
         rest = x - self.coarse[at]
         codes = np.stack([nearest(np.ascontiguousarray(rest[:, s]), b)[0] for s, b in zip(self.cut, self.books)], axis=1)
         back = np.concatenate([b[codes[:, j]] for j, b in enumerate(self.books)], axis=1)
         error = np.sqrt(((rest[:, np.concatenate(self.cut)] - back) ** 2).sum(1))
-        apart = np.sqrt(squares(self.coarse, self.coarse))[at]
-        bound = (d - d[np.arange(len(x)), at][:, None]) <= 2 * apart * (reach() + 1e-4) + 1e-5
-        return at, codes.astype(np.uint8), error, [np.flatnonzero(b) for b in bound]
+        return at, codes.astype(np.uint8), error, probes
 
     def lookup(self, q: np.ndarray, at: int, codes: np.ndarray) -> np.ndarray:
         """Distances of queries to coded members of list `at`: a table per query and subspace, summed over the codes."""
@@ -100,33 +122,43 @@ def unit(v: np.ndarray) -> np.ndarray:
 
 
 def pairs_of(left: pd.DataFrame, right: pd.DataFrame, at: int, model: Quantiser) -> pd.DataFrame:
-    """Links between members (left) and queries (right) of one block of list `at`."""
+    """Links between members (left) and queries (right) of one block of list `at`.
+
+    A pair whose member probes the query's list too is met there again, so it counts here for the query alone.
+    """
     y = np.stack([np.frombuffer(v, np.float32) for v in left["vec"]])
     x = np.stack([np.frombuffer(v, np.float32) for v in right["r_vec"]])
     codes, error = np.stack([np.frombuffer(c, np.uint8) for c in left["codes"]]), left["error"].to_numpy(np.float32)
-    yu, xu, ids, qids, n = unit(y), unit(x), left["cls"].to_numpy(), right["r_cls"].to_numpy(), left["n"].to_numpy()
-    links, ei, ej = np.zeros(len(qids), np.int64), [], []
+    yu, xu, ids, qids, n, qn, home = unit(y), unit(x), left["cls"].to_numpy(), right["r_cls"].to_numpy(), left["n"].to_numpy(), right["r_n"].to_numpy(), right["r_home"].to_numpy()
+    back = np.zeros((len(ids), len(model.coarse)), bool)
+    for i, probes in enumerate(left["probes"]):
+        back[i, probes] = True
+    links, theirs, ei, ej = np.zeros(len(qids), np.int64), np.zeros(len(ids), np.int64), [], []
     for i in range(0, len(xu), 128):
         near = model.lookup(xu[i : i + 128].astype(np.float32), at, codes) <= error + np.float32(reach() + 1e-3)
         a, b = np.nonzero(near)
         for k in range(0, len(a), 1 << 17):
             p, q = a[k : k + (1 << 17)] + i, b[k : k + (1 << 17)]
             ok = (np.einsum("ij,ij->i", xu[p], yu[q]) >= COSINE) & (qids[p] != ids[q])
-            np.add.at(links, p[ok], n[q[ok]])
+            p, q = p[ok], q[ok]
+            once = ~back[q, home[p]]
+            np.add.at(links, p, n[q])
+            np.add.at(theirs, q[once], qn[p[once]])
             # Only a spanning forest of this part's links is kept.
-            both, inv = np.unique(np.concatenate([qids[p[ok]], ids[q[ok]]]), return_inverse=True)
+            both, inv = np.unique(np.concatenate([qids[p], ids[q]]), return_inverse=True)
             m = len(inv) // 2
             root = forest(len(both), inv[:m], inv[m:])
             child = np.flatnonzero(root != np.arange(len(both)))
             ei.append(both[child])
             ej.append(both[root[child]])
-    some = links > 0
+    some, others = links > 0, theirs > 0
     none = np.zeros(0, np.int64)
     a, b = np.concatenate([none, *ei]), np.concatenate([none, *ej])
-    return pd.DataFrame({"a": np.concatenate([qids[some], a]), "b": np.concatenate([qids[some], b]), "links": np.concatenate([links[some], np.zeros(len(a), np.int64)])})
+    own = np.concatenate([qids[some], ids[others]])
+    return pd.DataFrame({"a": np.concatenate([own, a]), "b": np.concatenate([own, b]), "links": np.concatenate([links[some], theirs[others], np.zeros(len(a), np.int64)])})
 
 
-def links(reps: DataFrame, dim: int, sample: int = SAMPLE) -> DataFrame | None:
+def links(reps: DataFrame, dim: int, sample: int = SAMPLE, deviations: float | None = DEVIATIONS) -> DataFrame:
     """(a, b, links): sums of links of class a where a = b, else an edge of a spanning forest."""
     spark = reps.sparkSession
     mine = reps.where(F.col("dim") == dim)
@@ -136,7 +168,7 @@ def links(reps: DataFrame, dim: int, sample: int = SAMPLE) -> DataFrame | None:
         got = sorted(mine.select("cls", "vec").limit(1).collect())
     lists = int(max(1, min(MOST_LISTS, len(got) // 4 or 1, total**0.5)))
     x = unit(np.array([r.vec for r in got])).astype(np.float32)
-    model = Quantiser(x, lists)
+    model = Quantiser(x, lists, deviations=deviations)
     held = spark.sparkContext.broadcast(model)  # at most MOST_LISTS + CODES vectors
 
     def code(b):
@@ -151,9 +183,9 @@ def links(reps: DataFrame, dim: int, sample: int = SAMPLE) -> DataFrame | None:
     blocks = F.broadcast(blocks)  # a row a list
     salt = lambda n: F.pmod(F.xxhash64("cls"), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = coded.join(blocks, "list").withColumn("m", salt("mb")).withColumn("q", each("qb")).select("list", "m", "q", "cls", "n", "vec", "codes", "error")
-    right = coded.select("cls", "vec", F.explode("probes").alias("list")).join(blocks, "list").withColumn("q", salt("qb")).withColumn("m", each("mb"))
-    right = right.select(*[F.col(c).alias(f"r_{c}") for c in ("list", "m", "q", "cls", "vec")])
+    left = coded.join(blocks, "list").withColumn("m", salt("mb")).withColumn("q", each("qb")).select("list", "m", "q", "cls", "n", "vec", "codes", "error", "probes")
+    right = coded.select("cls", "n", "vec", F.col("list").alias("home"), F.explode("probes").alias("list")).join(blocks, "list").withColumn("q", salt("qb")).withColumn("m", each("mb"))
+    right = right.select(*[F.col(c).alias(f"r_{c}") for c in ("list", "m", "q", "cls", "n", "vec", "home")])
 
     def meet(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
@@ -163,7 +195,7 @@ def links(reps: DataFrame, dim: int, sample: int = SAMPLE) -> DataFrame | None:
     return left.groupBy("list", "m", "q").cogroup(right.groupBy("r_list", "r_m", "r_q")).applyInPandas(meet, "a long, b long, links long")
 
 
-def near_duplicates(vectors: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def near_duplicates(vectors: DataFrame, sample: int = SAMPLE, deviations: float | None = DEVIATIONS) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row."""
     v = vectors.select("vec_id", F.col("embedding").cast("array<float>").alias("vec"))
     bad = F.coalesce(F.exists("vec", lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf"))), F.lit(True)) | ~F.coalesce(F.exists("vec", lambda e: e != 0), F.lit(False))
@@ -171,7 +203,7 @@ def near_duplicates(vectors: DataFrame, sample: int = SAMPLE) -> DataFrame:
     reps = stage(v.where("cls IS NOT NULL").groupBy("cls").agg(F.count("*").alias("n"), F.min("vec_id").alias("low"), F.first("vec").alias("vec")).withColumn("dim", F.size("vec")), "pq-classes")
     found = None
     for (dim,) in sorted(reps.select("dim").distinct().collect()):
-        part = links(reps, dim, sample)
+        part = links(reps, dim, sample, deviations)
         found = part if found is None else found.unionByName(part)
     if found is None:
         return v.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))

@@ -77,6 +77,21 @@ def test_vector_links_equal_all_pairs(spark, monkeypatch, sample, block):
     assert got == sorted(want, key=str)
 
 
+def test_vector_probes_find_nearly_all_links(spark):
+    """Many lists, so that most links cross lists; the full margin finds all, the default one at least 99 %."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(1500, 32)).astype(np.float32)
+    x[500:1000] = x[:500] + rng.normal(size=(500, 32)).astype(np.float32) * 0.22
+    x[1000:] = x[0] + rng.normal(size=(500, 32)).astype(np.float32) * 0.2
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    u = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1)[:, None]
+    want = (u @ u.T >= 0.95).sum(1) - 1
+    got = {m: np.array([r.n_links for r in embeddings.near_duplicates(d, deviations=m).orderBy("vec_id").collect()]) for m in (None, embeddings.DEVIATIONS)}
+    assert (got[None] == want).all()
+    near = got[embeddings.DEVIATIONS]
+    assert (near <= want).all() and near.sum() >= 0.99 * want.sum() and near.sum() % 2 == 0
+
+
 def test_no_vectors(spark):
     assert embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
 
