@@ -11,6 +11,7 @@ from plotwise.session import STAGED, configure, stage
 
 WORD = re.compile(r"[^ \t-\r]+")
 WORD_SQL = r"[^\x20\x09-\x0D]+"
+FEW_GROUPS = 10_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,7 +30,8 @@ def thin(df: DataFrame, keys: list[str], bound: int, groups: list[str] | None =
     """
     h = (F.xxhash64(*keys).bitwiseAND(F.lit((1 << 30) - 1)) / float(1 << 30))
     if groups:
-        n = df.groupBy(*groups).agg(F.count("*").alias("_n"))
+        n = stage(df.groupBy(*groups).agg(F.count("*").alias("_n")), "thin")
+        n = F.broadcast(n) if n.count() <= FEW_GROUPS else n  # else the rows are shuffled by group
         return df.join(n, groups).where(h * F.col("_n") < bound).drop("_n")
     n = df.count()
     return df.where(h * float(n) < bound)
