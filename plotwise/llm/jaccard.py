@@ -69,17 +69,10 @@ _B = _RNG.integers(0, 1 << 63, BITS, dtype=np.uint64)
 
 
 def sketch(s: np.ndarray) -> bytes:
-    """One bit of each of BITS minima; large sets use one permutation in BITS bins."""
-    if len(s) < BITS:
-        low = (s[:, None] * _A + _B).min(0)
-    else:
-        bins = (s >> np.uint64(56)).astype(np.int64)
-        low = np.full(BITS, np.iinfo(np.uint64).max)
-        np.minimum.at(low, bins, mixed(s, 99))
-        full = np.flatnonzero(low != np.iinfo(np.uint64).max)
-        empty = np.flatnonzero(low == np.iinfo(np.uint64).max)
-        if len(empty):  # an empty bin takes after the next full one
-            low[empty] = mixed(low[full[np.searchsorted(full, empty) % len(full)]] + empty.astype(np.uint64), 7)
+    """One bit of each of BITS minima, each by a permutation of its own; sets of all sizes can be compared."""
+    low = np.full(BITS, np.iinfo(np.uint64).max)
+    for k in range(0, len(s), 256):
+        low = np.minimum(low, (s[k : k + 256, None] * _A + _B).min(0))
     return np.packbits((mixed(low, 3) & np.uint64(1)).astype(np.uint8)).tobytes()
 
 

@@ -56,6 +56,20 @@ def test_one_row_of_a_class_stays(docs, empty):
     assert rows(jaccard.classes(empty)) == [] and rows(jaccard.representatives(empty)) == []
 
 
+SIZES = [(255, 256), (250, 262), (210, 256), (240, 280), (300, 330), (5000, 5060)]
+
+
+def test_near_pairs_of_all_sizes_link(spark):
+    texts = []
+    for k, (n, m) in enumerate(SIZES):
+        w = [f"w{k}x{i}" for i in range(m + 4)]
+        texts += [" ".join(w[: n + 4]), " ".join(w)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted((r.doc_id, r.class_id, r.n_links) for r in rows(jaccard.classes(d)))
+    assert got == sorted(plain_classes(d)[0]) == [(i, i - i % 2, 1) for i in range(len(texts))]
+    assert jaccard.representatives(d).count() == len(SIZES)
+
+
 def plain_repeats(datas):
     seen = Counter(d[i : i + 200] for d in datas for i in range(len(d) - 199))
     out = []
