@@ -6,14 +6,13 @@ inverted list of its nearest centroid with its codes and its own quantisation
 error.
 
 A vector within r of q that is filed under c rather than q's own c* lies beyond
-their bisector, which is (|q-c|^2 - |q-c*|^2) / (2 |c-c*|) away from q. A difference
-of length r that favours no direction has a deviation of r / sqrt(k) along any
-one, k being the effective dimension of the residuals. A query therefore probes
-the lists whose bisector is within DEVIATIONS such deviations: at three, one
-direction misses at most 0.13 % of the pairs at the very limit and fewer of the
-closer ones. A pair counts for both its vectors if either one probes the other's
-list. With `deviations=None` the margin is r itself, which loses no pair but
-probes a fixed share of all lists.
+their bisector, which is (|q-c|^2 - |q-c*|^2) / (2 |c-c*|) away from q. A query
+therefore probes the lists whose bisector is within r, which loses no pair but
+probes a large share of all lists. A pair counts for both its vectors if either
+one probes the other's list. On request (`deviations`) the margin is that many
+deviations r / sqrt(k) of a difference that favours no direction, k being the
+effective dimension of the residuals; this loses links between dense groups
+whose centroids lie further apart than that.
 
 Inside a list, the table-lookup distance differs from the true one by no more
 than the stored error, so what exceeds r + error is no neighbour; the rest is
@@ -40,7 +39,7 @@ from pyspark.sql import DataFrame, functions as F
 from plotwise.llm.common import batches, components, forest, thin
 from plotwise.session import stage
 
-COSINE, SAMPLE, SUBSPACES, CODES, BLOCK, MOST_LISTS, STEPS, SEED, DEVIATIONS = 0.95, 20_000, 8, 256, 1024, 4096, 8, 3, 3.0
+COSINE, SAMPLE, SUBSPACES, CODES, BLOCK, MOST_LISTS, STEPS, SEED, DEVIATIONS = 0.95, 20_000, 8, 256, 1024, 4096, 8, 3, None
 
 
 def kmeans(x: np.ndarray, k: int, steps: int = STEPS, seed: int = SEED) -> np.ndarray:

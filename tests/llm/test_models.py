@@ -92,6 +92,19 @@ def test_vector_probes_find_nearly_all_links(spark):
     assert (near <= want).all() and near.sum() >= 0.99 * want.sum() and near.sum() % 2 == 0
 
 
+def test_links_between_two_dense_groups(spark):
+    """Each group has centroids of its own, and their bisectors lie far from both."""
+    rng = np.random.default_rng(3)
+    a, b = np.linalg.qr(rng.normal(size=(64, 2)))[0].T
+    b = 0.955 * a + (1 - 0.955**2) ** 0.5 * b
+    x = np.concatenate([rng.normal(size=(1500, 64)) / 8, *(c + rng.normal(size=(150, 64)) * 0.03 / 8 for c in (a, b))]).astype(np.float32)
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    u = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1)[:, None]
+    want = (u @ u.T >= 0.95).sum(1) - 1
+    got = np.array([r.n_links for r in embeddings.near_duplicates(d).orderBy("vec_id").collect()])
+    assert (got == want).all() and (want[1500:] > 150).all()
+
+
 def test_no_vectors(spark):
     assert embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
 
