@@ -3,11 +3,14 @@
 Each page is parsed once into its element subtrees. A subtree's hash is made
 of its tag, class and what it holds; Spark counts, per host, in how many
 different pages a subtree occurs, and subtrees on at least SHARE of a host's
-pages (MIN_PAGES at least) are that site's template and are deleted.
+pages (MIN_PAGES at least) are that site's template and are deleted, inside an
+article as well. Pages whose marked text (in `article` or `main`) is the same
+are copies of one article and count as one page, so copies delete nothing;
+where templates hold over half of a page's marked text, as among near copies
+of an article, its marked text stays whole.
 
 Where a page marks its article (`article` or `main`), the text inside is the
-page's own, however often copies of it recur on the host, and all else is
-left out; templates decide on pages without such a mark. Elements that say
+page's own, and all else is left out. Elements that say
 themselves that they are navigation, header, footer, sidebar, notice, advert,
 form, script, style or comments go in either case.
 
@@ -154,9 +157,19 @@ def parse(html: str) -> tuple[list[tuple[str, int, tuple[int, ...]]], bytes]:
 
 
 def content(blocks, template=frozenset()) -> str:
-    """The blocks of the page's own article, or else all that are not in a template."""
+    """The blocks that are not in a template: of the page's own article, or else all."""
     best = max((m for _, m, _ in blocks), default=0)
-    return "\n".join(t for t, m, hs in blocks if (m == best if best else not template.intersection(hs)))
+    own = [(t, hs) for t, m, hs in blocks if m == best]
+    left = [t for t, hs in own if not template.intersection(hs)]
+    if best and 2 * sum(map(len, left)) < sum(len(t) for t, _ in own):
+        left = [t for t, _ in own]
+    return "\n".join(left)
+
+
+def identity(blocks, page: bytes) -> int:
+    """What a page counts as: its marked text, which copies of an article share, or else the page."""
+    own = "\n".join(t for t, m, _ in blocks if m)
+    return int.from_bytes(xxhash.xxh64_digest(own.encode("utf-8", "replace")) if own else page, "big", signed=True)
 
 
 def host(url):
@@ -170,11 +183,10 @@ def templates(pages: DataFrame, share: float = SHARE, least: int = MIN_PAGES) ->
         hosts, pages_, trees = [], [], []
         for h, html in zip(b["host"].to_pylist(), b["html"].to_pylist()):
             blocks, page = parse(html or "")
-            if not any(m for _, m, _ in blocks):
-                found = {t for _, _, hs in blocks for t in hs}
-                hosts += [h] * len(found)
-                pages_ += [int.from_bytes(page, "big", signed=True)] * len(found)
-                trees += found
+            found = {t for _, _, hs in blocks for t in hs}
+            hosts += [h] * len(found)
+            pages_ += [identity(blocks, page)] * len(found)
+            trees += found
         return {"host": hosts, "page": pages_, "subtree": trees}
 
     seen = stage(batches(pages.select("host", "html"), run, "host string, page long, subtree long").distinct(), "html-subtrees")
@@ -201,11 +213,10 @@ def extract(pages: DataFrame, share: float = SHARE, least: int = MIN_PAGES) -> D
             keys, hosts, out = [], [], []
             for k, h, html in zip(b["_key"].to_pylist(), b["host"].to_pylist(), b["html"].to_pylist()):
                 blocks, _ = parse(html or "")
-                if not any(m for _, m, _ in blocks):
-                    found_ = {t for _, _, hs in blocks for t in hs}
-                    keys += [k] * len(found_)
-                    hosts += [h] * len(found_)
-                    out += found_
+                found_ = {t for _, _, hs in blocks for t in hs}
+                keys += [k] * len(found_)
+                hosts += [h] * len(found_)
+                out += found_
             return {"_key": keys, "host": hosts, "subtree": out}
 
         held = batches(rows.select("_key", "host", "html"), trees, "_key long, host string, subtree long").join(found, ["host", "subtree"], "left_semi")

@@ -135,3 +135,21 @@ def test_site_templates_go(spark):
     assert sorted(t for i, t in got if i < 8) == [f"Story number {k} of this site" for k in range(8)]
     assert [t for i, t in got if i == 51] == ["Story number 2 of this site"] * 2
     assert [t for i, t in got if i == 50] == ["Site name\nRead our offers today\nStory number 3 of this site\nPrinted in town"]
+
+
+def test_templates_of_marked_pages_go(spark):
+    """Most pages mark their article; what all pages share goes inside and outside of it, copies of an article stay."""
+    top, share = "<div><p>Read our offers today</p></div>", "<div><p>About the author</p></div>"
+    marked = lambda k: f"<body>{top}<article><h1>Title {k}</h1><p>Story number {k}</p>{share}</article><p>{k}</p></body>"
+    pages = [marked(k) for k in range(12)] + [f"<body>{top}<p>Plain page {k}</p></body>" for k in range(2)]
+    pages += [marked(0).replace("<p>0</p>", f"<p>copy {k}</p>") for k in range(30)]
+    rows = [(k, f"http://host.example/{k}", p) for k, p in enumerate(pages)]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    want = [f"Title {k}\nStory number {k}" for k in range(12)] + [f"Plain page {k}" for k in range(2)] + ["Title 0\nStory number 0"] * 30
+    assert got == dict(enumerate(want))
+
+
+def test_near_copies_of_an_article_stay():
+    blocks = [("One long shared paragraph of it", 2, (1, 9)), ("changed", 2, (2, 9))]
+    assert html.content(blocks, frozenset({1})) == "One long shared paragraph of it\nchanged"
+    assert html.content(blocks, frozenset({2})) == "One long shared paragraph of it"
