@@ -9,8 +9,9 @@ are copies of one article and count as one page, so copies delete nothing;
 where templates hold over half of a page's marked text, as among near copies
 of an article, its marked text stays whole.
 
-Where a page marks its article (`article` or `main`), the text inside is the
-page's own, and all else is left out. Elements that say
+All blocks inside `main` or `article` are kept. Text outside is left out where
+the page has a `main`, or where its articles hold most of its remaining text.
+Elements that say
 themselves that they are navigation, header, footer, sidebar, notice, advert,
 form, script, style or comments go in either case.
 
@@ -73,7 +74,7 @@ def purpose(tag: str, attrs: dict[str, str], inside: int) -> bool:
 def parse(html: str) -> tuple[list[tuple[str, int, tuple[int, ...]]], bytes]:
     """Blocks of a page as (text, mark, hashes of the subtrees around it), and the page's hash.
 
-    mark is 2 inside an article, 1 inside a main element, 0 elsewhere.
+    mark is 1 inside a main element plus 2 inside an article.
     """
     root = Node("", False, 0, "", 0)
     stack, blocks, line = [root], [], []
@@ -84,7 +85,7 @@ def parse(html: str) -> tuple[list[tuple[str, int, tuple[int, ...]]], bytes]:
             text = " ".join(unescape("".join(line)).split())
             line.clear()
             if text:
-                pending.append([text, max(n.mark for n in stack), []])
+                pending.append([text, stack[-1].mark, []])
 
     def close():
         node = stack.pop()
@@ -143,9 +144,10 @@ def parse(html: str) -> tuple[list[tuple[str, int, tuple[int, ...]]], bytes]:
                     close()
                 break
         attrs = {a[1].lower(): unescape(a[2] or a[3] or a[4] or "") for a in ATTRIBUTE.finditer(attributes)}
-        inside = max(n.mark for n in stack)
+        inside = stack[-1].mark
         dropped = stack[-1].dropped and not (tag in HEADINGS and inside and stack[-1].tag == "header") or purpose(tag, attrs, inside)
-        mark = 0 if dropped else 2 if tag == "article" else 1 if tag == "main" or attrs.get("role", "").lower() == "main" else 0
+        here = 0 if dropped else 2 * (tag == "article") + (tag == "main" or attrs.get("role", "").lower() == "main")
+        mark = inside | here
         stack.append(Node(tag, dropped, mark, f"{tag}|{attrs.get('class', '')}", len(pending)))
         if tag in RAW:
             raw = tag
@@ -157,13 +159,15 @@ def parse(html: str) -> tuple[list[tuple[str, int, tuple[int, ...]]], bytes]:
 
 
 def content(blocks, template=frozenset()) -> str:
-    """The blocks that are not in a template: of the page's own article, or else all."""
-    best = max((m for _, m, _ in blocks), default=0)
-    own = [(t, hs) for t, m, hs in blocks if m == best]
-    left = [t for t, hs in own if not template.intersection(hs)]
-    if best and 2 * sum(map(len, left)) < sum(len(t) for t, _ in own):
-        left = [t for t, _ in own]
-    return "\n".join(left)
+    """The blocks of main and article, or all where these hold too little; templates are left out."""
+    size = lambda some: sum(len(t) for t, *_ in some)
+    rest = [b for b in blocks if not template.intersection(b[2])]
+    if 2 * size(b for b in rest if b[1]) < size(b for b in blocks if b[1]):
+        rest = [b for b in blocks if b[1] or not template.intersection(b[2])]
+    own = [b for b in rest if b[1]]
+    if any(m & 1 for _, m, _ in own) or 2 * size(own) > size(rest):
+        rest = own
+    return "\n".join(t for t, *_ in rest)
 
 
 def identity(blocks, page: bytes) -> int:

@@ -153,3 +153,11 @@ def test_near_copies_of_an_article_stay():
     blocks = [("One long shared paragraph of it", 2, (1, 9)), ("changed", 2, (2, 9))]
     assert html.content(blocks, frozenset({1})) == "One long shared paragraph of it\nchanged"
     assert html.content(blocks, frozenset({2})) == "One long shared paragraph of it"
+
+
+def test_main_and_articles_are_kept():
+    text = lambda h: html.content(html.parse(h)[0])
+    assert text("<main><h1>Title</h1><p>long body</p><article class='card'>teaser</article></main><p>out</p>") == "Title\nlong body\nteaser"
+    assert text("<main><article><p>short</p></article></main><p>a long text outside of it</p>") == "short"
+    assert text("<p>an unmarked body of the page</p><article>teaser</article>") == "an unmarked body of the page\nteaser"
+    assert text("<p>top</p><article><p>the body of the page</p></article>") == "the body of the page"
