@@ -1,14 +1,17 @@
 """SentencePiece encoding and decoding through a relational lattice.
 
 A text, opened by one blank, is cut into units: a run of marks (punctuation and
-digits, as listed in MARKS) or of other characters, each with the blank before
-it, or a single white-space character; runs beyond UNIT code points are cut
-there. The public vocabulary has no piece that joins a mark to another
-printing character, so the cut between the two costs no path. All substrings of a unit up to the longest piece are exploded and equi-
-joined to the piece table; the matches are the edges of the unit's lattice.
-Edges are grouped by unit and a higher-order aggregate folds them in order of
-their ends, keeping the best path to each position (Viterbi). A character that
-no piece covers is spelt in byte pieces, so every text can be decoded exactly.
+digits, as listed in MARKS) with the carriage returns after it, of other
+characters, or of carriage returns, each with all blanks before it; blanks
+alone; or another single white-space character. The public vocabulary has no
+piece across such a cut, so it costs no path. All substrings of a unit up to
+the longest piece are exploded and equi-joined to the piece table; the matches
+are the edges of the unit's lattice. Edges are grouped by unit and a
+higher-order aggregate folds them in order of their ends, keeping the best path
+to each position (Viterbi). Units of over UNIT code points are not cut: the
+same recursion solves them in linear space where the text is assembled. A
+character that no piece covers is spelt in byte pieces, so every text can be
+decoded exactly.
 
 The vocabulary is given, never trained. Where its scores are merge ranks, not
 log probabilities, edges score -ln(rank) - PIECE_COST: Zipf's law over the ranks
@@ -40,8 +43,9 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 UNIT, PIECE_COST, BYTE_COST, HOT, PER_TASK, HELD = 48, 10.0, 60.0, 400_000, 100_000, 1 << 24
 # Code points, not character classes, whose content differs between Java and Python.
 MARKS = r"!-@\[-`{-~\u00a1-\u00a9\u00ab-\u00b4\u00b6-\u00b9\u00bb-\u00bf\u2010-\u206f\u3001-\u303f"
-UNITS = rf" ?[^ \t-\r{MARKS}]{{1,{UNIT}}}| ?[{MARKS}]{{1,{UNIT}}}|[ \t-\r]"
+UNITS = rf" *[^ \t-\r{MARKS}]+| *[{MARKS}]+\r*| *\r+| +|[\t\n\x0b\x0c]"
 UNITS_PY = re.compile(UNITS)
+WORDS = re.compile(" *[^ ]+| +")
 
 
 class Model:
@@ -89,6 +93,31 @@ def best_path(edges: Column) -> Column:
     return F.aggregate(F.sort_array(edges), begin, step, lambda best: F.element_at(best, -1)["ids"])
 
 
+def segment(unit: str, table: dict[str, tuple[int, float]], model: Model) -> list[int]:
+    """Ids of the best path through one long unit; ties as in `best_path`."""
+    best, back = [0.0], [0]
+    for e in range(1, len(unit) + 1):
+        top, at = -math.inf, e - 1
+        for s in range(max(0, e - model.longest), e):
+            part = unit[s:e]
+            if part in table:
+                score = best[s] + table[part][1]
+            elif e - s == 1:
+                score = best[s] + len(part.encode()) * -BYTE_COST
+            else:
+                continue
+            if score > top:
+                top, at = score, s
+        best.append(top)
+        back.append(at)
+    parts, e = [], len(unit)
+    while e:
+        parts.append(unit[back[e] : e])
+        e = back[e]
+    other = lambda c: [model.unknown] if model.first_byte is None else [b + model.first_byte for b in c.encode()]
+    return [i for c in reversed(parts) for i in ([table[c][0]] if c in table else other(c))]
+
+
 def lattice(units: DataFrame, table: DataFrame, model: Model, keys: tuple[str, ...] = ()) -> DataFrame:
     """(keys, unit, ids) of distinct (keys, unit) rows; needs no shuffle where rows are dealt by keys or unit."""
     n = F.length("unit")
@@ -118,10 +147,11 @@ def heavy_units(docs: DataFrame, most: int = HOT, per_task: int = PER_TASK) -> D
         return Counter({u: n for u, n in units.items() if n > least})
 
     def cut(words: Counter, units: Counter) -> Counter:
-        """Adds the units of blank-separated words; no unit reaches over a blank, so each word is cut once."""
+        """Adds the units of words with the blanks before them; no unit reaches over a word's end, so each is cut once."""
         for w, n in words.items():
-            for u in UNITS_PY.findall(" " + w):
-                units[u] += n
+            for u in UNITS_PY.findall(w):
+                if len(u) <= UNIT:
+                    units[u] += n
         words.clear()
         return lighter(units)
 
@@ -132,7 +162,7 @@ def heavy_units(docs: DataFrame, most: int = HOT, per_task: int = PER_TASK) -> D
         for b in it:
             for t in b["text"].to_pylist():
                 if t is not None:
-                    words.update(t.split(" "))
+                    words.update(WORDS.findall(" " + t))
                     held += len(t)
                     if held > HELD:
                         units, held = cut(words, units), 0
@@ -175,6 +205,7 @@ def encode(docs: DataFrame, path: str = MODEL, hot: int = HOT, parts: int | None
     solved = lattice(hot_units, table, model).toArrow()  # at most `hot` units of UNIT code points
     held = spark.sparkContext.broadcast(Solutions(solved))
     letters = spark.sparkContext.broadcast(model.spelling())
+    known = spark.sparkContext.broadcast(({p: (i, score) for p, i, score in model.rows}, model))
     # Small partitions: the units of one are grouped in memory, so no edge is sorted.
     spark.conf.set("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "200000")
     parts = parts or 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -184,6 +215,7 @@ def encode(docs: DataFrame, path: str = MODEL, hot: int = HOT, parts: int | None
     dealt = docs.select(F.xxhash64(*hashed).alias("_row"), F.array(F.struct(*docs.columns)).alias("_doc")).repartition(parts, "_row")
     column = lambda c: F.element_at("_doc", 1)[c]
     units = F.array_distinct(F.regexp_extract_all(F.concat(F.lit(" "), column("text")), F.lit(UNITS), F.lit(0)))
+    units = F.filter(units, lambda u: F.length(u) <= UNIT)
     cold = dealt.select("_row", F.explode(units).alias("unit")).join(F.broadcast(hot_units), "unit", "left_anti").distinct()
     per = lattice(cold, table, model, ("_row",)).groupBy("_row").agg(F.collect_list(F.struct("unit", "ids")).alias("_cold"))
     names = docs.columns
@@ -200,7 +232,11 @@ def encode(docs: DataFrame, path: str = MODEL, hot: int = HOT, parts: int | None
         out = []
         for i, text in enumerate(b["text"].to_pylist()):
             own = {names_[k]: k for k in range(ends[i], ends[i + 1])} if valid[i] else {}
-            out.append(np.zeros(0, np.int32) if text is None else gather(s, own, more, more_ends, UNITS_PY.findall(" " + text)))
+            cut, ids_, at = [] if text is None else UNITS_PY.findall(" " + text), [], 0
+            for k in [k for k, u in enumerate(cut) if len(u) > UNIT]:
+                ids_ += [gather(s, own, more, more_ends, cut[at:k]), np.array(segment(cut[k], *known.value), np.int32)]
+                at = k + 1
+            out.append(np.concatenate([*ids_, gather(s, own, more, more_ends, cut[at:])]) if text is not None else np.zeros(0, np.int32))
         spelt = {} if decoded is None else {decoded: spell(*letters.value, out)}
         return {**{c: b[c] for c in names}, "ids": listed(out), **spelt}
 

@@ -222,5 +222,18 @@ def test_pieces_are_best_paths_and_decode_exactly(docs, hot):
         assert list(r.ids) == want
 
 
+@pytest.mark.parametrize("hot", [200_000, 3])
+def test_pieces_are_best_paths_of_the_uncut_text(spark, hot):
+    texts = ["def f(x):\n        return x\n                y", "a {\r\n  b();\r\n\r\r  });\r\n \r x  ", "   ", "internationalization" * 9, "漢字" * 60 + "  x", "=" * 130 + " " * 70 + "end", "\t \x0b\x0c  \n"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = pieces.Model()
+    score = {i: x for _, i, x in model.rows}
+    total = lambda ids: sum(score.get(i, -pieces.BYTE_COST) for i in ids)
+    for r in rows(pieces.decode(pieces.encode(d, hot=hot, parts=3))):
+        want = best_segmentation(" " + r.text, model)
+        # Runs of blanks have paths of equal score, which differ by the order of additions.
+        assert r.decoded == r.text and abs(total(r.ids) - total(want)) < 1e-9 and (list(r.ids) == want or " " * 70 in r.text)
+
+
 def test_pieces_of_nothing(empty):
     assert rows(pieces.round_trip(empty)) == []
