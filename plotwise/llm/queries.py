@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plotwise.llm import embeddings, fertility, html, jaccard, language, mixing, pieces, quality, secrets, suffixes
+from plotwise.llm import centroids, chunks, embeddings, fertility, html, jaccard, language, mixing, pieces, quality, secrets, spelling, suffixes
 from plotwise.llm.common import table
 
 QUERIES: dict = {}
@@ -67,3 +67,18 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_chunk_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks.fingerprints(table(spark, sf_dir, "documents"))
