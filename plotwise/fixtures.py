@@ -100,6 +100,7 @@ class Views:
             F.concat(F.lit("city_"), (c % 3).cast("string")).alias("city"),
             F.concat(F.lit("b"), (c % 100).cast("string"), F.lit(", city_"), (c % 3).cast("string"),
                      F.lit(", d")).alias("place"),
+            (k % 61 == 0).alias("is_outlier"),
         )
 
     @cached_property
@@ -289,7 +290,7 @@ SQL_VIEWS = {
   CASE WHEN o_orderkey%23<>0 THEN o_custkey%6+1 END AS stratum, o_orderpriority AS kind, o_orderstatus AS site,
   CAST(o_orderkey AS VARCHAR) AS code, o_orderdate AS listed,
   CASE WHEN o_orderkey%29<>0 THEN {_llon} END AS lon, CASE WHEN o_orderkey%29<>0 THEN {_llat} END AS lat,
-  concat('city_', o_custkey%3) AS city, concat('b', o_custkey%100, ', city_', o_custkey%3, ', d') AS place
+  concat('city_', o_custkey%3) AS city, concat('b', o_custkey%100, ', city_', o_custkey%3, ', d') AS place, o_orderkey%61 = 0 AS is_outlier
   FROM orders LEFT JOIN (SELECT l_orderkey, sum(l_quantity) AS area, count(*) AS n FROM lineitem GROUP BY 1) l
   ON l_orderkey = o_orderkey""",
     "scored0": """SELECT *, CAST(floor((lon+74.20e0)/0.04e0) + 5*floor((lat-4.45e0)/0.08e0) AS BIGINT) AS zone_id,
@@ -331,7 +332,7 @@ SCRAPE_ORDER = "ts, s1, s2, s3, s4, s5"
 def with_views(body: str) -> str:
     """Prefix `body` with the views it mentions.
 
-    `body` is a query, or `name AS (...), ... SELECT ...` without the WITH.
+    `body` is a query, or `name AS (...), ... SELECT ...` without the WITH; it may start with RECURSIVE.
     """
     need: list[str] = []
 
@@ -345,11 +346,14 @@ def with_views(body: str) -> str:
         if re.search(rf"\b{v}\b", body):
             add(v)
     body = body.strip()
+    word = "WITH"
+    if body[:10].lower() == "recursive ":
+        word, body = "WITH RECURSIVE", body[10:].strip()
     starts = body[:6].lower()
     ctes = ", ".join(f"{v} AS ({SQL_VIEWS[v]})" for v in need)
     if starts == "select" or body[:1] == "(":
-        return f"WITH {ctes} {body}" if need else body
-    return f"WITH {ctes}, {body}" if need else f"WITH {body}"
+        return f"{word} {ctes} {body}" if need else body
+    return f"{word} {ctes}, {body}" if need else f"{word} {body}"
 
 
 def sql_haversine(a: str, b: str) -> str:

@@ -61,13 +61,18 @@ def drop_placeholder_prices(df: DataFrame, kinds: list[str], floor: int = MIN_DW
     return df.where(~bad)
 
 
+def unflagged(df: DataFrame) -> DataFrame:
+    """Without listings flagged as outliers; a table without the flag has none."""
+    return df.where(~F.coalesce(F.col("is_outlier"), F.lit(False))) if "is_outlier" in df.columns else df
+
+
 def search_listings(df: DataFrame, *, kind=None, price=(None, None), area=(None, None), rooms_min=None, baths_min=None,
                     floors: dict | None = None, near: tuple[float, float, float] | None = None, order_by: str = "composite",
                     descending: bool = True, limit: int | None = 20, offset: int = 0) -> DataFrame:
-    """Filtered, sorted and paged listing search; only the filters given are applied."""
+    """Filtered, sorted and paged listing search without flagged outliers; only the filters given are applied."""
     from plotwise.functions.spatial import haversine
 
-    c = F.col
+    c, df = F.col, unflagged(df)
     if kind is not None:
         df = df.where(c("kind") == kind)
     for name, (lo, hi) in (("price", price), ("area", area)):

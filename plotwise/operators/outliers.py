@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plotwise.functions import labels as lb
+from plotwise.operators.clusters import density_clusters
 from plotwise.operators.geo import grid_nearest, spread
 from plotwise.operators.ranking import exact_quantiles, join_on, medians, value_positions
 from plotwise.operators.upsert import latest_per_key
@@ -123,6 +124,19 @@ def elbow(kd: DataFrame, col: str = "k_dist") -> DataFrame:
     return best.withColumn("_k", F.lit(1)).join(q.withColumn("_k", F.lit(1)), "_k").drop("_k")
 
 
+def calibrated_clusters(df: DataFrame, zs: list[str], ident: str = "id", k: int = 5) -> DataFrame:
+    """Density clusters at the elbow of the k-distances, rounded to four digits: `label`, `core` and `eps` per row."""
+    eps = elbow(stage(k_distances(df, zs, ident, k), "k-distances")).select(F.round("eps", 4)).first()
+    eps = float(eps[0]) if eps and eps[0] is not None else 0.0
+    return density_clusters(df, zs, eps=eps, min_points=k, ident=ident).withColumn("eps", F.lit(eps))
+
+
+def cluster_summary(clusters: DataFrame) -> DataFrame:
+    """One row: radius, rows, clusters found, noise and its share in per cent."""
+    noise = F.count(F.when(F.col("label").isNull(), 1))
+    return clusters.agg(F.max("eps").alias("eps"), F.count("*").alias("n"), F.count_distinct("label").alias("n_clusters"), noise.alias("n_outliers"), F.round(noise / F.count("*") * 100, 2).alias("pct_outliers"))
+
+
 # -------------------------------------------------------- isolation forest
 
 

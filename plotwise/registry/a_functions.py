@@ -335,7 +335,7 @@ def _(v):
 
 @query("flt_1_listing_search", f"""SELECT id, price, composite FROM (SELECT *, 2*6371000.0e0*asin(sqrt(pow(sin(radians(4.65e0-lat)/2),2)+cos(radians(lat))*cos(radians(4.65e0))*
   pow(sin(radians(-74.1e0-lon)/2),2))) AS d FROM scored) WHERE kind='2-HIGH' AND price >= 50000000 AND price <= 450000000 AND area >= 20 AND rooms >= 2
-  AND access >= 1.0 AND d <= 12000 ORDER BY composite DESC NULLS LAST, id LIMIT 20 OFFSET 5""")
+  AND access >= 1.0 AND d <= 12000 AND NOT is_outlier ORDER BY composite DESC NULLS LAST, id LIMIT 20 OFFSET 5""")
 def _(v):
     return cl.search_listings(v.scored, kind="2-HIGH", price=(50_000_000, 450_000_000), area=(20, None), rooms_min=2,
                               floors={"access": 1.0}, near=(-74.1, 4.65, 12_000.0), limit=20, offset=5).select("id", "price", "composite")

@@ -54,16 +54,41 @@ def standardized(v):
     return stage(d.select("id", *[((c(n) - st[f"m_{n}"]) / st[f"s_{n}"]).alias(f"z{i}") for i, n in enumerate(("price_m2", "area", "stratum"))]))
 
 
-@query("out_3_k_distance")
+# All pairs of listings: the fifth smallest distance of each, the elbow of their sorted curve, clusters at that radius.
+KDIST = f"""s0 AS (SELECT id, price/area AS price_m2, area, stratum FROM listing WHERE price > 0 AND area > 0 AND stratum IS NOT NULL), sd AS (SELECT id, (price_m2-avg(price_m2) OVER ())/stddev_pop(price_m2) OVER () AS z0,
+   (area-avg(area) OVER ())/stddev_pop(area) OVER () AS z1, (stratum-avg(stratum) OVER ())/stddev_pop(stratum) OVER () AS z2 FROM s0),
+  kd AS MATERIALIZED (SELECT a.id, round(sqrt(list_max(min({_D2}, 5))), 9) AS v FROM sd a JOIN sd b ON a.id <> b.id GROUP BY 1),
+  el AS MATERIALIZED (SELECT v AS eps FROM (SELECT v, row_number() OVER w AS rn, round((lead(v) OVER w - v) - (v - lag(v) OVER w), 9) AS r FROM kd WINDOW w AS (ORDER BY v)) WHERE r IS NOT NULL ORDER BY r DESC, rn LIMIT 1)"""
+# All pairs decide who is core and which cells touch; core points of one cell are within the radius of each other.
+CALIB = f"""{KDIST}, ep AS MATERIALIZED (SELECT round(eps, 4) AS e FROM el), co AS MATERIALIZED (SELECT a.id FROM sd a, ep JOIN sd b ON {_D2} <= e*e GROUP BY 1 HAVING count(*) >= 5),
+  cc AS MATERIALIZED (SELECT sd.*, min(id) OVER (PARTITION BY floor(z0*sqrt(3)/e), floor(z1*sqrt(3)/e), floor(z2*sqrt(3)/e)) AS cell FROM sd JOIN co USING (id), ep),
+  ce AS MATERIALIZED (SELECT a.cell AS a, b.cell AS b FROM cc a, ep JOIN cc b ON {_D2} <= e*e AND a.cell<>b.cell GROUP BY 1, 2),
+  rl(id, lab) USING KEY (id) AS (SELECT DISTINCT cell, cell FROM cc UNION SELECT e.b, min(r.lab) FROM rl r JOIN ce e ON e.a=r.id JOIN recurring.rl q ON q.id=e.b WHERE r.lab < q.lab GROUP BY 1),
+  bo AS (SELECT a.id, arg_min(b.cell, {{'d': round({_D2}, 12), 'b': b.id}}) AS cell FROM sd a, ep JOIN cc b ON {_D2} <= e*e WHERE a.id NOT IN (SELECT id FROM co) GROUP BY 1),
+  mb AS (SELECT m.id, rl.lab FROM (SELECT id, cell FROM cc UNION ALL SELECT id, cell FROM bo) m JOIN rl ON rl.id=m.cell), lo AS (SELECT lab, min(id) AS label FROM mb GROUP BY 1), cl AS (SELECT sd.id, label FROM sd LEFT JOIN mb USING (id) LEFT JOIN lo USING (lab))"""
+_Z = ["z0", "z1", "z2"]
+
+
+@query("out_3_k_distance", f"{KDIST} SELECT round((SELECT eps FROM el), 6) AS eps, " + ", ".join(f"round(quantile_cont(v, {q}), 6) AS p{n}" for n, q in ((25, 0.25), (50, 0.5), (75, 0.75), (95, 0.95))) + " FROM kd")
 def _(v):
-    return ou.elbow(stage(ou.k_distances(standardized(v), ["z0", "z1", "z2"], "id", 5))).select(*[R(n) for n in ("eps", "p25", "p50", "p75", "p95")])
+    return ou.elbow(stage(ou.k_distances(standardized(v), _Z, "id", 5))).select(*[R(n) for n in ("eps", "p25", "p50", "p75", "p95")])
 
 
-@query("out_3_calibrated_noise")
+@query("out_3_calibrated_noise", f"RECURSIVE {CALIB} SELECT label IS NULL AS noise, count(*) AS n FROM cl GROUP BY 1")
 def _(v):
     d = standardized(v)
-    eps = ou.elbow(stage(ou.k_distances(d, ["z0", "z1", "z2"], "id", 5))).first()["eps"]
-    return ou.density_noise(d, ["z0", "z1", "z2"], [], float(eps), 5).groupBy("noise").agg(F.count("*").alias("n"))
+    eps = ou.elbow(stage(ou.k_distances(d, _Z, "id", 5))).select(F.round("eps", 4)).first()[0]
+    return ou.density_noise(d, _Z, [], float(eps), 5).groupBy("noise").agg(F.count("*").alias("n"))
+
+
+@query("out_3_cluster_labels", f"RECURSIVE {CALIB} SELECT id, label FROM cl")
+def _(v):
+    return ou.calibrated_clusters(standardized(v), _Z).select("id", "label")
+
+
+@query("out_3_calibrated_run", f"RECURSIVE {CALIB} SELECT (SELECT e FROM ep) AS eps, count(*) AS n, count(DISTINCT label) AS n_clusters, count(*) FILTER (label IS NULL) AS n_outliers, round(count(*) FILTER (label IS NULL)/count(*)::DOUBLE*100, 2) AS pct_outliers FROM cl")
+def _(v):
+    return ou.cluster_summary(ou.calibrated_clusters(standardized(v), _Z))
 
 
 @query("out_4_method_comparison")
@@ -102,7 +127,7 @@ def comps_sql(subj, ident, same=True):
     lev = "CASE " + " ".join(f"WHEN {inb(a, p)} THEN {i}" for i, (a, p) in enumerate(bands, 1)) + " END"
     diff = f" AND a.{ident} <> b.id" if same else ""
     return f"""cp AS (SELECT a.{ident}, b.id AS comp_id, {lev} AS lv, CASE WHEN a.lon IS NOT NULL THEN round({HAV},3) ELSE round(abs(b.area-a.area)+abs(b.price-a.price)/1000000, 6) END AS dist
-   FROM {subj} a JOIN listing b ON a.city=b.city AND a.kind=b.kind AND {inb(*bands[-1])}{diff} AND (a.lon IS NULL OR b.lon IS NOT NULL) WHERE a.area > 0 AND a.price > 0 AND b.area > 0 AND b.price > 0),
+   FROM {subj} a JOIN listing b ON a.city=b.city AND a.kind=b.kind AND {inb(*bands[-1])}{diff} AND (a.lon IS NULL OR b.lon IS NOT NULL) WHERE a.area > 0 AND a.price > 0 AND b.area > 0 AND b.price > 0 AND NOT b.is_outlier),
   cl AS (SELECT {ident}, CASE WHEN count(*) FILTER (lv=1) >= 4 THEN 1 WHEN count(*) FILTER (lv<=2) >= 4 THEN 2 ELSE 3 END AS level FROM cp GROUP BY 1),
   cr AS (SELECT {ident}, comp_id, level, dist, row_number() OVER (PARTITION BY {ident} ORDER BY dist, comp_id) AS rn FROM cp JOIN cl USING ({ident}) WHERE lv <= level QUALIFY rn <= 4)"""
 
@@ -119,6 +144,28 @@ def _(v):
     return vl.scaled_neighbours(v.listing, v.listing).select("id", "comp_id", R("dist"), c("rn").cast("long").alias("rn"))
 
 
+# All pairs decide at every radius who is core and which cells touch; labels spread along those until none changes.
+_DZ = "+".join(f"pow(a.z{i}-b.z{i},2)" for i in range(4))
+LADDER_SQL = """d AS (SELECT id, city, kind, price/area AS f0, area AS f1, lat AS f2, lon AS f3 FROM listing WHERE area > 0 AND price > 0 AND lon IS NOT NULL AND NOT is_outlier), z AS (SELECT id, city, kind, """ + ", ".join(
+    f"(f{i}-avg(f{i}) OVER w)/stddev_pop(f{i}) OVER w AS z{i}" for i in range(4)) + f""" FROM d WINDOW w AS (PARTITION BY city, kind)),
+  lv AS (SELECT unnest([{', '.join(f'{e}e0' for e in vl.LADDER)}]) AS eps), zl AS MATERIALIZED (SELECT * FROM z, lv),
+  co AS MATERIALIZED (SELECT a.eps, a.id FROM zl a JOIN z b ON a.city=b.city AND a.kind=b.kind AND {_DZ} <= a.eps*a.eps GROUP BY 1, 2 HAVING count(*) >= {vl.CORE}),
+  cc AS MATERIALIZED (SELECT zl.*, min(id) OVER (PARTITION BY eps, city, kind, floor(z0*2/eps), floor(z1*2/eps), floor(z2*2/eps), floor(z3*2/eps)) AS cell FROM zl JOIN co USING (eps, id)),
+  ce AS MATERIALIZED (SELECT a.eps, a.cell AS a, b.cell AS b FROM cc a JOIN cc b ON a.eps=b.eps AND a.city=b.city AND a.kind=b.kind AND {_DZ} <= a.eps*a.eps AND a.cell<>b.cell GROUP BY 1, 2, 3),
+  rl(eps, id, lab) USING KEY (eps, id) AS (SELECT DISTINCT eps, cell, cell FROM cc UNION SELECT e.eps, e.b, min(r.lab) FROM rl r JOIN ce e ON e.eps=r.eps AND e.a=r.id JOIN recurring.rl q ON q.eps=e.eps AND q.id=e.b WHERE r.lab < q.lab GROUP BY 1, 2),
+  bo AS (SELECT a.eps, a.id, arg_min(b.cell, {{'d': round({_DZ}, 12), 'b': b.id}}) AS cell FROM zl a JOIN cc b ON a.eps=b.eps AND a.city=b.city AND a.kind=b.kind AND {_DZ} <= a.eps*a.eps WHERE NOT EXISTS (SELECT 1 FROM co WHERE co.eps=a.eps AND co.id=a.id) GROUP BY 1, 2),
+  mb AS (SELECT m.eps, m.id, rl.lab FROM (SELECT eps, id, cell FROM cc UNION ALL SELECT eps, id, cell FROM bo) m JOIN rl ON rl.eps=m.eps AND rl.id=m.cell),
+  sz AS (SELECT eps, lab, count(*)-1 AS fel FROM mb GROUP BY 1, 2), ch AS (SELECT id, coalesce(min(eps) FILTER (fel >= 4), max(eps)) AS eps FROM mb JOIN sz USING (eps, lab) GROUP BY 1),
+  own AS (SELECT ch.id, ch.eps, mb.lab FROM ch JOIN mb ON mb.id=ch.id AND mb.eps=ch.eps JOIN sz ON sz.eps=mb.eps AND sz.lab=mb.lab WHERE fel >= 2),
+  cd AS (SELECT a.id, b.id AS comp_id, own.eps, round(sqrt({_DZ}), 9) AS dist FROM z a LEFT JOIN own ON own.id=a.id JOIN z b ON a.city=b.city AND a.kind=b.kind AND a.id<>b.id LEFT JOIN mb ON mb.id=b.id AND mb.eps=own.eps AND mb.lab=own.lab WHERE own.id IS NULL OR mb.id IS NOT NULL),
+  cr AS (SELECT id, comp_id, eps, dist, row_number() OVER (PARTITION BY id ORDER BY dist, comp_id) AS rn FROM cd QUALIFY rn <= 4)"""
+
+
+@query("val_2_cluster_comparables", f"RECURSIVE {LADDER_SQL} SELECT id, comp_id, eps, round(dist, 6) AS dist, rn FROM cr")
+def _(v):
+    return vl.cluster_comparables(v.listing, v.listing).select("id", "comp_id", "eps", R("dist"), c("rn").cast("long").alias("rn"))
+
+
 _lv = "([" + ", ".join(str(lb.CONDITION_LEVELS.get(x, 3)) for x in _COND) + "])"
 _fx = "([" + ", ".join(f"{x}e0" for x in lb.CONDITION_FACTORS.values()) + "])"
 _r = lambda x, d: f"CAST(round(CAST(CAST({x} AS VARCHAR) AS DECIMAL(28,10)), {d}) AS DOUBLE)"

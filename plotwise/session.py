@@ -51,6 +51,17 @@ def release(spark: SparkSession) -> int:
     return gone
 
 
+def discard(*staged: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more, as an iteration leaves behind."""
+    for df in staged:
+        spark = df.sparkSession
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            for path in [p for p in STAGED if folder.endswith(p.rpartition("/")[2])]:
+                place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+                place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+                STAGED.remove(path)
+
+
 def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
