@@ -6,12 +6,15 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from plotwise.llm import centroids, chunks, embeddings, fertility, html, jaccard, language, mixing, pieces, quality, secrets, spelling, suffixes
 from plotwise.llm.common import table
+from plotwise.llm.oracles import SPELLING_VARIANTS, centroid_clusters
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(fn, sql: str | None = None):
+def query(fn=None, sql: str | None = None):
+    if fn is None:
+        return lambda f: query(f, sql)
     QUERIES[fn.__name__] = fn
     if sql:
         ORACLES[fn.__name__] = sql
@@ -69,12 +72,12 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-@query
+@query(sql=centroid_clusters())
 def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(table(spark, sf_dir, "embeddings"))
 
 
-@query
+@query(sql=SPELLING_VARIANTS)
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"))
 
