@@ -41,7 +41,7 @@ from plotwise.llm.common import mixed, thin
 
 WINDOW, LEAST, NORMAL, MOST, STRICT, LOOSE = 16, 16, 48, 192, 63, 15
 SEGMENT = 1 << 20
-RANGE_CHARS, MOST_RANGES, PER_RANGE = 1 << 24, 1 << 15, 8
+RANGE_CHARS, MOST_RANGES, PER_RANGE = 1 << 21, 1 << 15, 8
 FIRST = -(1 << 63)
 GEAR = (mixed(np.arange(256), 13) >> np.uint64(48)).astype(np.uint16)
 
