@@ -93,14 +93,14 @@ CITY_GRID = TransverseMercator(4.680486111, -74.14659167, 1.0, 92_334.879, 109_3
 # -------------------------------------------------------------------- rings
 
 
-def _edges(ring: Column) -> Column:
+def ring_edges(ring: Column) -> Column:
     """Consecutive vertex pairs; the ring is closed (first vertex repeated)."""
     n = F.size(ring)
     return F.arrays_zip(F.slice(ring, 1, n - 1).alias("a"), F.slice(ring, 2, n - 1).alias("b"))
 
 
 def _fold(ring: Column, term) -> Column:
-    return F.aggregate(_edges(ring), F.lit(0.0), lambda acc, e: acc + term(e["a"]["x"], e["a"]["y"], e["b"]["x"], e["b"]["y"]))
+    return F.aggregate(ring_edges(ring), F.lit(0.0), lambda acc, e: acc + term(e["a"]["x"], e["a"]["y"], e["b"]["x"], e["b"]["y"]))
 
 
 def ring_area(ring: Column) -> Column:
@@ -127,7 +127,7 @@ def inside(rings: Column, x, y) -> Column:
     x, y = _c(x), _c(y)
 
     def crossings(ring):
-        return F.aggregate(_edges(ring), F.lit(0), lambda n, e: n + F.when(
+        return F.aggregate(ring_edges(ring), F.lit(0), lambda n, e: n + F.when(
             ((e["a"]["y"] > y) != (e["b"]["y"] > y))
             & (x < (e["b"]["x"] - e["a"]["x"]) * (y - e["a"]["y"]) / F.nullif(e["b"]["y"] - e["a"]["y"], F.lit(0.0)) + e["a"]["x"]),
             1).otherwise(0))
@@ -144,7 +144,7 @@ def on_boundary(rings: Column, x, y, eps: float = 1e-12) -> Column:
         return ((F.abs((bx - ax) * (y - ay) - (by - ay) * (x - ax)) <= eps)
                 & x.between(F.least(ax, bx), F.greatest(ax, bx)) & y.between(F.least(ay, by), F.greatest(ay, by)))
 
-    return F.exists(rings, lambda r: F.exists(_edges(r), hit))
+    return F.exists(rings, lambda r: F.exists(ring_edges(r), hit))
 
 
 def edge_distance(rings: Column, lon, lat) -> Column:
@@ -159,7 +159,7 @@ def edge_distance(rings: Column, lon, lat) -> Column:
         t = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(-(ax * dx + ay * dy) / F.nullif(dx * dx + dy * dy, F.lit(0.0)), F.lit(0.0))))
         return F.sqrt(F.pow(ax + t * dx, 2) + F.pow(ay + t * dy, 2))
 
-    return F.array_min(F.transform(rings, lambda r: F.array_min(F.transform(_edges(r), one))))
+    return F.array_min(F.transform(rings, lambda r: F.array_min(F.transform(ring_edges(r), one))))
 
 
 def bbox(rings: Column) -> Column:
@@ -175,7 +175,7 @@ def interior_point(rings: Column) -> tuple[Column, Column]:
     box = bbox(rings)
     y = (box["y0"] + box["y1"]) / 2
     cuts = F.array_sort(F.flatten(F.transform(rings, lambda r: F.transform(
-        F.filter(_edges(r), lambda e: (e["a"]["y"] > y) != (e["b"]["y"] > y)),
+        F.filter(ring_edges(r), lambda e: (e["a"]["y"] > y) != (e["b"]["y"] > y)),
         lambda e: (e["b"]["x"] - e["a"]["x"]) * (y - e["a"]["y"]) / (e["b"]["y"] - e["a"]["y"]) + e["a"]["x"]))))
     # Even-odd rule: spans run between cuts 1-2, 3-4, ...
     spans = F.transform(F.sequence(F.lit(0), F.floor(F.size(cuts) / 2).cast("int") - 1), lambda i: F.struct(

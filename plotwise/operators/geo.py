@@ -7,6 +7,7 @@ cost one lookup; what remains skewed is split by Spark's skew-join handling.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -14,8 +15,9 @@ from pyspark.sql import functions as F
 
 from plotwise.functions import spatial as sp
 from plotwise.operators.ranking import join_on
+from plotwise.session import stage
 
-MAX_LAT = 15.0
+MAX_LAT, CELL_DEG = 15.0, 2.0**-7
 _SLACK = 0.95  # chord/arc margin, safe for cells up to thousands of km
 
 
@@ -24,8 +26,6 @@ def cell_xy(lon, lat, size_m, max_lat: float = MAX_LAT) -> tuple[Column, Column]
 
     Rows beyond `max_lat` would break that promise, so they fail loudly.
     """
-    import math
-
     lon, lat = sp._c(lon), sp._c(lat)
     size = size_m if isinstance(size_m, Column) else F.lit(float(size_m))
     ok = F.when(F.abs(lat) > max_lat, F.raise_error(F.lit(f"latitude beyond max_lat={max_lat}")).cast("double")).otherwise(lat)
@@ -240,8 +240,6 @@ def polygon_cells(polys: DataFrame, size: float, pad: float = 0.0) -> DataFrame:
 
 def polygons_within(locs: DataFrame, polys: DataFrame, radius_m: float, size: float = 0.01, max_lat: float = MAX_LAT) -> DataFrame:
     """(location, polygon) pairs no farther apart than `radius_m`; `dist` is zero inside."""
-    import math
-
     pad = radius_m * 1.02 / (sp.METRES_PER_DEGREE * math.cos(math.radians(max_lat)))
     a = locs.withColumns({"_gx": F.floor(F.col("lon") / size), "_gy": F.floor(F.col("lat") / size)})
     j = a.join(polygon_cells(polys, size, pad), ["_gx", "_gy"])
@@ -249,17 +247,74 @@ def polygons_within(locs: DataFrame, polys: DataFrame, radius_m: float, size: fl
     return j.withColumn("dist", d).where(F.col("dist") <= radius_m).drop("_gx", "_gy", "rings")
 
 
-def point_in_polygon(points: DataFrame, polys: DataFrame, *, size: float = 0.01, closed: bool = False) -> DataFrame:
+def clipped_cells(polys: DataFrame, size: float = CELL_DEG) -> DataFrame:
+    """Polygons as grid cells, each with what a point in it needs: `_edges`, `_odd`, no rings.
+
+    A cell keeps the edges that meet it and the parity of its lower left corner,
+    the number of borders right of it on the cell's lower side. Cells wholly
+    inside keep no edges. All other columns of `polys` stay. `size` is rounded
+    to a power of two, so that cell borders are exact numbers.
+    """
+    size = 2.0 ** round(math.log2(size))
+    # Staged: the ids have to be the same each time they are read.
+    p = stage(polys.where("rings is not null").withColumn("_pid", F.monotonically_increasing_id()), "polygons")
+    edge = F.explode(F.flatten(F.transform("rings", sp.ring_edges)))
+    e = p.select("_pid", edge.alias("e")).select("_pid", *[F.col(f"e.{q}.{x}").cast("double").alias(f"{q}{x}") for q in "ab" for x in "xy"])
+    e = e.where("ax <> bx or ay <> by")
+    at = lambda v: F.floor(v / size)
+    low, high = F.least("ay", "by"), F.greatest("ay", "by")
+    e = e.withColumn("_gy", F.explode(F.sequence(at(low), at(high)))).withColumn("_yb", F.col("_gy") * size)
+    # Where the edge enters and leaves the row, a hair wider.
+    x_of = lambda y: F.col("ax") + (y - F.col("ay")) * (F.col("bx") - F.col("ax")) / (F.col("by") - F.col("ay"))
+    inner = lambda y, other: F.when(F.col("ay") == F.col("by"), F.col(other)).otherwise(x_of(y))
+    x1, x2 = inner(F.greatest(low, F.col("_yb")), "ax"), inner(F.least(high, F.col("_yb") + size), "bx")
+    first = F.greatest(F.least("ax", "bx"), F.least(x1, x2) - 1e-9)
+    last = F.least(F.greatest("ax", "bx"), F.greatest(x1, x2) + 1e-9)
+    crosses = (F.col("ay") > F.col("_yb")) != (F.col("by") > F.col("_yb"))
+    e = e.withColumn("_xb", F.when(crosses, x_of(F.col("_yb")))).withColumn("_gx", F.explode(F.sequence(at(first), at(last))))
+    here = F.coalesce(at(F.col("_xb")) == F.col("_gx"), F.lit(False))
+    right = here & (F.col("_xb") > F.col("_gx") * size)
+    touched = e.groupBy("_pid", "_gx", "_gy").agg(F.collect_list(F.struct("ax", "ay", "bx", "by")).alias("_edges"), F.count(F.when(here, 1)).alias("_all"), F.count(F.when(right, 1)).alias("_right"))
+    row = Window.partitionBy("_pid", "_gy").orderBy(F.desc("_gx"))
+    beyond = F.coalesce(F.sum("_all").over(row.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    touched = touched.withColumns({"_beyond": beyond, "_next": F.lag("_gx").over(row)})
+    whole = touched.where((F.col("_beyond") % 2 == 1) & (F.col("_next") > F.col("_gx") + 1)).select(
+        "_pid", F.explode(F.sequence(F.col("_gx") + 1, F.col("_next") - 1)).alias("_gx"), "_gy", F.array().cast(touched.schema["_edges"].dataType).alias("_edges"), F.lit(True).alias("_odd"))
+    cells = touched.select("_pid", "_gx", "_gy", "_edges", ((F.col("_beyond") + F.col("_right")) % 2 == 1).alias("_odd")).unionByName(whole)
+    return cells.join(p.drop("rings"), "_pid").drop("_pid").withColumn("_size", F.lit(size))
+
+
+def in_cell() -> Column:
+    """Whether a point (lon, lat) of a clipped cell is inside: borders met on the way from the corner up and then right change the parity."""
+    x, y, left, base = F.col("lon"), F.col("lat"), F.col("_gx") * F.col("_size"), F.col("_gy") * F.col("_size")
+
+    def up(e):
+        at = e["ay"] + (left - e["ax"]) * (e["by"] - e["ay"]) / F.nullif(e["bx"] - e["ax"], F.lit(0.0))
+        return ((e["ax"] > left) != (e["bx"] > left)) & (at > base) & (at <= y)
+
+    def along(e):
+        at = (e["bx"] - e["ax"]) * (y - e["ay"]) / F.nullif(e["by"] - e["ay"], F.lit(0.0)) + e["ax"]
+        return ((e["ay"] > y) != (e["by"] > y)) & (at > left) & (at <= x)
+
+    met = F.aggregate("_edges", F.lit(0), lambda n, e: n + F.when(up(e), 1).otherwise(0) + F.when(along(e), 1).otherwise(0))
+    return (met % 2 == 1) != F.col("_odd")
+
+
+def point_in_polygon(points: DataFrame, polys: DataFrame, *, size: float = CELL_DEG, closed: bool = False) -> DataFrame:
     """(location, polygon) pairs with the point inside; `closed` counts the border as inside.
 
     `points` needs lon/lat, `polys` a `rings` column; the result has one row per
-    distinct location and containing polygon.
+    distinct location and containing polygon. A location meets only the edges
+    of its own cell (`clipped_cells`).
     """
-    locs = locations(points).withColumns({"_gx": F.floor(F.col("lon") / size), "_gy": F.floor(F.col("lat") / size)})
-    hit = sp.inside(F.col("rings"), "lon", "lat")
+    cells = clipped_cells(polys, size)
+    locs = locations(points).withColumn("_size", F.lit(2.0 ** round(math.log2(size))))
+    locs = locs.select("lon", "lat", F.floor(F.col("lon") / F.col("_size")).alias("_gx"), F.floor(F.col("lat") / F.col("_size")).alias("_gy"))
+    hit = in_cell()
     if closed:
-        hit = hit | sp.on_boundary(F.col("rings"), "lon", "lat")
-    return locs.join(polygon_cells(polys, size), ["_gx", "_gy"]).where(hit).drop("_gx", "_gy", "rings")
+        pairs = F.transform("_edges", lambda e: F.array(F.struct(e["ax"].alias("x"), e["ay"].alias("y")), F.struct(e["bx"].alias("x"), e["by"].alias("y"))))
+        hit = hit | sp.on_boundary(pairs, "lon", "lat")
+    return locs.join(cells, ["_gx", "_gy"]).where(hit).drop("_gx", "_gy", "_edges", "_odd", "_size")
 
 
 def one_polygon(points: DataFrame, polys: DataFrame, pick: str, keep: list[str], **kw) -> DataFrame:
