@@ -1,8 +1,8 @@
 """Least squares from sufficient statistics.
 
 One distributed aggregate yields the cross-product matrix of a handful of
-columns; everything after that is p-by-p algebra on the driver (p is at most a
-few dozen). The rows never leave the cluster.
+columns per group; everything after that is p-by-p algebra (p is at most a few
+dozen), on the executors for groups of any number, on the driver for a few.
 """
 
 from __future__ import annotations
@@ -126,23 +126,73 @@ def solve(A: np.ndarray, c: np.ndarray) -> np.ndarray:
     return (V[:, keep] @ ((V[:, keep].T @ (c / d)) / w[keep])) / d
 
 
-def grams(df: DataFrame, names: list[str], by: list[str] = ()) -> dict[tuple, Gram]:
+FLUSH = 20_000  # groups a task holds before it passes their sums on
+
+
+@dataclass
+class GroupGrams:
+    """Cross products of any number of groups: a table (by..., v), read group by group on the executors."""
+
+    names: list[str]
+    by: list[str]
+    shift: np.ndarray
+    table: DataFrame
+
+    def gram(self, v) -> Gram:
+        p, v = len(self.names), np.asarray(v, dtype=float)
+        S = np.zeros((p, p))
+        S[np.triu_indices(p)] = v[1 + p :]
+        return Gram(list(self.names), self.shift, float(v[0]), v[1 : 1 + p], S + S.T - np.diag(np.diag(S)))
+
+    def rows(self, fn, schema: str) -> DataFrame:
+        """`fn(key, gram)` gives the rows (tuples) of one group."""
+        by, names = self.by, [f.split()[0] for f in schema.split(", ")]
+        me = GroupGrams(self.names, self.by, self.shift, None)
+
+        def run(batches):
+            import pandas as pd
+
+            for pdf in batches:
+                keys = list(zip(*[pdf[b] for b in by])) if by else [()] * len(pdf)
+                out = [r for k, v in zip(keys, pdf["v"]) for r in fn(k, me.gram(v))]
+                yield pd.DataFrame({n: pd.Series([r[i] for r in out], dtype=object) for i, n in enumerate(names)})
+
+        return self.table.mapInPandas(run, schema)
+
+    def fits(self, y: str, xs: list[str]) -> DataFrame:
+        """by..., n, ssr, sst, intercept, coef (in the order of xs): one least-squares fit per group."""
+        types = dict(self.table.dtypes)
+        schema = ", ".join([f"{b} {types[b]}" for b in self.by] + ["n double", "ssr double", "sst double", "intercept double", "coef array<double>"])
+
+        def one(key, g):
+            f = g.fit(y, xs)
+            return [(*key, f.n, f.ssr, f.sst, f.intercept, [f.coef[x] for x in xs])]
+
+        return self.rows(one, schema)
+
+
+def group_grams(df: DataFrame, names: list[str], by: list[str] = ()) -> GroupGrams:
     """Cross-product statistics per group over complete rows.
 
     Every task multiplies its Arrow batches into one matrix per group and emits a
-    single row for each; Spark adds those up. Columns are shifted by their overall
-    means first, which keeps the sums small. Rows without a group are left out;
-    the number of groups is checked.
+    single row for each; Spark adds those up by key. Columns are shifted by their
+    overall means first, which keeps the sums small. Rows without a group are left
+    out. The number of groups has no bound: nothing per group reaches the driver.
     """
     by, p = list(by), len(names)
     d = df.select(*by, *[F.col(x).cast("double").alias(f"x{i}") for i, x in enumerate(names)])
-    row = d.agg(*[F.avg(f"x{i}").alias(f"x{i}") for i in range(p)]).first()
+    row = d.agg(*[F.avg(F.when(~F.isnan(f"x{i}"), F.col(f"x{i}"))).alias(f"x{i}") for i in range(p)]).first()
     shift = np.array([m if m is not None else 0.0 for m in row])
-    cols, upper = [f"x{i}" for i in range(p)], np.triu_indices(p)
+    cols, (iu, ju) = [f"x{i}" for i in range(p)], np.triu_indices(p)
 
     def partial(batches):
         import pandas as pd
 
+        def out(acc):
+            t = pd.DataFrame(list(acc), columns=by) if by else pd.DataFrame(index=range(1))
+            t["v"] = list(acc.values())
+            return t
+
         acc: dict[tuple, np.ndarray] = {}
         for pdf in batches:
             # Incomplete rows are dropped here: null filters on many derived columns are slow to plan.
@@ -150,34 +200,39 @@ def grams(df: DataFrame, names: list[str], by: list[str] = ()) -> dict[tuple, Gr
             if not len(pdf):
                 continue
             Z = pdf[cols].to_numpy(dtype=float) - shift
-            groups = pdf.groupby(by, sort=False).indices.items() if by else [((), slice(None))]
-            for k, at in groups:
-                z = Z[at]
-                v = np.concatenate([[len(z)], z.sum(0), (z.T @ z)[upper]])
+            groups = list(pdf.groupby(by, sort=False).indices.items()) if by else [((), slice(None))]
+            if len(groups) * 16 <= len(Z):
+                sums = [np.concatenate([[len(z)], z.sum(0), (z.T @ z)[iu, ju]]) for z in (Z[at] for _, at in groups)]
+            else:  # many small groups: products of all rows, added up in runs
+                order = np.concatenate([at for _, at in groups])
+                starts = np.cumsum([0] + [len(at) for _, at in groups[:-1]])
+                z = Z[order]
+                sums = np.add.reduceat(np.hstack([np.ones((len(z), 1)), z, z[:, iu] * z[:, ju]]), starts)
+            for (k, _), v in zip(groups, sums):
                 k = k if isinstance(k, tuple) else (k,)
                 acc[k] = acc[k] + v if k in acc else v
+            if len(acc) > FLUSH:
+                yield out(acc)
+                acc = {}
         if acc:
-            out = pd.DataFrame(list(acc), columns=by) if by else pd.DataFrame(index=range(1))
-            out["v"] = list(acc.values())
-            yield out
+            yield out(acc)
 
     types = dict(d.dtypes)
     schema = ", ".join([f"`{b}` {types[b]}" for b in by] + ["v array<double>"])
-    parts = d.mapInPandas(partial, schema).select(*by, F.posexplode("v").alias("_i", "_x"))
-    width = 1 + p + len(upper[0])
-    rows = parts.groupBy(*by, "_i").agg(F.sum("_x").alias("_x")).limit(MAX_GROUPS * width + 1).collect()
-    if len(rows) > MAX_GROUPS * width:
-        raise ValueError(f"more than {MAX_GROUPS} groups; these statistics are for a bounded number of groups")
-    flat: dict[tuple, np.ndarray] = {}
-    for r in rows:
-        flat.setdefault(tuple(r[b] for b in by), np.zeros(width))[r["_i"]] = r["_x"]
-    out = {}
-    for key, v in flat.items():
-        S = np.zeros((p, p))
-        S[upper] = v[1 + p:]
-        S = S + S.T - np.diag(np.diag(S))
-        out[key] = Gram(list(names), shift, float(v[0]), v[1:1 + p], S)
-    return out
+    width = 1 + p + len(iu)
+    parts = d.mapInPandas(partial, schema)
+    sums = parts.groupBy(*by).agg(F.array(*[F.sum(F.get("v", F.lit(i))) for i in range(width)]).alias("v"))
+    return GroupGrams(list(names), by, shift, sums.where(F.get("v", F.lit(0)).isNotNull()))
+
+
+def grams(df: DataFrame, names: list[str], by: list[str] = ()) -> dict[tuple, Gram]:
+    """The same on the driver, for folds, blocks and other groups that are few by nature; their number is checked."""
+    by = list(by)
+    g = group_grams(df, names, by)
+    rows = g.table.limit(MAX_GROUPS + 1).collect()
+    if len(rows) > MAX_GROUPS:
+        raise ValueError(f"more than {MAX_GROUPS} groups; read them with group_grams")
+    return {tuple(r[b] for b in by): g.gram(r["v"]) for r in rows}
 
 
 def gram(df: DataFrame, names: list[str]) -> Gram:
@@ -200,6 +255,16 @@ def report(spark, rows) -> DataFrame:
     return spark.createDataFrame(data, REPORT)
 
 
+def report_rows(stats: GroupGrams, fn) -> DataFrame:
+    """The same table from every group on the executors; `fn(key, gram)` gives (item, value) pairs."""
+
+    def rows(key, g):
+        name = "/".join(map(str, key)) or "all"
+        return [(name, str(i), None if x is None or math.isnan(x) else round(float(x), 6), None) for i, x in fn(key, g)]
+
+    return stats.rows(rows, REPORT)
+
+
 def hash_unit(*parts: Column) -> Column:
     """Reproducible uniform number in [0, 1) from the md5 of the parts."""
     h = F.md5(F.concat_ws(":", *[p.cast("string") for p in parts]))

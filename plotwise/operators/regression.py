@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plotwise.functions import labels as lb
-from plotwise.operators.gram import Fit, Gram, gram, grams, hash_fold, report, solve, total
+from plotwise.operators.gram import REPORT, Fit, Gram, GroupGrams, grams, group_grams, hash_fold, report, report_rows, solve, total
 from plotwise.operators.ranking import exact_quantiles, join_on, value_positions
+from plotwise.session import discard, stage
 
 # Search grids, thresholds of the retraining rules.
 RIDGE_ALPHAS = np.logspace(-3, 4, 20)
@@ -22,46 +23,45 @@ MIN_NEW_CLEAN, GROWTH, PSI_DRIFT, MIN_SAMPLES = 27, 0.10, 0.20, 30
 
 def grouped_ols(df: DataFrame, y: str, xs: list[str], by: list[str]) -> DataFrame:
     """One OLS per group: coefficients, fit quality, information criteria."""
-    rows = []
-    for key, g in grams(df, [y, *xs], by).items():
+
+    def rows(key, g):
         f = g.fit(y, xs)
-        name = "/".join(map(str, key))
-        rows += [(name, "n", f.n), (name, "r2", f.r2), (name, "r2_adj", f.r2_adj), (name, "ssr", f.ssr), (name, "loglik", f.loglik),
-                 (name, "aic", f.aic), (name, "bic", f.bic), (name, "intercept", f.intercept)]
-        rows += [(name, f"coef_{x}", c) for x, c in f.coef.items()]
-    return report(df.sparkSession, rows)
+        return [("n", f.n), ("r2", f.r2), ("r2_adj", f.r2_adj), ("ssr", f.ssr), ("loglik", f.loglik), ("aic", f.aic), ("bic", f.bic), ("intercept", f.intercept), *[(f"coef_{x}", c) for x, c in f.coef.items()]]
 
+    return report_rows(group_grams(df, [y, *xs], by), rows)
 
-def predictions(df: DataFrame, fits: dict, by: list[str], out: str = "predicted") -> DataFrame:
-    """Attach each group's prediction; groups without a model get null."""
-    expr = None
-    for key, f in fits.items():
-        cond = lb.chain([(F.lit(True), True)], True)
-        for b, k in zip(by, key):
-            cond = cond & F.col(b).eqNullSafe(F.lit(k))
-        expr = F.when(cond, f.predict()) if expr is None else expr.when(cond, f.predict())
-    return df.withColumn(out, expr)
+
+def predictions(df: DataFrame, fits: DataFrame, xs: list[str], by: list[str], out: str = "predicted") -> DataFrame:
+    """Attach each group's prediction from a table of fits (by, intercept, coef); groups without a model get null."""
+    table = fits.select(*by, F.col("intercept").alias("_a"), F.col("coef").alias("_b"))
+    total_ = sum((F.col(x).cast("double") * F.get("_b", F.lit(i)) for i, x in enumerate(xs)), F.col("_a"))
+    return join_on(df, table, by, "left").withColumn(out, total_).drop("_a", "_b")
 
 
 def price_model(df: DataFrame, y: str, xs: list[str], by: str, key: str, holdout: int = 5) -> DataFrame:
     """Model per kind on a hashed 80 % and its error on the rest, with the score range of each kind."""
     d = df.withColumn("_test", hash_fold(F.col(key), holdout) == 0)
-    parts = grams(d, [y, *xs], [by, "_test"])
-    rows, fits = [], {}
-    for kind in sorted({k for k, _ in parts}):
-        tr, te = parts.get((kind, False)), parts.get((kind, True))
-        if tr is None:
-            continue
-        f = fits[(kind,)] = tr.fit(y, xs)
-        rows += [(kind, "n_train", tr.n), (kind, "r2_train", f.r2), (kind, "rmse_train", math.sqrt(f.ssr / tr.n)), (kind, "intercept", f.intercept)]
-        rows += [(kind, f"coef_{x}", c) for x, c in f.coef.items()]
-        if te is not None:
-            sse = te.sse(y, xs, [f.coef[x] for x in xs], f.intercept)
-            sst = float(te.cross([y])[0, 0])
-            rows += [(kind, "n_test", te.n), (kind, "r2_test", 1 - sse / sst if sst > 0 else 0.0), (kind, "rmse_test", math.sqrt(max(sse, 0) / te.n))]
-    rng = predictions(df.dropna(subset=xs), fits, [by], "_p").groupBy(by).agg(F.min("_p").alias("lo"), F.max("_p").alias("hi")).collect()
-    rows += [(r[by], n, r[c]) for r in rng for n, c in (("score_min", "lo"), ("score_max", "hi"))]
-    return report(df.sparkSession, rows)
+    parts = group_grams(d, [y, *xs], [by, "_test"])
+    kept = stage(parts.table, "train-test")
+    side = lambda test: F.first(F.when(F.col("_test") == test, F.col("v")), ignorenulls=True)
+    both = kept.groupBy(by).agg(side(False).alias("v"), side(True).alias("held")).where("v is not null")
+    train = GroupGrams(parts.names, [by, "held"], parts.shift, both)
+    reader = GroupGrams(parts.names, [by], parts.shift, None)
+
+    def rows(key_, g):
+        kind, held = key_
+        f = g.fit(y, xs)
+        out = [("n_train", g.n), ("r2_train", f.r2), ("rmse_train", math.sqrt(f.ssr / g.n)), ("intercept", f.intercept), *[(f"coef_{x}", c) for x, c in f.coef.items()]]
+        if held is not None:
+            te = reader.gram(held)
+            sse, sst = te.sse(y, xs, [f.coef[x] for x in xs], f.intercept), float(te.cross([y])[0, 0])
+            out += [("n_test", te.n), ("r2_test", 1 - sse / sst if sst > 0 else 0.0), ("rmse_test", math.sqrt(max(sse, 0) / te.n))]
+        return [(str(kind), i, None if math.isnan(x) else round(float(x), 6), None) for i, x in out]
+
+    fits = GroupGrams(parts.names, [by], parts.shift, kept.where("not _test").drop("_test")).fits(y, xs)
+    rng = predictions(df.dropna(subset=xs), fits, xs, [by], "_p").where("_p is not null").groupBy(by).agg(F.min("_p").alias("score_min"), F.max("_p").alias("score_max"))
+    span = rng.select(F.col(by).cast("string").alias("section"), F.explode(F.create_map(F.lit("score_min"), F.round("score_min", 6), F.lit("score_max"), F.round("score_max", 6))).alias("item", "value"), F.lit(None).cast("string").alias("label"))
+    return train.rows(rows, REPORT).unionByName(span)
 
 
 # --------------------------------------------------------------- model race
@@ -178,47 +178,163 @@ def best_fits(result: dict, y: str) -> dict:
 # ---------------------------------------------------------------- quantiles
 
 
-def quantile_fits(df: DataFrame, y: str, xs: list[str], taus=(0.25, 0.50, 0.75), steps: int = 25, floor: float = 1e-4, tol: float = 1e-5) -> dict[float, Fit]:
-    """Quantile regressions by iteratively reweighted least squares.
+STEPS = np.array([1.0, 0.6, 0.3, 0.1, 0.0])  # shares of a step tried in one pass
+SHRINK, CENTRED, MOST_PASSES = 0.05, 0.1, 120
+
+
+def _path(r: np.ndarray, tau: float, mu: float):
+    """Dual value of each residual on the central path, its slope, and the smoothed loss.
 
-    Every step is one aggregate over the rows that serves all quantiles at once.
-    `df` should be staged, it is scanned `steps` times at most.
+    The dual weights d lie in (tau - 1, tau); with the barrier mu * log of both
+    distances, s = tau - d solves r = mu / s - mu / (1 - s).
     """
-    g = gram(df, [y, *xs])
-    base = g.fit(y, xs)
-    mu, sd = g.mean(xs), np.sqrt(np.diag(g.cross(xs)) / g.n)
-    sd[sd == 0] = 1.0
-    z = [F.lit(1.0)] + [(F.col(x).cast("double") - float(m)) / float(s) for x, m, s in zip(xs, mu, sd)]
-    yc, p = F.col(y).cast("double"), len(xs) + 1
-    start = np.concatenate([[base.intercept + sum(base.coef[x] * m for x, m in zip(xs, mu))], [base.coef[x] * s for x, s in zip(xs, sd)]])
-    beta = {t: start.copy() for t in taus}
-    d = df.dropna(subset=[y, *xs])
-    for _ in range(steps):
-        aggs = []
-        for i, t in enumerate(taus):
-            r = yc - sum((zz * float(b) for zz, b in zip(z, beta[t])), F.lit(0.0))
-            w = F.when(r >= 0, F.lit(float(t))).otherwise(F.lit(1.0 - t)) / F.greatest(F.abs(r), F.lit(floor))
-            aggs += [F.sum(w * z[a] * z[b]).alias(f"a{i}_{a}_{b}") for a in range(p) for b in range(a, p)]
-            aggs += [F.sum(w * z[a] * yc).alias(f"c{i}_{a}") for a in range(p)]
-        row, worst = d.agg(*aggs).first(), 0.0
-        for i, t in enumerate(taus):
-            A = np.array([[row[f"a{i}_{min(a, b)}_{max(a, b)}"] for b in range(p)] for a in range(p)])
-            new = solve(A, np.array([row[f"c{i}_{a}"] for a in range(p)]))
-            worst = max(worst, float(np.max(np.abs(new - beta[t]))))
-            beta[t] = new
-        if worst < tol:
+    a = np.abs(r)
+    small = 2 * mu / (a + 2 * mu + np.hypot(r, 2 * mu))  # of s and 1 - s the one towards the residual's side
+    s = np.where(r >= 0, small, 1 - small)
+    rest = np.where(r >= 0, 1 - small, small)
+    d = np.where(r >= 0, tau - small, tau - 1 + small)
+    return d, 1 / (mu * (1 / s**2 + 1 / rest**2)), d * r + mu * (np.log(s) + np.log(rest))
+
+
+def quantile_fits(df: DataFrame, y: str, xs: list[str], by: list[str] = (), taus=(0.25, 0.50, 0.75), tol: float = 1e-9) -> DataFrame:
+    """Exact quantile regressions per group: by..., tau, n, intercept, coef, loss, gap, passes.
+
+    An interior-point method on the dual: on the central path a row's dual weight
+    follows from its residual in closed form, so a Newton step is one weighted
+    Gram matrix, summed over the rows in Spark for all groups and quantiles in
+    the same pass, and no row keeps a state. Each pass tries several shares of
+    the last step and keeps the best; near the path the barrier shrinks and the
+    step follows the path's tangent. Groups and quantiles leave when their
+    duality gap is below `tol` times their loss. The state is a table with a row
+    per group, solved on the executors; the driver sees counts alone. `df`
+    should be staged, as it is read once a pass.
+    """
+    by, p, q = list(by), len(xs) + 1, len(taus)
+    d = df.dropna(subset=[y, *xs, *by]).select(*by, *[F.col(x).cast("double").alias(f"_x{i}") for i, x in enumerate([y, *xs])])
+    if not by:
+        d, by = d.withColumn("_all", F.lit(1)), ["_all"]
+    cols, (iu, ju) = [f"_x{i}" for i in range(p)], np.triu_indices(p)
+    stats = group_grams(d, cols, by)
+    types = dict(stats.table.dtypes)
+    keys = ", ".join(f"{b} {types[b]}" for b in by)
+    width = 2 + 2 * p + len(iu)  # smoothed loss, gap, X'd, X'Wr, X'WX
+
+    def first(key, g):
+        f, m, sd = g.fit(cols[0], cols[1:]), g.mean(cols), np.sqrt(np.diag(g.cross(cols)) / g.n)
+        sd[sd == 0] = 1.0
+        noise = math.sqrt(f.ssr / g.n) or sd[0]
+        b = np.array([f.coef[x] for x in cols[1:]]) * sd[1:] / noise
+        start = [(f.intercept + sum(f.coef[x] * v for x, v in zip(cols[1:], m[1:])) - m[0]) / noise, *b]
+        scale = [float(m[0]), float(noise), *map(float, m[1:]), *map(float, sd[1:])]
+        return [(*key, float(g.n), scale, [float(v) for _ in taus for v in start], [0.0] * (p * q), [1.0] * q, [False] * q, [0.0] * q, [0.0] * q)]
+
+    schema = keys + ", _n double, _scale array<double>, _beta array<double>, _step array<double>, _mu array<double>, _done array<boolean>, _loss array<double>, _gap array<double>"
+    state = stage(stats.rows(first, schema), "quantile-state")
+
+    def partial(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            out = []
+            for key, at in pdf.groupby(by, sort=False).indices.items():
+                at = np.asarray(at)
+                one = pdf.iloc[at[0]]
+                sc = np.asarray(one["_scale"], float)
+                data = pdf[cols].to_numpy(float)[at]
+                yy = (data[:, 0] - sc[0]) / sc[1]
+                Z = np.hstack([np.ones((len(at), 1)), (data[:, 1:] - sc[2 : 1 + p]) / sc[1 + p :]])
+                beta, step = (np.asarray(one[n], float).reshape(q, p) for n in ("_beta", "_step"))
+                key = key if isinstance(key, tuple) else (key,)
+                for i, tau in enumerate(taus):
+                    if one["_done"][i]:
+                        continue
+                    v = []
+                    for t in STEPS:
+                        r = yy - Z @ (beta[i] + t * step[i])
+                        dual, w, loss = _path(r, tau, one["_mu"][i])
+                        rho = np.where(r >= 0, tau * r, (tau - 1) * r)
+                        v += [loss.sum(), (rho - dual * r).sum(), *(Z.T @ dual), *(Z.T @ (w * r)), *((Z.T * w) @ Z)[iu, ju], rho.sum()]
+                    out.append((*key, i, v))
+            yield pd.DataFrame({n: pd.Series([o[j] for o in out], dtype=object) for j, n in enumerate([*by, "_q", "v"])})
+
+    def advance(pdf_row, sums):
+        """New state of one group from the sums of its open quantiles."""
+        beta, step = (np.array(pdf_row[n], float).reshape(q, p) for n in ("_beta", "_step"))
+        mu, done, losses, gaps = (list(pdf_row[n]) for n in ("_mu", "_done", "_loss", "_gap"))
+        for i, v in sums.items():
+            v = np.asarray(v, float).reshape(len(STEPS), width + 1)
+            best = int(np.nanargmin(v[:, 0]))
+            beta[i] += STEPS[best] * step[i]
+            gap, grad, wr, loss = v[best, 1], v[best, 2 : 2 + p], v[best, 2 + p : 2 + 2 * p], v[best, -1]
+            H = np.zeros((p, p))
+            H[iu, ju] = v[best, 2 + 2 * p : width]
+            H = H + H.T - np.diag(np.diag(H))
+            newton = solve(H, grad)
+            # Off the path the bound grows by what the smoothed loss may still fall: the squared Newton decrement, doubled.
+            losses[i], gaps[i] = float(loss), float(max(gap, 0.0) + 2 * (grad @ newton))
+            if grad @ newton <= CENTRED * mu[i]:
+                if gaps[i] <= tol * max(loss, 1e-12) or loss <= 1e-12:
+                    done[i], step[i] = True, 0.0
+                    continue
+                # Along the path's tangent, with what is left of the Newton step.
+                step[i] = (1 - SHRINK) * solve(H, wr) + newton
+                mu[i] *= SHRINK
+            else:
+                step[i] = newton
+        return beta.ravel().tolist(), step.ravel().tolist(), [float(m) for m in mu], [bool(x) for x in done], losses, gaps
+
+    names = [f.split()[0] for f in schema.split(", ")]
+
+    def update(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            out = []
+            for rec in pdf.to_dict("records"):
+                sums = {int(s["q"]): s["v"] for s in rec["_sums"]}
+                new = advance(rec, sums)
+                out.append([*[rec[b] for b in by], rec["_n"], list(rec["_scale"]), *new])
+            yield pd.DataFrame({n: pd.Series([o[j] for o in out], dtype=object) for j, n in enumerate(names)})
+
+    passes, finished = 0, []
+    while passes < MOST_PASSES:
+        passes += 1
+        parts = join_on(d, state.drop("_n", "_loss", "_gap"), by).mapInPandas(partial, f"{keys}, _q int, v array<double>")
+        total_ = F.array(*[F.sum(F.get("v", F.lit(i))) for i in range(len(STEPS) * (width + 1))])
+        sums = parts.groupBy(*by, "_q").agg(total_.alias("v")).groupBy(*by).agg(F.collect_list(F.struct(F.col("_q").alias("q"), "v")).alias("_sums"))
+        new = stage(join_on(state, sums, by).mapInPandas(update, schema).withColumn("_end", ~F.exists("_done", lambda x: ~x)), "quantile-state")
+        open_, ended = new.agg(F.count(F.when(~F.col("_end"), 1)), F.count(F.when(F.col("_end"), 1))).first()
+        if ended:
+            finished.append(stage(new.where("_end").withColumn("passes", F.lit(passes)).drop("_end"), "quantile-fits"))
+        discard(state)
+        state = new.where("not _end").drop("_end")
+        if not open_:
             break
-    out = {}
-    for t, b in beta.items():
-        raw = b[1:] / sd
-        out[t] = Fit(y, list(xs), dict(zip(xs, map(float, raw))), float(b[0] - raw @ mu), g.n, 0.0, 1.0)
-    return out
+    else:
+        finished.append(state.withColumn("passes", F.lit(MOST_PASSES)))
+    out = state.withColumn("passes", F.lit(0)).where("false")
+    for more in finished:
+        out = out.unionByName(more)
+    i = F.explode(F.sequence(F.lit(0), F.lit(q - 1)))
+    out = out.withColumn("_i", i)
+    b = lambda j: F.get("_beta", F.col("_i") * p + j) * F.get("_scale", F.lit(1)) / (F.get("_scale", F.lit(p + j)) if j else F.lit(1.0))
+    centre = sum((b(j) * F.get("_scale", F.lit(1 + j)) for j in range(1, p)), F.lit(0.0))
+    return out.select(*[c for c in by if c != "_all"], F.get(F.lit([float(t) for t in taus]), F.col("_i")).alias("tau"), F.col("_n").alias("n"), (b(0) + F.get("_scale", F.lit(0)) - centre).alias("intercept"),
+                      F.array(*[b(j) for j in range(1, p)]).cast("array<double>").alias("coef"), (F.get("_loss", F.col("_i")) * F.get("_scale", F.lit(1))).alias("loss"), (F.get("_gap", F.col("_i")) * F.get("_scale", F.lit(1))).alias("gap"), "passes")
+
 
+def quantile_position(df: DataFrame, fits: DataFrame, y: str, xs: list[str], by: list[str] = (), touch: float = 1e-6) -> DataFrame:
+    """Place of each row below, within or above the outer quantile fits; rows a fit passes through are within."""
+    by = list(by)
+    low, high = (fits.agg(f("tau")).first()[0] for f in (F.min, F.max))
+    d = predictions(df, fits.where(F.col("tau") == low), xs, by, "q_low") if by else _one(df, fits.where(F.col("tau") == low), xs, "q_low")
+    d = predictions(d, fits.where(F.col("tau") == high), xs, by, "q_high") if by else _one(d, fits.where(F.col("tau") == high), xs, "q_high")
+    pos = F.when(F.col(y) < F.col("q_low") - touch, "below_q25").when(F.col(y) > F.col("q_high") + touch, "above_q75").when(F.col("q_low").isNotNull(), "within_iqr")
+    return d.withColumn("position", pos)
 
-def quantile_position(df: DataFrame, fits: dict[float, Fit], y: str) -> DataFrame:
-    lo, hi = fits[min(fits)].predict(), fits[max(fits)].predict()
-    pos = F.when(F.col(y) < lo, "below_q25").when(F.col(y) > hi, "above_q75").otherwise("within_iqr")
-    return df.withColumns({"q_low": lo, "q_high": hi, "position": pos})
+
+def _one(df: DataFrame, fit: DataFrame, xs: list[str], out: str) -> DataFrame:
+    return predictions(df.withColumn("_k", F.lit(1)), fit.withColumn("_k", F.lit(1)), xs, ["_k"], out).drop("_k")
 
 
 # ---------------------------------------------------------------- appraisal
@@ -255,13 +371,12 @@ def appraisal_metrics(df: DataFrame, actual: str, predicted: str, by: list[str])
 
 def vif(df: DataFrame, xs: list[str], by: list[str] = ()) -> DataFrame:
     """Variance inflation: the diagonal of the inverse correlation matrix."""
-    rows = []
-    for key, g in grams(df, xs, by).items():
-        R = g.corr(xs)
-        inv = np.linalg.pinv(R, rcond=1e-12, hermitian=True)
-        for x, v in zip(xs, np.diag(inv)):
-            rows.append(("/".join(map(str, key)) or "all", x, 1.0 if len(xs) < 2 else min(max(float(v), 1.0), 1e10)))
-    return report(df.sparkSession, rows)
+
+    def rows(key, g):
+        inv = np.linalg.pinv(g.corr(xs), rcond=1e-12, hermitian=True)
+        return [(x, 1.0 if len(xs) < 2 else min(max(float(v), 1.0), 1e10)) for x, v in zip(xs, np.diag(inv))]
+
+    return report_rows(group_grams(df, xs, by), rows)
 
 
 def consensus(result: dict, threshold: float = 0.05, top: int = 5) -> list[tuple]:

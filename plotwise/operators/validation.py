@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 from plotwise.functions import mathx as mx
 from plotwise.operators import geo
 from plotwise.operators.cleaning import complete_cases
-from plotwise.operators.gram import Fit, Gram, gram, grams, hash_unit, report
+from plotwise.operators.gram import Fit, Gram, gram, grams, group_grams, hash_unit, report, report_rows
 from plotwise.operators.ranking import average_ranks, exact_quantiles, value_positions
 from plotwise.operators.regression import cv_scores, fold_grams
+from plotwise.session import stage
 
 NAN = float("nan")
 
@@ -150,17 +151,22 @@ def reset_test(df: DataFrame, g: Gram, y: str, index: str, subs: list[str], cont
     return rows + [("reset", "verdict", verdict)]
 
 
-def subgroup_fits(df: DataFrame, group: str, y: str, index: str, subs: list[str], controls: list[str], at_least: int = 50) -> list[tuple]:
-    rows, red, full = [], [], []
-    for (k,), g in sorted(grams(df, [y, index, *subs, *controls], [group]).items(), key=lambda kv: str(kv[0])):
-        if g.n < at_least:
-            continue
-        a, b = g.fit(y, [index, *controls]).r2, g.fit(y, [*subs, *controls]).r2
-        red.append(a), full.append(b)
-        rows += [(f"subgroup_{k}", "n", g.n), (f"subgroup_{k}", "r2_reduced", a), (f"subgroup_{k}", "r2_full", b)]
-    cv = lambda v: float(np.std(v) / np.mean(v)) if v and np.mean(v) > 0 else NAN
-    verdict = "high_heterogeneity" if cv(full) > 0.30 else "moderate_heterogeneity" if cv(full) > 0.15 else "homogeneous"
-    return rows + [("subgroup", "cv_reduced", cv(red)), ("subgroup", "cv_full", cv(full)), ("subgroup", "verdict", verdict)]
+def subgroup_fits(df: DataFrame, group: str, y: str, index: str, subs: list[str], controls: list[str], at_least: int = 50) -> DataFrame:
+    """Fit quality of both models in every group of enough rows, how much it varies, and a verdict."""
+    red, full = [index, *controls], [*subs, *controls]
+
+    def rows(key, g):
+        return [] if g.n < at_least else [("n", g.n), ("r2_reduced", g.fit(y, red).r2), ("r2_full", g.fit(y, full).r2)]
+
+    each = stage(report_rows(group_grams(df, [y, index, *subs, *controls], [group]), rows).withColumn("section", F.concat(F.lit("subgroup_"), "section")), "subgroups")
+    of = lambda item: F.when(F.col("item") == item, F.col("value"))
+    cv = lambda item: F.when(F.avg(of(item)) > 0, F.stddev_pop(of(item)) / F.avg(of(item)))
+    spread = each.agg(cv("r2_reduced").alias("cv_reduced"), cv("r2_full").alias("cv_full"))
+    verdict = F.when(F.col("cv_full") > 0.30, "high_heterogeneity").when(F.col("cv_full") > 0.15, "moderate_heterogeneity").otherwise("homogeneous")
+    none, text = F.lit(None).cast("double"), F.lit(None).cast("string")
+    line = lambda item, value, label: F.struct(F.lit(item).alias("item"), value.alias("value"), label.alias("label"))
+    last = spread.select(F.lit("subgroup").alias("section"), F.inline(F.array(line("cv_reduced", F.round("cv_reduced", 6), text), line("cv_full", F.round("cv_full", 6), text), line("verdict", none, verdict))))
+    return each.unionByName(last)
 
 
 def specifications(df: DataFrame, y: str, subs: list[str], controls: list[str], area: str = "area", security: str = "security",

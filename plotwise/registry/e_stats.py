@@ -91,19 +91,34 @@ def _(v):
     return rg.race_report(v.spark, race_of(v)[1])
 
 
+def quantiles_of(v):
+    d = stage(analysis(v).withColumn("y", F.ln("price_m2")))
+    return d, stage(rg.quantile_fits(d, "y", CONTROLS, ["kind"]))
+
+
 @query("reg_3_quantile_position")
 def _(v):
-    d = stage(analysis(v).withColumn("y", F.ln("price_m2")))
-    q = rg.quantile_position(d, rg.quantile_fits(d, "y", CONTROLS), "y")
-    return q.groupBy("position").agg(F.count("*").alias("n"), F.round(F.avg("q_low"), 2).alias("q_low"), F.round(F.avg("q_high"), 2).alias("q_high"))
+    d, fits = quantiles_of(v)
+    q = rg.quantile_position(d, fits, "y", CONTROLS, ["kind"])
+    return q.groupBy("kind", "position").agg(F.count("*").alias("n"), F.round(F.avg("q_low"), 4).alias("q_low"), F.round(F.avg("q_high"), 4).alias("q_high"))
+
+
+# An exact fit has no duality gap, and no more than a share tau of the rows below it or 1 - tau above it.
+@query("reg_3_quantile_optimum", f"{A_SQL} SELECT kind, tau, count(*)::DOUBLE AS n, true AS no_gap, true AS share_below, true AS share_above FROM an, (SELECT unnest([0.25e0, 0.5e0, 0.75e0]) AS tau) GROUP BY 1, 2")
+def _(v):
+    d, fits = quantiles_of(v)
+    rows = stage(rg.predictions(d.withColumn("tau", F.explode(F.lit([0.25, 0.5, 0.75]))), fits, CONTROLS, ["kind", "tau"], "hat"))
+    side = lambda x: F.count(F.when(x, 1)) / F.count("*")
+    shares = rows.groupBy("kind", "tau").agg(side(c("y") < c("hat") - 1e-6).alias("below"), side(c("y") > c("hat") + 1e-6).alias("above"))
+    return fits.join(shares, ["kind", "tau"]).select("kind", "tau", "n", (c("gap") <= 1e-8 * c("loss")).alias("no_gap"), (c("below") <= c("tau")).alias("share_below"), (c("above") <= 1 - c("tau")).alias("share_above"))
 
 
 @query("reg_4_market_summary", f"{A_SQL}, yy AS (SELECT *, ln(price_m2) AS y FROM an), {ols_sql('yy', 'y', CONTROLS, 'o', 'kind')}, m AS (SELECT kind, price_m2/greatest(exp(y-res), 1.0) AS mr FROM o) "
        "SELECT kind, count(*) AS n, count(*) FILTER (mr > 1.10) AS n_over, count(*) FILTER (mr BETWEEN 0.90 AND 1.10) AS n_fair, count(*) FILTER (mr < 0.90) AS n_under, round(avg(mr), 6) AS mean_ratio, round(quantile_cont(mr, 0.5), 6) AS median_ratio FROM m GROUP BY kind")
 def _(v):
     d = analysis(v).withColumn("y", F.ln("price_m2"))
-    fits = {k: g.fit("y", CONTROLS) for k, g in gm.grams(d, ["y", *CONTROLS], ["kind"]).items()}
-    m = rg.market_ratio(rg.predictions(d, fits, ["kind"], "ln_hat"), "price_m2", "ln_hat")
+    fits = gm.group_grams(d, ["y", *CONTROLS], ["kind"]).fits("y", CONTROLS)
+    m = rg.market_ratio(rg.predictions(d, fits, CONTROLS, ["kind"], "ln_hat"), "price_m2", "ln_hat")
     return rg.market_summary(stage(m.select("kind", "valuation", "market_ratio")), "kind").withColumns({"mean_ratio": F.round("mean_ratio", 6), "median_ratio": F.round("median_ratio", 6)})
 
 
@@ -238,7 +253,7 @@ def _(v):
        "JOIN (SELECT zone_id, round(1-sum(res*res)/sum(cen*cen),6) AS r2_full FROM f GROUP BY 1) b USING (zone_id) WHERE n >= 50")
 def _(v):
     d = analysis(v)
-    t = va.to_report(d, va.subgroup_fits(d, "zone_id", Y, INDEX, SCORES, CONTROLS)).where("section like 'subgroup_%' and section <> 'subgroup'")
+    t = va.subgroup_fits(d, "zone_id", Y, INDEX, SCORES, CONTROLS).where("section like 'subgroup_%' and section <> 'subgroup'")
     w = t.groupBy("section").pivot("item", ["n", "r2_reduced", "r2_full"]).agg(F.first("value"))
     return w.select(F.regexp_extract("section", r"subgroup_(\d+)", 1).cast("long").alias("zone_id"), "n", "r2_reduced", "r2_full")
 

@@ -191,7 +191,8 @@ def test_race_ridge_and_lasso_properties(spark):
 def test_quantile_regression_splits_the_data(spark):
     x = rng.uniform(0, 5, 800)
     d = spark.createDataFrame(pd.DataFrame({"x": x, "y": 2 * x + rng.exponential(1, 800)}))
-    q = rg.quantile_position(d, rg.quantile_fits(d, "y", ["x"]), "y").groupBy("position").count().toPandas().set_index("position")["count"]
+    fits = rg.quantile_fits(d, "y", ["x"])
+    q = rg.quantile_position(d, fits, "y", ["x"]).groupBy("position").count().toPandas().set_index("position")["count"]
     assert abs(q["below_q25"] - 200) < 12 and abs(q["above_q75"] - 200) < 12
 
 
