@@ -178,53 +178,6 @@ def near_any(listings: DataFrame, pois: DataFrame, categories: list[str], radius
 # ------------------------------------------------------------------ vectors
 
 
-def cosine_topk(corpus: DataFrame, queries: DataFrame, vid: str, vec: str, k: int = 10, threshold: float = -1.0, chunk: int = 20_000) -> DataFrame:
-    """k most similar vectors of every query by cosine, above a threshold; a vector is not its own answer.
-
-    The corpus stays in place: every task keeps k rows per query of its batches,
-    and only those are merged. Queries travel to the tasks in portions of a
-    checked size, so a large query table takes more passes, not more memory.
-    """
-    import numpy as np
-    import pandas as pd
-
-    spark = corpus.sparkSession
-    total = queries.count()
-    parts = max(1, -(-total // chunk))
-    vt = dict(corpus.dtypes)[vid]
-    schema = f"qid {vt}, {vid} {vt}, similarity double"
-    out = None
-    for p in range(parts):
-        part = queries.where(F.pmod(F.xxhash64(vid), F.lit(parts)) == p) if parts > 1 else queries
-        rows = part.select(F.col(vid).alias("i"), F.col(vec).alias("v")).toPandas()
-        if rows.empty:
-            continue
-        Q = np.array(rows["v"].tolist(), dtype=float)
-        shared = spark.sparkContext.broadcast((rows["i"].to_numpy(), Q / np.maximum(np.linalg.norm(Q, axis=1, keepdims=True), 1e-300)))
-
-        def best(batches, shared=shared):
-            ids, Qn = shared.value
-            for pdf in batches:
-                if pdf.empty:
-                    continue
-                V = np.array(pdf[vec].tolist(), dtype=float)
-                V = V / np.maximum(np.linalg.norm(V, axis=1, keepdims=True), 1e-300)
-                own = pdf[vid].to_numpy()
-                S = np.round(Qn @ V.T, 9)
-                S[ids[:, None] == own[None, :]] = -2.0
-                m = min(k, len(own))
-                order = np.lexsort((np.broadcast_to(own, S.shape), -S), axis=1)[:, :m]
-                sim = np.take_along_axis(S, order, 1)
-                keep = sim >= max(threshold, -1.0)
-                r, c = np.nonzero(keep)
-                yield pd.DataFrame({"qid": ids[r], vid: own[order[r, c]], "similarity": sim[r, c]})
-
-        got = corpus.select(vid, vec).mapInPandas(best, schema)
-        out = got if out is None else out.unionByName(got)
-    w = Window.partitionBy("qid").orderBy(F.desc("similarity"), vid)
-    return out.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k)
-
-
 def centroids(vectors: DataFrame, label: str, vec: str) -> DataFrame:
     """Mean vector per label."""
     long = vectors.select(label, F.posexplode(vec).alias("pos", "x")).groupBy(label, "pos").agg(F.avg(F.col("x").cast("double")).alias("x"))

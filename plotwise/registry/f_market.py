@@ -12,6 +12,7 @@ from plotwise.operators import outliers as ou
 from plotwise.operators import search as se
 from plotwise.operators import upsert as up
 from plotwise.operators import valuation as vl
+from plotwise.operators import vectors
 from plotwise.registry.c_geo import BOX, HAV, INSIDE
 from plotwise.registry.core import query
 from plotwise.session import stage
@@ -315,7 +316,7 @@ def _(v):
   r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY similarity DESC, vec_id) AS rn FROM s WHERE similarity >= 0.2) SELECT qid, vec_id, round(similarity, 6) AS similarity, rn FROM r WHERE rn <= 10""")
 def _(v):
     e = v.table("embeddings")
-    return se.cosine_topk(e, e, "vec_id", "embedding", 10, 0.2).select("qid", "vec_id", R("similarity"), c("rn").cast("long").alias("rn"))
+    return vectors.cosine_topk(e, e, "vec_id", "embedding", 10, 0.2).select("qid", "vec_id", R("similarity"), c("rn").cast("long").alias("rn"))
 
 
 @query("vec_2_centroids", "SELECT label, pos, round(avg(x), 6) AS x FROM (SELECT label, unnest(range(64)) AS pos, unnest(embedding::DOUBLE[]) AS x FROM embeddings) GROUP BY 1,2")

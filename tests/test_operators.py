@@ -273,13 +273,3 @@ def test_change_audit_over_several_batches(spark, tmp_path):
     got = st.change_audit(stream, "k", ["p"], ["ts"], "audit-test").orderBy("key", "ts").toPandas()
     a = got[got.key == "a"]
     assert list(a.action) == ["created", "updated", "updated", "updated"] and list(a.new)[1:] == ["2", "3", "1"]
-
-
-def test_cosine_topk_in_portions(spark):
-    V = rng.normal(size=(60, 8))
-    d = spark.createDataFrame([(int(i), [float(x) for x in v]) for i, v in enumerate(V)], "i long, v array<double>")
-    got = se.cosine_topk(d, d, "i", "v", 3, chunk=25).toPandas().sort_values(["qid", "rn"])
-    U = V / np.linalg.norm(V, axis=1, keepdims=True)
-    S = U @ U.T
-    np.fill_diagonal(S, -2)
-    assert (got.i.values.reshape(60, 3) == np.argsort(-S, axis=1)[:, :3]).all()
