@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -66,6 +67,24 @@ def settle(spark: SparkSession, *staged: DataFrame) -> None:
     jvm.System.gc()  # the context cleaner drops shuffles whose plans are gone
 
 
+@contextmanager
+def sifted(spark: SparkSession):
+    """Within: a join whose other side is small sifts its large side by a Bloom filter of the keys before rows are shuffled.
+
+    The filter has Spark's own bounds; beyond them more rows travel, none is lost. Settings return to what they were.
+    """
+    base = "spark.sql.optimizer.runtime.bloomFilter."
+    new = {f"{base}enabled": "true", f"{base}applicationSideScanSizeThreshold": "0", f"{base}creationSideThreshold": "1g"}
+    old = {k: spark.conf.get(k, None) for k in new}
+    for k, v in new.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def mixed(a: np.ndarray, seed: int) -> np.ndarray:
     """64-bit finalizer of a well-known integer hash, seeded."""
     z = a.astype(np.uint64) + np.uint64((seed * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) & (2**64 - 1))

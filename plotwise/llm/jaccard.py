@@ -32,7 +32,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from plotwise.llm.common import WORD, WORD_SQL, batches, components, forest, mixed
+from plotwise.llm.common import WORD, WORD_SQL, batches, components, forest, mixed, sifted
 from plotwise.session import stage
 
 WORDS, TENTHS, DEPTH, SMALL, BLOCK, BITS = 5, 8, 3, 2048, 512, 256
@@ -103,7 +103,7 @@ def sets(docs: DataFrame, runs: int) -> DataFrame:
 
 def deeper(docs: DataFrame, large: DataFrame) -> DataFrame:
     """(p, cls): the next paths of the sets in large buckets (p, cls), from their texts."""
-    per = large.groupBy("cls").agg(F.collect_list("p").alias("paths"))
+    per = large.groupBy("cls").agg(F.collect_list("p").alias("paths")).where(F.size("paths") > 0)
 
     def run(b):
         sh = shingles([WORD.findall(t) for t in b["text"].to_pylist()])
@@ -116,7 +116,8 @@ def buckets(docs: DataFrame, first: DataFrame, small: int = SMALL) -> DataFrame:
     """(p, cls, blocks): buckets of two sets or more, at the level where they are small, or at the last one."""
     rows, out = first, None
     for level in range(DEPTH):
-        rows = stage(rows, "paths")
+        with sifted(docs.sparkSession):
+            rows = stage(rows, "paths")
         size = stage(rows.groupBy("p").agg(F.count("*").alias("size")).where("size > 1"), "path-sizes")
         met = rows.join(size, "p")
         large = size.where(F.col("size") > small)
@@ -237,8 +238,11 @@ def assigned(docs: DataFrame, runs: int = RUNS, small: int = SMALL, block: int =
     size = found.groupBy("root").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     asked = stage(found.join(size, "root").join(copies.select(F.col("cls").alias("id"), "low"), "id"), "candidate-blocks")
     # One row of each text meets its component: the one with the smallest id.
-    texts = rows.join(asked.withColumnRenamed("id", "cls"), "cls").where(F.col("doc_id").eqNullSafe(F.col("low"))).select("root", "cls", "text", "blocks")
-    linked = stage(in_blocks(texts, "root").groupBy("root", "i", "j").applyInPandas(exact, "a long, b long, links long"), "links")
+    # Texts without a candidate are sifted out before the shuffle; the predicate marks the small side for it.
+    some = asked.withColumnRenamed("id", "cls").where("blocks > 0")
+    texts = rows.join(some, "cls").where(F.col("doc_id").eqNullSafe(F.col("low"))).select("root", "cls", "text", "blocks")
+    with sifted(docs.sparkSession):
+        linked = stage(in_blocks(texts, "root").groupBy("root", "i", "j").applyInPandas(exact, "a long, b long, links long"), "links")
     n = linked.where("a = b").groupBy(F.col("a").alias("cls")).agg(F.sum("links").alias("n_links"))
     comp = components(linked.select("a", "b")).withColumnRenamed("id", "cls")
     per = stage(copies.join(n, "cls", "left").join(comp, "cls", "left").withColumn("root", F.coalesce("root", "cls")), "class-rows")
