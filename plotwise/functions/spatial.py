@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -193,8 +195,48 @@ def circle(lon, lat, radius_m, vertices: int = 32) -> Column:
         (lat + radius_m * F.sin((i % vertices) * step) / METRES_PER_DEGREE).alias("y")))
 
 
-def thin(ring: Column, tol: float) -> Column:
-    """Drop vertices that fall in the same `tol` cell as the one before; ends are kept."""
-    n = F.size(ring)
-    cell = lambda p: F.struct(F.floor(p["x"] / tol).alias("i"), F.floor(p["y"] / tol).alias("j"))
-    return F.filter(ring, lambda p, i: (i == 0) | (i == n - 1) | (cell(p) != cell(F.get(ring, i - 1))))
+def kept_vertices(x, y, tol: float) -> list[int]:
+    """Indices of the vertices that Douglas-Peucker keeps.
+
+    A vertex farther than `tol` from the chord of its stretch splits it, the
+    farthest first. The chord of a closed ring is its first point. A ring keeps
+    a triangle at least, so that it stays one.
+    """
+    n = len(x)
+    if n < 3:
+        return list(range(n))
+
+    def farthest(a, b):
+        px, py, dx, dy = x[a + 1 : b] - x[a], y[a + 1 : b] - y[a], x[b] - x[a], y[b] - y[a]
+        long = dx * dx + dy * dy
+        t = np.clip((px * dx + py * dy) / long, 0, 1) if long > 0 else 0.0
+        off = (px - t * dx) ** 2 + (py - t * dy) ** 2
+        at = int(off.argmax())
+        return float(off[at]), a + 1 + at
+
+    keep, todo = {0, n - 1}, [(0, n - 1)]
+    while todo:
+        a, b = todo.pop()
+        if b - a > 1:
+            off, at = farthest(a, b)
+            if off > tol * tol:
+                keep.add(at)
+                todo += [(a, at), (at, b)]
+    while len(keep) < 4 and x[0] == x[-1] and y[0] == y[-1]:
+        ends = sorted(keep)
+        off, at = max((farthest(a, b) for a, b in zip(ends, ends[1:]) if b - a > 1), default=(0.0, 0))
+        if off == 0:
+            break
+        keep.add(at)
+    return sorted(keep)
+
+
+def simplify(rings: Column, tol: float) -> Column:
+    """Every ring reduced to the vertices `kept_vertices` names."""
+
+    @F.pandas_udf("array<array<int>>")
+    def kept(xs: pd.Series, ys: pd.Series) -> pd.Series:
+        return pd.Series([None if a is None else [kept_vertices(np.asarray(x, float), np.asarray(y, float), tol) for x, y in zip(a, b)] for a, b in zip(xs, ys)])
+
+    axis = lambda name: F.transform(rings, lambda r: F.transform(r, lambda p: p[name]))
+    return F.zip_with(rings, kept(axis("x"), axis("y")), lambda r, k: F.transform(k, lambda i: F.get(r, i)))

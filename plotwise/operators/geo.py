@@ -379,5 +379,6 @@ def zone_parents(inner: DataFrame, outer: DataFrame, inner_id: str, keep: list[s
     return one_polygon(pts, outer, pick, keep).drop("lon", "lat")
 
 
-def thin_rings(polys: DataFrame, tol: float) -> DataFrame:
-    return polys.withColumn("rings", F.transform(F.col("rings"), lambda r: sp.thin(r, tol)))
+def simplified(polys: DataFrame, tol: float) -> DataFrame:
+    """Polygons with rings simplified by Douglas-Peucker; `tol` in the units of the coordinates."""
+    return polys.withColumn("rings", sp.simplify(F.col("rings"), tol))

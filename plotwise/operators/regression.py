@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plotwise.functions import labels as lb
+from plotwise.operators.cleaning import unflagged
 from plotwise.operators.gram import REPORT, Fit, Gram, GroupGrams, grams, group_grams, hash_fold, report, report_rows, solve, total
 from plotwise.operators.ranking import exact_quantiles, join_on, value_positions
 from plotwise.session import discard, stage
@@ -18,7 +19,7 @@ RIDGE_ALPHAS = np.logspace(-3, 4, 20)
 LASSO_ALPHAS = np.logspace(-4, 2, 20)
 NET_ALPHAS = np.logspace(-4, 2, 10)
 NET_RATIOS = [0.1, 0.3, 0.5, 0.7, 0.9]
-MIN_NEW_CLEAN, GROWTH, PSI_DRIFT, MIN_SAMPLES = 27, 0.10, 0.20, 30
+MIN_NEW_CLEAN, GROWTH, PSI_DRIFT, MIN_SAMPLES, MIN_RATED = 27, 0.10, 0.20, 30, 10
 
 
 def grouped_ols(df: DataFrame, y: str, xs: list[str], by: list[str]) -> DataFrame:
@@ -419,10 +420,18 @@ def population_shift(old: DataFrame, new: DataFrame, col: str, bins: int = 10) -
     return j.agg(F.lit(col).alias("feature"), F.sum((a - e) * F.ln(a / e)).alias("psi"))
 
 
-def retrain_decision(df: DataFrame, runs: DataFrame, last_run: Column, ts: str, features: list[str], by: str = "kind",
+def retrain_decision(df: DataFrame, runs: DataFrame | None, last_run: Column | None, ts: str, features: list[str], by: str = "kind",
                      actual: str = "price_m2", predicted: str = "predicted") -> DataFrame:
-    """Reasons to fit the models again: volume, growth per kind, feature drift, appraisal drift."""
-    clean = df.where("price > 0 and area > 0")
+    """Reasons to fit the models again: volume, growth per kind, feature drift, appraisal drift.
+
+    Flagged outliers do not count. Without an earlier run (`last_run` None) the
+    one reason is enough rows for a first fit. `runs` holds n_samples per kind;
+    appraisal is judged on `MIN_RATED` new rows with a prediction at least.
+    """
+    clean = unflagged(df).where("price > 0 and area > 0")
+    if last_run is None:
+        n = clean.agg(F.count("*").alias("new_clean"))
+        return n.withColumn("reasons", F.when(F.col("new_clean") >= MIN_SAMPLES, "first_run").otherwise("")).withColumn("retrain", F.col("reasons") != "")
     old, new = clean.where(F.col(ts) <= last_run), clean.where(F.col(ts) > last_run)
     n_new = new.agg(F.count("*").alias("n"))
     growth = clean.groupBy(by).agg(F.count("*").alias("n")).join(runs, by).agg(
@@ -431,8 +440,10 @@ def retrain_decision(df: DataFrame, runs: DataFrame, last_run: Column, ts: str,
     for f in features:
         psi = population_shift(old, new, f)
         reasons.append(F.when(psi.select("psi").scalar() >= PSI_DRIFT, F.lit(f"drift_{f}")))
-    iaao = appraisal_metrics(new.where(F.col(predicted) > 0), actual, predicted, [])
-    reasons.append(F.when(~iaao.select("level_ok").scalar() | (iaao.select("cod").scalar() > 20), F.lit("appraisal_drift")))
+    if predicted in df.columns:
+        rated = appraisal_metrics(new.where((F.col(predicted) > 0) & (F.col(actual) > 0)), actual, predicted, [])
+        off = F.coalesce(~rated.select("level_ok").scalar() | (rated.select("cod").scalar() > 20), F.lit(False))
+        reasons.append(F.when((F.col("n") >= MIN_SAMPLES) & (rated.select("n").scalar() >= MIN_RATED) & off, F.lit("appraisal_drift")))
     enough = F.col("n") >= MIN_NEW_CLEAN
     why = F.when(enough, F.array_join(F.array_compact(F.array(*reasons)), ",")).otherwise(F.lit(""))
     return n_new.select(F.col("n").alias("new_clean"), why.alias("reasons")).withColumn("retrain", F.col("reasons") != "")

@@ -18,11 +18,13 @@ FIELDS = ["price", "area", "rooms", "baths", "garages", "stratum", "kind", "oper
 
 
 def refresh(docs: DataFrame, current: DataFrame | None, *, stations: DataFrame, pois: DataFrame, zones: DataFrame, barrios: DataFrame, layers: DataFrame,
-            now, last_outlier_run=None) -> tuple[dict[str, DataFrame], DataFrame]:
+            now, last_outlier_run=None, last_model_run=None, model_runs: DataFrame | None = None, predicted: DataFrame | None = None) -> tuple[dict[str, DataFrame], DataFrame]:
     """Every stage reads and writes tables of the shared folder.
 
     Returns the tables and a report of (stage, metric, value). Outliers run if
-    enough is new; models are fitted on the listings that are left.
+    enough is new; models are fitted on the listings that are left, if the retrain
+    rule says so: `last_model_run` (none: first run), samples per kind of that run
+    (`model_runs`: kind, n_samples) and its predictions (`predicted`: id, predicted).
     """
     spark = docs.sparkSession
     tables, report = {}, []
@@ -50,7 +52,11 @@ def refresh(docs: DataFrame, current: DataFrame | None, *, stations: DataFrame,
         report.append(found.agg(F.count("*").cast("double").alias("value")).select(F.lit("outliers").alias("stage"), F.lit("found").alias("metric"), "value"))
 
     d = scored.where("price > 0 and area > 0").withColumn("y", F.ln(F.col("price") / F.col("area")))
-    models = rg.model_race(d, "y", {"hedonic": ["area", "rooms", "garages"], "full": ["area", "rooms", "garages", "access", "services", "zoning"]}, "kind", "id")
+    rated = d.withColumn("price_m2", F.col("price") / F.col("area"))
+    rated = rated.join(predicted.select("id", "predicted"), "id", "left") if predicted is not None else rated
+    again = rg.retrain_decision(rated, model_runs, last_model_run, "last_seen", ["stratum", "area"]).first()
+    report.append(spark.createDataFrame([("models", "due", float(again["retrain"]))], "stage string, metric string, value double"))
+    models = {} if not again["retrain"] else rg.model_race(d, "y", {"hedonic": ["area", "rooms", "garages"], "full": ["area", "rooms", "garages", "access", "services", "zoning"]}, "kind", "id")
     tables["opportunities"] = ind.opportunity_table(stage(scored.select("id", "kind", "price", "area", "composite"), "index"))
     rows = [("models", f"{k}_{n}", float(v)) for k, r in models.items() for n, v in (("r2", r["models"][r["best"]]["r2"]), ("cv_rmse", r["models"][r["best"]]["cv_rmse_mean"]))]
     if rows:

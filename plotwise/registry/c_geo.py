@@ -1,5 +1,7 @@
 """Spatial joins and grids."""
 
+import math
+
 from pyspark.sql import functions as F
 
 from plotwise.fixtures import sql_haversine
@@ -164,8 +166,26 @@ def _(v):
     return geo.grid_counts(v.poi, keys, 0.01, -74.2, 4.4, 20, 50)
 
 
-@query("simp_1_thin_rings")
+# A circle of 64 chords keeps every fourth vertex at a tolerance between the sagittas of two and four chords' halves.
+@query("simp_1_circles", f"""SELECT poi_id, i AS vertex, round(lon + 400*cos(((4*i)%64)*2*pi()/64)/(cos(radians(lat))*{KY}), 9) AS x, round(lat + 400*sin(((4*i)%64)*2*pi()/64)/{KY}, 9) AS y FROM poi, range(17) r(i) WHERE category='parque'""")
 def _(v):
     ring = v.poi.where("category = 'parque'").select("poi_id", F.array(sp.circle("lon", "lat", F.lit(400.0), 64)).alias("rings"))
-    d = geo.thin_rings(ring, 0.001).withColumn("r", F.get("rings", 0))
-    return d.select("poi_id", F.size("r").alias("vertices"), (F.get("r", 0) == F.element_at("r", -1)).alias("closed"), F.round(sp.ring_area(c("r")) * 1e6, 4).alias("area"))
+    d = geo.simplified(ring, 400 * (1 - math.cos(math.pi / 16)) * 1.2 / sp.METRES_PER_DEGREE).select("poi_id", F.posexplode(F.get("rings", 0)).alias("vertex", "p"))
+    return d.select("poi_id", c("vertex").cast("long").alias("vertex"), F.round("p.x", 9).alias("x"), F.round("p.y", 9).alias("y"))
+
+
+# Zone outlines with eight points a side that leave it by less than the tolerance: the corners stay.
+@query("simp_1_simplified_zones", "SELECT zone_id, i AS vertex, round(CASE WHEN i IN (1, 2) THEN x1 ELSE x0 END, 9) AS x, round(CASE WHEN i IN (2, 3) THEN y1 ELSE y0 END, 9) AS y FROM zone, range(5) r(i)")
+def _(v):
+    box = sp.bbox(c("rings"))
+    z = v.zone.select("zone_id", box.alias("b"))
+    at = lambda i, x, y, dx, dy: F.struct((x + dx).alias("x"), (y + dy).alias("y"))
+    w, h, k = c("b.x1") - c("b.x0"), c("b.y1") - c("b.y0"), F.lit(0.0002)
+    off = lambda i: (i % 3 - 1) * k * (i % 8 != 0).cast("int")
+    side = lambda i: F.floor(i / 8)
+    part = lambda i: (i % 8) / 8.0
+    point = lambda i: (F.when(side(i) == 0, at(i, c("b.x0"), c("b.y0"), w * part(i), off(i))).when(side(i) == 1, at(i, c("b.x1"), c("b.y0"), off(i), h * part(i)))
+                       .when(side(i) == 2, at(i, c("b.x1"), c("b.y1"), -w * part(i), off(i))).when(side(i) == 3, at(i, c("b.x0"), c("b.y1"), off(i), -h * part(i))).otherwise(at(i, c("b.x0"), c("b.y0"), F.lit(0.0), F.lit(0.0))))
+    ring = z.select("zone_id", F.array(F.transform(F.sequence(F.lit(0), F.lit(32)), point)).alias("rings"))
+    d = geo.simplified(ring, 0.0005).select("zone_id", F.posexplode(F.get("rings", 0)).alias("vertex", "p"))
+    return d.select("zone_id", c("vertex").cast("long").alias("vertex"), F.round("p.x", 9).alias("x"), F.round("p.y", 9).alias("y"))

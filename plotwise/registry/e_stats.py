@@ -24,10 +24,10 @@ def analysis(v):
     d = v.scored.where("price > 0 and area > 0").withColumn("ln_price", F.ln(c("price").cast("double")))
     d = d.withColumn("price_m2", c("price") / c("area"))
     d = d.dropna(subset=ALLX + ["zone_id"])
-    return d.select("id", "kind", "zone_id", "lon", "lat", "price", "price_m2", Y, "listed", *ALLX)
+    return d.select("id", "kind", "zone_id", "lon", "lat", "price", "price_m2", Y, "listed", "is_outlier", *ALLX)
 
 
-A_SQL = "an AS (SELECT id, kind, zone_id, lon, lat, price, price/area AS price_m2, ln(price::DOUBLE) AS ln_price, listed, " + ", ".join(
+A_SQL = "an AS (SELECT id, kind, zone_id, lon, lat, price, price/area AS price_m2, ln(price::DOUBLE) AS ln_price, listed, is_outlier, " + ", ".join(
     f"{x}::DOUBLE AS {x}" for x in ALLX) + " FROM scored WHERE price > 0 AND area > 0 AND zone_id IS NOT NULL AND " + " AND ".join(f"{x} IS NOT NULL" for x in ALLX) + ")"
 
 
@@ -160,7 +160,21 @@ def _(v):
     return rg.population_shift(d.where(c("listed") <= cut), d.where(c("listed") > cut), "area").withColumn("psi", F.round("psi", 6))
 
 
-@query("reg_9_retrain_decision")
+def psi_sql(col, n):
+    """CTEs that give psi{n}: shift of a column between rows before and after the last run."""
+    edges = ", ".join(f"quantile_cont({col}, {i / 10})" for i in range(11))
+    inner = f"len(list_filter(q[2:len(q)-1], lambda x: x <= {col}))"
+    share = lambda t, side: f"{side}{n} AS (SELECT {inner} AS b, count(*)::DOUBLE/(SELECT count(*) FROM {t}) AS s FROM {t}, e{n} WHERE {col} BETWEEN q[1] AND q[len(q)] GROUP BY 1)"
+    return f"""e{n} AS (SELECT list_sort(list_distinct(list_value({edges}))) AS q FROM od), {share('od', 'bo')}, {share('nw', 'bw')},
+  j{n} AS (SELECT greatest(coalesce(bo{n}.s,0), 1e-4) AS e, greatest(coalesce(bw{n}.s,0), 1e-4) AS a FROM (SELECT unnest(range(len(q)-1)) AS b FROM e{n}) f LEFT JOIN bo{n} USING (b) LEFT JOIN bw{n} USING (b)),
+  psi{n} AS (SELECT sum((a-e)*ln(a/e)) AS psi FROM (SELECT e/sum(e) OVER () AS e, a/sum(a) OVER () AS a FROM j{n}))"""
+
+
+@query("reg_9_retrain_decision", f"""{A_SQL}, cn AS (SELECT * FROM an WHERE NOT is_outlier), od AS (SELECT * FROM cn WHERE listed <= TIMESTAMP '1998-01-01'), nw AS (SELECT * FROM cn WHERE listed > TIMESTAMP '1998-01-01'), {psi_sql('stratum', 1)}, {psi_sql('area', 2)},
+  gr AS (SELECT bool_or(a.n >= r.n*1.1e0) AS g FROM (SELECT kind, count(*) AS n FROM cn GROUP BY 1) a JOIN (SELECT kind, count(*) AS n FROM an WHERE listed <= TIMESTAMP '1998-01-01' GROUP BY 1) r USING (kind)),
+  pr AS (SELECT 0.8e0 + (id%41)/100.0e0 AS r FROM nw), md AS (SELECT quantile_cont(r, 0.5) AS m FROM pr), ap AS (SELECT count(*) >= 10 AND (any_value(m) NOT BETWEEN 0.9 AND 1.1 OR avg(abs(r-m)/m)*100 > 20) AS off FROM pr, md)
+  SELECT n AS new_clean, CASE WHEN n >= 27 THEN concat_ws(',', CASE WHEN g THEN 'growth' END, CASE WHEN psi1.psi >= 0.2 THEN 'drift_stratum' END, CASE WHEN psi2.psi >= 0.2 THEN 'drift_area' END, CASE WHEN n >= 30 AND off THEN 'appraisal_drift' END) ELSE '' END AS reasons, reasons <> '' AS retrain
+  FROM (SELECT count(*) AS n FROM nw), gr, ap, psi1, psi2""")
 def _(v):
     d = stage(analysis(v).withColumn("predicted", c("price_m2") * (0.8 + (c("id") % 41) / 100.0)))
     cut = F.lit("1998-01-01").cast("timestamp")
@@ -168,6 +182,11 @@ def _(v):
     return rg.retrain_decision(d, runs, cut, "listed", ["stratum", "area"])
 
 
+@query("reg_9_first_run", f"{A_SQL} SELECT count(*) AS new_clean, 'first_run' AS reasons, true AS retrain FROM an WHERE NOT is_outlier")
+def _(v):
+    return rg.retrain_decision(analysis(v), None, None, "listed", ["stratum", "area"])
+
+
 @query("reg_10_one_se_choice")
 def _(v):
     res = race_of(v)[1]

@@ -74,3 +74,43 @@ def test_no_polygons(spark):
     assert geo.point_in_polygon(d, frame(spark, []).where("false")).collect() == []
     none = frame(spark, [(1, [])]).withColumn("rings", F.lit(None).cast("array<array<struct<x:double,y:double>>>"))
     assert geo.point_in_polygon(d, none).collect() == []
+
+
+def recursive(pts, tol):
+    """Plain Douglas-Peucker over a list of points."""
+    if len(pts) < 3:
+        return pts
+    (ax, ay), (bx, by) = pts[0], pts[-1]
+
+    def off(p):
+        dx, dy = bx - ax, by - ay
+        long = dx * dx + dy * dy
+        t = min(1, max(0, ((p[0] - ax) * dx + (p[1] - ay) * dy) / long)) if long else 0
+        return math.hypot(p[0] - ax - t * dx, p[1] - ay - t * dy)
+
+    at = max(range(1, len(pts) - 1), key=lambda i: off(pts[i]))
+    if off(pts[at]) <= tol:
+        return [pts[0], pts[-1]]
+    return recursive(pts[: at + 1], tol)[:-1] + recursive(pts[at:], tol)
+
+
+@pytest.mark.parametrize("tol", [0.0, 0.01, 0.1, 0.4])
+def test_simplified_rings_equal_the_recursive_version(spark, tol):
+    rng = random.Random(3)
+    polys = [(i, [star(rng, 0, 0, 1, rng.randint(5, 120)), star(rng, 3, 3, 1, 30)]) for i in range(20)]
+    walk = [(0.0, 0.0)]
+    for _ in range(200):
+        walk.append((walk[-1][0] + rng.uniform(0, 1), walk[-1][1] + rng.uniform(-0.3, 0.3)))
+    polys += [(50, [walk]), (51, [[(0, 0), (1, 1)], [(2, 2)], []])]
+    got = {r.poly_id: [[(p.x, p.y) for p in ring] for ring in r.rings] for r in geo.simplified(frame(spark, polys), tol).collect()}
+    for pid, rings in polys:
+        for ring, mine in zip(rings, got[pid]):
+            want = recursive([(float(x), float(y)) for x, y in ring], tol)
+            assert mine == want or (len(want) < 4 and ring[0] == ring[-1])
+
+
+def test_small_rings_stay_rings(spark):
+    tiny = [(0.0, 0.0), (0.01, 0.0), (0.012, 0.004), (0.01, 0.01), (0.0, 0.01), (0.0, 0.0)]
+    (r,) = geo.simplified(frame(spark, [(1, [tiny])]), 5.0).collect()
+    ring = [(p.x, p.y) for p in r.rings[0]]
+    assert len(ring) == 4 and ring[0] == ring[-1] and len(set(ring)) == 3
