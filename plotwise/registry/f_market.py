@@ -219,10 +219,18 @@ def _(v):
     return vl.similar(v.scored).withColumn("rn", c("rn").cast("long"))
 
 
-@query("val_7_verdicts", f"""{SIM}, av AS (SELECT sr.id, avg(price) AS sp, avg(composite) AS si, count(*) AS n FROM sr JOIN scored s ON s.id=sim_id GROUP BY 1), g AS (SELECT s.id, n, round((price-sp)/sp*100, 9) AS gap, round(composite-si, 9) AS ig FROM scored s JOIN av USING (id))
+RAW = SIM.replace("sm AS", "rm AS").replace("sr AS", "rr AS").replace("FROM sm", "FROM rm").replace("round(abs(b.price-a.price)/a.price::DOUBLE + abs(b.area-a.area)/a.area, 9)", "round(abs(b.price-a.price)::DOUBLE + abs(b.area-a.area), 6)").replace("rn <= 5", "rn <= 10")
+
+
+@query("sea_7_similar_raw", f"{RAW} SELECT id, sim_id, dist, rn FROM rr")
+def _(v):
+    return vl.similar(v.scored, k=10, scaled=False).withColumn("rn", c("rn").cast("long"))
+
+
+@query("val_7_verdicts", f"""{RAW}, av AS (SELECT rr.id, avg(price) AS sp, avg(composite) AS si, count(*) AS n FROM rr JOIN scored s ON s.id=sim_id WHERE rn <= 5 GROUP BY 1), g AS (SELECT s.id, n, round((price-sp)/sp*100, 9) AS gap, round(composite-si, 9) AS ig FROM scored s JOIN av USING (id))
   SELECT id, n AS n_similar, round(gap, 6) AS price_gap_pct, round(ig, 6) AS index_gap, CASE WHEN gap < -10 AND ig > 1e-12 THEN 'Excelente Oportunidad' WHEN gap < 0 AND ig >= -1e-12 THEN 'Buena Oportunidad' WHEN gap > 10 AND ig < -1e-12 THEN 'Sobrevalorado' ELSE 'Precio de Mercado' END AS verdict FROM g""")
 def _(v):
-    return vl.verdicts(v.scored, vl.similar(v.scored)).select("id", "n_similar", R("price_gap_pct"), R("index_gap"), "verdict")
+    return vl.verdicts(v.scored, vl.similar(v.scored, k=10, scaled=False).where("rn <= 5")).select("id", "n_similar", R("price_gap_pct"), R("index_gap"), "verdict")
 
 
 # ------------------------------------------------------------------- search
