@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from plotwise.fixtures import OFFENCES, SCORES
 from plotwise.functions import labels as lb
+from plotwise.functions import mathx as mx
 from plotwise.operators import aggregates as ag
 from plotwise.operators import ranking as rk
 from plotwise.operators import relational as rel
@@ -378,7 +379,17 @@ def _(v):
     return d.select("id", c("avg_rank").cast("double").alias("avg_rank"), F.round(score, 9).alias("score"))
 
 
-@query("rnk_4_gaussian_ecdf")
+def probit_sql(p):
+    """Normal quantile by the same rational approximation, written out."""
+    poly = lambda cs, x: "(" + f"*{x}+".join(["(" * (len(cs) - 1) + f"({cs[0]!r}e0)"] + [f"({k!r}e0))" for k in cs[1:]]) + ")"
+    q = f"sqrt(-2*ln(CASE WHEN {p} < 0.5 THEN {p} ELSE 1-{p} END))"
+    r = f"(({p}-0.5)*({p}-0.5))"
+    tail, mid = f"{poly(mx._C, q)}/{poly(mx._D + [1.0], q)}", f"({p}-0.5)*{poly(mx._A, r)}/{poly(mx._B + [1.0], r)}"
+    return f"CASE WHEN {p} BETWEEN 0.02425e0 AND 1-0.02425e0 THEN {mid} WHEN {p} < 0.5 THEN {tail} ELSE -({tail}) END"
+
+
+@query("rnk_4_gaussian_ecdf", f"""r AS (SELECT id, dwelling, (rank() OVER (ORDER BY dwelling) + (count(*) OVER (PARTITION BY dwelling) - 1)/2.0e0)/(count(*) OVER () + 1.0e0) AS p FROM scored WHERE dwelling IS NOT NULL), z AS (SELECT id, {probit_sql('p')} AS z FROM r)
+  SELECT scored.id, round((z - min(z) OVER ())/(max(z) OVER () - min(z) OVER ())*5, 6) AS score FROM scored LEFT JOIN z USING (id)""")
 def _(v):
     return rk.gaussian_ecdf_score(v.scored.select("id", "dwelling"), "dwelling", "score").select("id", r6("score"))
 

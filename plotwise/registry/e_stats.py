@@ -73,6 +73,17 @@ def _(v):
     return w.select("kind", "n", "r2", R("ssr", 5), R("aic", 4))
 
 
+_TR = "tr AS (SELECT *, ln(price_m2) AS y FROM an WHERE floor(('0x'||substr(md5(concat(42, ':', id)),1,8))::BIGINT/4294967296.0e0*5) <> 0)"
+
+
+# The hashed fifth is held out; the rest is fitted kind by kind.
+@query("reg_1_train_fit", f"{A_SQL}, {_TR}, {ols_sql('tr', 'y', CONTROLS, 'o', 'kind')} SELECT kind, count(*)::DOUBLE AS n_train, any_value(m) - count(*)::DOUBLE AS n_test, round(1-sum(res*res)/sum(cen*cen), 6) AS r2_train, round(sqrt(sum(res*res)/count(*)), 6) AS rmse_train FROM o JOIN (SELECT kind, count(*) AS m FROM an GROUP BY 1) USING (kind) GROUP BY kind")
+def _(v):
+    t = rg.price_model(analysis(v).withColumn("y", F.ln("price_m2")), "y", CONTROLS, "kind", "id")
+    names = ["n_train", "n_test", "r2_train", "rmse_train"]
+    return t.groupBy(c("section").alias("kind")).pivot("item", names).agg(F.first("value"))
+
+
 @query("reg_1_price_model")
 def _(v):
     return rg.price_model(analysis(v).withColumn("y", F.ln("price_m2")), "y", CONTROLS, "kind", "id")
@@ -398,6 +409,16 @@ def _(v):
     return va.qq_points(analysis(v), "price_m2", [0.05, 0.25, 0.5, 0.75, 0.95]).select("prob", R("sample", 4))
 
 
+# Eigenvalues add up to the variances, their squares to all squared covariances.
+@query("sta_17_scree_moments", f"{A_SQL} SELECT 'sum' AS item, round({'+'.join(f'var_samp({s})' for s in SCORES)}, 5) AS value FROM an UNION ALL SELECT 'squares', round({'+'.join(f'pow(covar_samp({s},{t}),2)' for s in SCORES for t in SCORES)}, 5) FROM an")
+def _(v):
+    g = gm.gram(analysis(v), SCORES)
+    import numpy as np
+
+    ev = np.linalg.eigvalsh(g.cov(SCORES))
+    return v.spark.createDataFrame([("sum", round(float(ev.sum()), 5)), ("squares", round(float((ev**2).sum()), 5))], "item string, value double")
+
+
 @query("sta_17_scree")
 def _(v):
     d = analysis(v)
@@ -417,7 +438,12 @@ def _(v):
     return pca.loadings_table(v.spark, m, ["area", "rooms"], ["kind"]).select("kind", R("explained"), "n")
 
 
-@query("pca_1_dimension_scores")
+# The first component's variance is the largest root of the 3 by 3 correlation matrix, in closed form.
+_I3 = "i3 AS (SELECT kind, coalesce(area, median(area) OVER w) AS area, rooms::DOUBLE AS rooms, coalesce(baths::DOUBLE, median(baths) OVER w) AS baths, area AS a0 FROM listing WINDOW w AS (PARTITION BY kind))"
+
+
+@query("pca_1_dimension_scores", f"""{_I3}, k3 AS (SELECT kind, count(*) FILTER (area > 0) AS n, corr(area, rooms) AS a, corr(area, baths) AS b, corr(rooms, baths) AS d FROM i3 GROUP BY 1), p3 AS (SELECT *, sqrt((a*a+b*b+d*d)/3) AS p FROM k3)
+  SELECT kind, n, 0.0e0 AS mean, round(sqrt(1+2*p*cos(acos(greatest(-1, least(1, a*b*d/pow(p,3))))/3)), 6) AS sd FROM p3""")
 def _(v):
     d = stage(pca.impute_columns(v.listing, ["area", "rooms", "baths"], ["kind"]))
     t = pca.loadings_table(v.spark, pca.grouped_pca(d, ["area", "rooms", "baths"], ["kind"]), ["area", "rooms", "baths"], ["kind"])

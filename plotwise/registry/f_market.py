@@ -353,11 +353,14 @@ def split_scrape(v):
     return snap.join(seen, "key"), new
 
 
-@query("ups_1_keyed_upsert", f"""sc AS (SELECT * REPLACE (CASE WHEN price%11<>0 THEN price END AS price) FROM scrape), o AS (SELECT key, count(*) AS k, min(ts) AS f, max(ts) AS l FROM sc WHERE ts < TIMESTAMP '{CUT}' GROUP BY 1),
+UPSERT = f"""sc AS (SELECT * REPLACE (CASE WHEN price%11<>0 THEN price END AS price) FROM scrape), o AS (SELECT key, count(*) AS k, min(ts) AS f, max(ts) AS l FROM sc WHERE ts < TIMESTAMP '{CUT}' GROUP BY 1),
   ol AS (SELECT * FROM sc WHERE ts < TIMESTAMP '{CUT}' QUALIFY row_number() OVER (PARTITION BY key ORDER BY ts DESC, s1 DESC, s2 DESC, s3 DESC, s4 DESC, s5 DESC)=1), n AS (SELECT key, count(*) AS k FROM sc WHERE ts >= TIMESTAMP '{CUT}' GROUP BY 1),
   nl AS (SELECT * FROM sc WHERE ts >= TIMESTAMP '{CUT}' QUALIFY row_number() OVER (PARTITION BY key ORDER BY ts DESC, s1 DESC, s2 DESC, s3 DESC, s4 DESC, s5 DESC)=1),
   j AS (SELECT coalesce(ol.key, nl.key) AS key, ol.key AS ok, nl.key AS nk, ol.price AS op, ol.state AS os, ol.area AS oa, coalesce(nl.price, ol.price) AS price, coalesce(nl.state, ol.state) AS state, coalesce(nl.area, ol.area) AS area FROM ol FULL JOIN nl ON ol.key=nl.key),
-  r AS (SELECT *, CASE WHEN ok IS NULL OR nk IS NULL THEN '' ELSE concat_ws(',', CASE WHEN price IS DISTINCT FROM op THEN 'price' END, CASE WHEN state IS DISTINCT FROM os THEN 'state' END, CASE WHEN area IS DISTINCT FROM oa THEN 'area' END) END AS changes FROM j)
+  r AS (SELECT *, CASE WHEN ok IS NULL OR nk IS NULL THEN '' ELSE concat_ws(',', CASE WHEN price IS DISTINCT FROM op THEN 'price' END, CASE WHEN state IS DISTINCT FROM os THEN 'state' END, CASE WHEN area IS DISTINCT FROM oa THEN 'area' END) END AS changes FROM j)"""
+
+
+@query("ups_1_keyed_upsert", f"""{UPSERT}
   SELECT r.key, price, state, area, strftime(coalesce(o.f, TIMESTAMP '2030-01-01'), '%Y-%m-%d') AS first_seen, strftime(CASE WHEN nk IS NULL THEN o.l ELSE TIMESTAMP '2030-01-01' END, '%Y-%m-%d') AS last_seen, coalesce(o.k,0)+coalesce(n.k,0) AS scrapes,
   CASE WHEN ok IS NULL THEN 'inserted' WHEN nk IS NULL THEN 'kept' WHEN changes <> '' THEN 'updated' ELSE 'unchanged' END AS action, changes FROM r LEFT JOIN o ON o.key=r.key LEFT JOIN n ON n.key=r.key""")
 def _(v):
@@ -367,7 +370,7 @@ def _(v):
     return d.select("key", *_F, day("first_seen"), day("last_seen"), "scrapes", "action", F.array_join("changes", ",").alias("changes"))
 
 
-@query("ups_1_action_counts")
+@query("ups_1_action_counts", f"{UPSERT} SELECT CASE WHEN ok IS NULL THEN 'inserted' WHEN nk IS NULL THEN 'kept' WHEN changes <> '' THEN 'updated' ELSE 'unchanged' END AS action, count(*) AS n FROM r GROUP BY 1")
 def _(v):
     cur, batch = split_scrape(v)
     return up.upsert(cur, batch, ["key"], _F, F.lit("2030-01-01").cast("timestamp"), c("seq")).groupBy("action").agg(F.count("*").alias("n"))

@@ -284,7 +284,11 @@ def _(v):
     return st.coverage(v.scored).withColumns({"avg_access": F.round("avg_access", 6), "avg_security": F.round("avg_security", 6)})
 
 
-@query("str_7_run_triggers")
+# One arrival after the other per key: the count and the start of the pause are set back when a run is due.
+@query("str_7_run_triggers", """RECURSIVE e AS (SELECT event_type AS key, ts, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS rn FROM events),
+  r(key, rn, ts, n, last, enough, pause) AS (SELECT key, rn, ts, 1, ts, false, false FROM e WHERE rn=1 UNION ALL
+   SELECT key, rn, ts, n, last, n >= 30, epoch(ts) - epoch(last) >= 7*86400 FROM (SELECT e.key, e.rn, e.ts, CASE WHEN r.enough OR r.pause THEN 1 ELSE r.n+1 END AS n, CASE WHEN r.enough OR r.pause THEN r.ts ELSE r.last END AS last FROM r JOIN e ON e.key=r.key AND e.rn=r.rn+1))
+  SELECT key, CAST(floor(epoch(ts)) AS BIGINT) AS at, CAST(n AS BIGINT) AS n_new, concat_ws(',', CASE WHEN enough THEN 'new_rows' END, CASE WHEN pause THEN 'days_without_run' END) AS reasons FROM r WHERE enough OR pause""")
 def _(v):
     d = st.drain(st.run_triggers(st.table_stream(v.spark, v.dir, "events.parquet"), "event_type", "ts", "event_id"), "triggers")
     return d.select("key", F.unix_seconds("ts").alias("at"), "n_new", "reasons")
