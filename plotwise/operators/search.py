@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,36 +76,53 @@ def poi_distances(points: DataFrame, features: DataFrame, wanted: list[str]) ->
     return d.withColumn("near", F.create_map(*flat)).drop(*[f"d_{c}" for c in wanted])
 
 
-def ranked_search(listings: DataFrame, features: DataFrame, intents: DataFrame, k: int = 20, most: int = 500) -> DataFrame:
-    """Best k listings per intent by index, closeness to the requested categories and to an anchor.
+BANDS, SALTS = 63, 64
+ANY = "*"
 
-    Intents are request parameters and travel as literals, `most` of them in a
-    pass over the listings, so every listing is scored where it lies and only k
-    rows per intent and task are shuffled. Hard matches (every requested category within reach)
-    are preferred; an intent without any is answered with soft ones (`relaxed`).
-    `listings` needs kind, locality, amenities (array) and the scores.
-    """
-    rows = intents.collect()
-    passes = [_ranked_pass(listings, features, rows[i : i + most], k) for i in range(0, max(1, len(rows)), most)]
-    return reduce(DataFrame.unionByName, passes)
+
+def _band(price: Column) -> Column:
+    """Number of the price's power of two; null without a price."""
+    return F.when(price.isNotNull(), F.floor(F.log2(F.greatest(price.cast("double"), F.lit(1.0)))).cast("int"))
+
+
+def _filed(intents: DataFrame) -> DataFrame:
+    """Requests under the keys their listings have: kind, locality, price band; what a request leaves open is filed as such."""
+    asked = intents.select(F.struct(*intents.columns).alias("q"))
+    q = lambda n: F.col(f"q.{n}")
+    kinds = F.when(F.coalesce(F.size(q("kinds")), F.lit(0)) > 0, F.array_distinct(q("kinds"))).otherwise(F.array(F.lit(ANY)))
+    open_ = q("price_min").isNull() & q("price_max").isNull()
+    low, high = F.coalesce(_band(q("price_min")), F.lit(0)), F.coalesce(_band(q("price_max")), F.lit(BANDS))
+    bands = F.when(open_, F.array(F.lit(-1))).when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
+    return asked.withColumn("_kind", F.explode(kinds)).withColumn("_place", F.coalesce(q("locality"), F.lit(ANY))).withColumn("_band", F.explode(bands))
 
 
-def _ranked_pass(listings: DataFrame, features: DataFrame, rows: list, k: int) -> DataFrame:
-    """Best k listings of each of a few intents."""
-    wanted = sorted({c for r in rows for c in (r["categories"] or [])})
+def ranked_search(listings: DataFrame, features: DataFrame, intents: DataFrame, k: int = 20) -> DataFrame:
+    """Best k listings per intent by index, closeness to the requested categories and to an anchor.
+
+    Intents are a table of any size. They meet the listings by join on kind,
+    locality and price band: a request lies under the bands its price range
+    covers, an open bound under one band of its own, and every listing looks
+    under its own values and under the open ones. Best rows are kept per part of
+    an intent's listings first, so no intent is ranked in one place. Hard matches
+    (every requested category within reach) are preferred; an intent without
+    any is answered with soft ones (`relaxed`). `met` tells for each requested
+    category whether it is within reach. `listings` needs kind, locality,
+    amenities (array) and the scores.
+    """
+    # Names of categories come from a fixed vocabulary, so they are few.
+    wanted = sorted(r[0] for r in intents.select(F.explode("categories")).distinct().limit(10_000).collect())
     base = listings.where("lon is not null and lat is not null and composite is not null")
     # A missing price is no placeholder: the row stays.
     base = base.where(~F.coalesce(F.col("kind").isin("Casa", "Apartamento", "Apartaestudio") & (F.col("price") < 30_000_000), F.lit(False)))
     base = poi_distances(base, features, wanted) if wanted else base.withColumn("near", F.lit(None).cast("map<string,int>"))
-    lit = F.from_json(F.lit(_json([r.asDict() for r in rows])), f"array<struct<{', '.join(c.replace(' ', ':', 1) for c in INTENT.split(', '))}>>")
-    d = base.withColumn("q", F.explode(lit))
+    look = base.withColumn("_kind", F.explode(F.array(F.lit(ANY), F.col("kind")))).withColumn("_place", F.explode(F.array(F.lit(ANY), F.upper("locality")))).withColumn("_band", F.explode(F.array(F.lit(-1), _band(F.col("price")))))
+    d = look.join(_filed(intents), ["_kind", "_place", "_band"]).drop("_kind", "_place", "_band")
     q = lambda n: F.col(f"q.{n}")
-    ok = (F.coalesce(F.size(q("kinds")), F.lit(0)) <= 0) | F.array_contains(q("kinds"), F.col("kind"))
+    ok = F.lit(True)
     for lo, col in (("price_min", "price"), ("area_min", "area"), ("rooms_min", "rooms"), ("baths_min", "baths"), *[(f"{f}_min", f) for f in FLOORS]):
         ok = ok & (q(lo).isNull() | F.coalesce(F.col(col) >= q(lo), F.lit(False)))
     for hi, col in (("price_max", "price"), ("area_max", "area")):
         ok = ok & (q(hi).isNull() | F.coalesce(F.col(col) <= q(hi), F.lit(False)))
-    ok = ok & (q("locality").isNull() | (F.upper("locality") == q("locality")))
     if "amenities" in listings.columns:
         ok = ok & ((F.coalesce(F.size(q("amenities")), F.lit(0)) <= 0) | (F.size(F.array_except(q("amenities"), F.col("amenities"))) == 0))
     from plotwise.functions.spatial import haversine
@@ -121,19 +136,14 @@ def _ranked_pass(listings: DataFrame, features: DataFrame, rows: list, k: int) -
     score = score + F.when(F.col("n_req") > 0, close / F.col("n_req") * SCORE_WEIGHTS["proximity"]).otherwise(0.0)
     score = score + F.when(q("anchor_lat").isNotNull(), F.greatest(F.lit(0.0), 1 - F.col("d_anchor") / q("anchor_m")) * SCORE_WEIGHTS["anchor"]).otherwise(0.0)
     hard = (F.col("n_req") == 0) | (F.size(F.array_compact("dists")) == F.col("n_req"))
-    d = d.withColumns({"intent": q("intent"), "score": F.round(score, 9), "hard": hard})
-    w = Window.partitionBy("intent").orderBy(F.desc("hard"), F.desc("score"), "id")
-    top = d.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k)
+    d = d.withColumns({"intent": q("intent"), "score": F.round(score, 9), "hard": hard, "met": F.transform("dists", lambda x: x.isNotNull()), "_salt": F.pmod(F.xxhash64("id"), F.lit(SALTS))})
+    best = [F.desc("hard"), F.desc("score"), "id"]
+    part = d.withColumn("_rn", F.row_number().over(Window.partitionBy("intent", "_salt").orderBy(*best))).where(F.col("_rn") <= k).drop("_rn", "_salt")
+    top = part.withColumn("rn", F.row_number().over(Window.partitionBy("intent").orderBy(*best))).where(F.col("rn") <= k)
     any_hard = F.max("hard").over(Window.partitionBy("intent"))
     return top.withColumn("_any", any_hard).where(F.col("hard") | ~F.col("_any")).withColumn("relaxed", ~F.col("_any")).drop("_any", "near")
 
 
-def _json(rows):
-    import json
-
-    return json.dumps(rows, default=str)
-
-
 def explain_hits(hits: DataFrame) -> DataFrame:
     """Human wording of why a listing matched, one string per hit."""
     from plotwise.functions.labels import lookup, walking_minutes

@@ -262,20 +262,34 @@ def search_hits(v):
     return intents, se.ranked_search(search_base(v), search_features(v), intents)
 
 
-_M = {"a": ("parque", 800), "b": None, "c": None}
+# The same requests, read by hand: intent, kinds, categories, reach, price, area, rooms, locality, floors, amenity.
+_ASKED = [("a", ["Apartamento"], ["parque"], 800, {}), ("b", ["Casa"], [], 600, {"price <=": 400000000, "rooms >=": 3}), ("c", ["Apartamento", "Casa"], ["farmacia", "colegio"], 600, {}),
+          ("d", ["Lote"], [], 600, {"loc =": "'CHAPINERO'", "security >=": 3.5}), ("e", ["Oficina"], ["biblioteca"], 800, {"has": "Gimnasio"}), ("f", ["Casa"], ["parque"], 150, {"has": "Piscina", "composite >=": 3.0}),
+          ("g", ["Local"], ["transmilenio"], 60, {}), ("h", ["Apartamento"], [], 600, {"price >=": 50000000, "area >=": 50.0, "access >=": 3.5})]
 
 
-@query("sea_1_ranked_search", f"""b0 AS (SELECT *, ({case_sql(KIND_NAMES, "(CAST(substr(kind,1,1) AS INT)-1)")}) AS kn FROM scored WHERE lon IS NOT NULL),
-  n AS (SELECT a.id, min({HAV}) AS d FROM b0 a JOIN poi b ON b.category='parque' WHERE a.kn='Apartamento' GROUP BY 1), s AS (SELECT b0.id, CAST(round_even(d, 0) AS INT) AS d, composite FROM b0 JOIN n USING (id) WHERE (price IS NULL OR price >= 30000000)),
-  t AS (SELECT 'a' AS intent, id, round(composite/5.0e0*0.45e0 + greatest(0.0e0, 1-d/800.0e0)*0.40e0, 9) AS score FROM s WHERE d <= 800 UNION ALL SELECT 'b', id, round(composite/5.0e0*0.45e0, 9) FROM b0 WHERE kn='Casa' AND price <= 400000000 AND rooms >= 3 AND (price IS NULL OR price >= 30000000))
-  SELECT intent, id, score, row_number() OVER (PARTITION BY intent ORDER BY score DESC, id) AS rn FROM t QUALIFY rn <= 20""")
+def _asked_sql(intent, kinds, cats, reach, rules):
+    where = [f"kn IN ({', '.join(repr(k) for k in kinds)})"] + [f"id IN (SELECT id FROM amenity WHERE has AND name='{x}')" if r == "has" else f"{r} {x}" for r, x in rules.items()]
+    d = [f"(SELECT d FROM nd WHERE nd.id=b0.id AND nd.category='{x}' AND d <= {reach})" for x in cats]
+    close = "+".join(f"coalesce(greatest(0.0e0, 1-{x}/{reach}.0e0), 0.0e0)" for x in d)
+    score = "composite/5.0e0*0.45e0" + (f" + ({close})/{len(d)}*0.40e0" if d else "")
+    hard = " AND ".join(f"{x} IS NOT NULL" for x in d) or "true"
+    return f"SELECT '{intent}' AS intent, id, round({score}, 9) AS score, {hard} AS hard FROM b0 WHERE {' AND '.join(where)}"
+
+
+RANKED = f"""b0 AS (SELECT *, ({case_sql(KIND_NAMES, "(CAST(substr(kind,1,1) AS INT)-1)")}) AS kn, upper({case_sql(["Suba", "Usme", "Chapinero", "Kennedy", "Bosa"], "id%5")}) AS loc FROM scored WHERE lon IS NOT NULL AND composite IS NOT NULL AND (substr(kind,1,1) NOT IN ('1','2') OR price IS NULL OR price >= 30000000)),
+  ft AS (SELECT category, lon, lat FROM poi WHERE category IN ('parque','farmacia','colegio','biblioteca') UNION ALL SELECT layer, lon, lat FROM station WHERE layer='transmilenio'), nd AS MATERIALIZED (SELECT a.id, b.category, CAST(round_even(min({HAV}), 0) AS INT) AS d FROM b0 a JOIN ft b ON true GROUP BY 1, 2),
+  al AS ({" UNION ALL ".join(_asked_sql(*r) for r in _ASKED)}), rk AS (SELECT *, row_number() OVER (PARTITION BY intent ORDER BY hard DESC, score DESC, id) AS rn, bool_or(hard) OVER (PARTITION BY intent) AS ah FROM al)"""
+
+
+@query("sea_1_ranked_search", f"{RANKED} SELECT intent, id, score, rn FROM rk WHERE rn <= 20 AND (hard OR NOT ah)")
 def _(v):
-    return search_hits(v)[1].where(c("intent").isin("a", "b")).select("intent", "id", "score", c("rn").cast("long").alias("rn"))
+    return search_hits(v)[1].select("intent", "id", "score", c("rn").cast("long").alias("rn"))
 
 
-@query("sea_2_relaxed_search")
+@query("sea_2_relaxed_search", f"{RANKED} SELECT intent, id, score, hard, NOT ah AS relaxed, rn FROM rk WHERE rn <= 20 AND (hard OR NOT ah)")
 def _(v):
-    return search_hits(v)[1].select("intent", "id", "score", "hard", "relaxed", "rn")
+    return search_hits(v)[1].select("intent", "id", "score", "hard", "relaxed", c("rn").cast("long").alias("rn"))
 
 
 @query("scl_15_hit_explanations")
