@@ -63,6 +63,11 @@ def shingles(words: list[list[str]], size: int = WORDS) -> list[np.ndarray]:
     return out
 
 
+def text_shingles(texts: list[str], size: int = 1000) -> list[np.ndarray]:
+    """Shingles of texts, of which `size` at a time are held as words."""
+    return [s for i in range(0, len(texts), size) for s in shingles([WORD.findall(t) for t in texts[i : i + size]])]
+
+
 _RNG = np.random.default_rng(SEED)
 _A = _RNG.integers(0, 1 << 63, BITS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RNG.integers(0, 1 << 63, BITS, dtype=np.uint64)
@@ -94,7 +99,7 @@ def sets(docs: DataFrame, runs: int) -> DataFrame:
     """cls, size, sketch and first paths of every text with a word; copies appear as often as they come."""
 
     def run(b):
-        sh = shingles([WORD.findall(t) for t in b["text"].to_pylist()])
+        sh = text_shingles(b["text"].to_pylist())
         start = roots(runs)
         return {"cls": b["cls"], "n": [len(s) for s in sh], "sketch": [sketch(s) for s in sh], "paths": [steps(s, start).view(np.int64) for s in sh]}
 
@@ -103,10 +108,11 @@ def sets(docs: DataFrame, runs: int) -> DataFrame:
 
 def deeper(docs: DataFrame, large: DataFrame) -> DataFrame:
     """(p, cls): the next paths of the sets in large buckets (p, cls), from their texts."""
-    per = large.groupBy("cls").agg(F.collect_list("p").alias("paths")).where(F.size("paths") > 0)
+    # Staged, as only a plain scan with a predicate is taken for the small side that sifts the texts.
+    per = stage(large.groupBy("cls").agg(F.collect_list("p").alias("paths")), "large-paths").where(F.size("paths") > 0)
 
     def run(b):
-        sh = shingles([WORD.findall(t) for t in b["text"].to_pylist()])
+        sh = text_shingles(b["text"].to_pylist())
         return {"cls": b["cls"], "paths": [steps(s, np.array(p, np.int64).view(np.uint64)).view(np.int64) for s, p in zip(sh, b["paths"].to_pylist())]}
 
     return batches(docs.select("cls", "text").join(per, "cls"), run, "cls long, paths array<long>").select(F.explode("paths").alias("p"), "cls").distinct()
