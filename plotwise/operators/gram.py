@@ -201,7 +201,7 @@ def group_grams(df: DataFrame, names: list[str], by: list[str] = ()) -> GroupGra
                 continue
             Z = pdf[cols].to_numpy(dtype=float) - shift
             groups = list(pdf.groupby(by, sort=False).indices.items()) if by else [((), slice(None))]
-            if len(groups) * 16 <= len(Z):
+            if not by or len(groups) * 16 <= len(Z):
                 sums = [np.concatenate([[len(z)], z.sum(0), (z.T @ z)[iu, ju]]) for z in (Z[at] for _, at in groups)]
             else:  # many small groups: products of all rows, added up in runs
                 order = np.concatenate([at for _, at in groups])

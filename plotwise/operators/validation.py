@@ -261,12 +261,10 @@ def convergent(df: DataFrame, index: str, stratum: str, price_m2: str) -> list[t
     d = complete_cases(df.select(index, stratum, price_m2), [index, stratum, price_m2])
     rho1, p1, n = spearman(d, index, stratum)
     rho2, p2, _ = spearman(d, index, price_m2)
-    groups = d.groupBy(stratum).agg(F.count("*").alias("n"), F.avg(index).alias("m"), F.var_pop(index).alias("v")).orderBy(stratum).collect()
-    groups = [r for r in groups if r["n"] >= 5]
-    N = sum(r["n"] for r in groups)
-    mean = sum(r["n"] * r["m"] for r in groups) / N
-    ssb, ssw = sum(r["n"] * (r["m"] - mean) ** 2 for r in groups), sum(r["n"] * r["v"] for r in groups)
-    k = len(groups)
+    groups = stage(d.groupBy(stratum).agg(F.count("*").alias("n"), F.avg(index).alias("m"), F.var_pop(index).alias("v")).where("n >= 5"), "strata")
+    N, k, mean, ssw = groups.agg(F.sum("n"), F.count("*"), F.sum(F.col("n") * F.col("m")) / F.sum("n"), F.sum(F.col("n") * F.col("v"))).first()
+    N, mean, ssw = N or 0, mean or 0.0, ssw or 0.0
+    ssb = groups.agg(F.sum(F.col("n") * (F.col("m") - mean) ** 2)).first()[0] or 0.0
     f = (ssb / (k - 1)) / (ssw / (N - k)) if k > 1 and ssw > 0 else NAN
     eta = ssb / (ssb + ssw) if ssb + ssw > 0 else 0.0
     a = auc(d, index, F.col(stratum) >= 4)
@@ -274,7 +272,13 @@ def convergent(df: DataFrame, index: str, stratum: str, price_m2: str) -> list[t
     verdict = "convergent_validity_ok" if all(ok) else "partial_validity" if ok[0] or ok[2] else "insufficient_validity"
     return [("convergent", "n", n), ("convergent", "rho_stratum", rho1), ("convergent", "rho_stratum_p", p1), ("convergent", "rho_price", rho2), ("convergent", "rho_price_p", p2),
             ("convergent", "anova_f", f), ("convergent", "anova_p", mx.f_sf(f, k - 1, N - k)), ("convergent", "eta_sq", eta), ("convergent", "auc", a),
-            *[("convergent", f"mean_{r[stratum]}", r["m"]) for r in groups], ("convergent", "verdict", verdict)]
+            ("convergent", "verdict", verdict)]
+
+
+def stratum_means(df: DataFrame, index: str, stratum: str) -> DataFrame:
+    """Mean index of every stratum of at least five rows, in the report's shape."""
+    g = complete_cases(df.select(index, stratum), [index, stratum]).groupBy(stratum).agg(F.count("*").alias("n"), F.avg(index).alias("m")).where("n >= 5")
+    return g.select(F.lit("convergent").alias("section"), F.concat(F.lit("mean_"), F.col(stratum).cast("string")).alias("item"), F.round("m", 6).alias("value"), F.lit(None).cast("string").alias("label"))
 
 
 def decision_matrix(df: DataFrame, g: Gram, y: str, index: str, hedonic: list[str], price_m2: str) -> list[tuple]:

@@ -330,6 +330,11 @@ def _(v):
     return pick(va.to_report(d, va.convergent(stage(d), INDEX, "stratum", "price_m2")), "convergent", ["rho_stratum", "anova_f", "eta_sq", "auc"])
 
 
+@query("sta_10_stratum_means", f"{A_SQL} SELECT 'mean_' || CAST(stratum AS VARCHAR) AS item, round(avg(composite), 6) AS value FROM an GROUP BY stratum HAVING count(*) >= 5")
+def _(v):
+    return va.stratum_means(analysis(v).withColumn("stratum", c("stratum").cast("double")), INDEX, "stratum").select("item", "value")
+
+
 @query("sta_11_decision_matrix", f"""{A_SQL}, {ols_sql('an', Y, CONTROLS, 'o')}, z AS (SELECT *, CASE WHEN composite > (SELECT quantile_cont(composite, 0.5) FROM o) THEN CASE WHEN res < 0 THEN 'buy' ELSE 'hold' END ELSE CASE WHEN res < 0 THEN 'avoid' ELSE 'sell' END END AS q FROM o),
   cu AS (SELECT price_m2, sum((q='buy')::INT) OVER w AS a, sum((q='hold')::INT) OVER w AS b FROM z WHERE q IN ('buy','hold') WINDOW w AS (ORDER BY price_m2 RANGE UNBOUNDED PRECEDING))
   SELECT q || '_n' AS item, count(*)::DOUBLE AS value FROM z GROUP BY q UNION ALL SELECT q || '_index', round(avg(composite), 6) FROM z GROUP BY q UNION ALL SELECT 'ks', round((SELECT max(abs(a/(SELECT count(*) FROM z WHERE q='buy')::DOUBLE - b/(SELECT count(*) FROM z WHERE q='hold')::DOUBLE)) FROM cu), 6)""")
