@@ -25,6 +25,8 @@ from itertools import product
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from plotwise.functions.text import bind
+
 try:
     from re import _constants as sre, _parser
 except ImportError:  # older interpreters keep them at top level
@@ -58,6 +60,7 @@ MORE = (
 )
 RULES = BASE + MORE
 WIDEST = 32
+PAGE = 1024
 
 
 def trigram_query(pattern: str) -> list[frozenset[str]]:
@@ -136,6 +139,20 @@ def candidates(docs: DataFrame, rules=RULES, key: str = "doc_id") -> DataFrame:
     return hits.groupBy(key).agg(F.collect_set("kind").alias("kinds"))
 
 
+def running(values: Column, op) -> Column:
+    """Running sum, maximum or other associative `op` of an array.
+
+    Each of log2(n) levels joins every entry with the one 2^level before it, so
+    no step copies what earlier ones have gathered.
+    """
+    levels = F.sequence(F.lit(0), F.log2(F.greatest(F.size(values), F.lit(1))).cast("int"))
+
+    def level(a: Column, d: Column) -> Column:
+        return F.transform(a, lambda x, i: op(x, F.coalesce(F.get(a, i - F.pow(F.lit(2), d).cast("int")), F.lit(0))))
+
+    return F.aggregate(levels, values, level)
+
+
 def spans(rule: Rule, text: Column) -> Column:
     """Array of (start, end) of the rule's leftmost non-overlapping matches that are long enough.
 
@@ -146,15 +163,17 @@ def spans(rule: Rule, text: Column) -> Column:
     found = F.regexp_extract_all(text, rx, F.lit(0))
     tested = F.regexp_extract_all(text, rx, F.lit(rule.group)) if rule.group else found
     gaps = F.split(text, rule.pattern, -1)
-    steps = F.zip_with(F.transform(F.slice(gaps, F.lit(1), F.size(found)), F.length), F.arrays_zip(F.transform(found, F.length).alias("m"), F.transform(tested, F.length).alias("t")), lambda g, x: F.struct(g.alias("g"), x["m"].alias("m"), x["t"].alias("t")))
-    none = F.array().cast("array<struct<start:int,end:int>>")
-    walked = F.aggregate(
-        steps,
-        F.struct(F.lit(0).alias("at"), none.alias("out")),
-        lambda a, s: F.struct((a["at"] + s["g"] + s["m"]).alias("at"), F.when(s["t"] >= rule.least, F.concat(a["out"], F.array(F.struct((a["at"] + s["g"]).alias("start"), (a["at"] + s["g"] + s["m"]).alias("end"))))).otherwise(a["out"]).alias("out")),
-        lambda a: a["out"],
-    )
-    return walked
+    # The text behind the last match is a gap without a match.
+    sizes = F.zip_with(F.arrays_zip(F.transform(found, F.length).alias("m"), F.transform(tested, F.length).alias("t")), F.transform(gaps, F.length), lambda x, g: F.struct(x["m"].alias("m"), x["t"].alias("t"), g.alias("g")))
+
+    def placed(rows: Column) -> Column:
+        def at(ends: Column) -> Column:
+            return F.zip_with(rows, ends, lambda r, e: F.struct((e - r["m"]).alias("start"), e.alias("end"), r["t"].alias("t")))
+
+        ends = running(F.transform(rows, lambda r: r["g"] + r["m"]), lambda x, y: x + y)
+        return F.transform(F.filter(bind(ends, at), lambda s: s["t"] >= rule.least), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
+
+    return bind(F.filter(sizes, lambda s: s["m"].isNotNull()), placed)
 
 
 def scan_pattern(rule: Rule) -> Rule:
@@ -200,15 +219,30 @@ def report(docs: DataFrame, rules=RULES) -> DataFrame:
 
 
 def redact(docs: DataFrame, rules=RULES, mask: str = "[{}]") -> DataFrame:
-    """docs with every span replaced by its kind; overlapping spans become the mask of the first one."""
+    """docs with every span replaced by its kind; overlapping spans become the mask of the first one.
+
+    The text is cut into blocks of PAGE code points, so what stands between two
+    spans is read from its own blocks and not from the start of the text.
+    """
     f = scan(docs, rules)
-    out = F.aggregate(
-        "_found",
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("text")),
-        lambda a, s: F.when(s["end"] <= a["at"], a).otherwise(F.struct(
-            s["end"].alias("at"),
-            F.concat(a["text"], F.when(s["start"] >= a["at"], F.concat(F.substring(F.col("text"), a["at"] + 1, s["start"] - a["at"]), F.format_string(mask.replace("{}", "%s"), s["kind"]))).otherwise(F.lit(""))).alias("text"))),
-        lambda a: F.concat(a["text"], F.substring(F.col("text"), a["at"] + 1, F.length("text"))),
-    )
+
+    def between(pages: Column, start: Column, end: Column) -> Column:
+        first = F.floor(start / PAGE).cast("int")
+        some = F.array_join(F.slice(pages, first + 1, F.floor((end - 1) / PAGE).cast("int") - first + 1), "")
+        return F.when(end > start, F.substring(some, start - first * PAGE + 1, end - start)).otherwise(F.lit(""))
+
+    def written(pages: Column) -> Column:
+        def pieces(tops: Column) -> Column:
+            def piece(s: Column, i: Column) -> Column:
+                top = F.coalesce(F.get(tops, i - 1), F.lit(0))
+                name = F.format_string(mask.replace("{}", "%s"), s["kind"])
+                return F.when(s["start"] >= top, F.concat(between(pages, top, s["start"]), name)).otherwise(F.lit(""))
+
+            rest = between(pages, F.element_at(tops, -1), F.length("text"))
+            return F.concat(F.array_join(F.transform("_found", piece), ""), rest)
+
+        return bind(running(F.transform("_found", lambda s: s["end"]), F.greatest), pieces)
+
+    out = bind(F.regexp_extract_all(F.col("text"), F.lit("(?s).{1,%d}" % PAGE), F.lit(0)), written)
     changed = F.when(F.size("_found") > 0, out).otherwise(F.col("text"))
     return f.withColumn("text", changed).select(*docs.columns)
