@@ -5,17 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plotwise.functions import requests as rq
 from plotwise.functions import text as tx
 from plotwise.functions.labels import lookup
 
 
 def parse_queries(log: DataFrame, qid: str, text: str) -> DataFrame:
     """Search features of every query text as columns."""
-    q = F.trim(F.col(text))
-    return log.select(qid, tx.query_distance(q).alias("max_m"), tx.query_categories(q).alias("categories"),
-                      tx.query_kinds(q).alias("kinds"), *[x.alias(n) for n, x in tx.query_filters(q).items()],
-                      *[x.alias(n) for n, x in tx.query_index_floors(q).items()],
-                      tx.query_amenities(q).alias("amenities"), tx.query_address(q).alias("address"))
+    w, n = F.col("_w"), F.col("_n")
+    read = log.select(qid, F.trim(F.col(text)).alias("_q")).withColumn("_w", rq.words(F.col("_q"))).withColumn("_n", rq.numbers(w))
+    q = F.col("_q")
+    return read.select(qid, rq.distance(w, n).alias("max_m"), tx.query_categories(q).alias("categories"), rq.kinds(w).alias("kinds"),
+                       *[x.alias(k) for k, x in rq.amounts(n).items()], tx.query_locality(q).alias("locality"),
+                       *[x.alias(k) for k, x in rq.index_floors(w, n).items()],
+                       tx.query_amenities(q).alias("amenities"), rq.address(w).alias("address"))
 
 
 def merge_previous(turns: DataFrame, session: list[str], order: str, text: str) -> DataFrame:
@@ -25,9 +28,11 @@ def merge_previous(turns: DataFrame, session: list[str], order: str, text: str)
     """
     q = F.col(text)
     w = Window.partitionBy(*session).orderBy(order)
-    filters = tx.query_filters(q)
-    d = turns.withColumns({"_k": tx.query_kinds(q), "_c": tx.query_categories(q), "_hi": filters["price_max"],
-                           "_lo": filters["price_min"], "_ix": tx.query_index_floors(q)["composite_min"]})
+    words, numbers = F.col("_w"), F.col("_n")
+    filters = rq.amounts(numbers)
+    d = turns.withColumn("_w", rq.words(q)).withColumn("_n", rq.numbers(words))
+    d = d.withColumns({"_k": rq.kinds(words), "_c": tx.query_categories(q), "_hi": filters["price_max"],
+                       "_lo": filters["price_min"], "_ix": rq.index_floors(words, numbers)["composite_min"]}).drop("_w", "_n")
     d = d.withColumns({f"{x}p": F.lag(x).over(w) for x in ("_k", "_c", "_hi", "_lo", "_ix")})
     bits = F.concat(
         F.when(F.size("_kp") > 0, F.array(F.lower(F.array_join("_kp", ", ")))).otherwise(F.array().cast("array<string>")),

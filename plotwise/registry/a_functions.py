@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from plotwise.fixtures import AMENITIES, BUILD_RANGES, SCORES
 from plotwise.functions import labels as lb
+from plotwise.functions import requests as rq
 from plotwise.functions import spatial as sp
 from plotwise.functions import text as tx
 from plotwise.operators import cleaning as cl
@@ -152,42 +153,83 @@ def rx(p):
     return q_str(p.replace(r"\b", _B))
 
 
-def sx(p, group=1, text="q"):
-    return f"nullif(regexp_extract({text}, {rx(p)}, {group}, 'i'), '')"
-
-
 def sm(p, text="q"):
     return f"regexp_matches({text}, {rx(p)}, 'i')"
 
 
-_M, _KM, _MIN = f"CAST({sx(tx.METRES)} AS INT)", f"CAST(floor(CAST(replace({sx(tx.KILOMETRES)}, ',', '.') AS DOUBLE)*1000) AS INT)", f"TRY_CAST({sx(tx.MINUTES)} AS INT)"
+# Query texts as tokens, a line of them and numbers with their surroundings.
+_W = rf"""regexp_extract_all(translate(trim(regexp_replace(strip_accents(lower(coalesce(q, ''))), '[\s\p{{Z}}]+', ' ', 'g')), '²–º°', '2-  '), {q_str(rq.TOKEN)})"""
+READ_SQL = rf"""w0 AS (SELECT qid, q, {_W} AS w FROM query_log),
+  r AS (SELECT qid, q, w, ' ' || array_to_string(w, ' ') || ' ' AS line, list_filter(list_transform(range(1, len(w) + 1), lambda i: {{'x': w[i],
+    'b': ' ' || coalesce(array_to_string(list_filter(w[greatest(i - 5, 1):i - 1], lambda t: t <> '$'), ' '), ''),
+    'a': coalesce(array_to_string(w[i + 1:i + 2], ' '), '') || ' '}}), lambda z: regexp_matches(z.x, '^\d')) AS n FROM w0)"""
+
+
+def _has(ps):
+    return "(" + " OR ".join(f"contains(line, ' {p} ')" for p in ps) + ")"
+
+
+def _behind(ps, r="z"):
+    return "(" + " OR ".join(f"ends_with({r}.b, ' {p}')" for p in ps) + ")"
+
+
+def _followed(ps):
+    return "(" + " OR ".join(f"starts_with(z.a, '{p}')" for p in ps) + ")"
+
+
+def _whole(digits="1,9"):
+    return rf"regexp_full_match(z.x, '\d{{{digits}}}')"
+
+
+def _first(test):
+    return f"list_filter(n, lambda z: {test})[1]"
+
+
+_M = f"TRY_CAST({_first(_whole('2,4') + ' AND ' + _followed(['m ', 'metro']))}.x AS INT)"
+_KM = f"CAST(floor(CAST(replace({_first(_followed(['km ']))}.x, ',', '.') AS DOUBLE)*1000) AS INT)"
+_MIN = f"TRY_CAST({_first(_whole() + ' AND ' + _followed(['min']))}.x AS INT)"
 DIST_SQL = f"""coalesce(CASE WHEN {_M} BETWEEN 50 AND 5000 THEN {_M} END, {_KM}, CASE WHEN {_MIN} BETWEEN 1 AND 30 THEN {_MIN}*80 END,
-  {sql_case([(sm(p), d) for p, d in tx.DISTANCE_PHRASES], 'NULL')})"""
+  {sql_case([(_has(ps), d) for d, ps in rq.DISTANCE_WORDS], 'NULL')})"""
 CATS_SQL = "concat_ws(',', " + ", ".join(
     f"CASE WHEN {sm('|'.join(rf'\b{w}\b' for w in ws), 'lower(q)')} THEN '{k}' END" for k, ws in tx.CATEGORY_WORDS.items()) + ")"
-KINDS_SQL = "concat_ws(',', " + ", ".join(f"CASE WHEN {sm(p)} THEN '{k}' END" for p, k in tx.KIND_PATTERNS) + ")"
+KINDS_SQL = "concat_ws(',', " + ", ".join(f"CASE WHEN {_has(ps)} THEN '{k}' END" for k, ps in rq.KIND_WORDS.items()) + ")"
 AMEN_SQL = "concat_ws(',', " + ", ".join(
     f"CASE WHEN {' OR '.join(f'contains(lower(q), {q_str(w)})' for w in ws)} THEN '{k}' END" for k, ws in tx.AMENITY_WORDS.items()) + ")"
-_small = lambda p: f"CASE WHEN TRY_CAST({sx(p)} AS INT) BETWEEN 1 AND 10 THEN TRY_CAST({sx(p)} AS INT) END"
-_mil = lambda p, g=1: f"CAST({sx(p, g)} AS BIGINT)*1000000"
-FILTER_SQL = f"""coalesce({_mil(tx.PRICE_RANGE)}, {_mil(tx.PRICE_MIN)}) AS price_min, coalesce({_mil(tx.PRICE_RANGE, 2)}, {_mil(tx.PRICE_MAX)}) AS price_max,
-  CAST({sx(tx.AREA_MIN)} AS DOUBLE) AS area_min, CAST({sx(tx.AREA_MAX)} AS DOUBLE) AS area_max, {_small(tx.ROOMS)} AS rooms_min, {_small(tx.BATHS)} AS baths_min,
+_PRICE, _AREA = f"{_whole('2,4')} AND {_followed(['m'])}", f"{_whole('2,4')} AND {_followed(rq.AREA_WORDS)}"
+_RANGE = r"entre (\d{2,4}) [y-]$"
+_RANGED = _first(f"{_PRICE} AND regexp_matches(z.b, ' {_RANGE}')")
+_mil = lambda x: f"CAST(nullif({x}, '') AS BIGINT)*1000000"
+
+
+def _small(units):
+    x = f"TRY_CAST({_first(_whole() + ' AND ' + _followed(units))}.x AS INT)"
+    return f"CASE WHEN {x} BETWEEN 1 AND 10 THEN {x} END"
+
+
+FILTER_SQL = f"""coalesce({_mil(f"regexp_extract({_RANGED}.b, '{_RANGE}', 1)")}, {_mil(_first(_PRICE + ' AND ' + _behind(rq.AT_LEAST)) + '.x')}) AS price_min,
+  coalesce({_mil(_RANGED + '.x')}, {_mil(_first(_PRICE + ' AND ' + _behind([*rq.AT_MOST, 'bajo'])) + '.x')}) AS price_max,
+  CAST({_first(_AREA + ' AND ' + _behind(rq.AT_LEAST))}.x AS DOUBLE) AS area_min, CAST({_first(_AREA + ' AND ' + _behind(rq.AT_MOST))}.x AS DOUBLE) AS area_max,
+  {_small(rq.ROOM_WORDS)} AS rooms_min, {_small(rq.BATH_WORDS)} AS baths_min,
   {sql_case([(f"contains(upper(q), '{z}')", f"'{z}'") for z in tx.LOCALITIES], 'NULL')} AS locality"""
+_SAID = r"""regexp_matches(z.b, ' (%s)( >| > =| mayor a)?$')"""
 
 
 def _floor_sql(dim):
-    name, val = f"lower({sx(tx.INDEX_EXPLICIT, 1)})", f"CAST(replace({sx(tx.INDEX_EXPLICIT, 2)}, ',', '.') AS DOUBLE)"
-    codes = ", ".join(f"'{k}'" for k, d in tx.INDEX_NAMES.items() if d == dim)
-    hints = [(sm(p), f"{v}e0") for p, d, v in reversed(tx.QUALITY_PATTERNS) if d == dim]
+    one = _first(_SAID % "|".join(rq.INDEX_WORDS.values()))
+    val = f"CAST(replace({one}.x, ',', '.') AS DOUBLE)"
+    named = (_SAID % rq.INDEX_WORDS[dim]).replace("z.b", f"{one}.b")
+    hints = [(_has(ps), f"{v}e0") for v, ps in reversed(rq.QUALITY_WORDS.get(dim, []))]
     hint = sql_case(hints, "NULL") if hints else "NULL"
-    return f"CAST(coalesce(CASE WHEN {name} IN ({codes}) AND {val} BETWEEN 0 AND 5 THEN {val} END, {hint}) AS DOUBLE) AS {dim}_min"
+    return f"CAST(coalesce(CASE WHEN {named} AND {val} BETWEEN 0 AND 5 THEN {val} END, {hint}) AS DOUBLE) AS {dim}_min"
 
 
+_STREET, _SIDE, _SIGN = ("|".join(x) for x in (rq.STREETS, rq.STREET_SIDES, rq.NUMBER_SIGNS))
+ADDRESS_SQL = rf"""nullif(trim(regexp_extract(line, ' ((?:{_STREET}) \d+ (?:[{''.join(rq.LETTERS)}] )?(?:(?:{_SIDE}) )?(?:(?:{_SIGN}) ){{1,2}}\d+ (?:[a-z] )?(?:- )?(?:\d+ )?)', 1)), '')"""
 DIMS = ["composite", "access", "security", "dwelling", "services", "zoning"]
 
 
-@query("scl_16_query_features", f"""SELECT qid, {DIST_SQL} AS max_m, {CATS_SQL} AS categories, {KINDS_SQL} AS kinds, {FILTER_SQL},
-  {', '.join(_floor_sql(d) for d in DIMS)}, {AMEN_SQL} AS amenities, trim({sx(tx.ADDRESS[2:], 0)}) AS address FROM query_log""")
+@query("scl_16_query_features", f"""{READ_SQL} SELECT qid, {DIST_SQL} AS max_m, {CATS_SQL} AS categories, {KINDS_SQL} AS kinds, {FILTER_SQL},
+  {', '.join(_floor_sql(d) for d in DIMS)}, {AMEN_SQL} AS amenities, {ADDRESS_SQL} AS address FROM r""")
 def _(v):
     from plotwise.operators.search import parse_queries
 
@@ -195,17 +237,32 @@ def _(v):
         n: F.array_join(n, ",") for n in ("categories", "kinds", "amenities")})
 
 
-@query("scl_17_route_label", "SELECT qid, " + sql_case(
-    [(sm("|".join(f"(?:{p})" for p in ps), "trim(lower(q))"), f"'{n}'") for n, ps in tx.ROUTES],
-    "CASE WHEN length(trim(lower(q))) < 25 THEN 'smalltalk' ELSE 'explain' END") + " AS route FROM query_log")
+_PLACE = "(" + "|".join(rq.PLACES) + ")"
+_RANK = "|".join(rq.RANK_WORDS)
+
+
+def _some(test):
+    return f"len(list_filter(n, lambda z: {test})) > 0"
+
+
+@query("scl_17_route_label", READ_SQL + rf""" SELECT qid, CASE
+  WHEN coalesce(array_to_string(list_filter(w, lambda t: NOT list_contains({rq.SIGNS}, t)), ' '), '') IN ({', '.join(q_str(x) for x in rq.GREETINGS)}) THEN 'smalltalk'
+  WHEN {_has(rq.EXPLAIN_WORDS)} THEN 'explain'
+  WHEN {_has(rq.STATS_WORDS)} OR regexp_matches(line, ' ({_RANK}) {_PLACE}') OR {_some(_behind(rq.RANK_WORDS) + f" AND regexp_matches(z.a, '^{_PLACE}')")} THEN 'stats'
+  WHEN {_has(rq.COMPARE_WORDS)} OR regexp_matches(line, '\S (o|vs) \S+ (\S+ ){{0,4}}{_PLACE}') THEN 'compare'
+  WHEN {_has(rq.VALUATION_WORDS)} OR {_some(f"{_behind(rq.ASSET_WORDS)} OR ({_behind(['id'])} AND regexp_matches(z.x, '^[0-9][0-9][0-9]'))")} THEN 'acm'
+  WHEN {_has(rq.SEARCH_WORDS)} OR {_some(f"({_behind(['a'])} AND {_followed(['m ', 'metro ', 'metros '])}) OR {_followed(['minuto ', 'minutos '])} OR {_behind(['menos de', 'mas de'])}")} THEN 'search'
+  WHEN length(trim(coalesce(q, ''))) < 25 THEN 'smalltalk' ELSE 'explain' END AS route FROM r""")
 def _(v):
-    return v.query_log.select("qid", tx.route_label(c("q")).alias("route"))
+    d = v.query_log.withColumn("w", rq.words(c("q"))).withColumn("n", rq.numbers(c("w")))
+    return d.select("qid", rq.route(c("q"), c("w"), c("n")).alias("route"))
 
 
 _REF = " OR ".join(f"contains(t, {q_str(w)})" for w in tx.REFINEMENT_WORDS)
 
 
-@query("scl_18_refinement_merge", f"""t0 AS (SELECT conv_id, turn, text AS q, CAST(replace(replace(floor(turn/5)::VARCHAR, '.0', ''), '.', '') AS BIGINT) AS session FROM turns WHERE role='user'),
+@query("scl_18_refinement_merge", f"""t00 AS (SELECT *, text AS q FROM turns WHERE role='user'),
+  t0 AS (SELECT conv_id, turn, q, ' ' || array_to_string({_W}, ' ') || ' ' AS line, CAST(replace(replace(floor(turn/5)::VARCHAR, '.0', ''), '.', '') AS BIGINT) AS session FROM t00),
   t1 AS (SELECT conv_id, turn, session, q, trim(lower(q)) AS t, {KINDS_SQL} AS kinds, {CATS_SQL} AS cats FROM t0),
   t2 AS (SELECT *, lag(kinds) OVER w AS pk, lag(cats) OVER w AS pc, (length(t) < 50 OR {_REF}) AS refine FROM t1 WINDOW w AS (PARTITION BY conv_id, session ORDER BY turn))
   SELECT conv_id, turn, refine, md5(CASE WHEN refine AND coalesce(pk,'')||coalesce(pc,'') <> '' THEN concat(q, ' (filtros previos: ',
