@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -144,48 +145,77 @@ def _c(n):
     return 2.0 * (math.log(n - 1) + 0.5772156649015329) - 2.0 * (n - 1) / n if n > 2 else (1.0 if n == 2 else 0.0)
 
 
-def _tree(X, rng, depth, limit):
-    """Nested (feature, cut, left, right) or a leaf with its expected remaining depth."""
-    if depth >= limit or len(X) <= 1:
-        return depth + _c(len(X))
-    j = int(rng.integers(X.shape[1]))
-    lo, hi = X[:, j].min(), X[:, j].max()
-    if lo == hi:
-        return depth + _c(len(X))
-    cut = rng.uniform(lo, hi)
-    m = X[:, j] < cut
-    return (j, cut, _tree(X[m], rng, depth + 1, limit), _tree(X[~m], rng, depth + 1, limit))
+TREE = "tree int, node int, col int, cut double, left int, right int, depth double"
 
 
-def _depths(node, X):
-    if not isinstance(node, tuple):
-        return np.full(len(X), float(node))
-    j, cut, left, right = node
-    m = X[:, j] < cut
-    out = np.empty(len(X))
-    out[m], out[~m] = _depths(left, X[m]), _depths(right, X[~m])
-    return out
+def tree_samples(df: DataFrame, cols: list[str], ident: str, trees: int, sample: int, seed: int) -> DataFrame:
+    """(tree, rank, cols): the `sample` rows with the smallest hash of tree and row, for every tree by itself.
+
+    A hash bound that four times as many rows meet on average goes first, so a
+    tree ranks a bounded number of rows whatever the size of the table. Rows
+    with a null take no part.
+    """
+    known = df.select(ident, *cols).dropna(subset=cols)
+    n = known.count()
+    bound = int(4 * sample / n * 2.0**63) if n > 4 * sample else 2**63 - 1
+    drawn = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(
+        t.alias("tree"), F.shiftrightunsigned(F.xxhash64(F.lit(seed), t, F.col(ident), *cols), 1).alias("h")))
+    few = known.withColumn("_d", F.explode(F.filter(drawn, lambda x: x["h"] <= bound))).select("_d.tree", "_d.h", F.col(ident).alias("_id"), *cols)
+    w = Window.partitionBy("tree").orderBy("h", "_id", *cols)
+    return few.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= sample).select("tree", "rank", *cols)
+
+
+def grow_tree(X: np.ndarray, rng, tree: int = 0) -> list[tuple]:
+    """Nodes of one isolation tree; a leaf has no children and the expected depth of its rows."""
+    limit = math.ceil(math.log2(max(len(X), 2)))
+    nodes, todo = [None], [(0, np.arange(len(X)), 0)]
+    while todo:
+        node, rows, depth = todo.pop()
+        j = int(rng.integers(X.shape[1]))
+        lo, hi = (X[rows, j].min(), X[rows, j].max()) if len(rows) else (0.0, 0.0)
+        if depth >= limit or lo == hi:
+            nodes[node] = (tree, node, 0, 0.0, -1, -1, depth + _c(len(rows)))
+            continue
+        cut, left = rng.uniform(lo, hi), len(nodes)
+        nodes[node] = (tree, node, j, cut, left, left + 1, float(depth))
+        nodes += [None, None]
+        below = X[rows, j] < cut
+        todo += [(left, rows[below], depth + 1), (left + 1, rows[~below], depth + 1)]
+    return nodes
+
+
+def path_lengths(nodes, X: np.ndarray) -> np.ndarray:
+    """Expected depth of every row in one tree, given its nodes in order."""
+    at = np.zeros(len(X), dtype=int)
+    col, cut, left, right, depth = (nodes[c].to_numpy() for c in ("col", "cut", "left", "right", "depth"))
+    while (inner := left[at] >= 0).any():
+        below = X[np.arange(len(X)), col[at]] < cut[at]
+        at = np.where(inner, np.where(below, left[at], right[at]), at)
+    return depth[at]
 
 
 def isolation_scores(df: DataFrame, cols: list[str], ident: str, trees: int = 100, sample: int = 256, seed: int = 42) -> DataFrame:
-    """Anomaly score of every row; higher is stranger.
+    """Anomaly score of every row; higher is stranger. A row with a null has none.
 
-    Each tree grows from 256 rows, as the method prescribes, so a pool of fixed
-    size is all the driver sees; all rows are scored on the executors.
+    Every tree draws its own 256 rows from the whole table and grows on the
+    executors. The model, at most 2 * sample nodes a tree, is all the driver sees.
     """
-    pool = df.select(ident, *cols).withColumn("_h", F.xxhash64(F.lit(seed), F.col(ident))).orderBy("_h", ident).limit(trees * sample).select(*cols).collect()
-    X = np.array([[float(r[c]) for c in cols] for r in pool])
-    rng = np.random.default_rng(seed)
-    m = min(sample, len(X))
-    limit = math.ceil(math.log2(max(m, 2)))
-    forest = [_tree(X[rng.choice(len(X), m, replace=False)], rng, 0, limit) for _ in range(trees)]
+    def grow(pdf):
+        t = int(pdf["tree"].iloc[0])
+        X = pdf.sort_values("rank")[cols].to_numpy(dtype=float)
+        return pd.DataFrame(grow_tree(X, np.random.default_rng([seed, t]), t), columns=[c.split(" ")[0] for c in TREE.split(", ")])
+
+    drawn = stage(tree_samples(df, cols, ident, trees, sample, seed), "iso_sample")
+    m = drawn.where("tree = 0").count()
+    model = drawn.groupBy("tree").applyInPandas(grow, TREE).toPandas().sort_values(["tree", "node"])
+    forest = [g for _, g in model.groupby("tree")]
     norm = _c(m) or 1.0
 
     def score(batches):
         for pdf in batches:
             M = pdf[cols].to_numpy(dtype=float)
-            d = np.mean([_depths(t, M) for t in forest], axis=0) if len(M) else np.zeros(0)
-            yield pdf.assign(iso_score=2.0 ** (-d / norm))
+            d = np.mean([path_lengths(t, M) for t in forest], axis=0) if forest else np.zeros(len(M))
+            yield pdf.assign(iso_score=pd.Series(2.0 ** (-d / norm), index=pdf.index).where(~np.isnan(M).any(axis=1)))
 
     return df.mapInPandas(score, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + ", iso_score double")
 
