@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from plotwise.session import stage
 
 PIVOTS, BLOCK = 1024, 2048
+VISITS = 1 << 15  # rows times cells looked at in one go
 NEAR = 1e-9  # similarities are told apart to nine digits; closer ones go to the smaller id
 
 
@@ -30,6 +31,12 @@ def _apart(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum((x * x).sum(1)[:, None] - 2 * x @ pivots.T + (pivots * pivots).sum(1), 0))
 
 
+def _slices(pdf: pd.DataFrame, cells: int):
+    """Parts of a batch whose rows times cells stay few, so that neither distances nor visits fill the memory."""
+    step = max(1, VISITS // max(1, cells))
+    return (pdf.iloc[i : i + step] for i in range(0, len(pdf), step))
+
+
 def cosine_topk(corpus: DataFrame, queries: DataFrame, vid: str, vec: str, k: int = 10, threshold: float = -1.0, most_pivots: int = PIVOTS, block: int = BLOCK) -> DataFrame:
     """qid, id, similarity, rn: the k most similar vectors of every query, above a threshold.
 
@@ -50,12 +57,12 @@ def cosine_topk(corpus: DataFrame, queries: DataFrame, vid: str, vec: str, k: in
 
     def place(batches):
         for pdf in batches:
-            if len(pdf):
-                x = _unit(pdf["v"])
+            for part in _slices(pdf, len(shared.value)):
+                x = _unit(part["v"])
                 d = _apart(x, shared.value)
                 at = d.argmin(1)
                 zero = ~x.any(1)
-                yield pd.DataFrame({"cell": np.where(zero, -1, at).astype(np.int32), "reach": np.where(zero, 0.0, d[np.arange(len(x)), at]), "id": pdf["id"], "v": list(x)})
+                yield pd.DataFrame({"cell": np.where(zero, -1, at).astype(np.int32), "reach": np.where(zero, 0.0, d[np.arange(len(x)), at]), "id": part["id"], "v": list(x)})
 
     placed = stage(c.mapInPandas(place, f"cell int, reach double, id {vt}, v array<double>"), "vector-cells")
     cells = sorted(map(tuple, placed.groupBy("cell").agg(F.max("reach"), F.count("*")).collect()))  # a row a pivot
@@ -68,19 +75,18 @@ def cosine_topk(corpus: DataFrame, queries: DataFrame, vid: str, vec: str, k: in
     def visits(first: int, count: int):
         def run(batches):
             number, pivots, reach = held.value
-            for pdf in batches:
+            for part in (s for pdf in batches for s in _slices(pdf, len(number))):
                 out = []
-                if len(pdf):
-                    x = _unit(pdf["v"])
-                    best = 1 - np.maximum(_apart(x, pivots) - reach - 1e-7, 0) ** 2 / 2
-                    best[:, number < 0], best[~x.any(1)] = 0.0, 0.0
-                    order = np.argsort(-best, axis=1, kind="stable")
-                    floor = pdf["floor"].to_numpy(float)
-                    for i, (qid, v) in enumerate(zip(pdf["id"], x)):
-                        mine = [j for j in order[i, first : first + count] if best[i, j] >= floor[i] - NEAR]
-                        # A row without a cell tells that more cells could hold an answer.
-                        more = first + count < len(number) and best[i, order[i, first + count]] >= floor[i] - NEAR
-                        out += [(qid, int(number[j]), v, floor[i], bool(more)) for j in mine]
+                x = _unit(part["v"])
+                best = 1 - np.maximum(_apart(x, pivots) - reach - 1e-7, 0) ** 2 / 2
+                best[:, number < 0], best[~x.any(1)] = 0.0, 0.0
+                order = np.argsort(-best, axis=1, kind="stable")
+                floor = part["floor"].to_numpy(float)
+                for i, (qid, v) in enumerate(zip(part["id"], x)):
+                    mine = [j for j in order[i, first : first + count] if best[i, j] >= floor[i] - NEAR]
+                    # A row without a cell tells that more cells could hold an answer.
+                    more = first + count < len(number) and best[i, order[i, first + count]] >= floor[i] - NEAR
+                    out += [(qid, int(number[j]), v, floor[i], bool(more)) for j in mine]
                 yield pd.DataFrame({n: pd.Series([o[j] for o in out], dtype=object) for j, n in enumerate(("qid", "r_cell", "r_v", "r_floor", "more"))})
 
         return run
