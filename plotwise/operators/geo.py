@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plotwise.functions import spatial as sp
+from plotwise.operators.neighbours import Leaves, sphere, take
 from plotwise.operators.ranking import join_on
 from plotwise.session import stage
 
@@ -228,6 +229,25 @@ def nearest(points: DataFrame, features: DataFrame, k: int = 1, *, fid: str, by:
         where=(F.col(exclude_self) != F.col(fid)) if exclude_self else None, within=within)
 
 
+def nearest_per_key(points: DataFrame, features: DataFrame, k: int, *, ident: str, fid: str, key: str, within: float) -> DataFrame:
+    """ident, key, `fid`, dist: up to k nearest features of every key within `within` metres of each point."""
+    here = stage(points.where("lon is not null and lat is not null").crossJoin(features.select(key).distinct()), "points")
+    leaves = Leaves(features, ["flon", "flat"], fid, [key])
+    metres, least = sphere("lon", "lat", "flon", "flat")
+    exact = sp.haversine("lon", "lat", "flon", "flat")
+    near = leaves.nearest(here.select(key, "lon", "lat").distinct(), ["lon", "lat"], k, measure=metres, lower=least, dist=F.round(exact, 3), slack=2e-3, where=exact <= within, most=within)
+    return take(here, near, [key, "lon", "lat"], ident, k, fid, False).select(ident, key, fid, "dist")
+
+
+def nearest_others(points: DataFrame, features: DataFrame, k: int, *, ident: str) -> DataFrame:
+    """ident, `_f`, dist: the k nearest features of another id for every point, ties by id."""
+    f = features.select(F.col(ident).alias("_f"), F.col("lon").alias("flon"), F.col("lat").alias("flat"))
+    leaves = Leaves(f, ["flon", "flat"], "_f")
+    metres, least = sphere("lon", "lat", "flon", "flat")
+    near = leaves.nearest(points.select("lon", "lat").distinct(), ["lon", "lat"], k + leaves.same_id(), measure=metres, lower=least, dist=F.round(sp.haversine("lon", "lat", "flon", "flat"), 3), slack=2e-3)
+    return take(points, near, ["lon", "lat"], ident, k, "_f", True).select(ident, "_f", "dist")
+
+
 # ----------------------------------------------------------------- polygons
 
 

@@ -326,10 +326,12 @@ def moran(points: DataFrame, value: str, ident: str = "id", k: int = 5) -> list[
     st = d.agg(F.avg(value).alias("m"), F.count("*").alias("n"), F.var_pop(value).alias("v")).first()
     n = st["n"]
     z = d.select(F.col(ident), "lon", "lat", (F.col(value) - float(st["m"])).alias("_z"))
-    feats = geo.as_features(z.select(F.col(ident).alias("_f"), "lon", "lat", F.col("_z").alias("_zf")))
-    pairs = geo.nearest(z, feats, k, fid="_f", exclude_self=ident).select(ident, "_f", "_zf")
     from plotwise.session import stage
 
+    z = stage(z, "residuals")
+    pairs = geo.nearest_others(z.select(ident, "lon", "lat").distinct(), z, k, ident=ident)
+    pairs = pairs.join(z.select(F.col(ident).alias("_f"), F.col("_z").alias("_zf")).distinct(), "_f").select(ident, "_f", "_zf")
+
     pairs = stage(pairs.join(z.select(ident, "_z"), ident))
     num = pairs.agg(F.sum(F.col("_z") * F.col("_zf")).alias("s"), F.count("*").alias("e")).first()
     back = pairs.select(F.col("_f").alias(ident), F.col(ident).alias("_f"))

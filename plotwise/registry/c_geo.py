@@ -124,7 +124,7 @@ def _(v):
 @query("rng_4_nearby_per_category", f"SELECT a.study_id, b.category, b.poi_id, round({HAV}, 3) AS dist FROM study a JOIN poi b ON {BOX(3000)} WHERE {HAV} <= 3000 QUALIFY row_number() OVER (PARTITION BY a.study_id, b.category ORDER BY round({HAV},3), b.poi_id) <= 10")
 def _(v):
     f = geo.as_features(v.poi.select("poi_id", "category", "lon", "lat"))
-    p = geo.radius_pairs(v.study.select("study_id", "lon", "lat"), f, 3000).withColumn("dist", F.round("dist", 3))
+    p = geo.nearest_per_key(v.study.select("study_id", "lon", "lat"), f, 10, ident="study_id", fid="poi_id", key="category", within=3000.0)
     return row_numbers(p, ["study_id", "category"], ["dist", "poi_id"], limit=10).select("study_id", "category", "poi_id", "dist")
 
 
