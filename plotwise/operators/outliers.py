@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from plotwise.functions import labels as lb
 from plotwise.operators.clusters import density_clusters
-from plotwise.operators.geo import grid_nearest, spread
+from plotwise.operators.geo import spread
+from plotwise.operators.neighbours import Leaves, euclid, take
 from plotwise.operators.ranking import exact_quantiles, join_on, medians, value_positions
 from plotwise.operators.upsert import latest_per_key
 from plotwise.session import stage
@@ -29,6 +30,7 @@ def prepare(listings: DataFrame, by: list[str]) -> DataFrame:
     Groups below the minimum size are left out.
     """
     d = listings.where("price is not null and area > 0").withColumn("price_m2", F.col("price") / F.col("area"))
+    d = stage(d, "priced")  # read several times below
     med = exact_quantiles(d, "stratum", {"_ms": 0.5}, by)
     d = join_on(d, med, by, "left").withColumn("stratum_f", F.coalesce(F.col("stratum").cast("double"), F.col("_ms"), F.lit(3.0))).drop("_ms")
     cols = ["price_m2", "area", "stratum_f"]
@@ -71,6 +73,7 @@ def density_noise(df: DataFrame, zs: list[str], by: list[str] = (), eps: float =
 def explanations(df: DataFrame, by: list[str]) -> DataFrame:
     """`reasons`: features far from the group median, with ratio and wording."""
     names = list(FEATURES)
+    df = stage(df, "explained")  # each median reads it twice
     d = join_on(df, medians(df, names, by), by, "left")
 
     def reason(n):
@@ -99,13 +102,14 @@ def classify(listings: DataFrame, by: list[str], reviewed: DataFrame | None = No
 # ------------------------------------------------------- calibrated radius
 
 
-def k_distances(df: DataFrame, zs: list[str], ident: str, k: int = 5, finest: float = 2.0**-6, levels: int = 12) -> DataFrame:
+def k_distances(df: DataFrame, zs: list[str], ident: str, k: int = 5) -> DataFrame:
     """Distance of every point to its k-th nearest other point."""
-    spot = Window.partitionBy(*zs).orderBy(ident)
-    f = df.select(F.col(ident).alias("_f"), *[F.col(z).alias(f"_f{z}") for z in zs], F.row_number().over(spot).alias("_rn")).where(F.col("_rn") <= k + 1).drop("_rn")
-    dist = F.round(F.sqrt(sum(((F.col(z) - F.col(f"_f{z}")) ** 2 for z in zs), F.lit(0.0))), 9)
-    best = grid_nearest(df.select(ident, *zs), f, k, pcell=[F.floor(F.col(z) / finest) for z in zs], fcell=[F.floor(F.col(f"_f{z}") / finest) for z in zs],
-                        dist=dist, levels=levels, level_for=lambda d: F.ceil(F.log2((d + 1e-8) / finest)), ident=[ident, *zs], order=["dist", "_f"], where=F.col(ident) != F.col("_f"))
+    fs = [f"_f{z}" for z in zs]
+    dist = F.round(F.sqrt(sum(((F.col(z) - F.col(f)) ** 2 for z, f in zip(zs, fs)), F.lit(0.0))), 9)
+    leaves = Leaves(df.select(F.col(ident).alias("_f"), *[F.col(z).alias(f) for z, f in zip(zs, fs)]), fs, "_f")
+    measure, lower = euclid(zs, fs)
+    near = leaves.nearest(df.select(*zs).distinct(), zs, k + leaves.same_id(), measure=measure, lower=lower, dist=dist, slack=2e-9)
+    best = take(df.select(ident, *zs), near, zs, ident, k, "_f", True)
     return best.groupBy(ident).agg(F.max("dist").alias("k_dist"), F.count("*").alias("_c")).where(F.col("_c") == k).drop("_c")
 
 
