@@ -35,7 +35,8 @@ def compare_normalizations(df: DataFrame, scores: list[str], current: str, ident
 
     Columns: scheme, item, value.
     """
-    wide = stage(normalized_all(df.dropna(subset=scores + [current]), scores))
+    df = stage(df.dropna(subset=scores + [current]), "scores")  # every ranking reads it
+    wide = stage(normalized_all(df, scores))
     stats = []
     for name in SCHEMES:
         for s in scores + [""]:
