@@ -7,6 +7,9 @@ after it; prices, areas, rooms, distances, index floors and half of the routes
 are conditions on these three. An accent more or less makes no difference, and
 a number counts as a whole: the last digits of a longer one are no price.
 
+A text may be long, so it is passed over once: `heard` lists the words and
+phrases of the vocabulary that it holds, and all conditions on phrases read that list.
+
 Null texts read as empty ones: no feature, and the route of a short text.
 """
 
@@ -14,7 +17,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plotwise.functions.labels import chain
@@ -59,6 +62,19 @@ SEARCH_WORDS = ["apartamento", "apartamentos", "apartamenta", "apartamentas", "a
                 "cai", "centro comercial"]
 
 
+_RULES = [*(ps for _, ps in DISTANCE_WORDS), *KIND_WORDS.values(), *(ps for hints in QUALITY_WORDS.values() for _, ps in hints),
+          EXPLAIN_WORDS, STATS_WORDS, COMPARE_WORDS, VALUATION_WORDS, SEARCH_WORDS]
+ALTERNATIVES = ["o", "vs"]
+LONG_PHRASES = sorted({p for ps in _RULES for p in ps if " " in p})
+VOCABULARY = sorted({w for ps in (*_RULES, RANK_WORDS, ALTERNATIVES, STREETS) for p in ps for w in p.split(" ")})
+
+
+def dealt(texts: DataFrame, keys: list[str]) -> DataFrame:
+    """Texts dealt by keys before they are read: a file may hold very many in one piece, and reading takes far longer than moving them."""
+    # A number of its own, as partitions that are small in bytes would be put together again.
+    return texts.repartition(4 * int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def words(q: Column) -> Column:
     """Words, numbers and signs of a text, folded."""
     return F.regexp_extract_all(F.translate(fold(q), "²–º°", "2-  "), F.lit(TOKEN), F.lit(0))
@@ -69,7 +85,7 @@ def numbers(w: Column) -> Column:
     def read(x: Column, i: Column) -> Column:
         before = F.filter(F.slice(w, F.greatest(i - 4, F.lit(1)), F.least(i, F.lit(5))), lambda t: t != "$")
         after = F.slice(w, i + 2, F.lit(2))
-        return F.when(x.rlike(r"^\d"), F.struct(x.alias("x"), F.concat(F.lit(" "), F.array_join(before, " ")).alias("before"),
+        return F.when((x >= "0") & (x < ":"), F.struct(x.alias("x"), F.concat(F.lit(" "), F.array_join(before, " ")).alias("before"),
                                                 F.concat(F.array_join(after, " "), F.lit(" ")).alias("after")))
 
     return F.array_compact(F.transform(w, read))
@@ -79,10 +95,23 @@ def any_of(tests: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, tests)
 
 
-def has(w: Column, phrases: list[str]) -> Column:
-    """One of the phrases stands in the text, word by word."""
+def heard(w: Column) -> Column:
+    """Words and phrases of the vocabulary that stand in the text, word by word; only phrases whose words all occur are looked up in its line."""
     line = F.concat(F.lit(" "), F.array_join(w, " "), F.lit(" "))
-    return bind(line, lambda t: any_of([t.contains(f" {p} ") for p in phrases]))
+
+    def phrases(found: Column, t: Column) -> Column:
+        every = lambda p: reduce(lambda a, b: a & b, [F.array_contains(found, x) for x in p.split(" ")])
+        return F.array_compact(F.array(*[F.when(every(p) & t.contains(f" {p} "), F.lit(p)) for p in LONG_PHRASES]))
+
+    return bind(F.array_intersect(w, F.lit(VOCABULARY)), lambda found: F.concat(found, bind(line, lambda t: phrases(found, t))))
+
+
+def has(said: Column, phrases: list[str]) -> Column:
+    """One of the phrases is among those heard."""
+    unknown = [p for p in phrases if p not in VOCABULARY and p not in LONG_PHRASES]
+    if unknown:
+        raise ValueError(f"not in the vocabulary: {unknown}")
+    return F.arrays_overlap(said, F.lit(phrases))
 
 
 def behind(n: Column, phrases: list[str]) -> Column:
@@ -101,17 +130,17 @@ def first(found: Column, test) -> Column:
     return F.get(F.filter(found, test), 0)
 
 
-def distance(w: Column, n: Column) -> Column:
+def distance(said: Column, n: Column) -> Column:
     """Metres asked for: explicit metres, kilometres, walking minutes, then phrases."""
     m = first(n, lambda r: whole(r, "2,4") & followed(r, ["m ", "metro"]))["x"].cast("int")
     km = F.replace(first(n, lambda r: followed(r, ["km "]))["x"], F.lit(","), F.lit(".")).cast("double")
     mins = first(n, lambda r: whole(r) & followed(r, ["min"]))["x"].cast("int")
-    phrase = chain([(has(w, ps), d) for d, ps in DISTANCE_WORDS], F.lit(None).cast("int"))
+    phrase = chain([(has(said, ps), d) for d, ps in DISTANCE_WORDS], F.lit(None).cast("int"))
     return F.coalesce(F.when(m.between(50, 5000), m), F.floor(km * 1000).cast("int"), F.when(mins.between(1, 30), mins * 80), phrase)
 
 
-def kinds(w: Column) -> Column:
-    return F.array_compact(F.array(*[F.when(has(w, ps), F.lit(k)) for k, ps in KIND_WORDS.items()]))
+def kinds(said: Column) -> Column:
+    return F.array_compact(F.array(*[F.when(has(said, ps), F.lit(k)) for k, ps in KIND_WORDS.items()]))
 
 
 def amounts(n: Column) -> dict[str, Column]:
@@ -136,16 +165,20 @@ def amounts(n: Column) -> dict[str, Column]:
     }
 
 
-def index_floors(w: Column, n: Column) -> dict[str, Column]:
+def index_floors(said: Column, n: Column) -> dict[str, Column]:
     """Minimum per index from quality phrases, overridden by the first number that stands behind an index name."""
-    said = lambda r, names: behind(r, [f"{i}{how}" for i in names for how in ("", " >", " > =", " mayor a")])
-    stated = first(n, lambda r: said(r, list(INDEX_WORDS.values())))
-    value = F.replace(stated["x"], F.lit(","), F.lit(".")).cast("double")
+    names_it = lambda r, names: behind(r, [f"{i}{how}" for i in names for how in ("", " >", " > =", " mayor a")])
+    stated = first(n, lambda r: names_it(r, list(INDEX_WORDS.values())))
+
+    def stated_for(name: str) -> Column:
+        value = lambda r: F.replace(r["x"], F.lit(","), F.lit(".")).cast("double")
+        return bind(stated, lambda r: F.when(names_it(r, [name]) & value(r).between(0, 5), value(r)))
+
     out = {}
     for dim, name in INDEX_WORDS.items():
-        hints = [(has(w, ps), v) for v, ps in reversed(QUALITY_WORDS.get(dim, []))]
+        hints = [(has(said, ps), v) for v, ps in reversed(QUALITY_WORDS.get(dim, []))]
         hint = chain(hints, F.lit(None).cast("double")) if hints else F.lit(None).cast("double")
-        out[f"{dim}_min"] = F.coalesce(F.when(said(stated, [name]) & value.between(0, 5), value), hint)
+        out[f"{dim}_min"] = F.coalesce(stated_for(name), hint)
     return out
 
 
@@ -168,24 +201,28 @@ def address(w: Column) -> Column:
         lettered = bind(after(i + 2, token(i + 2).isin(LETTERS)), lambda a: bind(after(a, token(a).isin(STREET_SIDES)), lambda s: tail(i, s)))
         return F.when(x.isin(STREETS) & number(i + 1), lettered)
 
-    return F.get(F.array_compact(F.transform(w, at)), 0)
+    return F.when(F.arrays_overlap(w, F.lit(STREETS)), F.get(F.array_compact(F.transform(w, at)), 0))
 
 
 def route(q: Column, w: Column, n: Column) -> Column:
     """Which assistant a query belongs to; short leftovers are small talk, long ones ask to explain."""
+    return bind(heard(w), lambda said: _route(q, w, n, said))
+
+
+def _route(q: Column, w: Column, n: Column, said: Column) -> Column:
     some = lambda test: F.exists(n, test)
     place = lambda t: any_of([t.startswith(p) for p in PLACES])
     bare = F.array_join(F.filter(w, lambda t: ~t.isin(SIGNS)), " ")
-    ranked = F.exists(F.zip_with(w, F.slice(w, F.lit(2), F.size(w)), lambda a, b: a.isin(RANK_WORDS) & place(b)), lambda t: t)
+    ranked = has(said, RANK_WORDS) & F.exists(F.zip_with(w, F.slice(w, F.lit(2), F.size(w)), lambda a, b: a.isin(RANK_WORDS) & place(b)), lambda t: t)
     # A place at most four words behind the second of two alternatives.
-    either = F.exists(F.transform(w, lambda t, i: t.isin("o", "vs") & (i > 0) & F.exists(F.slice(w, i + 3, F.lit(5)), place)), lambda t: t)
+    either = has(said, ALTERNATIVES) & F.exists(F.transform(w, lambda t, i: t.isin(ALTERNATIVES) & (i > 0) & F.exists(F.slice(w, i + 3, F.lit(5)), place)), lambda t: t)
     rules = [
         ("smalltalk", bare.isin(GREETINGS)),
-        ("explain", has(w, EXPLAIN_WORDS)),
-        ("stats", has(w, STATS_WORDS) | F.coalesce(ranked, F.lit(False)) | some(lambda r: behind(r, RANK_WORDS) & place(r["after"]))),
-        ("compare", has(w, COMPARE_WORDS) | either),
-        ("acm", has(w, VALUATION_WORDS) | some(lambda r: behind(r, ASSET_WORDS) | (behind(r, ["id"]) & r["x"].rlike(r"^\d{3}")))),
-        ("search", has(w, SEARCH_WORDS) | some(lambda r: (behind(r, ["a"]) & followed(r, ["m ", "metro ", "metros "]))
+        ("explain", has(said, EXPLAIN_WORDS)),
+        ("stats", has(said, STATS_WORDS) | F.coalesce(ranked, F.lit(False)) | some(lambda r: behind(r, RANK_WORDS) & place(r["after"]))),
+        ("compare", has(said, COMPARE_WORDS) | either),
+        ("acm", has(said, VALUATION_WORDS) | some(lambda r: behind(r, ASSET_WORDS) | (behind(r, ["id"]) & r["x"].rlike(r"^\d{3}")))),
+        ("search", has(said, SEARCH_WORDS) | some(lambda r: (behind(r, ["a"]) & followed(r, ["m ", "metro ", "metros "]))
                                                | followed(r, ["minuto ", "minutos "]) | behind(r, ["menos de", "mas de"]))),
     ]
     length = F.length(F.coalesce(F.trim(q), F.lit("")))

@@ -12,12 +12,13 @@ from plotwise.functions.labels import lookup
 
 def parse_queries(log: DataFrame, qid: str, text: str) -> DataFrame:
     """Search features of every query text as columns."""
-    w, n = F.col("_w"), F.col("_n")
-    read = log.select(qid, F.trim(F.col(text)).alias("_q")).withColumn("_w", rq.words(F.col("_q"))).withColumn("_n", rq.numbers(w))
+    w, n, said = F.col("_w"), F.col("_n"), F.col("_said")
+    read = rq.dealt(log.select(qid, F.trim(F.col(text)).alias("_q")), [qid, "_q"]).withColumn("_w", rq.words(F.col("_q")))
+    read = read.withColumns({"_n": rq.numbers(w), "_said": rq.heard(w)})
     q = F.col("_q")
-    return read.select(qid, rq.distance(w, n).alias("max_m"), tx.query_categories(q).alias("categories"), rq.kinds(w).alias("kinds"),
+    return read.select(qid, rq.distance(said, n).alias("max_m"), tx.query_categories(q).alias("categories"), rq.kinds(said).alias("kinds"),
                        *[x.alias(k) for k, x in rq.amounts(n).items()], tx.query_locality(q).alias("locality"),
-                       *[x.alias(k) for k, x in rq.index_floors(w, n).items()],
+                       *[x.alias(k) for k, x in rq.index_floors(said, n).items()],
                        tx.query_amenities(q).alias("amenities"), rq.address(w).alias("address"))
 
 
@@ -28,11 +29,11 @@ def merge_previous(turns: DataFrame, session: list[str], order: str, text: str)
     """
     q = F.col(text)
     w = Window.partitionBy(*session).orderBy(order)
-    words, numbers = F.col("_w"), F.col("_n")
+    words, numbers, said = F.col("_w"), F.col("_n"), F.col("_said")
     filters = rq.amounts(numbers)
-    d = turns.withColumn("_w", rq.words(q)).withColumn("_n", rq.numbers(words))
-    d = d.withColumns({"_k": rq.kinds(words), "_c": tx.query_categories(q), "_hi": filters["price_max"],
-                       "_lo": filters["price_min"], "_ix": rq.index_floors(words, numbers)["composite_min"]}).drop("_w", "_n")
+    d = rq.dealt(turns, session).withColumn("_w", rq.words(q)).withColumns({"_n": rq.numbers(words), "_said": rq.heard(words)})
+    d = d.withColumns({"_k": rq.kinds(said), "_c": tx.query_categories(q), "_hi": filters["price_max"],
+                       "_lo": filters["price_min"], "_ix": rq.index_floors(said, numbers)["composite_min"]}).drop("_w", "_n", "_said")
     d = d.withColumns({f"{x}p": F.lag(x).over(w) for x in ("_k", "_c", "_hi", "_lo", "_ix")})
     bits = F.concat(
         F.when(F.size("_kp") > 0, F.array(F.lower(F.array_join("_kp", ", ")))).otherwise(F.array().cast("array<string>")),

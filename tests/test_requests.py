@@ -43,3 +43,18 @@ def test_routes_of_texts(spark):
 def test_no_texts(spark):
     log = spark.createDataFrame([], "id int, q string")
     assert se.parse_queries(log, "id", "q").isEmpty()
+
+
+def test_phrases_are_heard_word_by_word(spark):
+    q = "que es; zona ... top, MUY segura y a pie"
+    w = rq.words(F.lit(q))
+    got = spark.range(1).select(rq.heard(w).alias("h"), rq.has(rq.heard(w), ["zona top"]).alias("apart"), rq.has(rq.heard(w), ["segura"]).alias("one")).first()
+    assert {"que es", "zona top", "a pie", "segura"} <= set(got.h) and got.apart and got.one
+    assert "muy seguro" not in got.h and "bien conectado" not in got.h
+    cut = spark.range(1).select(rq.has(rq.heard(rq.words(F.lit("zona muy top a > pie"))), ["zona top", "a pie"]).alias("x")).first()
+    assert not cut.x
+
+
+def test_texts_in_one_piece_are_read_by_many_tasks(spark):
+    log = spark.range(400).selectExpr("id", "concat('casa ', id) AS q").coalesce(1)
+    assert se.parse_queries(log, "id", "q").rdd.getNumPartitions() > 4
