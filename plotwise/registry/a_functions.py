@@ -254,7 +254,7 @@ def _some(test):
   WHEN {_has(rq.SEARCH_WORDS)} OR {_some(f"({_behind(['a'])} AND {_followed(['m ', 'metro ', 'metros '])}) OR {_followed(['minuto ', 'minutos '])} OR {_behind(['menos de', 'mas de'])}")} THEN 'search'
   WHEN length(trim(coalesce(q, ''))) < 25 THEN 'smalltalk' ELSE 'explain' END AS route FROM r""")
 def _(v):
-    d = v.query_log.withColumn("w", rq.words(c("q"))).withColumn("n", rq.numbers(c("w")))
+    d = rq.dealt(v.query_log, ["qid", "q"]).withColumn("w", rq.words(c("q"))).withColumn("n", rq.numbers(c("w")))
     return d.select("qid", rq.route(c("q"), c("w"), c("n")).alias("route"))
 
 
