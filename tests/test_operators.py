@@ -273,3 +273,16 @@ def test_change_audit_over_several_batches(spark, tmp_path):
     got = st.change_audit(stream, "k", ["p"], ["ts"], "audit-test").orderBy("key", "ts").toPandas()
     a = got[got.key == "a"]
     assert list(a.action) == ["created", "updated", "updated", "updated"] and list(a.new)[1:] == ["2", "3", "1"]
+
+
+@pytest.mark.parametrize("planar", [False, True])
+def test_radius_pairs_hold_every_feature_once(spark, planar):
+    pts = spark.range(300).selectExpr("id", "-74.1 + (id % 17) * 0.003 AS lon", "4.6 + (id % 13) * 0.004 AS lat")
+    feats = geo.as_features(spark.range(60).selectExpr("id AS f", "-74.1 + (id % 7) * 0.005 AS lon", "4.6 + (id % 11) * 0.003 AS lat"))
+    got = geo.radius_pairs(pts, F.broadcast(feats), 800, planar=planar)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    held = plan[plan.index("BroadcastExchange"):]
+    assert "Generate" not in held
+    far = F.sqrt(F.pow(sp.local_xy("lon", "lat")[0] - sp.local_xy("flon", "flat")[0], 2) + F.pow(sp.local_xy("lon", "lat")[1] - sp.local_xy("flon", "flat")[1], 2)) if planar else sp.haversine("lon", "lat", "flon", "flat")
+    want = pts.crossJoin(feats).where(far <= 800).select("id", "f")
+    assert want.count() > 0 and sorted(got.select("id", "f").collect()) == sorted(want.collect())
