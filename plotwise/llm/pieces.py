@@ -8,22 +8,23 @@ piece across such a cut, so it costs no path. All substrings of a unit up to
 the longest piece are exploded and equi-joined to the piece table; the matches
 are the edges of the unit's lattice. Edges are grouped by unit and a
 higher-order aggregate folds them in order of their ends, keeping the best path
-to each position (Viterbi). Units of over UNIT code points are not cut: the
-same recursion solves them in linear space where the text is assembled. A
-character that no piece covers is spelt in byte pieces, so every text can be
-decoded exactly.
+to each position (Viterbi). A character that no piece covers is spelt in byte
+pieces, so every text can be decoded exactly.
 
 The vocabulary is given, never trained. Where its scores are merge ranks, not
 log probabilities, edges score -ln(rank) - PIECE_COST: Zipf's law over the ranks
 and a cost per piece.
 
-Frequent units are solved once: a heavy-hitter count over all texts picks at
-most HOT units, whose solutions are small enough to broadcast. All other units
-of a text get their own lattice in the text's partition; texts are dealt out
-once, by row hash, and every later grouping and join reuses that.
+Frequent units are solved once by that lattice: a heavy-hitter count over all
+texts picks at most HOT units, whose solutions are small enough to broadcast.
+All other units are rare, so a lattice of rows would be built for each about
+once a text. They meet the piece table as a trie in arrays and go through the
+same recursion, with the same ties, where the text is assembled: all distinct
+ones of a part of a batch at once, position by position. Units of over UNIT
+code points are solved one by one in linear space. Texts are not shuffled.
 
-A null text has no ids and decodes to the empty text. Rows equal in
-all columns share a hash and a solution and are all returned; other columns are passed through.
+A null text has no ids and decodes to the empty text. Every row is returned,
+repeated ones as often as they come; other columns are passed through.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ from plotwise.llm.common import batches
 from plotwise.session import stage
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-UNIT, PIECE_COST, BYTE_COST, HOT, PER_TASK, HELD = 48, 10.0, 60.0, 400_000, 100_000, 1 << 24
+UNIT, PIECE_COST, BYTE_COST, HOT, PER_TASK, HELD, PART, BLOCK = 48, 10.0, 60.0, 400_000, 100_000, 1 << 24, 1 << 21, 1 << 18
 # Code points, not character classes, whose content differs between Java and Python.
 MARKS = r"!-@\[-`{-~\u00a1-\u00a9\u00ab-\u00b4\u00b6-\u00b9\u00bb-\u00bf\u2010-\u206f\u3001-\u303f"
 UNITS = rf" *[^ \t-\r{MARKS}]+| *[{MARKS}]+\r*| *\r+| +|[\t\n\x0b\x0c]"
@@ -118,8 +119,8 @@ def segment(unit: str, table: dict[str, tuple[int, float]], model: Model) -> lis
     return [i for c in reversed(parts) for i in ([table[c][0]] if c in table else other(c))]
 
 
-def lattice(units: DataFrame, table: DataFrame, model: Model, keys: tuple[str, ...] = ()) -> DataFrame:
-    """(keys, unit, ids) of distinct (keys, unit) rows; needs no shuffle where rows are dealt by keys or unit."""
+def lattice(units: DataFrame, table: DataFrame, model: Model) -> DataFrame:
+    """(unit, ids) of distinct units."""
     n = F.length("unit")
     parts = units.withColumn("start", F.explode(F.sequence(F.lit(0), n - 1)))
     parts = parts.withColumn("len", F.explode(F.sequence(F.lit(1), F.least(F.lit(model.longest), n - F.col("start")))))
@@ -132,8 +133,115 @@ def lattice(units: DataFrame, table: DataFrame, model: Model, keys: tuple[str, .
         spelt = F.hex(F.encode("piece", "utf-8"))
         other = F.transform(F.sequence(F.lit(0), F.octet_length("piece") - 1), lambda i: F.conv(F.substring(spelt, i * 2 + 1, F.lit(2)), 16, 10).cast("int") + model.first_byte)
     edge = F.struct((F.col("start") + F.col("len")).alias("end"), "start", F.coalesce("score", F.octet_length("piece") * -BYTE_COST).alias("score"), F.when(F.col("id").isNotNull(), F.array("id")).otherwise(other).alias("ids"))
-    grouped = met.select(*keys, "unit", edge.alias("edge")).groupBy(*keys, "unit").agg(F.collect_list("edge").alias("edges"))
-    return grouped.select(*keys, "unit", best_path(F.col("edges")).alias("ids"))
+    grouped = met.select("unit", edge.alias("edge")).groupBy("unit").agg(F.collect_list("edge").alias("edges"))
+    return grouped.select("unit", best_path(F.col("edges")).alias("ids"))
+
+
+class Trie:
+    """The piece table as arrays: a child's key is its parent's number and the letter, and each node names its piece."""
+
+    def __init__(self, model: Model):
+        table: dict[str, tuple[int, float]] = {}
+        for p, i, score in model.rows:
+            table.setdefault(p, (i, score))  # rows come best first
+        letters = sorted({c for p in table for c in p})
+        self.letter = np.zeros(0x110000, np.int64)
+        self.letter[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
+        self.width = len(letters) + 1
+        number, keys = {"": 0}, {}
+        for p in table:
+            for k in range(1, len(p) + 1):
+                if p[:k] not in number:
+                    number[p[:k]] = len(number)
+                    keys[number[p[: k - 1]] * self.width + int(self.letter[ord(p[k - 1])])] = number[p[:k]]
+        self.keys = np.array(sorted(keys), np.int64)
+        self.child = np.array([keys[k] for k in sorted(keys)], np.int64)
+        self.piece, self.score = np.full(len(number), -1, np.int64), np.zeros(len(number))
+        for p, (i, score) in table.items():
+            self.piece[number[p]], self.score[number[p]] = i, score
+        self.unknown, self.first_byte, self.n = model.unknown, model.first_byte, len(model.bytes)
+
+    def edges(self, text: np.ndarray, last: np.ndarray):
+        """(begin, end, score, ids) of all pieces in the text that end by `last`, and ids of characters that are none: n and more are places in `spelt`."""
+        found, letter = [], self.letter[text]
+        at, node = np.arange(len(text) if len(self.keys) else 0), np.zeros(len(text) if len(self.keys) else 0, np.int64)
+        bare, n = np.ones(len(text), bool), 0
+        while len(at):
+            key = node * self.width + letter[at + n]
+            k = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            same = self.keys[k] == key
+            at, node, n = at[same], self.child[k[same]], n + 1
+            hit = self.piece[node] >= 0
+            found.append((at[hit], at[hit] + n, self.score[node[hit]], self.piece[node[hit]]))
+            if n == 1:
+                bare[at[hit]] = False
+            more = at + n < last[at]
+            at, node = at[more], node[more]
+        at = np.flatnonzero(bare)
+        points, which = np.unique(text[at], return_inverse=True)
+        spelt = [[self.unknown] if self.first_byte is None else [b + self.first_byte for b in chr(c).encode()] for c in points]
+        octets = np.array([len(chr(c).encode()) for c in points], np.int64)
+        found.append((at, at + 1, octets[which] * -BYTE_COST, self.n + which))
+        return tuple(np.concatenate(x) for x in zip(*found)), spelt
+
+
+def solve(units: list[str], trie: Trie) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of the best paths of units of few code points as one array, and where each unit's begin; ties as in `best_path`."""
+    ids, sizes, held, at = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)], 0, 0
+    for k, u in enumerate(units, 1):
+        held += len(u)
+        if held >= BLOCK or k == len(units):
+            some, size = best_paths(units[at:k], trie)
+            ids, sizes, held, at = [*ids, some], [*sizes, size], 0, k
+    return np.concatenate(ids), np.cumsum(np.concatenate(sizes))
+
+
+def best_paths(units: list[str], trie: Trie) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of the units' best paths, and how many each has. All units move on by one position a step."""
+    size = np.fromiter(map(len, units), np.int64, len(units))
+    text = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32)
+    stop, unit = np.cumsum(size), np.repeat(np.arange(len(units)), size)
+    (begin, end, score, piece), spelt = trie.edges(text, np.repeat(stop, size))
+    # A unit of n characters has n + 1 places, so unit u is moved on by u.
+    offset, begin, end = begin - (stop - size)[unit[begin]], begin + unit[begin], end + unit[begin]
+    order = np.argsort(offset.astype(np.uint16), kind="stable")
+    begin, end, score, piece = begin[order], end[order], score[order], piece[order]
+    first, last = stop - size + np.arange(len(units)), stop + np.arange(len(units))
+    best, back = np.full(len(text) + len(units), -np.inf), np.zeros(len(text) + len(units), np.int64)
+    best[first] = 0.0
+    bounds = np.concatenate([[0], np.cumsum(np.bincount(offset))])
+    for i, j in zip(bounds, bounds[1:]):
+        # Edges that begin at one place end at different ones; the earlier beginning wins a tie.
+        total = best[begin[i:j]] + score[i:j]
+        better = np.flatnonzero(total > best[end[i:j]]) + i
+        best[end[better]], back[end[better]] = total[better - i], better
+    who, place, path = np.arange(len(units)), last.copy(), []
+    while len(who):
+        edge = back[place]
+        path.append((who, edge))
+        place = begin[edge]
+        more = place > first[who]
+        who, place = who[more], place[more]
+    who, edge = (np.concatenate(x) for x in zip(*reversed(path)))
+    order = np.argsort(who, kind="stable")
+    who, piece = who[order], piece[edge[order]]
+    # Characters spelt in bytes have several ids, kept behind those of the pieces.
+    width = np.concatenate([np.ones(trie.n, np.int64), np.array([len(x) for x in spelt], np.int64)])
+    pool = np.concatenate([np.arange(trie.n), *(np.array(x, np.int64) for x in spelt)]).astype(np.int32)
+    ids = pool[spread((np.cumsum(width) - width)[piece], width[piece])]
+    return ids, np.bincount(who, width[piece], len(units)).astype(np.int64)
+
+
+def portions(texts):
+    """The texts of a batch in lists of about PART code points, so that few units are held at once."""
+    some, held = [], 0
+    for t in texts:
+        some.append(t.as_py())
+        held += len(some[-1] or "")
+        if held >= PART:
+            yield some
+            some, held = [], 0
+    yield some
 
 
 def heavy_units(docs: DataFrame, most: int = HOT, per_task: int = PER_TASK) -> DataFrame:
@@ -197,7 +305,10 @@ class Solutions:
 
 
 def encode(docs: DataFrame, path: str = MODEL, hot: int = HOT, parts: int | None = None, decoded: str | None = None) -> DataFrame:
-    """docs with `ids`, an array of piece ids, and on request the text these spell, in place of columns of those names."""
+    """docs with `ids`, an array of piece ids, and on request the text these spell, in place of columns of those names.
+
+    `parts` deals the rows anew, for an input of too few partitions.
+    """
     docs = docs.drop("ids", *([decoded] if decoded not in (None, "text") else []))
     spark, model = docs.sparkSession, Model(path)
     table = model.table(spark)
@@ -206,42 +317,28 @@ def encode(docs: DataFrame, path: str = MODEL, hot: int = HOT, parts: int | None
     held = spark.sparkContext.broadcast(Solutions(solved))
     letters = spark.sparkContext.broadcast(model.spelling())
     known = spark.sparkContext.broadcast(({p: (i, score) for p, i, score in model.rows}, model))
-    # Small partitions: the units of one are grouped in memory, so no edge is sorted.
-    spark.conf.set("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "200000")
-    parts = parts or 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # Dealt by whole rows, not by texts: the copies of a text are spread. Maps have no hash.
-    hashed = [f.name for f in docs.schema if not any(k in f.dataType.simpleString() for k in ("map<", "variant"))]
-    # Both uses of the texts read one and the same exchange: a whole row is one value, of which no column is pruned.
-    dealt = docs.select(F.xxhash64(*hashed).alias("_row"), F.array(F.struct(*docs.columns)).alias("_doc")).repartition(parts, "_row")
-    column = lambda c: F.element_at("_doc", 1)[c]
-    units = F.array_distinct(F.regexp_extract_all(F.concat(F.lit(" "), column("text")), F.lit(UNITS), F.lit(0)))
-    units = F.filter(units, lambda u: F.length(u) <= UNIT)
-    cold = dealt.select("_row", F.explode(units).alias("unit")).join(F.broadcast(hot_units), "unit", "left_anti").distinct()
-    per = lattice(cold, table, model, ("_row",)).groupBy("_row").agg(F.collect_list(F.struct("unit", "ids")).alias("_cold"))
+    tree = spark.sparkContext.broadcast(Trie(model))
+    if parts:
+        docs = docs.repartition(parts)
     names = docs.columns
-    joined = dealt.join(per, "_row", "left").select(*[column(c).alias(c) for c in names], "_cold")
 
     def assemble(b):
-        s = held.value.open()
-        cold = b["_cold"]
-        # Cold units of all rows as one flat list; a row's own are a slice of it.
-        ends, flat = cold.offsets.to_numpy(), cold.values
-        names_, ids = flat.field("unit").to_pylist(), flat.field("ids")
-        more, more_ends = ids.values.to_numpy(), ids.offsets.to_numpy()
-        valid = cold.is_valid().to_pylist()
-        out = []
-        for i, text in enumerate(b["text"].to_pylist()):
-            own = {names_[k]: k for k in range(ends[i], ends[i + 1])} if valid[i] else {}
-            cut, ids_, at = [] if text is None else UNITS_PY.findall(" " + text), [], 0
-            for k in [k for k, u in enumerate(cut) if len(u) > UNIT]:
-                ids_ += [gather(s, own, more, more_ends, cut[at:k]), np.array(segment(cut[k], *known.value), np.int32)]
-                at = k + 1
-            out.append(np.concatenate([*ids_, gather(s, own, more, more_ends, cut[at:])]) if text is not None else np.zeros(0, np.int32))
+        s, out = held.value.open(), []
+        for texts in portions(b["text"]):
+            cuts = [[] if t is None else UNITS_PY.findall(" " + t) for t in texts]
+            cold = list({u for c in cuts for u in set(c).difference(s.index) if len(u) <= UNIT})
+            own, (more, more_ends) = {u: k for k, u in enumerate(cold)}, solve(cold, tree.value)
+            for text, cut in zip(texts, cuts):
+                ids, at = [], 0
+                for k in [k for k, u in enumerate(cut) if len(u) > UNIT]:
+                    ids += [gather(s, own, more, more_ends, cut[at:k]), np.array(segment(cut[k], *known.value), np.int32)]
+                    at = k + 1
+                out.append(np.concatenate([*ids, gather(s, own, more, more_ends, cut[at:])]) if text is not None else np.zeros(0, np.int32))
         spelt = {} if decoded is None else {decoded: spell(*letters.value, out)}
         return {**{c: b[c] for c in names}, "ids": listed(out), **spelt}
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return batches(joined, assemble, f"{schema}, ids array<int>" + (f", {decoded} string" if decoded not in (None, "text") else ""))
+    return batches(docs, assemble, f"{schema}, ids array<int>" + (f", {decoded} string" if decoded not in (None, "text") else ""))
 
 
 def spell(table: np.ndarray, size: np.ndarray, arrays: list[np.ndarray]) -> list[str]:

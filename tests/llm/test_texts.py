@@ -258,5 +258,19 @@ def test_pieces_are_best_paths_of_the_uncut_text(spark, hot):
         assert r.decoded == r.text and abs(total(r.ids) - total(want)) < 1e-9 and (list(r.ids) == want or " " * 70 in r.text)
 
 
+def test_pieces_of_rare_units_make_no_rows_and_no_shuffle(spark):
+    rng = random.Random(4)
+    stock = ["the", "tion", "ing", "an", " ", "e", "ß", "漢", "🙂", "▁", "-", "=", "\u0602", "\r", "12"]
+    units = sorted({"".join(rng.choice(stock) for _ in range(rng.randint(1, 12)))[:48] for _ in range(800)})
+    model = pieces.Model()
+    ids, ends = pieces.solve(units, pieces.Trie(model))
+    assert len(ends) == len(units) + 1 and all(ids[i:j].tolist() == best_segmentation(u, model) for u, i, j in zip(units, ends, ends[1:]))
+    texts = [(i, " ".join(units[i::7])) for i in range(7)]
+    done = pieces.encode(spark.createDataFrame(texts, "doc_id long, text string"), hot=1, decoded="decoded")
+    plan = done._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Generate" not in plan
+    assert all(r.decoded == r.text and list(r.ids) == [i for u in pieces.UNITS_PY.findall(" " + r.text) for i in best_segmentation(u, model)] for r in rows(done))
+
+
 def test_pieces_of_nothing(empty):
     assert rows(pieces.round_trip(empty)) == []
