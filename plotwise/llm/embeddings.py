@@ -8,8 +8,11 @@ error.
 A vector within r of q that is filed under c rather than q's own c* lies beyond
 their bisector, which is (|q-c|^2 - |q-c*|^2) / (2 |c-c*|) away from q. A query
 therefore probes the lists whose bisector is within r, which loses no pair but
-probes a large share of all lists. A pair counts for both its vectors if either
-one probes the other's list. On request (`deviations`) the margin is that many
+probes a large share of all lists. The same bound holds for the other vector of
+a pair, so a query leaves out the lists before its own, whose members probe its
+list: two lists meet once, not twice. A pair counts for both its vectors if
+either one probes the other's list. On request (`deviations`) all lists within
+reach are probed, and the margin is that many
 deviations r / sqrt(k) of a difference that favours no direction, k being the
 effective dimension of the residuals; this loses links between dense groups
 whose centroids lie further apart than that.
@@ -75,7 +78,7 @@ class Quantiser:
         self.cut = np.array_split(np.arange(x.shape[1]), min(subspaces, x.shape[1]))
         rest = x - self.coarse[nearest(x, self.coarse)[0]]
         self.books = [kmeans(np.ascontiguousarray(rest[:, s]), CODES) for s in self.cut]
-        self.margin = reach()
+        self.margin, self.once = reach(), deviations is None
         if deviations is not None:
             c = rest.T.astype(np.float64) @ rest
             k = max(1.0, np.trace(c) ** 2 / max((c * c).sum(), 1e-300))
@@ -94,6 +97,8 @@ class Quantiser:
             own = d.argmin(1)
             at[i : i + 1024] = own
             bound = d - d[np.arange(len(d)), own][:, None] <= 2 * self.apart[own] * (self.margin + 1e-4) + 1e-5
+            if self.once:
+                bound &= np.arange(d.shape[1]) >= own[:, None]
             probes += [np.flatnonzero(b) for b in bound]
         rest = x - self.coarse[at]
         codes = np.stack([nearest(np.ascontiguousarray(rest[:, s]), b)[0] for s, b in zip(self.cut, self.books)], axis=1)
@@ -102,12 +107,15 @@ class Quantiser:
         return at, codes.astype(np.uint8), error, probes
 
     def lookup(self, q: np.ndarray, at: int, codes: np.ndarray) -> np.ndarray:
-        """Distances of queries to coded members of list `at`: a table per query and subspace, summed over the codes."""
+        """Squared distances of coded members of list `at` to queries: a table per subspace, summed over the codes.
+
+        A code's row holds the distances to all queries, so a lookup copies whole rows.
+        """
         rest = q - self.coarse[at]
-        total = np.zeros((len(q), len(codes)), np.float32)
+        total = np.zeros((len(codes), len(q)), np.float32)
         for j, (s, b) in enumerate(zip(self.cut, self.books)):
-            total += squares(np.ascontiguousarray(rest[:, s]), b).astype(np.float32)[:, codes[:, j]]
-        return np.sqrt(total)
+            total += np.take(squares(b, np.ascontiguousarray(rest[:, s])).astype(np.float32), codes[:, j], axis=0)
+        return total
 
 
 def reach(cosine: float = COSINE) -> float:
@@ -132,10 +140,11 @@ def pairs_of(left: pd.DataFrame, right: pd.DataFrame, at: int, model: Quantiser)
     back = np.zeros((len(ids), len(model.coarse)), bool)
     for i, probes in enumerate(left["probes"]):
         back[i, probes] = True
+    limit = ((error + np.float32(reach() + 1e-3)) ** 2)[:, None]
     links, theirs, ei, ej = np.zeros(len(qids), np.int64), np.zeros(len(ids), np.int64), [], []
     for i in range(0, len(xu), 128):
-        near = model.lookup(xu[i : i + 128].astype(np.float32), at, codes) <= error + np.float32(reach() + 1e-3)
-        a, b = np.nonzero(near)
+        near = model.lookup(xu[i : i + 128].astype(np.float32), at, codes) <= limit
+        b, a = np.nonzero(near)
         for k in range(0, len(a), 1 << 17):
             p, q = a[k : k + (1 << 17)] + i, b[k : k + (1 << 17)]
             ok = (np.einsum("ij,ij->i", xu[p], yu[q]) >= COSINE) & (qids[p] != ids[q])

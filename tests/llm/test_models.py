@@ -105,6 +105,27 @@ def test_links_between_two_dense_groups(spark):
     assert (got == want).all() and (want[1500:] > 150).all()
 
 
+def test_two_lists_meet_once():
+    """Each pair of lists is probed from one side only, no link is lost, and table distances keep to their error."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(900, 24)).astype(np.float32)
+    x[600:] = x[:300] + rng.normal(size=(300, 24)).astype(np.float32) * 0.25
+    u = embeddings.unit(x).astype(np.float32)
+    model = embeddings.Quantiser(u, 60)
+    at, codes, error, probes = model.encode(u)
+    probed = np.zeros((len(u), 60), bool)
+    for i, p in enumerate(probes):
+        probed[i, p] = True
+    p, q = np.nonzero(np.triu(u @ u.T >= 0.95, 1))
+    there, back = probed[p, at[q]], probed[q, at[p]]
+    assert (at[p] != at[q]).any() and (there | back).all() and ((there & back) == (at[p] == at[q])).all()
+    assert all((x >= a).all() for x, a in zip(probes, at))
+    for k in range(60):
+        far = np.sqrt(model.lookup(u[:50], k, codes[at == k]))
+        true = np.linalg.norm(u[at == k][:, None] - u[None, :50], axis=2)
+        assert far.shape == true.shape and (np.abs(far - true) <= error[at == k][:, None] + 1e-3).all()
+
+
 def test_no_vectors(spark):
     assert embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
 
