@@ -89,6 +89,11 @@ class Quantiser:
         """Distances between centroids, computed once per worker."""
         return np.sqrt(squares(self.coarse, self.coarse))
 
+    @cached_property
+    def wide(self) -> list[np.ndarray]:
+        """Codebooks as rows (-2 b, |b|^2, 1): times (x, 1, |x|^2) a row gives |x - b|^2, so a table is one product."""
+        return [np.concatenate([-2 * b, (b * b).sum(1)[:, None], np.ones((len(b), 1), b.dtype)], axis=1).astype(np.float32) for b in self.books]
+
     def encode(self, x: np.ndarray):
         """List, codes and error of each vector, and the lists it has to probe."""
         at, probes = np.zeros(len(x), np.int64), []
@@ -113,8 +118,10 @@ class Quantiser:
         """
         rest = q - self.coarse[at]
         total = np.zeros((len(codes), len(q)), np.float32)
-        for j, (s, b) in enumerate(zip(self.cut, self.books)):
-            total += np.take(squares(b, np.ascontiguousarray(rest[:, s])).astype(np.float32), codes[:, j], axis=0)
+        for j, (s, b) in enumerate(zip(self.cut, self.wide)):
+            part = rest[:, s]
+            one = np.ones((len(q), 1), np.float32)
+            total += np.take(b @ np.concatenate([part, one, (part * part).sum(1)[:, None]], axis=1).T, codes[:, j], axis=0)
         return total
 
 
@@ -128,18 +135,21 @@ def unit(v: np.ndarray) -> np.ndarray:
     return v / np.sqrt((v * v).sum(1))[:, None]
 
 
+def rows(values: pd.Series, kind: type) -> np.ndarray:
+    """Byte strings of one length as the rows of a matrix."""
+    return np.frombuffer(b"".join(values), kind).reshape(len(values), -1)
+
+
 def pairs_of(left: pd.DataFrame, right: pd.DataFrame, at: int, model: Quantiser) -> pd.DataFrame:
     """Links between members (left) and queries (right) of one block of list `at`.
 
     A pair whose member probes the query's list too is met there again, so it counts here for the query alone.
     """
-    y = np.stack([np.frombuffer(v, np.float32) for v in left["vec"]])
-    x = np.stack([np.frombuffer(v, np.float32) for v in right["r_vec"]])
-    codes, error = np.stack([np.frombuffer(c, np.uint8) for c in left["codes"]]), left["error"].to_numpy(np.float32)
+    y, x = rows(left["vec"], np.float32), rows(right["r_vec"], np.float32)
+    codes, error = rows(left["codes"], np.uint8), left["error"].to_numpy(np.float32)
     yu, xu, ids, qids, n, qn, home = unit(y), unit(x), left["cls"].to_numpy(), right["r_cls"].to_numpy(), left["n"].to_numpy(), right["r_n"].to_numpy(), right["r_home"].to_numpy()
     back = np.zeros((len(ids), len(model.coarse)), bool)
-    for i, probes in enumerate(left["probes"]):
-        back[i, probes] = True
+    back[np.repeat(np.arange(len(ids)), left["probes"].map(len)), np.concatenate(left["probes"].to_list())] = True
     limit = ((error + np.float32(reach() + 1e-3)) ** 2)[:, None]
     links, theirs, ei, ej = np.zeros(len(qids), np.int64), np.zeros(len(ids), np.int64), [], []
     for i in range(0, len(xu), 128):
