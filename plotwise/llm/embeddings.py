@@ -21,9 +21,11 @@ Inside a list, the table-lookup distance differs from the true one by no more
 than the stored error, so what exceeds r + error is no neighbour; the rest is
 reranked by exact cosine in double precision. This step loses no pair.
 
-Lists and their queries are cut into blocks, so a hot list is many groups of
-bounded size. A group gives back sums of links and a spanning forest, never
-its pairs.
+Lists lie packed in blocks of bounded size, in their order; a hot list is many
+blocks. Two blocks meet once, as rows of a nested loop over the staged blocks,
+if a vector of one probes a list of the other: vectors are dealt out once and no
+pair of a vector and a list is ever written. A batch of such meetings gives back
+sums of links and a spanning forest, never its pairs.
 
 Vectors that are null, empty, zero or hold a null or non-finite component link
 with nothing. Vectors of other lengths are never compared. Rows that share an
@@ -89,40 +91,46 @@ class Quantiser:
         """Distances between centroids, computed once per worker."""
         return np.sqrt(squares(self.coarse, self.coarse))
 
-    @cached_property
-    def wide(self) -> list[np.ndarray]:
-        """Codebooks as rows (-2 b, |b|^2, 1): times (x, 1, |x|^2) a row gives |x - b|^2, so a table is one product."""
-        return [np.concatenate([-2 * b, (b * b).sum(1)[:, None], np.ones((len(b), 1), b.dtype)], axis=1).astype(np.float32) for b in self.books]
+    def probed(self, x: np.ndarray, at: np.ndarray, lists: np.ndarray) -> np.ndarray:
+        """Whether a vector filed under `at` has to probe each of `lists`."""
+        own = ((x - self.coarse[at]) ** 2).sum(1)
+        bound = squares(x, self.coarse[lists]) - own[:, None] <= 2 * self.apart[np.ix_(at, lists)] * (self.margin + 1e-4) + 1e-5
+        if self.once:
+            bound &= lists >= at[:, None]
+        return bound | (lists == at[:, None])
 
     def encode(self, x: np.ndarray):
         """List, codes and error of each vector, and the lists it has to probe."""
-        at, probes = np.zeros(len(x), np.int64), []
+        at, probes = nearest(x, self.coarse)[0], []
         for i in range(0, len(x), 1024):
-            d = squares(x[i : i + 1024], self.coarse)
-            own = d.argmin(1)
-            at[i : i + 1024] = own
-            bound = d - d[np.arange(len(d)), own][:, None] <= 2 * self.apart[own] * (self.margin + 1e-4) + 1e-5
-            if self.once:
-                bound &= np.arange(d.shape[1]) >= own[:, None]
-            probes += [np.flatnonzero(b) for b in bound]
+            probes += [np.flatnonzero(b) for b in self.probed(x[i : i + 1024], at[i : i + 1024], np.arange(len(self.coarse)))]
         rest = x - self.coarse[at]
         codes = np.stack([nearest(np.ascontiguousarray(rest[:, s]), b)[0] for s, b in zip(self.cut, self.books)], axis=1)
         back = np.concatenate([b[codes[:, j]] for j, b in enumerate(self.books)], axis=1)
         error = np.sqrt(((rest[:, np.concatenate(self.cut)] - back) ** 2).sum(1))
         return at, codes.astype(np.uint8), error, probes
 
-    def lookup(self, q: np.ndarray, at: int, codes: np.ndarray) -> np.ndarray:
-        """Squared distances of coded members of list `at` to queries: a table per subspace, summed over the codes.
+    def fixed(self, at: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """The part of a table distance that no query changes: |b|^2 + 2 c b, summed over the codes."""
+        total = np.zeros(len(codes), np.float32)
+        for j, (s, b) in enumerate(zip(self.cut, self.books)):
+            part = b[codes[:, j]]
+            total += (part * (part + 2 * self.coarse[at][:, s])).sum(1)
+        return total
+
+    def lookup(self, q: np.ndarray, at: int | np.ndarray, codes: np.ndarray, fixed: np.ndarray | None = None) -> np.ndarray:
+        """Squared distances of coded members of list `at`, one or one a member, to queries.
 
-        A code's row holds the distances to all queries, so a lookup copies whole rows.
+        |q - c - b|^2 is |q - c|^2 + |b|^2 + 2 c b - 2 q b, and only the last part
+        needs a query and a code: a table per subspace, summed over the codes, serves
+        all lists at once. A code's row holds all queries, so a lookup copies whole rows.
         """
-        rest = q - self.coarse[at]
-        total = np.zeros((len(codes), len(q)), np.float32)
-        for j, (s, b) in enumerate(zip(self.cut, self.wide)):
-            part = rest[:, s]
-            one = np.ones((len(q), 1), np.float32)
-            total += np.take(b @ np.concatenate([part, one, (part * part).sum(1)[:, None]], axis=1).T, codes[:, j], axis=0)
-        return total
+        at = np.broadcast_to(at, len(codes))
+        lists, place = np.unique(at, return_inverse=True)
+        total = squares(self.coarse[lists], q)[place] + (self.fixed(at, codes) if fixed is None else fixed)[:, None]
+        for j, (s, b) in enumerate(zip(self.cut, self.books)):
+            total += np.take(b @ (-2 * q[:, s].T), codes[:, j], axis=0)
+        return np.maximum(total, 0, out=total)
 
 
 def reach(cosine: float = COSINE) -> float:
@@ -135,45 +143,94 @@ def unit(v: np.ndarray) -> np.ndarray:
     return v / np.sqrt((v * v).sum(1))[:, None]
 
 
-def rows(values: pd.Series, kind: type) -> np.ndarray:
-    """Byte strings of one length as the rows of a matrix."""
-    return np.frombuffer(b"".join(values), kind).reshape(len(values), -1)
-
-
-def pairs_of(left: pd.DataFrame, right: pd.DataFrame, at: int, model: Quantiser) -> pd.DataFrame:
-    """Links between members (left) and queries (right) of one block of list `at`.
-
-    A pair whose member probes the query's list too is met there again, so it counts here for the query alone.
-    """
-    y, x = rows(left["vec"], np.float32), rows(right["r_vec"], np.float32)
-    codes, error = rows(left["codes"], np.uint8), left["error"].to_numpy(np.float32)
-    yu, xu, ids, qids, n, qn, home = unit(y), unit(x), left["cls"].to_numpy(), right["r_cls"].to_numpy(), left["n"].to_numpy(), right["r_n"].to_numpy(), right["r_home"].to_numpy()
-    back = np.zeros((len(ids), len(model.coarse)), bool)
-    back[np.repeat(np.arange(len(ids)), left["probes"].map(len)), np.concatenate(left["probes"].to_list())] = True
-    limit = ((error + np.float32(reach() + 1e-3)) ** 2)[:, None]
-    links, theirs, ei, ej = np.zeros(len(qids), np.int64), np.zeros(len(ids), np.int64), [], []
-    for i in range(0, len(xu), 128):
-        near = model.lookup(xu[i : i + 128].astype(np.float32), at, codes) <= limit
-        b, a = np.nonzero(near)
-        for k in range(0, len(a), 1 << 17):
-            p, q = a[k : k + (1 << 17)] + i, b[k : k + (1 << 17)]
-            ok = (np.einsum("ij,ij->i", xu[p], yu[q]) >= COSINE) & (qids[p] != ids[q])
-            p, q = p[ok], q[ok]
-            once = ~back[q, home[p]]
-            np.add.at(links, p, n[q])
-            np.add.at(theirs, q[once], qn[p[once]])
+PACKED = {"cls": np.int64, "n": np.int64, "vec": np.float32, "home": np.int32, "codes": np.uint8, "error": np.float32}
+BLOCKS = "blk long, lists array<int>, probes array<boolean>, " + ", ".join(f"{c} binary" for c in PACKED)
+
+
+def pack(pdf: pd.DataFrame, model: Quantiser) -> pd.DataFrame:
+    """A block of vectors as one row: its lists, the lists that any of its vectors probes, and each column's bytes."""
+    pdf = pdf.sort_values(["list", "cls"])
+    x = np.frombuffer(b"".join(pdf["vec"]), np.float32).reshape(len(pdf), -1)
+    at, codes, error, probes = model.encode(unit(x).astype(np.float32))
+    any_ = np.zeros(len(model.coarse), bool)
+    any_[np.unique(np.concatenate(probes))] = True
+    held = {"cls": pdf["cls"].to_numpy(), "n": pdf["n"].to_numpy(), "vec": x, "home": at, "codes": codes, "error": error}
+    return pd.DataFrame([{"blk": int(pdf["blk"].iloc[0]), "lists": np.unique(at).tolist(), "probes": any_.tolist()} | {c: held[c].astype(k).tobytes() for c, k in PACKED.items()}])
+
+
+def unpack(batch, i: int, side: str) -> dict[str, np.ndarray]:
+    """Columns of one side of meeting `i`."""
+    got = {c: np.frombuffer(batch[f"{side}_{c}"][i].as_buffer(), k) for c, k in PACKED.items()}
+    return got | {c: got[c].reshape(len(got["cls"]), -1) for c in ("vec", "codes")}
+
+
+def links_of(a: dict, b: dict, same: bool, model: Quantiser):
+    """Links between queries of block `a` and members of block `b`: rows of `a` and of `b`, part by part."""
+    xu, yu = unit(a["vec"]), unit(b["vec"])
+    x, y = xu.astype(np.float32), yu.astype(np.float32)
+    (la, ia), (lb, ib) = (np.unique(s["home"], return_inverse=True) for s in (a, b))
+    there, back = model.probed(x, a["home"], lb), model.probed(y, b["home"], la)
+    asks = np.flatnonzero(there.any(1) | back.any(0)[ia])
+    meets = np.flatnonzero(back.any(1) | there.any(0)[ib])
+    home, codes = b["home"][meets], b["codes"][meets]
+    fixed, limit = model.fixed(home, codes), ((b["error"][meets] + np.float32(reach() + 1e-3)) ** 2)[:, None]
+    for i in range(0, len(asks), 128):
+        some = asks[i : i + 128]
+        q, p = np.nonzero(model.lookup(x[some], home, codes, fixed) <= limit)
+        for k in range(0, len(p), 1 << 17):
+            r, m = some[p[k : k + (1 << 17)]], meets[q[k : k + (1 << 17)]]
+            ok = there[r, ib[m]] | back[m, ia[r]]
+            if same:
+                ok &= r < m
+            r, m = r[ok], m[ok]
+            ok = np.einsum("ij,ij->i", xu[r], yu[m]) >= COSINE
+            yield r[ok], m[ok]
+
+
+def meetings(batch, model: Quantiser) -> dict[str, np.ndarray]:
+    """(a, b, links) of a batch of meeting blocks: sums of links where a = b, else an edge of a spanning forest."""
+    ids, sums, ei, ej = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for i in range(batch.num_rows):
+        a, b = unpack(batch, i, "a"), unpack(batch, i, "b")
+        mine, theirs = np.zeros(len(a["cls"]), np.int64), np.zeros(len(b["cls"]), np.int64)
+        for p, q in links_of(a, b, batch["a_blk"][i] == batch["b_blk"][i], model):
+            np.add.at(mine, p, b["n"][q])
+            np.add.at(theirs, q, a["n"][p])
             # Only a spanning forest of this part's links is kept.
-            both, inv = np.unique(np.concatenate([qids[p], ids[q]]), return_inverse=True)
-            m = len(inv) // 2
-            root = forest(len(both), inv[:m], inv[m:])
-            child = np.flatnonzero(root != np.arange(len(both)))
-            ei.append(both[child])
-            ej.append(both[root[child]])
-    some, others = links > 0, theirs > 0
-    none = np.zeros(0, np.int64)
-    a, b = np.concatenate([none, *ei]), np.concatenate([none, *ej])
-    own = np.concatenate([qids[some], ids[others]])
-    return pd.DataFrame({"a": np.concatenate([own, a]), "b": np.concatenate([own, b]), "links": np.concatenate([links[some], theirs[others], np.zeros(len(a), np.int64)])})
+            x, y = spanning(a["cls"][p], b["cls"][q])
+            ei.append(x)
+            ej.append(y)
+        ids += [a["cls"][mine > 0], b["cls"][theirs > 0]]
+        sums += [mine[mine > 0], theirs[theirs > 0]]
+    own, inv = np.unique(np.concatenate(ids), return_inverse=True)
+    total = np.zeros(len(own), np.int64)
+    np.add.at(total, inv, np.concatenate(sums))
+    x, y = spanning(np.concatenate(ei), np.concatenate(ej))
+    return {"a": np.concatenate([own, x]), "b": np.concatenate([own, y]), "links": np.concatenate([total, np.zeros(len(x), np.int64)])}
+
+
+def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of a spanning forest of the links (a, b)."""
+    both, inv = np.unique(np.concatenate([a, b]), return_inverse=True)
+    m = len(inv) // 2
+    root = forest(len(both), inv[:m], inv[m:])
+    child = np.flatnonzero(root != np.arange(len(both)))
+    return both[child], both[root[child]]
+
+
+def dealt(members: dict[int, int], lists: int) -> list[tuple[int, int, int]]:
+    """(list, first block, blocks): lists in order, packed into blocks of about `BLOCK` vectors; a large list has several of its own."""
+    out, blk, filled = [], 0, 0
+    for k in range(lists):
+        n = members.get(k, 0)
+        if filled and filled + n > BLOCK:
+            blk, filled = blk + 1, 0
+        parts = max(1, -(-n // BLOCK))
+        out.append((k, blk, parts))
+        filled += n
+        if parts > 1:
+            blk, filled = blk + parts, 0
+    return out
 
 
 def links(reps: DataFrame, dim: int, sample: int = SAMPLE, deviations: float | None = DEVIATIONS) -> DataFrame:
@@ -189,28 +246,20 @@ def links(reps: DataFrame, dim: int, sample: int = SAMPLE, deviations: float | N
     model = Quantiser(x, lists, deviations=deviations)
     held = spark.sparkContext.broadcast(model)  # at most MOST_LISTS + CODES vectors
 
-    def code(b):
+    def file(b):
         v = np.array(b["vec"].to_pylist(), np.float32)
-        at, codes, error, probes = held.value.encode(unit(v).astype(np.float32))
-        return {"cls": b["cls"], "n": b["n"], "vec": [r.tobytes() for r in v], "list": at, "codes": [c.tobytes() for c in codes], "error": error.astype(np.float32), "probes": [p.tolist() for p in probes]}
-
-    coded = stage(batches(mine.select("cls", "n", "vec"), code, "cls long, n long, vec binary, list int, codes binary, error float, probes array<int>"), "pq-codes")
-    members = {r["list"]: r["count"] for r in coded.groupBy("list").count().collect()}
-    asked = {r["list"]: r["count"] for r in coded.select(F.explode("probes").alias("list")).groupBy("list").count().collect()}
-    blocks = spark.createDataFrame([(k, -(-n // BLOCK), -(-asked.get(k, 1) // BLOCK)) for k, n in sorted(members.items())], "list int, mb int, qb int")
-    blocks = F.broadcast(blocks)  # a row a list
-    salt = lambda n: F.pmod(F.xxhash64("cls"), F.col(n)).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = coded.join(blocks, "list").withColumn("m", salt("mb")).withColumn("q", each("qb")).select("list", "m", "q", "cls", "n", "vec", "codes", "error", "probes")
-    right = coded.select("cls", "n", "vec", F.col("list").alias("home"), F.explode("probes").alias("list")).join(blocks, "list").withColumn("q", salt("qb")).withColumn("m", each("mb"))
-    right = right.select(*[F.col(c).alias(f"r_{c}") for c in ("list", "m", "q", "cls", "n", "vec", "home")])
-
-    def meet(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({"a": [], "b": [], "links": []}).astype("int64")
-        return pairs_of(a, b, int(key[0]), held.value)
-
-    return left.groupBy("list", "m", "q").cogroup(right.groupBy("r_list", "r_m", "r_q")).applyInPandas(meet, "a long, b long, links long")
+        return {"cls": b["cls"], "n": b["n"], "vec": [r.tobytes() for r in v], "list": nearest(unit(v).astype(np.float32), held.value.coarse)[0]}
+
+    filed = batches(mine.select("cls", "n", "vec"), file, "cls long, n long, vec binary, list int")
+    members = {r["list"]: r["count"] for r in filed.groupBy("list").count().collect()}
+    places = F.broadcast(spark.createDataFrame(dealt(members, len(model.coarse)), "list int, first int, parts int"))  # a row a list
+    blk = (F.col("first") + F.pmod(F.xxhash64("cls"), F.col("parts"))).alias("blk")
+    packed = filed.join(places, "list").select(blk, "list", "cls", "n", "vec").groupBy("blk").applyInPandas(lambda pdf: pack(pdf, held.value), BLOCKS)
+    packed = stage(packed, "pq-blocks")
+    a, b = (packed.select(*[F.col(c).alias(f"{s}_{c}") for c in packed.columns]) for s in "ab")
+    meet = F.exists("b_lists", lambda k: F.get("a_probes", k)) | F.exists("a_lists", lambda k: F.get("b_probes", k))
+    pairs = a.join(b, (F.col("a_blk") <= F.col("b_blk")) & meet).drop(*[f"{s}_{c}" for s in "ab" for c in ("lists", "probes")])
+    return batches(pairs, lambda b: meetings(b, held.value), "a long, b long, links long")
 
 
 def near_duplicates(vectors: DataFrame, sample: int = SAMPLE, deviations: float | None = DEVIATIONS) -> DataFrame:

@@ -182,3 +182,16 @@ def test_main_and_articles_are_kept():
     assert text("<main><article><p>short</p></article></main><p>a long text outside of it</p>") == "short"
     assert text("<p>an unmarked body of the page</p><article>teaser</article>") == "an unmarked body of the page\nteaser"
     assert text("<p>top</p><article><p>the body of the page</p></article>") == "the body of the page"
+
+
+def test_vectors_are_dealt_out_once(spark, monkeypatch):
+    """Lists meet as packed blocks: nothing is shuffled by a vector and a list it probes."""
+    monkeypatch.setattr(embeddings, "BLOCK", 40)
+    x = np.random.default_rng(2).normal(size=(300, 16))
+    reps = spark.createDataFrame([(i, 1, v.tolist(), 16) for i, v in enumerate(x)], "cls long, n long, vec array<float>, dim int")
+    staged, whole = [], embeddings.stage
+    monkeypatch.setattr(embeddings, "stage", lambda df, label: staged.append((label, whole(df, label))) or staged[-1][1])
+    plan = embeddings.links(reps, 16)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and "Generate" not in plan
+    assert [n for n, _ in staged] == ["pq-blocks"] and sum(len(r.cls) // 8 for r in staged[0][1].collect()) == 300
+    assert embeddings.dealt({0: 3, 1: 5, 2: 100, 3: 30, 4: 20}, 6) == [(0, 0, 1), (1, 0, 1), (2, 1, 3), (3, 4, 1), (4, 5, 1), (5, 5, 1)]
