@@ -105,7 +105,7 @@ def classify(listings: DataFrame, by: list[str], reviewed: DataFrame | None = No
 def k_distances(df: DataFrame, zs: list[str], ident: str, k: int = 5) -> DataFrame:
     """Distance of every point to its k-th nearest other point."""
     fs = [f"_f{z}" for z in zs]
-    dist = F.round(F.sqrt(sum(((F.col(z) - F.col(f)) ** 2 for z, f in zip(zs, fs)), F.lit(0.0))), 9)
+    dist = lambda c: F.round(F.sqrt(sum(((c(z) - c(f)) ** 2 for z, f in zip(zs, fs)), F.lit(0.0))), 9)
     leaves = Leaves(df.select(F.col(ident).alias("_f"), *[F.col(z).alias(f) for z, f in zip(zs, fs)]), fs, "_f")
     measure, lower = euclid(zs, fs)
     near = leaves.nearest(df.select(*zs).distinct(), zs, k + leaves.same_id(), measure=measure, lower=lower, dist=dist, slack=2e-9)

@@ -119,3 +119,27 @@ def test_band_counts_of_one_crowded_bin(spark):
 def test_vector_batches_stay_small():
     parts = list(vectors._slices(pd.DataFrame({"id": range(10_000)}), 1024))
     assert max(map(len, parts)) * 1024 <= vectors.VISITS and sum(map(len, parts)) == 10_000
+
+
+def test_search_takes_two_rounds(spark, small, monkeypatch):
+    """Points are staged twice, however many leaves lie within their reach, and equal spots send back k rows of an answer."""
+    x = np.random.default_rng(9).normal(size=(400, 3))
+    x[200:300] = x[0]
+    df = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(x)], "id long, a double, b double, c double")
+    staged, whole = [], neighbours.stage
+    monkeypatch.setattr(neighbours, "stage", lambda d, label="stage", **kw: staged.append((label, whole(d, label, **kw))) or staged[-1][1])
+    got = {r.id: r.k_dist for r in outliers.k_distances(df, ["a", "b", "c"], "id", 4).collect()}
+    d = np.sort(np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)), axis=1)[:, 4]
+    assert got == pytest.approx(dict(enumerate(d)), abs=2e-9)
+    assert [n for n, _ in staged] == ["features", "leaves", "points", "found"]
+    found = staged[-1][1].where("_c is not null").selectExpr("size(_c) n", "size(array_distinct(transform(_c, x -> struct(x._fa, x._fb, x._fc)))) spots").collect()
+    assert len(found) == 300 and max(r.n for r in found) <= 5 * 5 and any(r.n > r.spots for r in found)
+
+
+def test_only_allowed_pairs_are_measured():
+    p, f = neighbours.Rows({"x": np.arange(5.0)}), neighbours.Rows({"y": np.arange(8.0)})
+    asked = []
+    measure = lambda a, b, one: asked.append((len(a), len(b), one)) or neighbours.apart(a, b, "x", "y", one)
+    got = neighbours.where_allowed(lambda a, b: b["y"][None, :] > a["x"][:, None], measure)(p, f)
+    assert asked == [(25, 25, True)]
+    assert np.array_equal(got, np.where(np.arange(8) > np.arange(5)[:, None], np.arange(8.0) - np.arange(5.0)[:, None], np.inf))
