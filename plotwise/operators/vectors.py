@@ -2,23 +2,32 @@
 
 Every vector lies in the cell of its nearest pivot, and each cell knows how far
 its members reach. By the triangle inequality no member of a cell is more
-similar to a query than 1 - (|q - pivot| - radius)^2 / 2. A query visits cells
-in descending order of that bound, two, sixteen, ... at a time, until its
-k-th answer is better than the next cell can offer. Cells and their queries
-meet in blocks of bounded size; only k rows a query and block come back.
+similar to a query than 1 - (|q - pivot| - radius)^2 / 2. Vectors and queries
+of a cell are packed into blocks, a row each, and dealt out once. A query takes
+its floor from a block of its own cell: its k-th answer is that good at least.
+Blocks then meet in a nested loop, if the cell can beat the floor of one of the
+queries; a task keeps the k best of the queries it holds while vectors pass, so
+only k rows a query and part of the vectors come back, and no pair of a query
+and a cell is ever written.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 from plotwise.session import stage
 
 PIVOTS, BLOCK = 1024, 2048
 VISITS = 1 << 15  # rows times cells looked at in one go
+PART = 1 << 27  # bytes of vectors that pass by a task's queries
+HELD = 64  # blocks of queries a task keeps answers of at most
 NEAR = 1e-9  # similarities are told apart to nine digits; closer ones go to the smaller id
 
 
@@ -46,6 +55,7 @@ def cosine_topk(corpus: DataFrame, queries: DataFrame, vid: str, vec: str, k: in
     """
     spark = corpus.sparkSession
     vt = dict(corpus.dtypes)[vid]
+    wide = {n: np.float32 if dict(d.dtypes)[vec] == "array<float>" else np.float64 for n, d in (("c", corpus), ("q", queries))}
     c, q = (d.where(F.col(vec).isNotNull()).select(F.col(vid).alias("id"), F.transform(vec, lambda e: e.cast("double")).alias("v")) for d in (corpus, queries))
     total = c.count()
     none = spark.createDataFrame([], f"qid {vt}, {vid} {vt}, similarity double, rn int")
@@ -55,75 +65,129 @@ def cosine_topk(corpus: DataFrame, queries: DataFrame, vid: str, vec: str, k: in
     drawn = c.orderBy(F.xxhash64("id"), "id").limit(n).collect()  # most_pivots vectors at most
     shared = spark.sparkContext.broadcast(_unit([r["v"] for r in drawn]))
 
-    def place(batches):
-        for pdf in batches:
-            for part in _slices(pdf, len(shared.value)):
-                x = _unit(part["v"])
-                d = _apart(x, shared.value)
-                at = d.argmin(1)
-                zero = ~x.any(1)
-                yield pd.DataFrame({"cell": np.where(zero, -1, at).astype(np.int32), "reach": np.where(zero, 0.0, d[np.arange(len(x)), at]), "id": part["id"], "v": list(x)})
-
-    placed = stage(c.mapInPandas(place, f"cell int, reach double, id {vt}, v array<double>"), "vector-cells")
-    cells = sorted(map(tuple, placed.groupBy("cell").agg(F.max("reach"), F.count("*")).collect()))  # a row a pivot
+    def filed(d: DataFrame, kind) -> DataFrame:
+        """Vectors with their cell; its number is -1 for zero vectors."""
+        def place(batches):
+            for pdf in batches:
+                for part in _slices(pdf, len(shared.value)):
+                    x = _unit(part["v"])
+                    d = _apart(x, shared.value)
+                    at = d.argmin(1)
+                    zero = ~x.any(1)
+                    raw = np.array(list(part["v"]), dtype=kind)
+                    yield pd.DataFrame({"cell": np.where(zero, -1, at).astype(np.int32), "reach": np.where(zero, 0.0, np.nan_to_num(d[np.arange(len(x)), at])), "id": part["id"], "v": [r.tobytes() for r in raw]})
+
+        return d.mapInPandas(place, f"cell int, reach double, id {vt}, v binary")
+
+    def packed(d: DataFrame, counts: list[tuple[int, int]]) -> DataFrame:
+        """cell, m, ids, v: blocks of about `block` vectors of a cell, as a row each."""
+        parts = F.broadcast(spark.createDataFrame([(i, -(-m // block)) for i, m in counts], "cell int, mb int"))  # a row a pivot
+        dealt = d.join(parts, "cell").withColumn("m", F.pmod(F.xxhash64("id", "v"), F.col("mb")).cast("int")).select("cell", "m", "id", "v")
+        each = lambda t: pa.table({"cell": t["cell"][:1], "m": t["m"][:1], "ids": pa.ListArray.from_arrays(pa.array([0, len(t)], pa.int32()), pa.concat_arrays(t["id"].chunks)), "v": pa.array([b"".join(t["v"].to_pylist())])})
+        return dealt.groupBy("cell", "m").applyInArrow(each, f"cell int, m int, ids array<{vt}>, v binary")
+
+    cfiled, qfiled = filed(c, wide["c"]), filed(q, wide["q"])
+    cells = sorted(map(tuple, cfiled.groupBy("cell").agg(F.max("reach"), F.count("*")).collect()))  # a row a pivot
+    asked = sorted(map(tuple, qfiled.groupBy("cell").count().collect()))  # a row a pivot
+    if not asked:
+        return none
     number = np.array([r[0] for r in cells])
     pivots = np.array([shared.value[i] if i >= 0 else np.zeros_like(shared.value[0]) for i in number])
     held = spark.sparkContext.broadcast((number, pivots, np.array([r[1] for r in cells])))
-    parts = F.broadcast(spark.createDataFrame([(int(i), -(-m // block)) for i, _, m in cells], "cell int, mb int"))
-    left = placed.join(parts, "cell").withColumn("m", F.pmod(F.xxhash64("id"), F.col("mb")).cast("int")).select("cell", "m", "id", "v")
-
-    def visits(first: int, count: int):
-        def run(batches):
-            number, pivots, reach = held.value
-            for part in (s for pdf in batches for s in _slices(pdf, len(number))):
-                out = []
-                x = _unit(part["v"])
-                best = 1 - np.maximum(_apart(x, pivots) - reach - 1e-7, 0) ** 2 / 2
-                best[:, number < 0], best[~x.any(1)] = 0.0, 0.0
-                order = np.argsort(-best, axis=1, kind="stable")
-                floor = part["floor"].to_numpy(float)
-                for i, (qid, v) in enumerate(zip(part["id"], x)):
-                    mine = [j for j in order[i, first : first + count] if best[i, j] >= floor[i] - NEAR]
-                    # A row without a cell tells that more cells could hold an answer.
-                    more = first + count < len(number) and best[i, order[i, first + count]] >= floor[i] - NEAR
-                    out += [(qid, int(number[j]), v, floor[i], bool(more)) for j in mine]
-                yield pd.DataFrame({n: pd.Series([o[j] for o in out], dtype=object) for j, n in enumerate(("qid", "r_cell", "r_v", "r_floor", "more"))})
-
-        return run
-
-    def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({"qid": pd.Series([], dtype=object), "id": pd.Series([], dtype=object), "similarity": pd.Series([], dtype=float)})
-        y, ids, asks, floor = np.array(a["v"].tolist()), a["id"].to_numpy(), b["qid"].to_numpy(), b["r_floor"].to_numpy(float)
-        rank = np.argsort(np.argsort(ids, kind="stable"), kind="stable")
-        rows = []
-        for i in range(0, len(b), 256):
-            s = np.round(np.array(b["r_v"].iloc[i : i + 256].tolist()) @ y.T, 9)
-            s[asks[i : i + 256, None] == ids[None, :]] = -2.0
-            order = np.lexsort((np.broadcast_to(rank, s.shape), -s), axis=1)[:, :k]
-            sim = np.take_along_axis(s, order, 1)
-            r, col = np.nonzero(sim >= np.maximum(floor[i : i + 256, None] - NEAR, max(threshold, -1.0)))
-            rows.append((asks[i + r], ids[order[r, col]], sim[r, col]))
-        return pd.DataFrame({"qid": pd.Series(np.concatenate([x[0] for x in rows])), "id": pd.Series(np.concatenate([x[1] for x in rows])), "similarity": np.concatenate([x[2] for x in rows])})
-
-    todo = stage(q.withColumn("floor", F.lit(max(float(threshold), -1.0))), "vector-queries")
-    found, first, count = None, 0, 2
+    least = max(float(threshold), -1.0)
+    places = F.broadcast(spark.createDataFrame([(int(i), at) for at, i in enumerate(number)], "cell int, at int"))  # a row a pivot
+    vectors = stage(packed(cfiled, [(i, m) for i, _, m in cells]).join(places, "cell"), "vector-cells")
+
+    def block_of(ids, v, kind) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and unit vectors of a packed block."""
+        ids = ids.values
+        x = np.frombuffer(v.as_buffer(), kind).reshape(len(ids), -1)
+        known = ids.to_numpy(zero_copy_only=False) if not ids.null_count else np.array(ids.to_pylist(), object)
+        return known, _unit(x)
+
+    def bounds(x: np.ndarray, at) -> np.ndarray:
+        """The best similarity that members of cells can have to vectors."""
+        number, pivots, reach = held.value
+        best = 1 - np.maximum(_apart(x, pivots[at]) - reach[at] - 1e-7, 0) ** 2 / 2
+        best[:, number[at] < 0], best[~x.any(1)] = 0.0, 0.0
+        return best
+
+    def itself(asks, ids) -> np.ndarray:
+        """Whether ids are the same; a null id is nobody's."""
+        same = asks == ids
+        return same & ~(pd.isna(asks) & pd.isna(ids)) if asks.dtype == object else same
+
+    asking = to_arrow_schema(_parse_datatype_string(f"blk long, ids array<{vt}>, v binary, floor binary, asks array<boolean>"))
+
+    def floors(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                asks, x = block_of(batch["ids"][i], batch["v"][i], wide["q"])
+                floor = np.full(len(x), least)
+                if batch["c_v"][i].is_valid:
+                    ids, y = block_of(batch["c_ids"][i], batch["c_v"][i], wide["c"])
+                    for j in range(0, len(x) if len(y) >= k else 0, 256):
+                        s = np.round(x[j : j + 256] @ y.T, 9)
+                        s[itself(asks[j : j + 256, None], ids[None, :])] = -2.0
+                        floor[j : j + 256] = np.maximum(least, np.partition(s, len(y) - k, axis=1)[:, len(y) - k])
+                some = np.zeros(len(held.value[0]), bool)
+                for j in range(0, len(x), max(1, VISITS // len(some))):
+                    t = slice(j, j + max(1, VISITS // len(some)))
+                    some |= (bounds(x[t], np.arange(len(some))) >= floor[t, None] - NEAR).any(0)
+                yield pa.RecordBatch.from_arrays([batch["blk"].slice(i, 1), batch["ids"].slice(i, 1), batch["v"].slice(i, 1), pa.array([floor.tobytes()]), pa.array([some.tolist()])], schema=asking)
+
+    own = vectors.where("m = 0").select("cell", F.col("ids").alias("c_ids"), F.col("v").alias("c_v"))
+    blocks = packed(qfiled, asked).join(own, "cell", "left").withColumn("blk", F.monotonically_increasing_id()).select("blk", "ids", "v", "c_ids", "c_v")
+    probes = stage(blocks.mapInArrow(floors, "blk long, ids " + f"array<{vt}>, v binary, floor binary, asks array<boolean>"), "vector-probes")
+
+    answer = to_arrow_schema(_parse_datatype_string(f"qid {vt}, id {vt}, similarity double"))
+
+    def meet(batches):
+        kept = {}  # block of queries -> its ids, vectors, floors, and rows, ids and similarities of the best so far
+
+        def flush(blk):
+            qids, _, _, row, ids, sim = kept.pop(blk)
+            return pa.RecordBatch.from_arrays([qids.take(pa.array(row)), ids, pa.array(sim)], schema=answer)
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                blk = batch["blk"][i].as_py()
+                if blk not in kept:
+                    if len(kept) >= HELD:
+                        yield flush(next(iter(kept)))
+                    asks, x = block_of(batch["ids"][i], batch["v"][i], wide["q"])
+                    mine = pa.array(batch["ids"][i].values.to_pylist(), answer.field("qid").type)  # copies, as a view would hold the whole batch
+                    kept[blk] = [mine, (asks.copy(), x), np.frombuffer(batch["floor"][i].as_buffer(), float).copy(), np.zeros(0, int), pa.array([], answer.field("id").type), np.zeros(0)]
+                qids, (asks, x), floor, row, best, sim = kept[blk]
+                near = np.flatnonzero(bounds(x, [batch["c_at"][i].as_py()])[:, 0] >= floor - NEAR)
+                if not len(near):
+                    continue
+                ids, y = block_of(batch["c_ids"][i], batch["c_v"][i], wide["c"])
+                rows, cols, sims = [row], [], [sim]
+                for j in range(0, len(near), 256):
+                    part = near[j : j + 256]
+                    s, bar = x[part] @ y.T, np.maximum(floor[part] - NEAR, least)
+                    r, col = np.nonzero(s >= bar[:, None] - NEAR)
+                    exact = np.round(s[r, col], 9)
+                    ok = (exact >= bar[r]) & ~itself(asks[part[r]], ids[col])
+                    rows.append(part[r[ok]])
+                    cols.append(col[ok])
+                    sims.append(exact[ok])
+                if sum(map(len, cols)):
+                    row, sim = np.concatenate(rows), np.concatenate(sims)
+                    best = pa.concat_arrays([best, batch["c_ids"][i].values.take(pa.array(np.concatenate(cols)))])
+                    rank = np.empty(len(best), int)
+                    rank[pc.array_sort_indices(best, null_placement="at_start").to_numpy()] = np.arange(len(best))
+                    order = np.lexsort((rank, -sim, row))
+                    place = np.arange(len(order)) - np.searchsorted(row[order], row[order])
+                    floor[row[order[place == k - 1]]] = np.maximum(floor[row[order[place == k - 1]]], sim[order[place == k - 1]])
+                    order = order[place < k]
+                    kept[blk] = [qids, (asks, x), floor, row[order], best.take(pa.array(order)), sim[order]]
+        yield from (flush(blk) for blk in list(kept))
+
+    size = total * len(shared.value[0]) * np.dtype(wide["c"]).itemsize
+    right = vectors.select(F.col("at").alias("c_at"), F.col("ids").alias("c_ids"), F.col("v").alias("c_v")).coalesce(-(-size // PART))
+    pairs = probes.join(right, F.get("asks", F.col("c_at"))).drop("asks")
     rank = Window.partitionBy("qid").orderBy(F.desc("similarity"), "id")
-    while True:
-        probe = stage(todo.select("id", "v", "floor").mapInPandas(visits(first, count), f"qid {vt}, r_cell int, r_v array<double>, r_floor double, more boolean"), "vector-probes")
-        asked = {r["r_cell"]: r["count"] for r in probe.groupBy("r_cell").count().collect()}  # a row a pivot
-        groups = F.broadcast(spark.createDataFrame([(int(i), -(-m // block), -(-asked.get(i, 0) // block)) for i, _, m in cells], "r_cell int, mb int, qb int"))
-        right = probe.join(groups, "r_cell").withColumn("r_q", F.pmod(F.xxhash64("qid"), F.col("qb")).cast("int")).withColumn("r_m", F.explode(F.sequence(F.lit(0), F.col("mb") - 1)))
-        mine = left.join(groups.select(F.col("r_cell").alias("cell"), "qb").where("qb > 0"), "cell").withColumn("q", F.explode(F.sequence(F.lit(0), F.col("qb") - 1)))
-        got = mine.groupBy("cell", "m", "q").cogroup(right.select("r_cell", "r_m", "r_q", "qid", "r_v", "r_floor").groupBy("r_cell", "r_m", "r_q")).applyInPandas(meet, f"qid {vt}, id {vt}, similarity double")
-        got = got if found is None else found.unionByName(got)
-        found = stage(got.withColumn("rn", F.row_number().over(rank)).where(F.col("rn") <= k).drop("rn"), "vector-hits")
-        if first + count >= len(cells):
-            break
-        kth = found.groupBy("qid").agg(F.count("*").alias("n"), F.min("similarity").alias("s")).where(F.col("n") == k).select(F.col("qid").alias("id"), F.col("s").alias("_s"))
-        open_ = probe.where("more").select(F.col("qid").alias("id")).distinct()
-        todo = stage(todo.join(open_, "id", "left_semi").join(kth, "id", "left").withColumn("floor", F.greatest("floor", F.coalesce("_s", "floor"))).drop("_s"), "vector-queries")
-        if todo.isEmpty():
-            break
-        first, count = first + count, count * 8
-    return found.withColumn("rn", F.row_number().over(rank)).withColumnRenamed("id", vid)
+    found = stage(pairs.mapInArrow(meet, f"qid {vt}, id {vt}, similarity double"), "vector-hits")
+    return found.withColumn("rn", F.row_number().over(rank)).where(F.col("rn") <= k).withColumnRenamed("id", vid)

@@ -56,3 +56,15 @@ def test_topk_of_nothing(spark):
     assert vectors.cosine_topk(d, d, "i", "v").collect() == []
     assert vectors.cosine_topk(d.where("false"), d, "i", "v").collect() == []
     assert vectors.cosine_topk(d, d.where("false"), "i", "v").collect() == []
+
+
+def test_vectors_are_dealt_out_once(spark, monkeypatch):
+    """Blocks hold each vector and query once, and answers are at most k a query, however many cells a query visits."""
+    x = np.random.default_rng(7).normal(size=(400, 16))
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "i long, v array<double>")
+    staged, whole = {}, vectors.stage
+    monkeypatch.setattr(vectors, "stage", lambda df, label="stage", **kw: staged.setdefault(label, []).append(whole(df, label, **kw)) or staged[label][-1])
+    assert vectors.cosine_topk(d, d, "i", "v", 4, block=20).count() == 1600
+    assert {n: len(t) for n, t in staged.items()} == {"vector-cells": 1, "vector-probes": 1, "vector-hits": 1}
+    assert all(sum(len(r.v) for r in staged[n][0].collect()) == 400 * 16 * 8 for n in ("vector-cells", "vector-probes"))
+    assert staged["vector-hits"][0].count() == 1600
